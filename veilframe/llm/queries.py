@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilframe.llm import decontam, langid, quality, secrets, toxicity
+from veilframe.llm.common import fold
 from veilframe.llm.near_dedup import near_duplicates
 
 
@@ -17,8 +20,41 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, quality.learnable(labels, "toxic", 4, 2), docs.filter(fold("doc_id", 4) != 2))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op5_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.train(docs.filter(fold("doc_id", 4) != 2))
+    return langid.classify(docs, learned).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranker = quality.train(docs, quality.learnable(labels, "quality", 5, 0))
+    return quality.score(docs, ranker).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op4_pu_toxicity": op4_pu_toxicity,
+        "op5_compression_langid": op5_compression_langid,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_bradley_terry_quality": op9_bradley_terry_quality,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
