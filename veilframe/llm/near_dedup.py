@@ -8,12 +8,14 @@ similarity 0.8 differs in 25.6 on average), and pairs beyond that radius are sti
 chunk holds two errors or more: at similarity 0.8 a pair is lost with probability 1.4e-5, at 0.85
 with 4e-8. Whatever meets is confirmed on full sets.
 
-No bucket is expanded into pairs. A bucket is sorted and streamed once; every member is tied to the
-bucket's first member (its leader). Links are confirmed in three passes, each only between sets not
-yet in one component: (1) every set against the leader it shares most buckets with, (2) against its
-other leaders, (3) pairs of members of buckets that still span components. Because the result is the
-components, pairs inside one component need no confirmation, so a group of n near copies costs about
-n confirmations.
+No bucket is expanded into pairs. A bucket is sorted and streamed once to drop lone members; then its
+most popular members (those that meet most others over all buckets, so the core of a family of copies)
+lead it. Because the result is the components, only sets not yet in one component need confirming:
+(1) every set against the leader it shares most buckets with, (2) sets of buckets that still span
+components against all leaders of those buckets, (3) where two components still meet in a bucket, the
+meeting members of the smaller against all sets of the larger, which lie packed in blocks. A family of
+n near copies so costs about n confirmations and never emits its pairs, and no qualifying pair that
+meets is left out.
 
 Defined results: null or blank text has the empty set, links with nothing and is its own component.
 Rows with null ids carry a null component and are kept. Exact copies of a set fold into one
@@ -27,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from veilframe.llm import shingles as sh
 from veilframe.llm.common import discard, map_arrow, materialise, text_chunks
 from veilframe.llm.components import components
 
-HASHES, BITS, CHUNK = 128, 16, 8
+HASHES, BITS, CHUNK, LEADERS = 128, 16, 8, 4
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
@@ -81,39 +84,38 @@ def _keys(reps: DataFrame) -> DataFrame:
     return map_arrow(reps.select("node", "sig"), make, "key long, node long")
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, leader, node) for the members of buckets with two members or more.
+def _members(keys: DataFrame) -> DataFrame:
+    """(key, node) of buckets with two members or more.
 
-    Rows arrive sorted by key; a bucket streams through with only its leader held.
+    Rows arrive sorted by key; a bucket streams through with only its first member held back.
     """
 
     def run(batches):
-        last, leader = None, None
+        last = held = None  # the last key and its only member so far, if it has but one
         for b in batches:
             if not b.num_rows:
                 continue
             key = b.column("key").to_numpy(zero_copy_only=False)
             node = b.column("node").to_numpy(zero_copy_only=False)
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            carried = last is not None and key[0] == last
-            starts = np.flatnonzero(first)
-            lead = node[starts]
-            if carried:
-                lead = lead.copy()
-                lead[0] = leader
-            group = np.cumsum(first) - 1
-            leads = lead[group]
-            take = ~first
-            if carried:
+            if held is not None:
+                key, node = np.append(last, key), np.append(held, node)
+            same = key[1:] == key[:-1]
+            take = np.append(False, same) | np.append(same, False)
+            if held is None and last is not None and key[0] == last:
                 take[0] = True
-            take &= node != leads
+            last, held = key[-1], None if take[-1] else node[-1]
             if take.any():
-                yield pa.record_batch([pa.array(key[take]), pa.array(leads[take]), pa.array(node[take])], ["key", "leader", "node"])
-            last, leader = key[-1], leads[-1]
+                yield pa.record_batch([pa.array(key[take]), pa.array(node[take])], ["key", "node"])
 
-    # Leaders are the first in an order scrambled per node, so that chance does not favour small ids.
-    laid = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
-    return laid.mapInArrow(run, "key long, leader long, node long")
+    laid = keys.repartition("key").sortWithinPartitions("key")
+    return laid.mapInArrow(run, "key long, node long")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, c) of the buckets that span components."""
+    named = _with_component(members, labels)
+    spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return named.join(spans, "key", "left_semi").select("key", "node", "c")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -142,14 +144,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     return both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def _label(pairs: DataFrame, labels: DataFrame | None, cols: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Keep the pairs whose ends are in different components so far."""
-    if labels is None:
-        return pairs
-    for c in cols:
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left")
-        pairs = pairs.withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    return pairs.filter(F.col(f"c_{cols[0]}") != F.col(f"c_{cols[1]}"))
+def _with_component(nodes: DataFrame, labels: DataFrame, node: str = "node", component: str = "c") -> DataFrame:
+    found = labels.select(F.col("node").alias(node), F.col("component").alias(component))
+    return nodes.join(found, node, "left").withColumn(component, F.coalesce(component, node))
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components so far."""
+    both = _with_component(_with_component(pairs, labels, "a", "ca"), labels, "b", "cb")
+    return both.filter("ca <> cb").select("a", "b")
+
+
+def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, ids, sizes, values): the sets of every component packed into blocks of about a megabyte.
+
+    ``nodes``: (node, c). Rows arrive sorted by component and stream through.
+    """
+
+    def run(batches):
+        comp, ids, packs, held = None, [], [], 0
+
+        def flush():
+            sizes = np.array([len(p) for p in packs], np.int64)
+            return pa.record_batch([pa.array([comp], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([np.concatenate(packs).tobytes()], pa.binary())], ["c", "ids", "sizes", "values"])
+
+        for b in batches:
+            for c, node, values in zip(b.column("c").to_pylist(), b.column("node").to_pylist(), b.column("set"), strict=True):
+                if ids and (c != comp or held > 1 << 20):
+                    yield flush()
+                    ids, packs, held = [], [], 0
+                comp = c
+                ids.append(node)
+                packs.append(values.values.to_numpy(zero_copy_only=False))
+                held += 8 * len(packs[-1])
+        if ids:
+            yield flush()
+
+    laid = nodes.join(sets, "node").repartition("c", F.pmod(F.xxhash64("node"), F.lit(64))).sortWithinPartitions("c", "node")
+    return laid.select("c", "node", "set").mapInArrow(run, "c long, ids binary, sizes binary, values binary")
+
+
+def _confirm_blocks(meets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between each ``meets`` (node, c) and the sets of component ``c``."""
+
+    def make():
+        def each(b: pa.RecordBatch):
+            left, right = [], []
+            for node, own, ids, sizes, values in zip(*(b.column(c) for c in ("node", "set", "ids", "sizes", "values")), strict=True):
+                own = np.sort(own.values.to_numpy(zero_copy_only=False))
+                ids, sizes, values = (np.frombuffer(x.as_py(), np.int64) for x in (ids, sizes, values))
+                at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                shared = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+                linked = ids[100 * shared >= percent * (len(own) + sizes - shared)]
+                left += [node.as_py()] * len(linked)
+                right += linked.tolist()
+            if left:
+                yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+        return each
+
+    wanted = nodes.join(meets.select("c").distinct(), "c", "left_semi")
+    both = meets.join(sets, "node").join(_blocks(wanted, sets), "c").select("node", "set", "ids", "sizes", "values")
+    return map_arrow(both, make, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -158,27 +214,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Empty sets link with nothing: they never enter the index.
     reps = feats.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.sig").alias("sig"))
     reps = materialise(reps, "reps")
-    buckets = materialise(_buckets(_keys(reps)), "buckets")
-    stars = materialise(buckets.groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("met")), "stars")
-    members = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(_sets(docs, members, k), "sets")
+    members = materialise(_members(_keys(reps)), "members")
+    met = materialise(members.select("node").distinct(), "met")
+    sets = materialise(_sets(docs, met, k), "sets")
     sizes = reps.select("node", "n")
 
-    best = stars.groupBy("b").agg(F.max(F.struct("met", F.col("a"))).alias("x")).select("b", F.col("x.a").alias("a"))
+    big = members.groupBy("key").agg(F.count("*").alias("size"))
+    popular = members.join(big, "key").groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = members.join(popular, "node").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), "node"))).filter(F.col("rank") <= LEADERS)
+    leaders = materialise(ranked.select("key", F.col("node").alias("a"), "rank"), "leaders")
+
+    stars = members.withColumnRenamed("node", "b").join(leaders.filter("rank = 1").drop("rank"), "key").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    best = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
     links = materialise(_confirm(best, sets, sizes, percent), "links")
     labels = components(links)
-    second = materialise(_confirm(_label(stars.select("a", "b"), labels).select("a", "b"), sets, sizes, percent), "links")
-    links = links.unionByName(second)
-    labels = components(links)
 
-    mixed = _label(buckets, labels, ("leader", "node")).select("key").distinct()
-    rest = buckets.join(mixed, "key", "left_semi").join(labels.select("node", "component"), "node", "left").join(sizes, "node").select("key", "node", F.coalesce("component", "node").alias("c"), "n")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "c", "n"))) for i in "12")
-    cross = x.join(y, "key").filter((F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    cross = cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    third = materialise(_confirm(cross, sets, sizes, percent), "links")
-    labels = materialise(components(links.unionByName(third)), "labels")
-    discard(buckets, stars, sets)
+    spread = _mixed(members, labels)
+    pairs = spread.select("key", F.col("node").alias("b")).join(leaders.select("key", "a"), "key").filter("a <> b").select("a", "b").distinct()
+    links = materialise(links.unionByName(_confirm(_across(pairs, labels), sets, sizes, percent)), "links")
+    labels = materialise(components(links), "labels")
+
+    spread = materialise(_mixed(spread.select("key", "node"), labels), "spread")
+    nodes = materialise(_with_component(met, labels), "nodes")
+    weight = nodes.groupBy("c").agg(F.count("*").alias("w"))
+    there = spread.select("key", "c").distinct().join(weight, "c")
+    x, y = (there.select("key", *(F.col(c).alias(f"{c}{i}") for c in "cw")) for i in "12")
+    touch = x.join(y, "key").filter(F.struct("w1", "c1") < F.struct("w2", "c2")).select("key", F.col("c1").alias("c"), F.col("c2").alias("other"))
+    meets = materialise(spread.join(touch, ["key", "c"]).select("node", F.col("other").alias("c")).distinct(), "meets")
+    links = links.unionByName(_confirm_blocks(meets, nodes, sets, percent))
+    labels = materialise(components(links), "labels")
+    discard(members, leaders, sets, spread, nodes, meets)
 
     named = reps.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     return (
