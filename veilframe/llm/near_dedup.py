@@ -35,7 +35,7 @@ from veilframe.llm import shingles as sh
 from veilframe.llm.common import discard, map_arrow, materialise, text_chunks
 from veilframe.llm.components import components
 
-HASHES, BITS, CHUNK, LEADERS = 128, 16, 8, 4
+HASHES, BITS, CHUNK, LEADERS, PART = 128, 16, 8, 4, 512
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
@@ -158,7 +158,8 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, ids, sizes, values): the sets of every component packed into blocks of about a megabyte.
 
-    ``nodes``: (node, c). Rows arrive sorted by component and stream through.
+    ``nodes``: (node, c, w), w the component's number of sets: large components are dealt out in parts
+    of about ``PART`` sets. Rows arrive sorted by component and part and stream through.
     """
 
     def run(batches):
@@ -180,7 +181,8 @@ def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    laid = nodes.join(sets, "node").repartition("c", F.pmod(F.xxhash64("node"), F.lit(64))).sortWithinPartitions("c", "node")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("w") / PART)).alias("part")
+    laid = nodes.select("node", "c", part).join(sets, "node").repartition("c", "part").sortWithinPartitions("c", "part")
     return laid.select("c", "node", "set").mapInArrow(run, "c long, ids binary, sizes binary, values binary")
 
 
@@ -235,8 +237,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = materialise(components(links), "labels")
 
     spread = materialise(_mixed(spread.select("key", "node"), labels), "spread")
-    nodes = materialise(_with_component(met, labels), "nodes")
-    weight = nodes.groupBy("c").agg(F.count("*").alias("w"))
+    named = _with_component(met, labels)
+    weight = named.groupBy("c").agg(F.count("*").alias("w"))
+    nodes = materialise(named.join(weight, "c").select("node", "c", "w"), "nodes")
+    weight = nodes.select("c", "w").distinct()
     there = spread.select("key", "c").distinct().join(weight, "c")
     x, y = (there.select("key", *(F.col(c).alias(f"{c}{i}") for c in "cw")) for i in "12")
     touch = x.join(y, "key").filter(F.struct("w1", "c1") < F.struct("w2", "c2")).select("key", F.col("c1").alias("c"), F.col("c2").alias("other"))
