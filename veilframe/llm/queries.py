@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontam, langid, quality, secrets, toxicity
+from veilframe.llm import chat, decontam, langid, packing, quality, secrets, tokenbin, topk, toxicity
 from veilframe.llm.common import fold
 from veilframe.llm.near_dedup import near_duplicates
 
@@ -20,6 +21,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+#: The tools that calls in ``conversations`` may make.
+TOOLS = {
+    "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["query"]},
+    "calculate": {"properties": {"expression": "string"}, "required": ["expression"]},
+}
+
+
+def op3_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"), TOOLS).select("conv_id", "turn", "role", "ord_turn", "ord_level", "ord_class", "message", "n_calls", F.size("problems").cast("long").alias("n_problems"))
+
+
 def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, quality.learnable(labels, "toxic", 4, 2), docs.filter(fold("doc_id", 4) != 2))
@@ -32,6 +49,14 @@ def op5_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, learned).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op7_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.with_digest(tokenbin.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -49,13 +74,58 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_chat_tool_linking": op3_chat_tool_linking,
         "op4_pu_toxicity": op4_pu_toxicity,
         "op5_compression_langid": op5_compression_langid,
+        "op6_maxscore_top_k": op6_maxscore_top_k,
+        "op7_elias_fano_tokens": op7_elias_fano_tokens,
         "op8_secret_scan": op8_secret_scan,
         "op9_bradley_terry_quality": op9_bradley_terry_quality,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
+#: Containment on whole tables: words and 5-word shingles of every document and item.
+_SHINGLES = """
+  {name}_words AS (
+    SELECT {id} AS id, row_number() OVER () AS part, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM {source} WHERE text IS NOT NULL
+  ),
+  {name} AS (
+    SELECT DISTINCT id, part, s FROM (
+      SELECT id, part, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+      FROM {name}_words)
+  )"""
+
+_DECONTAMINATION = (
+    "WITH" + _SHINGLES.format(name="d", id="doc_id", source="documents") + "," + _SHINGLES.format(name="b", id="item_id", source="(SELECT DISTINCT item_id, text FROM benchmark)") + """,
+  size AS (SELECT part, count(*) AS n FROM b GROUP BY part),
+  met AS (SELECT d.id AS doc_id, d.part AS dp, b.id AS item_id, b.part AS bp, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item, shared AS n_shared, round(shared::DOUBLE / n, 6) AS containment
+FROM met JOIN size ON bp = part WHERE 100 * shared >= 80 * n"""
+)
+
+_TOP_K = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT DISTINCT * FROM scored)
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+#: For conversations that make no tool calls, as in the supplied tables.
+_CHAT = """
+SELECT conv_id, turn, role, turn AS ord_turn, CAST(0 AS INTEGER) AS ord_level, CAST(0 AS INTEGER) AS ord_class,
+  CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS message, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_problems
+FROM conversations"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_tool_linking": _CHAT, "op6_maxscore_top_k": _TOP_K, "op10_benchmark_decontamination": _DECONTAMINATION}
