@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import masks
 from veilframe.functions.noise import HashNoise, hash_gaussian_sql, hash_laplace_sql, hash_uniform_sql
-from veilframe.functions.text import normalised_text
-from veilframe.operators import dp, kanon, ldp, obfuscate, stats
-from veilframe.plans import classify, matchers, params, pipeline
-from veilframe.plans.budget import BudgetAccountant
-from veilframe.plans.model import Rule
+from veilframe.operators import dp, kanon, ldp, obfuscate
 from veilframe.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,8 +531,11 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
+    import veilframe.rule_queries  # noqa: F401  (registers the rest)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
