@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.text import normalised_text
+from veilframe.functions.text import normalised, normalised_text
 from veilframe.plans import matchers, packs
 from veilframe.plans.budget import PrivacyError
 from veilframe.plans.matchers import Field
@@ -31,6 +31,12 @@ def _tag(level: str, category: str, source: str, confidence: float, rule: str) -
     return F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule_id"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once: a bound variable, where a repeated expression would be
+    evaluated at every mention."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 @dataclass(frozen=True)
 class Classifier:
     taxonomy: Taxonomy
@@ -42,10 +48,18 @@ class Classifier:
 
     # -- rules -------------------------------------------------------------------------------------
 
+    def bind(self, name: Column, value: Column) -> Column:
+        """A field with its normal forms, to be evaluated once however many rules read it."""
+        text = value.cast("string")
+        return F.struct(name.alias("name"), text.alias("value"), normalised(name).alias("plain_name"), normalised(text).alias("plain_value"))
+
     def rule_hits(self, rule: Rule, name: Column, value: Column) -> Column:
+        return self._hits(rule, self.bind(name, value))
+
+    def _hits(self, rule: Rule, bound: Column) -> Column:
         hits = []
         for m in rule.matchers:
-            f = Field(name, value, self.semantics, m.target)
+            f = Field.bound(bound, self.semantics, m.target)
             operator = matchers.get(m.operator) or matchers.intended(f, m.operator)
             hits.append(operator(f, m.params) if operator else F.lit(False))
         if not hits:
@@ -55,10 +69,10 @@ class Classifier:
             out = (out & h) if rule.match_logic.upper() == "AND" else (out | h)
         return out
 
-    def tags(self, name: Column, value: Column) -> Column:
+    def _tags(self, bound: Column) -> Column:
         """Array of the tags of all rules that hit, distinct, before suppression."""
         made = [
-            F.when(self.rule_hits(r, name, value), _tag(r.level or self.taxonomy.default_level, r.category or "unknown", LAYER_RULE, self.policy.rule_confidence, r.id))
+            F.when(self._hits(r, bound), _tag(r.level or self.taxonomy.default_level, r.category or "unknown", LAYER_RULE, self.policy.rule_confidence, r.id))
             for r in sorted((r for r in self.rules if r.enabled), key=lambda r: -r.priority)
         ]
         return F.array_distinct(F.array_compact(F.array(*made))) if made else F.array().cast(f"array<{TAG}>")
@@ -69,25 +83,24 @@ class Classifier:
             out = F.when(level == name, rank).otherwise(out)
         return out
 
-    def suppressible(self, rule_ids: list[str], d: Downgrade) -> dict[str, bool]:
-        """Which rules a downgrade may suppress: those no exemption glob matches in full."""
+    def suppressible(self, d: Downgrade) -> list[str]:
+        """The rules a downgrade may suppress: those that no exemption glob matches in full."""
         exempt = [re.compile(translate(p)) for p in d.exempt_rules]
-        return {r: not any(e.fullmatch(r) for e in exempt) for r in rule_ids}
+        return [r.id for r in self.rules if not any(e.fullmatch(r.id) for e in exempt)]
 
-    def suppressed(self, tags: Column, name: Column, value: Column) -> Column:
+    def _suppressed(self, tags: Column, bound: Column) -> Column:
         """The tags that active downgrades take away: ranked above the cap, or with intended semantics
         at or below it."""
-        plain_name, plain_value = Field(name, value).plain_name, F.coalesce(Field(name, value).plain_value, F.lit(""))
         gone = F.array().cast(f"array<{TAG}>")
         for d in self.downgrades:
             if not d.force_suppress:
                 continue
-            pattern = "|".join(re.escape(normalised_text(k)) for k in d.keywords)
-            hit = (plain_value.rlike(pattern) | F.coalesce(plain_name.rlike(pattern), F.lit(False))) if d.keywords else F.lit(True)
+            hit = F.lit(True)
+            if d.keywords:
+                pattern = "|".join(re.escape(normalised_text(k)) for k in d.keywords)
+                hit = F.coalesce(bound["plain_value"].rlike(pattern), F.lit(False)) | F.coalesce(bound["plain_name"].rlike(pattern), F.lit(False))
             cap = 2**31 - 1 if d.max_force_suppress_level is None else self.taxonomy.rank(d.max_force_suppress_level)
-            free = [r for r, ok in self.suppressible([r.id for r in self.rules], d).items() if ok]
-
-            gone = F.when(hit, F.array_union(gone, F.filter(tags, self._taken(cap, free)))).otherwise(gone)
+            gone = F.when(hit, F.array_union(gone, F.filter(tags, self._taken(cap, self.suppressible(d))))).otherwise(gone)
         return gone
 
     def _taken(self, cap: int, free: list[str]) -> Callable[[Column], Column]:
@@ -97,6 +110,10 @@ class Classifier:
 
         return taken
 
+    def kept_tags(self, name: Column, value: Column) -> Column:
+        """The tags that hit and are not suppressed."""
+        return _let(self.bind(name, value), lambda b: _let(self._tags(b), lambda t: F.array_except(t, self._suppressed(t, b))))
+
     # -- funnel ------------------------------------------------------------------------------------
 
     def max_level(self, tags: Column) -> Column:
@@ -111,18 +128,19 @@ class Classifier:
 
     def field(self, name: Column, value: Column) -> Column:
         """struct<tags, suppressed, final_level, confidence, engine_layer, conflict, needs_review, value>."""
-        tags = self.tags(name, value)
-        return self._result(tags, self.suppressed(tags, name, value), value)
 
-    def _result(self, tags: Column, gone: Column, value: Column) -> Column:
-        kept = F.array_except(tags, gone)
-        text = value.cast("string")
-        shown = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("..."))).otherwise(text)
-        sure = self.policy.rule_confidence
-        return F.struct(
-            kept.alias("tags"), gone.alias("suppressed"), self.max_level(kept).alias("final_level"), F.lit(sure).alias("confidence"), F.lit(LAYER_RULE).alias("engine_layer"),
-            self.conflict(kept).alias("conflict"), F.lit(sure < self.policy.review_below).alias("needs_review"), shown.alias("value"),
-        )
+        def result(b: Column, gone: Column, kept: Column) -> Column:
+            shown = F.when(F.length(b["value"]) > 100, F.concat(F.substring(b["value"], 1, 100), F.lit("..."))).otherwise(b["value"])
+            sure = self.policy.rule_confidence
+            return F.struct(
+                kept.alias("tags"), gone.alias("suppressed"), self.max_level(kept).alias("final_level"), F.lit(sure).alias("confidence"), F.lit(LAYER_RULE).alias("engine_layer"),
+                self.conflict(kept).alias("conflict"), F.lit(sure < self.policy.review_below).alias("needs_review"), shown.alias("value"),
+            )
+
+        def tagged(b: Column) -> Column:
+            return _let(self._tags(b), lambda t: _let(self._suppressed(t, b), lambda g: _let(F.array_except(t, g), lambda k: result(b, g, k))))
+
+        return _let(self.bind(name, value), tagged)
 
     def ner_tags(self, entities: Column, mapping: dict[str, str]) -> Column:
         """Tags of an array<struct<text,label,score>> of entities; a mapping gives "level:category" or a
@@ -169,15 +187,27 @@ class Classifier:
         needs_review). ``llm`` maps (record_id, field, value) of rows without tags to (record_id, field,
         level); it runs only if the policy enables it."""
         rows = self.long_form(df, record_id, columns)
-        tags = self.tags(F.col("field"), F.col("value"))
-        rows = rows.withColumn("_tags", tags).withColumn("_gone", self.suppressed(F.col("_tags"), F.col("field"), F.col("value")))
-        out = rows.select("record_id", "field", self._result(F.col("_tags"), F.col("_gone"), F.col("value")).alias("r")).select("record_id", "field", "r.*")
+        out = rows.select("record_id", "field", self.field(F.col("field"), F.col("value")).alias("r")).select("record_id", "field", "r.*")
         if llm is not None and self.policy.enable_llm and (self.policy.rule_confidence < self.policy.llm_below or self.semantics == "intended"):
-            asked = llm(rows.filter(F.size(F.array_except("_tags", "_gone")) == 0).select("record_id", "field", "value")).filter(F.col("level").isin(*self.taxonomy.levels))
+            open_rows = rows.filter(F.size(self.kept_tags(F.col("field"), F.col("value"))) == 0)
+            asked = llm(open_rows.select("record_id", "field", "value")).filter(F.col("level").isin(*self.taxonomy.levels))
             out = out.join(asked.select("record_id", "field", F.col("level").alias("_level")), ["record_id", "field"], "left")
             out = out.withColumn("final_level", F.coalesce("_level", "final_level")).withColumn("engine_layer", F.when(F.col("_level").isNotNull(), LAYER_LLM).otherwise(F.col("engine_layer"))).drop("_level")
         return out
 
+    def record_tags(self, columns: list[str]) -> Column:
+        """The kept tags of all fields of a row, in column order, by one compiled expression."""
+        pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
+        return F.flatten(F.transform(pairs, lambda p: self.kept_tags(p["field"], p["value"])))
+
+    def record_level(self, tags: Column, composite: str | None) -> Column:
+        own = self.max_level(tags)
+        if composite is None:
+            return own
+        if self.semantics == "intended":
+            return F.when(self.rank(own) > self.taxonomy.rank(composite), own).otherwise(F.lit(composite))
+        return F.lit(composite)
+
     def classify_records(self, df: DataFrame, record_id: str, columns: list[str] | None = None) -> DataFrame:
         """(record_id, final_level, confidence, needs_review, n_tags, composites): fields rolled up.
 
@@ -185,19 +215,10 @@ class Classifier:
         a row are combined in the row, without a shuffle.
         """
         columns = columns or [c for c in df.columns if c != record_id]
-        # Every field is a struct in one array, tagged by one compiled expression.
-        pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
-
-        def field_tags(p: Column) -> Column:
-            tags = self.tags(p["field"], p["value"])
-            return F.array_except(tags, self.suppressed(tags, p["field"], p["value"]))
-
         met = self.composite_tags(columns)
         level = self.composite_level(columns)
-        rows = df.select(F.col(record_id).alias("record_id"), F.flatten(F.transform(pairs, field_tags)).alias("tags"))
-        own = self.max_level(F.col("tags"))
-        if level is not None:
-            own = F.when(self.rank(own) > self.taxonomy.rank(level), own).otherwise(F.lit(level)) if self.semantics == "intended" else F.lit(level)
+        rows = df.select(F.col(record_id).alias("record_id"), self.record_tags(columns).alias("tags"))
+        own = self.record_level(F.col("tags"), level)
         return rows.select("record_id", own.alias("final_level"), F.lit(self.policy.rule_confidence).alias("confidence"), F.lit(False).alias("needs_review"), (F.size("tags") + len(met)).alias("n_tags"), F.array(*(F.lit(c.id) for c in met)).cast("array<string>").alias("composites"))
 
     def classify_table(self, df: DataFrame, record_id: str, columns: list[str] | None = None) -> DataFrame:

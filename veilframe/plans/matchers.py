@@ -26,6 +26,13 @@ class Field:
         self.name, self.value, self.semantics, self.target = name, value.cast("string"), semantics, target
         self.plain_name, self.plain_value = normalised(name), normalised(self.value)
 
+    @classmethod
+    def bound(cls, b: Column, semantics: str = "reference", target: str = "field_value") -> Field:
+        """From a struct<name, value, plain_name, plain_value> evaluated elsewhere."""
+        f = cls.__new__(cls)
+        f.name, f.value, f.plain_name, f.plain_value, f.semantics, f.target = b["name"], b["value"], b["plain_name"], b["plain_value"], semantics, target
+        return f
+
 
 Operator = Callable[[Field, dict], Column]
 REGISTRY: dict[str, Operator] = {}

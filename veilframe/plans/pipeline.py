@@ -22,17 +22,7 @@ def _masked(df: DataFrame, when=None):
 
 
 def _levels(df: DataFrame, c: Classifier, columns: list[str]):
-    pairs = F.array(*(F.struct(F.lit(x).alias("field"), F.col(f"`{x}`").cast("string").alias("value")) for x in columns))
-
-    def one(p):
-        tags = c.tags(p["field"], p["value"])
-        return F.array_except(tags, c.suppressed(tags, p["field"], p["value"]))
-
-    level = c.composite_level(columns)
-    own = c.max_level(F.flatten(F.transform(pairs, one)))
-    if level is None:
-        return own
-    return F.when(c.rank(own) > c.taxonomy.rank(level), own).otherwise(F.lit(level)) if c.semantics == "intended" else F.lit(level)
+    return c.record_level(c.record_tags(columns), c.composite_level(columns))
 
 
 def medical_process(df: DataFrame, columns: list[str] | None = None, semantics: str = "reference") -> DataFrame:
