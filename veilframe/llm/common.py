@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 import zlib
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, read from the session.
 
@@ -59,11 +63,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose text is about ``limit`` bytes; a longer row stands alone."""
+    """Row ranges of a batch of at most 1024 rows and about ``limit`` bytes of text; a longer row stands
+    alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     lo = size = 0
     for i, n in enumerate(sizes):
-        if i > lo and size + n > limit:
+        if i > lo and (size + n > limit or i - lo == 1024):
             yield lo, i
             lo, size = i, 0
         size += n
@@ -71,10 +76,19 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tupl
         yield lo, len(sizes)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """``mapInArrow`` with per-task set-up: ``make`` runs once a task and returns the batch function."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` with per-task set-up: ``make`` runs once a task and returns the batch function.
+
+    Batches are held to ``BATCH`` bytes in the session, so a batch of long texts stays small. Worker
+    processes are reused: a task that does not encode frees the token cache that an earlier one left.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str(BATCH)).rstrip("b")) > BATCH:
+        conf.set(key, str(BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes and (tokens := sys.modules.get("veilframe.llm.tokens")):
+            tokens.encoder.cache_clear()
         each = make()
         for b in batches:
             if b.num_rows:

@@ -12,8 +12,8 @@ No bucket is expanded into pairs. A bucket is sorted and streamed once to drop l
 most popular members (those that meet most others over all buckets, so the core of a family of copies)
 lead it. Because the result is the components, only sets not yet in one component need confirming:
 (1) every set against the leader it shares most buckets with, (2) sets of buckets that still span
-components against all leaders of those buckets, (3) where two components still meet in a bucket, the
-meeting members of the smaller against all sets of the larger, which lie packed in blocks. A family of
+components against all leaders of those buckets, (3) where components still meet in a bucket, the members
+outside the largest against all sets of the largest and against each other, both packed in blocks. A family of
 n near copies so costs about n confirmations and never emits its pairs, and no qualifying pair that
 meets is left out.
 
@@ -43,7 +43,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
     def make():
         def each(b: pa.RecordBatch):
-            for lo, hi in text_chunks(b, "text", 2 << 20):
+            for lo, hi in text_chunks(b, "text", 1 << 20):
                 part = b.slice(lo, hi - lo)
                 values, sizes = sh.shingle_sets(part.column("text").cast(pa.large_binary()).to_pylist(), k)
                 sig = sh.minhash(values, sizes, HASHES, BITS)
@@ -156,7 +156,7 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, ids, sizes, values): the sets of every component packed into blocks of about a megabyte.
+    """(c, ids, sizes, values): the sets of every component packed into blocks of about 256 kB.
 
     ``nodes``: (node, c, w), w the component's number of sets: large components are dealt out in parts
     of about ``PART`` sets. Rows arrive sorted by component and part and stream through.
@@ -171,7 +171,7 @@ def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
         for b in batches:
             for c, node, values in zip(b.column("c").to_pylist(), b.column("node").to_pylist(), b.column("set"), strict=True):
-                if ids and (c != comp or held > 1 << 20):
+                if ids and (c != comp or held > 1 << 18):
                     yield flush()
                     ids, packs, held = [], [], 0
                 comp = c
@@ -187,26 +187,34 @@ def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _confirm_blocks(meets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links between each ``meets`` (node, c) and the sets of component ``c``."""
+    """(a, b) links between the ``meets`` (node, c, w) and the ``nodes`` (node, c, w) of the same c: the
+    sets of both sides are packed, and blocks meet blocks."""
 
     def make():
+        def unpack(row: tuple):
+            ids, sizes, values = (np.frombuffer(x, np.int64) for x in row)
+            return ids, sizes, np.cumsum(sizes) - sizes, values
+
         def each(b: pa.RecordBatch):
             left, right = [], []
-            for node, own, ids, sizes, values in zip(*(b.column(c) for c in ("node", "set", "ids", "sizes", "values")), strict=True):
-                own = np.sort(own.values.to_numpy(zero_copy_only=False))
-                ids, sizes, values = (np.frombuffer(x.as_py(), np.int64) for x in (ids, sizes, values))
-                at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                shared = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
-                linked = ids[100 * shared >= percent * (len(own) + sizes - shared)]
-                left += [node.as_py()] * len(linked)
-                right += linked.tolist()
+            cols = [b.column(c).to_pylist() for c in ("ids", "sizes", "values", "ids2", "sizes2", "values2")]
+            for row in zip(*cols, strict=True):
+                (ids, sizes, starts, values), (ids2, sizes2, starts2, values2) = unpack(row[:3]), unpack(row[3:])
+                for node, n, at in zip(ids.tolist(), sizes.tolist(), starts.tolist(), strict=True):
+                    own = np.sort(values[at : at + n])
+                    found = np.minimum(np.searchsorted(own, values2), n - 1)
+                    shared = np.add.reduceat((own[found] == values2).astype(np.int64), starts2)
+                    linked = ids2[(100 * shared >= percent * (n + sizes2 - shared)) & (ids2 != node)]
+                    left += [node] * len(linked)
+                    right += linked.tolist()
             if left:
                 yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
         return each
 
     wanted = nodes.join(meets.select("c").distinct(), "c", "left_semi")
-    both = meets.join(sets, "node").join(_blocks(wanted, sets), "c").select("node", "set", "ids", "sizes", "values")
+    other = _blocks(wanted, sets).select("c", *(F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "values")))
+    both = _blocks(meets, sets).join(other, "c").select("ids", "sizes", "values", "ids2", "sizes2", "values2")
     return map_arrow(both, make, "a long, b long")
 
 
@@ -241,13 +249,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     weight = named.groupBy("c").agg(F.count("*").alias("w"))
     nodes = materialise(named.join(weight, "c").select("node", "c", "w"), "nodes")
     weight = nodes.select("c", "w").distinct()
-    there = spread.select("key", "c").distinct().join(weight, "c")
-    x, y = (there.select("key", *(F.col(c).alias(f"{c}{i}") for c in "cw")) for i in "12")
-    touch = x.join(y, "key").filter(F.struct("w1", "c1") < F.struct("w2", "c2")).select("key", F.col("c1").alias("c"), F.col("c2").alias("other"))
-    meets = materialise(spread.join(touch, ["key", "c"]).select("node", F.col("other").alias("c")).distinct(), "meets")
+    # Of a mixed bucket, everything outside its largest component is a satellite of that component. Two
+    # members from different components are then a satellite and a member, or two satellites, of one.
+    largest = spread.join(weight, "c").groupBy("key").agg(F.max(F.struct("w", "c")).alias("x")).select("key", F.col("x.c").alias("core"))
+    meets = spread.join(largest, "key").filter("c <> core").select("node", F.col("core").alias("c")).distinct()
+    meets = materialise(meets.join(meets.groupBy("c").agg(F.count("*").alias("w")), "c").select("node", "c", "w"), "meets")
+    nodes = nodes.unionByName(meets)
     links = links.unionByName(_confirm_blocks(meets, nodes, sets, percent))
     labels = materialise(components(links), "labels")
-    discard(members, leaders, sets, spread, nodes, meets)
+    discard(members, leaders, sets, spread, meets)
 
     named = reps.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     return (
