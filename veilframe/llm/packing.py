@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import map_arrow, materialise, text_chunks
-from veilframe.llm.tokens import ChunkEncoder
+from veilframe.llm.tokens import encoder
 
 END = 0
 
@@ -38,7 +38,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int, keeps_space: bool =
     same length."""
 
     def make():
-        coder, task, seen = ChunkEncoder(tokenizer, keeps_space), TaskContext.get().partitionId(), {}
+        coder, task, seen = encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), {}
 
         def each(b: pa.RecordBatch):
             for lo, hi in text_chunks(b, "text", 1 << 20):
@@ -56,7 +56,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int, keeps_space: bool =
 
         return each
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids binary, width int, task int, place long")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids binary, width int, task int, place long", encodes=True)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import map_arrow, materialise, new_path, text_chunks
-from veilframe.llm.tokens import ChunkEncoder
+from veilframe.llm.tokens import encoder
 
 END, SHARD, SAMPLE = 0, 4 << 20, 64
 _MAGIC = b"VFTOKEN1"
@@ -126,7 +126,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
     is the number of ids in earlier files."""
 
     def make():
-        coder, task = ChunkEncoder(tokenizer, keeps_space), TaskContext.get().partitionId()
+        coder, task = encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(path)
         end = coder.dtype.type(END).tobytes()
         state = {"file": 0, "docs": [], "ids": [], "size": 0}

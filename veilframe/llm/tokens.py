@@ -1,25 +1,30 @@
-"""Whole-text tokenisation with a public tokenizer, through a cache of space-delimited chunks.
+"""Whole-text tokenisation with a public tokenizer, through a cache of its pre-tokens.
 
-The tokenizers used here split at a single space between other characters before anything else, so a
-text's ids are its chunks' ids in order; and within a chunk they part letters from punctuation and from
-a line break. Chunks repeat: each is put together once from its parts and looked up after that, and new
-parts are encoded together in one call, divided by a mark that no part holds. Texts in which white
-space runs together are encoded whole, as are chunks of any other make.
+A byte-pair tokenizer first cuts a text by a fixed pattern and then encodes each cut on its own. Here
+the cutting is done with the same pattern, written out for a safe alphabet (ASCII, Latin letters with
+marks, space and line feed), and the ids of each cut are looked up; new cuts are encoded together in one
+call, divided by a mark that no cut holds. Texts with any other character, or with a special token's
+string, are encoded whole by the tokenizer. Results are the tokenizer's own either way.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
 import numpy as np
 
-CACHE = 500_000
-_LETTERS, _SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*", r"[!-&(-/:-@\[-`{-}]*"
-_CHUNK = re.compile(f"({_LETTERS})({_SIGNS})(?:\n({_LETTERS})({_SIGNS}))?")
+CACHE = 700_000
+_L = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_UNSAFE = re.compile(f"[^{_L}\\n -~]")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: With the leading space as part of a cut, and with white space dropped.
+_SPACED = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
+_DROPPED = re.compile(f"{_ENDINGS}|[{_L}]+|[0-9]|[^\\s{_L}0-9]+")
 
 
-class ChunkEncoder:
+class CutEncoder:
     """``encode_all(texts)`` gives each text's ids as little-endian unsigned integers of ``dtype``.
 
     ``keeps_space``: the tokenizer makes a leading space part of a token (byte-level); otherwise it
@@ -32,83 +37,50 @@ class ChunkEncoder:
 
         self.tokenizer, self.keeps_space = Tokenizer.from_file(path), keeps_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.space, self.mark = (" ", "\r") if keeps_space else ("", " ~ ")
+        self.cuts = (_SPACED if keeps_space else _DROPPED).findall
+        self.sign, self.mark = ("\r", "\r") if keeps_space else ("~", " ~ ")
         (self.mark_id,) = self._ids(self.mark)
-        self.parts: dict[str, bytes] = {"\n": self._ids("\n").tobytes()}
-        self.cache: dict[str, bytes | None] = {}
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _split(self, chunk: str) -> list[str] | None:
-        m = _CHUNK.fullmatch(chunk)
-        if not m:
-            return None
-        out = []
-        for lead, (letters, signs) in zip((self.space, ""), ((m[1], m[2]), (m[3], m[4])), strict=True):
-            if letters is None:
-                break
-            if not lead and out and self.keeps_space:
-                out.append("\n")
-            if letters:
-                out.append(lead + (letters if self.keeps_space else letters.lower()))
-                lead = ""
-            if signs:
-                out.append(lead + signs)
-        return out
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Chunks that can't be looked up on their own are marked None."""
-        split = {}
-        for c in chunks:
-            if not c or c[0].isspace() or c[-1].isspace():
-                self.cache[c] = None
-            elif parts := self._split(c):
-                split[c] = parts
-            else:
-                self.cache[c] = self._ids(self.space + c).tobytes()
-        wanted = set().union(*split.values())
-        new = wanted - self.parts.keys()
-        if len(self.parts) + len(new) > CACHE:
-            self.parts = {"\n": self.parts["\n"]}
-            new = wanted - self.parts.keys()
-        if new:
-            parts = sorted(new)
-            ids = self._ids(self.mark + self.mark.join(parts) + self.mark)
+    def _learn(self, cuts: set[str]) -> None:
+        alone = {c for c in cuts if c.isspace() or self.sign in c}
+        for c in alone:
+            self.cache[c] = self._ids(c).tobytes()
+        together = list(cuts - alone)
+        for lo in range(0, len(together), 50_000):
+            some = together[lo : lo + 50_000]
+            ids = self._ids(self.mark + self.mark.join(some) + self.mark)
             at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(parts) + 1:
-                raise ValueError("the tokenizer does not keep the parts of a text apart")
+            if len(at) != len(some) + 1:
+                raise ValueError("the tokenizer does not cut texts as expected")
             size, raw = self.dtype.itemsize, ids.tobytes()
-            for p, lo, hi in zip(parts, ((at[:-1] + 1) * size).tolist(), (at[1:] * size).tolist(), strict=True):
-                self.parts[p] = raw[lo:hi]
-        look = self.parts.__getitem__
-        for c, parts in split.items():
-            self.cache[c] = b"".join(map(look, parts))
+            for c, i, j in zip(some, ((at[:-1] + 1) * size).tolist(), (at[1:] * size).tolist(), strict=True):
+                self.cache[c] = raw[i:j]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        first, rest = [], []
+        cut = []
         for t in texts:
-            parts = t.split(" ") if t else [""]
-            first.append(parts[0])
-            rest.append(parts[1:] if self.keeps_space else [p for p in parts if p])
-        seen = set().union(*rest)
-        new = seen - self.cache.keys()
+            if not t:
+                cut.append([])
+            elif _UNSAFE.search(t) or "<|" in t and self.special.search(t):
+                cut.append(None)
+            else:
+                cut.append(self.cuts(t if self.keeps_space else t.lower()))
+        new = set().union(*filter(None, cut)).difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = seen
+            new = set().union(*filter(None, cut))
         if new:
             self._learn(new)
-        look, out = self.cache.__getitem__, []
-        for text, head, chunks in zip(texts, first, rest, strict=True):
-            try:
-                if not self.keeps_space:
-                    out.append(b"".join(map(look, chunks)))
-                elif not head:  # a leading space belongs to the next chunk
-                    out.append(b"".join(map(look, chunks)))
-                elif head[-1].isspace():
-                    raise TypeError
-                else:
-                    out.append(self._ids(head).tobytes() + b"".join(map(look, chunks)))
-            except TypeError:  # a chunk marked None
-                out.append(self._ids(text).tobytes())
-        return out
+        look = self.cache.__getitem__
+        return [self._ids(t).tobytes() if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+@functools.cache
+def encoder(path: str, keeps_space: bool) -> CutEncoder:
+    """The process's encoder: worker processes are reused, so later tasks find its cache filled."""
+    return CutEncoder(path, keeps_space)
