@@ -1,0 +1,214 @@
+import base64
+import json
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tests.llm import brute
+from tests.test_queries import TABLES, rows
+from veilframe.llm import chat, decontam, queries, secrets, topk
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SMALL).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+# -- top k -------------------------------------------------------------------------------------------
+
+
+def best(vectors, k, scale=256):
+    ints = {}
+    for i, v in vectors:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            ints.setdefault(i, []).append([int(np.floor(scale * x)) for x in v])
+    out = set()
+    for q in ints:
+        if q % 50 == 0:
+            scored = {(-sum(a * b for a, b in zip(x, y, strict=True)), i) for i in ints if i != q for x in ints[q] for y in ints[i] if len(x) == len(y)}
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_k(spark, seed, monkeypatch):
+    """Small shards and coarse values: many ties, several shards and blocks."""
+    monkeypatch.setattr(topk, "SHARD", 64)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(seed)
+    vectors = [(i, (rng.integers(-3, 4, 8) / 4).tolist()) for i in range(300)]
+    vectors += [(400 + i, vectors[7][1]) for i in range(40)] + [(900, None), (901, [1.0, None]), (950, [float("nan")] * 8), (951, []), (1000, [float("inf")] * 8), (None, [1.0] * 8), vectors[3], (1050, [2.0, 3.0]), (1051, [1e6, -1e6])]
+    df = spark.createDataFrame([(*v, "clash") for v in vectors], "vec_id long, embedding array<double>, score string")
+    assert set(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == best(vectors, 5)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_shard_is_exact_where_it_prunes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(-256, 257, (20_000, 16))
+    data[:50] *= 4
+    shard, q = topk.Shard(np.arange(20_000), np.ascontiguousarray(data.T)), rng.integers(-256, 257, 16)
+    ids, scores = shard.search(q, 3, 5)
+    want = sorted((-int(data[i] @ q), i) for i in range(20_000) if i != 3)[:5]
+    assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+
+
+# -- decontamination ---------------------------------------------------------------------------------
+
+
+def test_containment(spark, odd_docs, no_docs):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 80)))) for i in range(40)] + [(50, None), (51, ""), (52, "short item"), (53, "w1"), (1, None)]
+    items.append(items[0])
+    docs = []
+    for i in range(120):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 400))]
+        if i % 3 == 0:
+            t = brute.words(items[i % 40][1])
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = "changed"
+            at = rng.randint(0, len(w))
+            w[at:at] = t
+        docs.append((i, " ".join(w)))
+    docs += [(500, "Short ITEM"), (501, "a short item here"), (502, None), docs[3]]
+    want = []
+    for i, t in docs:
+        d = brute.shingles(t, 5)
+        for j, x in {(a, b) for a, b in items}:
+            s = brute.shingles(x, 5)
+            if s and 100 * len(s & d) >= 80 * len(s):
+                want.append((i, j, len(s), len(s & d)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r)[:4] for r in decontam.contained_items(df, it).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    left = decontam.decontaminate(df, it)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, _ in docs if i not in {w[0] for w in want})
+    assert decontam.contained_items(odd_docs, it).count() == 0 and decontam.decontaminate(odd_docs, it).count() == odd_docs.count()
+    assert decontam.contained_items(df, it.limit(0)).count() == 0 and decontam.contained_items(no_docs, it).count() == 0
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 60)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(20)]
+    docs = spark.createDataFrame([(i, "x y " + t + " z") for i, t in items], "doc_id long, text string")
+    assert sorted((r[0], r[1]) for r in decontam.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(i, i) for i in range(20)]
+
+
+# -- secrets -----------------------------------------------------------------------------------------
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+PKCS1 = der(0x30, der(0x02, b"\0") + b"".join(der(0x02, bytes([i + 1]) * 40) for i in range(8)))
+PKCS8 = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2b\x65\x70")) + der(0x04, der(0x04, b"k" * 32)))
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 136))
+
+
+def b64(x, url=False):
+    return (base64.urlsafe_b64encode(x).rstrip(b"=") if url else base64.b64encode(x)).decode()
+
+
+def kinds(text):
+    return [k for k, _, _ in secrets.find_secrets(text)]
+
+
+def test_structures():
+    token = ".".join((b64(json.dumps({"alg": "HS256"}).encode(), True), b64(b'{"sub":"x"}', True), b64(b"s" * 32, True)))
+    assert kinds(f"see {token}.") == ["jwt"] or kinds(f"see {token} .") == ["jwt"]
+    assert kinds(b64(b'{"typ":"x"}', True) + "." + b64(b'{"sub":"x"}', True) + ".sig") == []
+    for body in (PKCS1, PKCS8):
+        assert kinds(f"key {b64(body)} end") == ["der"]
+        assert "der" in kinds(f"key {body.hex()} end")
+        assert kinds(f"key {b64(body[:-3])} end") == []
+        assert kinds(f"-----BEGIN PRIVATE KEY-----\n{b64(body)[:40]}\n{b64(body)[40:]}\n-----END PRIVATE KEY-----")[0] == "pem"
+    assert kinds(f"key {b64(OPENSSH)} end") == ["openssh"]
+    assert kinds(f"key {b64(OPENSSH[:-9])} end") == []
+    assert kinds("-----BEGIN PRIVATE KEY-----\nnot a key\n-----END PRIVATE KEY-----") == []
+    assert not secrets.is_der_key(b"") and not secrets.is_der_key(b"0\x84\xff\xff\xff\xff") and not secrets.is_openssh_key(None)
+
+
+def test_base_patterns():
+    t = "token=token=abcdefgh api_key: 'short' API-KEY=x apikey = \"A1b2C3\" paſſword=abcdefgh AKIA1234 AKIA" + "A" * 16 + " " + "ab" * 12 + " " + "ab" * 11 + "G"
+    found = secrets.find_secrets(t)
+    assert [t[s:e] for k, s, e in found if k == "assign"] == ["token=token=abcdefgh", 'apikey = "A1b2C3']
+    assert [t[s:e] for k, s, e in found if k == "access"] == ["AKIA" + "A" * 16]
+    assert [t[s:e] for k, s, e in found if k == "hex"] == ["ab" * 12]
+    # A short value ends its match; what follows it starts anew.
+    assert kinds("secret=token: abcdefgh") == []
+    assert secrets.find_secrets("é token=abcdef") == [("assign", 2, 14)]
+
+
+def test_scan(odd_docs, no_docs):
+    got = secrets.digest(secrets.scan_secrets(odd_docs)).collect()
+    assert len(got) == 16 and {r["doc_id"]: r["n_assign"] for r in got}[10] == 1
+    empty = next(r for r in got if r["doc_id"] == 0)
+    assert empty["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855" and empty["spans"] == ""
+    red = secrets.redact(odd_docs)
+    assert red.columns == odd_docs.columns and red.count() == 16
+    row = red.filter("doc_id = 10").first()
+    assert row["text"] == "[ASSIGN]" and row["n_chars"] == 8
+    assert secrets.scan_secrets(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+    assert secrets.redact_text(f"a token={'ab' * 12} b") == "a [ASSIGN] b"
+
+
+# -- chat --------------------------------------------------------------------------------------------
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def call(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
+
+
+def result(i, content):
+    return json.dumps({"tool_call_id": i, "content": content})
+
+
+def test_chat(spark):
+    rows_ = [
+        (1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", call(("b", "add", {"y": {"$ref": "a"}, "x": 1}), ("a", "get", '{"k": "v",  "a": 1.50}'))),
+        (1, 2, "tool", result("a", {"z": 1, "b": [1, 2]})), (1, 0, "tool", result("b", "ok")), (1, 5, "tool", result("zz", "ok")),
+        (2, 0, "assistant", call(("p", "get", {"$ref": "q"}), ("q", "get", {"k": {"$ref": "p"}}))), (2, 1, "assistant", call(("s", "nope", "not json"))), (3, 0, "assistant", None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows_], SCHEMA + ", level string")
+    schemas = {"add": {"properties": {"x": "string", "y": "object"}, "required": ["x", "q"]}, "get": {"properties": {"k": "string"}}}
+    got = chat.format_chat(df, schemas).orderBy("conv_id", "ord_turn", "ord_level", "ord_class", "turn").collect()
+    assert len(got) == len(rows_)
+    by = {(r["conv_id"], r["turn"], r["role"]): r for r in got}
+    asked = by[1, 1, "assistant"]
+    assert json.loads(asked["message"])["tool_calls"] == [{"arguments": {"a": 1.5, "k": "v"}, "id": "a", "name": "get"}, {"arguments": {"x": 1, "y": {"$ref": "a"}}, "id": "b", "name": "add"}]
+    assert asked["message"].startswith('{"role":"assistant","tool_calls":[{"arguments":{"a":1.5,"k":"v"},"id":"a"')
+    assert set(asked["problems"]) == {"a a: unknown", "b x: not string", "b q: missing"}
+    assert by[1, 2, "tool"]["message"] == '{"content":{"b":[1,2],"z":1},"role":"tool","tool_call_id":"a"}'
+    # The result that came before its call follows it.
+    assert by[1, 0, "tool"]["ord_turn"] == 1 and by[1, 0, "tool"]["ord_class"] == 1
+    assert by[1, 5, "tool"]["problems"] == ["zz no call"]
+    assert sum("cyclic" in p for p in by[2, 0, "assistant"]["problems"]) == 2
+    assert set(by[2, 1, "assistant"]["problems"]) == {"s arguments: not an object", "s no result"}
+    assert by[1, 0, "user"]["message"] == '{"content":"say \\"hi\\"\\n","role":"user"}'
+    assert chat.format_chat(df.limit(0), schemas).count() == 0
+
+
+def test_levels(spark):
+    rows_ = [(1, i, "assistant", call((f"c{i}", "t", {"x": {"$ref": f"c{i + 1}"}} if i < 5 else {}))) for i in range(6)]
+    df = spark.createDataFrame(rows_, SCHEMA)
+    assert {r["id"]: r["level"] for r in chat.call_levels(chat.tool_calls(df)).collect()} == {f"c{i}": 5 - i for i in range(6)}
+
+
+def test_chat_is_native(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", call(("a", "t", {}))), (1, 2, "tool", result("a", "x"))], SCHEMA)
+    plan = chat.format_chat(df, {"t": {}})._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

@@ -9,8 +9,9 @@ is plain content.
   its call ids. Nothing is gathered per conversation: the result is one row a message.
 * Order: a call may name calls it depends on by ``{"$ref": "<call id>"}`` in its arguments. A call's
   level is 0 without dependencies, else one above its dependencies'; levels are relaxed by joins until
-  nothing moves. Messages sort by (ord_turn, ord_level, ord_class, turn): a result never precedes its
-  call, nor a call what it depends on. Calls on a cycle keep level null and sort last in their turn.
+  nothing moves. Messages sort by (ord_turn, ord_level, ord_class, turn), the calls of a message by
+  level: a result never precedes its call, nor a call one of its message that it depends on. Calls on a
+  cycle keep level null and sort last in their turn.
 * Validation: arguments are checked against the tool's schema (required names, types, unknown names).
 * Serialising: canonical JSON, keys sorted at every depth, no white space, numbers normalised.
 

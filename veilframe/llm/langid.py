@@ -72,8 +72,8 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY) -
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row a language
     order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
-    # min_by of a bounded heap is not at hand: pre-filter by a hash bound that leaves a few times the
-    # wanted documents in the largest language, per language, then rank those only.
+    # A bound on the hash, set for each language to leave about eight times the wanted documents, keeps
+    # the ranking small whatever the table's size.
     bound = {k: min(1.0, 8 * documents / n) for k, n in counts.items()}
     share = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]) if bound else F.lit(None)
     pick = known.select("doc_id", "lang", order.alias("o"))
