@@ -78,6 +78,12 @@ class EliasFano:
             low = chunk >> (first & 7) & ((1 << self.low_bits) - 1)
         return self.base + (high << self.low_bits | low)
 
+    def values(self) -> np.ndarray:
+        """All values at once, for a sequential read."""
+        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+        return self.base + (high << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
     def to_bytes(self) -> bytes:
         return _SEQ.pack(self.n, self.base & (1 << 64) - 1, self.low_bits, len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
@@ -188,10 +194,15 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
             for name, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with store.open_input_file(name) as source:
                     f = TokenFile(source)
+                    docs = [None] * f.nulls + f.docs.values().tolist()
+                    bounds = np.append(0, f.ends.values())
+                    source.seek(f.body)
                     for lo in range(0, f.documents, 256):
-                        span = range(lo, min(lo + 256, f.documents))
-                        cols = [pa.array([f.doc_id(i) for i in span], pa.int64()), pa.array([base + f.bounds(i)[0] for i in span], pa.int64()), pa.array([f.ids(i).astype("<u4").tobytes() for i in span], pa.binary())]
-                        yield pa.record_batch(cols, ["doc_id", "start", "ids"])
+                        at = bounds[lo : lo + 257]
+                        ids = np.frombuffer(source.read(int(at[-1] - at[0]) * f.width), f"<u{f.width}").astype("<u4")
+                        cut = pa.array((4 * (at - at[0])).astype(np.int32))
+                        blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, cut.buffers()[1], pa.py_buffer(ids)])
+                        yield pa.record_batch([pa.array(docs[lo : lo + 256], pa.int64()), pa.array(base + at[:-1]), blobs], ["doc_id", "start", "ids"])
 
         return each
 
