@@ -37,15 +37,16 @@ def noised(windows: DataFrame, epsilon: float, sensitivity: float, noise: Secure
     )
 
 
-def release_stream(windows: DataFrame, accountant: BudgetAccountant, epsilon: float, sensitivity: float, sink: Callable[[DataFrame, int], None], keys: tuple[str, ...] = (), noise: SecureNoise | None = None, checkpoint: str | None = None) -> StreamingQuery:
-    """Start the query: for each micro-batch, spend epsilon once if any window closed (the windows of a
-    batch are disjoint, so they compose in parallel), draw, write, hand the result to ``sink``."""
+def release_stream(windows: DataFrame, accountant: BudgetAccountant, epsilon: float, sensitivity: float, sink: Callable[[DataFrame, int], None], keys: tuple[str, ...] = (), noise: SecureNoise | None = None, checkpoint: str | None = None, overlap: int = 1) -> StreamingQuery:
+    """Start the query: for each micro-batch with closed windows, spend, draw, write, hand the result to
+    ``sink``. Tumbling windows are disjoint and compose in parallel, so a batch costs epsilon once; with
+    sliding windows an event is in ``overlap`` (window / slide) of them and costs as many times."""
 
     def each(batch: DataFrame, number: int) -> None:
         closed = persisted(batch, "closed")
         if closed.isEmpty():
             return
-        accountant.spend(epsilon)
+        accountant.spend(epsilon * overlap)
         sink(persisted(noised(closed, epsilon, sensitivity, noise, keys), "release"), number)
 
     where = checkpoint or f"{shared_dir(windows.sparkSession)}/veilframe/stream-{accountant.namespace}"
