@@ -126,6 +126,58 @@ SELECT conv_id, turn, role, turn AS ord_turn, CAST(0 AS INTEGER) AS ord_level, C
   CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS message, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_problems
 FROM conversations"""
 
+#: Links by an inverted index over all shingles, components by repeated minima. Sets of the same text are
+#: counted once.
+_NEAR = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words
+), reps AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, hash(g) AS g FROM (SELECT id, n, unnest(s) AS g FROM reps)),
+links AS (
+  SELECT a.id AS x, b.id AS y FROM items a JOIN items b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT id, id FROM reps UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x),
+label AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, CASE WHEN len(t.s) = 0 THEN t.doc_id ELSE component_id END AS component_id,
+  t.doc_id = CASE WHEN len(t.s) = 0 THEN t.doc_id ELSE component_id END AS kept
+FROM sets t LEFT JOIN reps USING (s) LEFT JOIN label USING (id)"""
+
+_ASSIGN = """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?"""
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+
+
+def _spans(kind: str, at: int, pattern: str, keep: str) -> str:
+    """Matches of a pattern with their places: what precedes a match is what the split leaves and the
+    matches before it."""
+    return f"""SELECT r, '{kind}' AS kind, {at} AS k, s, s + length(m) AS e FROM (
+    SELECT r, m, sum(length(p) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS s FROM (
+      SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p
+      FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM d))) WHERE {keep}"""
+
+
+#: The base spans. No text of the supplied tables holds a structure that confirms, so they are all spans.
+_SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  {_spans("assign", 0, _ASSIGN + _VALUE, f"length(regexp_extract(m, '{_ASSIGN}({_VALUE})', 1)) >= 6")}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]+", "length(m) >= 24")}
+), told AS (
+  SELECT r, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS b, count(*) FILTER (WHERE k = 2) AS c,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM found GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_tool_linking": _CHAT, "op6_maxscore_top_k": _TOP_K, "op10_benchmark_decontamination": _DECONTAMINATION}
+    return {
+        "op1_minhash_near_dedup": _NEAR,
+        "op3_chat_tool_linking": _CHAT,
+        "op6_maxscore_top_k": _TOP_K,
+        "op8_secret_scan": _SECRETS,
+        "op10_benchmark_decontamination": _DECONTAMINATION,
+    }
