@@ -143,12 +143,12 @@ def mondrian(rows, qi, k, depth):
     return {frozenset(r["id"] for r in p) for p in split(rows, depth)}
 
 
-@pytest.mark.parametrize("n", [11, 97])
-def test_mondrian_is_the_recursion(spark, n):
+@pytest.mark.parametrize(("n", "local"), [(11, 0), (97, 0), (97, 40), (300, 50_000)])
+def test_mondrian_is_the_recursion(spark, n, local):
     rng = random.Random(n)
     rows = [{"id": i, "a": rng.choice([None, *range(50)]), "b": rng.random() * 10, "s": rng.choice(["x", "y", "z", None])} for i in range(n)]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, a int, b double, s string")
-    parts = kanon.mondrian_partitions(df, ["a", "b", "s"], 3, 6, order="id").groupBy("_pid").agg(F.collect_list("id").alias("ids")).collect()
+    parts = kanon.mondrian_partitions(df, ["a", "b", "s"], 3, 6, "id", local).groupBy("_pid").agg(F.collect_list("id").alias("ids")).collect()
     assert {frozenset(p["ids"]) for p in parts} == mondrian(rows, ["a", "b", "s"], 3, 6)
     out = kanon.k_anonymize_table(df, ["a", "b", "s"], 3, 6, order="id", keep_partition=True)
     assert out.count() == n

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,26 +73,34 @@ def anonymize_record(df: DataFrame, quasi_identifiers: list[str], hierarchies: d
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None) -> DataFrame:
+LOCAL_ROWS = 50_000
+
+
+def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """``df`` with ``_pid``, the partition each row falls in.
 
     Level-synchronous: every level splits all partitions of 2k rows or more at their middle row, along
     the quasi-identifier of the widest span (first if several). Spans, sizes and the choice are one
     aggregation; the split is a rank within a range of the partition's value order, so even the first
-    levels, where one partition is the table, sort in many tasks. ``order`` breaks ties.
+    levels, where one partition is the table, sort in many tasks. Once no partition holds more than
+    ``local_rows``, the remaining levels of each run in one task over its partition. ``order`` breaks ties.
     """
     numeric = {q: isinstance(df.schema[q].dataType, _NUMBERS) for q in quasi_identifiers}
     keys = {q: F.coalesce(F.col(q).cast("double"), F.lit(float("-inf"))) if numeric[q] else F.coalesce(F.col(q).cast("string"), F.lit("")) for q in quasi_identifiers}
     tie = F.col(order) if order else F.xxhash64(*df.columns)
     current = persisted(df.select("*", F.lit(1).cast("long").alias("_pid"), tie.alias("_pos"), F.lit(False).alias("_leaf")), "mondrian")
-    for _ in range(max_depth):
+    for level in range(max_depth):
         spans = [(F.coalesce(F.max(F.col(q).cast("double")) - F.min(F.col(q).cast("double")), F.lit(0.0)) if numeric[q] else F.greatest(F.count_distinct(q) - 1, F.lit(0)).cast("double")).alias(f"_s{i}") for i, q in enumerate(quasi_identifiers)]
         stats = current.filter(~F.col("_leaf")).groupBy("_pid").agg(F.count("*").alias("_n"), *spans).filter(F.col("_n") >= 2 * k)
         choice, widest = F.lit(0), F.col("_s0")
         for i in range(1, len(quasi_identifiers)):
             choice, widest = F.when(F.col(f"_s{i}") > widest, i).otherwise(choice), F.greatest(widest, F.col(f"_s{i}"))
         stats = persisted(stats.select("_pid", "_n", choice.alias("_dim")), "spans")
-        if stats.isEmpty():
+        largest = stats.agg(F.max("_n")).first()[0]
+        if largest is None:
+            break
+        if largest <= local_rows:
+            current = current.groupBy("_pid").applyInArrow(_local_levels(quasi_identifiers, numeric, k, max_depth - level), current.schema)
             break
         joined = current.join(stats, "_pid", "left")
         number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -106,6 +116,40 @@ def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max
     return current.select(*df.columns, "_pid", "_pos")
 
 
+def _local_levels(quasi_identifiers: list[str], numeric: dict[str, bool], k: int, depth: int):
+    """The levels from here on for one partition: the same splits, on arrays."""
+
+    def run(part: pa.Table) -> pa.Table:
+        keys, present = [], []
+        for q in quasi_identifiers:
+            c = part.column(q).combine_chunks()
+            present.append(np.asarray(c.is_valid()))
+            if numeric[q]:
+                values = c.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            else:
+                values = np.unique([str(v) if v is not None else "" for v in c.to_pylist()], return_inverse=True)[1] if len(c) else np.zeros(0)
+            keys.append(values)
+        place = np.unique(np.array(part.column("_pos").to_pylist()), return_inverse=True)[1]
+        pid = np.full(len(part), part.column("_pid")[0].as_py(), np.int64)
+        todo = [(np.arange(len(part)), int(pid[0]), depth)] if len(part) else []
+        while todo:
+            rows, own, left = todo.pop()
+            if len(rows) < 2 * k or left <= 0:
+                pid[rows] = own
+                continue
+            spans = []
+            for q, values, there in zip(quasi_identifiers, keys, present, strict=True):
+                v = values[rows][there[rows]]
+                spans.append(0.0 if not len(v) else float(v.max() - v.min()) if numeric[q] else float(len(np.unique(v)) - 1))
+            rows = rows[np.lexsort((place[rows], keys[int(np.argmax(spans))][rows]))]
+            half = len(rows) // 2
+            todo += [(rows[:half], 2 * own, left - 1), (rows[half:], 2 * own + 1, left - 1)]
+        at = part.schema.get_field_index("_pid")
+        return part.set_column(at, part.schema.field(at), pa.array(pid))
+
+    return run
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     """``df`` with ``_rank``, the 1-based rank in its partition by the chosen dimension and tie-breaker.
 

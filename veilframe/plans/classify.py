@@ -97,10 +97,12 @@ class Classifier:
                 continue
             hit = F.lit(True)
             if d.keywords:
-                pattern = "|".join(re.escape(normalised_text(k)) for k in d.keywords)
-                hit = F.coalesce(bound["plain_value"].rlike(pattern), F.lit(False)) | F.coalesce(bound["plain_name"].rlike(pattern), F.lit(False))
+                words = [normalised_text(k) for k in d.keywords]
+                hit = matchers.contains_any(bound["plain_value"], words) | matchers.contains_any(bound["plain_name"], words)
             cap = 2**31 - 1 if d.max_force_suppress_level is None else self.taxonomy.rank(d.max_force_suppress_level)
-            gone = F.when(hit, F.array_union(gone, F.filter(tags, self._taken(cap, self.suppressible(d))))).otherwise(gone)
+            # Without a tag that it could take, a downgrade's keywords are not even looked for.
+            takes = self._taken(cap, self.suppressible(d))
+            gone = F.when(F.exists(tags, takes) & hit, F.array_union(gone, F.filter(tags, takes))).otherwise(gone)
         return gone
 
     def _taken(self, cap: int, free: list[str]) -> Callable[[Column], Column]:
