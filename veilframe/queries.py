@@ -435,12 +435,35 @@ def _(s, d):
 _QI = ["c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
-@query("kanon_table")
+def mondrian_sql(strings: bool, k: int = 5, depth: int = 10) -> str:
+    """The level-by-level splits unrolled; row order within equal values is by key."""
+    text = lambda c: f"coalesce({c}::VARCHAR, '')"
+    cols = [f"{text(c) if strings else c} AS {c}" for c in _QI]
+    steps = [f"l0 AS (SELECT c_custkey, c_name, {', '.join(cols)}, 1::BIGINT AS pid FROM customer)"]
+    span = lambda c: f"count(DISTINCT {c}) - 1" if strings or c == "c_mktsegment" else f"(max({c}) - min({c}))::DOUBLE"
+    for i in range(depth):
+        steps.append(f"s{i} AS (SELECT pid, count(*) AS n, {', '.join(f'{span(c)} AS w{j}' for j, c in enumerate(_QI))} FROM l{i} GROUP BY pid)")
+        dim = "CASE WHEN w0 >= w1 AND w0 >= w2 THEN 0 WHEN w1 >= w2 THEN 1 ELSE 2 END"
+        by = ", ".join(f"CASE WHEN ({dim}) = {j} THEN {c} END" for j, c in enumerate(_QI))
+        ranked = f"SELECT l{i}.*, n, row_number() OVER (PARTITION BY pid ORDER BY {by}, c_custkey) AS rn FROM l{i} JOIN s{i} USING (pid)"
+        steps.append(f"l{i + 1} AS (SELECT c_custkey, c_name, {', '.join(_QI)}, CASE WHEN n >= {2 * k} THEN 2 * pid + (rn > n // 2)::BIGINT ELSE pid END AS pid FROM ({ranked}))")
+
+    def leaf(c: str) -> str:
+        if strings or c == "c_mktsegment":
+            return f"CASE WHEN count(DISTINCT {c}) OVER w = 1 THEN {c} ELSE '{{' || array_to_string(list_sort(list_distinct(list({c}) OVER w)), ',') || '}}' END"
+        lo, hi = (f"({f}({c}) OVER w)::DOUBLE" for f in ("min", "max"))
+        whole = lambda v: f"CASE WHEN {lo} = floor({lo}) AND {hi} = floor({hi}) THEN {v}::BIGINT::VARCHAR ELSE {v}::VARCHAR END"
+        return f"CASE WHEN {lo} = {hi} THEN {lo}::VARCHAR ELSE '[' || {whole(lo)} || '-' || {whole(hi)} || ']' END"
+
+    return f"WITH {', '.join(steps)} SELECT c_custkey, c_name, {', '.join(f'{leaf(c)} AS {c}' for c in _QI)} FROM l{depth} WINDOW w AS (PARTITION BY pid)"
+
+
+@query("kanon_table", mondrian_sql(False))
 def _(s, d):
     return kanon.k_anonymize_table(t(s, d, "customer"), _QI, 5, 10, order="c_custkey")
 
 
-@query("kanon_table_strings")
+@query("kanon_table_strings", mondrian_sql(True))
 def _(s, d):
     return kanon.k_anonymize_strings(t(s, d, "customer"), _QI, 5, 10, order="c_custkey")
 
