@@ -184,12 +184,20 @@ class Classifier:
         pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))
         return df.select(F.col(record_id).alias("record_id"), F.inline(pairs))
 
-    def classify_fields(self, df: DataFrame, record_id: str, columns: list[str] | None = None, llm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    def classify_fields(self, df: DataFrame, record_id: str, columns: list[str] | None = None, llm: Callable[[DataFrame], DataFrame] | None = None, ner: Callable[[DataFrame], DataFrame] | None = None, ner_mapping: dict[str, str] | None = None) -> DataFrame:
         """(record_id, field, value, tags, suppressed, final_level, confidence, engine_layer, conflict,
-        needs_review). ``llm`` maps (record_id, field, value) of rows without tags to (record_id, field,
-        level); it runs only if the policy enables it."""
+        needs_review). Layers that the policy enables see (record_id, field, value) of the rows that the
+        rules leave open: ``ner``, those without tags or in conflict, and returns (record_id, field,
+        entities array<struct<text, label, score>>); ``llm``, those without tags, and returns (record_id,
+        field, level)."""
         rows = self.long_form(df, record_id, columns)
         out = rows.select("record_id", "field", self.field(F.col("field"), F.col("value")).alias("r")).select("record_id", "field", "r.*")
+        if ner is not None and self.policy.enable_ner:
+            asked = rows.join(out.filter((F.size("tags") == 0) | F.col("conflict")).select("record_id", "field"), ["record_id", "field"], "left_semi")
+            found = ner(asked).select("record_id", "field", self.ner_tags(F.col("entities"), ner_mapping or {}).alias("_more")).filter(F.size("_more") > 0)
+            out = out.join(found, ["record_id", "field"], "left").withColumn("_seen", F.col("_more").isNotNull())
+            out = out.withColumn("tags", F.when(F.col("_seen"), F.concat("tags", F.col("_more").cast(f"array<{TAG}>"))).otherwise(F.col("tags")))
+            out = out.withColumn("final_level", F.when(F.col("_seen"), self.max_level(F.col("tags"))).otherwise(F.col("final_level"))).withColumn("engine_layer", F.when(F.col("_seen"), LAYER_NER).otherwise(F.col("engine_layer"))).drop("_more", "_seen")
         if llm is not None and self.policy.enable_llm and (self.policy.rule_confidence < self.policy.llm_below or self.semantics == "intended"):
             open_rows = rows.filter(F.size(self.kept_tags(F.col("field"), F.col("value"))) == 0)
             asked = llm(open_rows.select("record_id", "field", "value")).filter(F.col("level").isin(*self.taxonomy.levels))
@@ -274,6 +282,13 @@ def _taxonomy_for(profile: Profile) -> Taxonomy:
     return next((t for t in packs.TAXONOMIES.values() if levels <= set(t.levels)), packs.TAXONOMIES["default"])
 
 
+def arbitrate(taxonomy: Taxonomy, rule_level: str | None, model_level: str | None) -> str | None:
+    """The level of higher rank; the rules' if equal or if the model gave none that the taxonomy knows."""
+    if model_level not in taxonomy.levels:
+        return rule_level
+    return model_level if taxonomy.rank(model_level) > taxonomy.rank(rule_level) else rule_level
+
+
 def list_standards() -> list[str]:
     return sorted(packs.STANDARDS)
 

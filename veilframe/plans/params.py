@@ -70,6 +70,26 @@ class ParameterResolver:
         return cls(profile or {}, json.loads(p.read_text()) if p.exists() else {}, path)
 
 
+def load_profile(path: str) -> dict:
+    """A profile file, JSON or YAML where PyYAML is installed; a missing file is an empty profile."""
+    p = Path(path)
+    if not p.exists():
+        return {}
+    if p.suffix == ".json":
+        return json.loads(p.read_text())
+    try:
+        import yaml
+    except ImportError as e:
+        raise PrivacyError("YAML profiles need PyYAML; use JSON") from e
+    return yaml.safe_load(p.read_text()) or {}
+
+
+def profile_namespace(profile: dict) -> tuple[str, float, float]:
+    """Namespace and totals that a profile asks for."""
+    b = profile.get("budget", {})
+    return profile.get("namespace", "default"), float(b.get("epsilon", 10.0)), float(b.get("delta", 1e-4))
+
+
 def validate(primitive: str, params: dict) -> None:
     if primitive == "dp" and not params.get("epsilon", 0) > 0:
         raise PrivacyError("epsilon must be positive")
