@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import sys
 import tempfile
@@ -93,10 +95,19 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for b in batches:
             if b.num_rows:
                 yield from each(b)
+        _return_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def _return_memory() -> None:
+    """Give what a task has freed back to the system, where the C library and Arrow can: worker processes
+    are reused and would hold their largest task's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     c = F.col(column) if isinstance(column, str) else column

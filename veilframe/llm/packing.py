@@ -41,7 +41,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int, keeps_space: bool =
         coder, task, seen = encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), {}
 
         def each(b: pa.RecordBatch):
-            for lo, hi in text_chunks(b, "text", 1 << 20):
+            for lo, hi in text_chunks(b, "text", 1 << 18):
                 part = b.slice(lo, hi - lo)
                 rows = []
                 for doc, raw in zip(part.column("doc_id").to_pylist(), coder.encode_all(part.column("text").to_pylist()), strict=True):

@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
                 if state["ids"]:
                     yield flush()
                 return
-            for lo, hi in text_chunks(b, "text", 1 << 20):
+            for lo, hi in text_chunks(b, "text", 1 << 18):
                 part = b.slice(lo, hi - lo)
                 for doc, raw in zip(part.column("doc_id").to_pylist(), coder.encode_all(part.column("text").to_pylist()), strict=True):
                     state["docs"].append(doc)

@@ -18,8 +18,8 @@ import numpy as np
 
 from veilframe.llm.shingles import U64, mix
 
-PIECE = 1 << 19
-SLOTS = 1 << 22  # of the table, which is emptied when half full: 48 MB
+PIECE = 1 << 18
+SLOTS = 1 << 21  # of the table, which is emptied when half full: 24 MB
 _UNSAFE = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ſ0-9\\n -&(-~]")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _TOP = 0x180
@@ -142,8 +142,8 @@ class CutEncoder:
                 out[i] = self._ids(t)
             else:
                 together.append(i)
-        for lo in range(0, len(together), 50_000):
-            some = together[lo : lo + 50_000]
+        for lo in range(0, len(together), 8192):
+            some = together[lo : lo + 8192]
             ids = self._ids(self.mark + self.mark.join([texts[i] for i in some]) + self.mark)
             at = np.flatnonzero(ids == self.mark_id)
             if len(at) != len(some) + 1:
