@@ -202,6 +202,20 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0), schemas).count() == 0
 
 
+def test_chat_keeps_repeated_and_unkeyed_messages(spark):
+    a, b, c = (call((i, "t", {"x": i})) for i in "abc")
+    rows_ = [(1, 1, "assistant", a), (1, 1, "assistant", a), (1, 1, "assistant", b), (1, 2, "tool", result("a", "x"))]
+    rows_ += [(k, t, "assistant", x) for k, t in ((None, 3), (None, None), (2, None)) for x in (a, b, b, c)] + [(None, 3, "tool", result("a", "x"))] * 2
+    got = chat.format_chat(spark.createDataFrame(rows_, SCHEMA).repartition(3), {"t": {"properties": {"x": "string"}}}).collect()
+    seen = lambda found: sorted(found, key=str)
+    made = [(r["conv_id"], r["turn"], json.loads(r["message"])["tool_calls"][0]["id"]) for r in got if r["role"] == "assistant"]
+    assert seen(made) == seen((k, t, json.loads(x)["tool_calls"][0]["id"]) for k, t, r, x in rows_ if r == "assistant")
+    assert len(got) == len(rows_) and all(r["n_calls"] == (r["role"] == "assistant") for r in got)
+    by = {(r["conv_id"], r["turn"], r["role"], json.loads(r["message"]).get("tool_calls", [{}])[0].get("id")): r["problems"] for r in got}
+    assert by[1, 1, "assistant", "a"] == [] and by[1, 1, "assistant", "b"] == ["b no result"]
+    assert by[None, 3, "tool", None] == ["a no call"] and "a no result" in by[None, 3, "assistant", "a"]
+
+
 def test_levels(spark):
     rows_ = [(1, i, "assistant", call((f"c{i}", "t", {"x": {"$ref": f"c{i + 1}"}} if i < 5 else {}))) for i in range(6)]
     df = spark.createDataFrame(rows_, SCHEMA)

@@ -57,12 +57,12 @@ def _argument_problems(name: Column, args: Column, schemas: dict[str, dict]) ->
     return F.when(keys.isNull(), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(unknown, known))
 
 
-def tool_calls(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, place, id, name, arguments): one row a call."""
+def tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
+    """(conv_id, turn, place, id, name, arguments) and the ``keys`` of the message: one row a call."""
     call = "array<struct<id:string,name:string,arguments:string>>"
     made = messages.filter((F.col("role") == "assistant") & F.col("text").contains("tool_calls"))
     made = made.withColumn("c", F.from_json(F.get_json_object("text", "$.tool_calls"), call)).filter("c IS NOT NULL")
-    return made.select("conv_id", "turn", F.posexplode("c").alias("place", "x")).select("conv_id", "turn", "place", "x.id", "x.name", "x.arguments")
+    return made.select(*keys, "conv_id", "turn", F.posexplode("c").alias("place", "x")).select(*keys, "conv_id", "turn", "place", "x.id", "x.name", "x.arguments")
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
@@ -95,7 +95,6 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a message: conv_id, turn, role, ord_turn, ord_level, ord_class, message, n_calls, problems."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    calls, results = tool_calls(messages), tool_results(messages)
     is_call = (F.col("role") == "assistant") & F.col("text").contains("tool_calls") & F.get_json_object("text", "$.tool_calls").isNotNull()
     is_result = (F.col("role") == "tool") & F.col("text").contains("tool_call_id") & F.get_json_object("text", "$.tool_call_id").isNotNull()
     is_call, is_result = (F.coalesce(c, F.lit(False)) for c in (is_call, is_result))
@@ -105,19 +104,22 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     if messages.filter(is_call | is_result).isEmpty():
         return plain
 
+    # Every message that makes calls has a key of its own, written once so that no recomputation deals it anew.
+    made = materialise(messages.filter(is_call).withColumn("row", F.monotonically_increasing_id()), "made")
+    calls, results = tool_calls(made, "row"), tool_results(messages)
     levels = call_levels(calls)
     answered = results.select("conv_id", "id").distinct().withColumn("answered", F.lit(True))
-    linked = calls.join(levels, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left")
+    linked = _looked_up(calls, levels.join(answered, ["conv_id", "id"], "left"))
     wrong = F.concat(_argument_problems(F.col("name"), F.col("arguments"), schemas or {}), F.when(F.col("answered").isNull(), F.array(F.lit("no result"))).otherwise(none), F.when(F.col("level").isNull(), F.array(F.lit("cyclic or without id"))).otherwise(none))
     one = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("id"), F.lit(',"name":'), _quoted("name"), F.lit("}"))
     # A message's calls, at most what its own text holds.
-    per_message = linked.select("conv_id", "turn", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("conv_id", "turn").agg(
+    per_message = linked.select("row", "conv_id", "turn", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row", "conv_id", "turn").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("l"), "place", "id", "json", "wrong"))).alias("all")
     )
     told = F.flatten(F.transform("all", lambda c: F.transform(c["wrong"], lambda w: F.concat_ws(" ", c["id"], w))))
     asking = per_message.select("conv_id", "turn", F.lit("assistant").alias("role"), F.col("turn").alias("ord_turn"), F.element_at("all", 1)["l"].alias("ord_level"), F.lit(0).alias("ord_class"), F.concat(F.lit('{"role":"assistant","tool_calls":['), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]}")).alias("message"), F.size("all").cast("long").alias("n_calls"), told.alias("problems"))
     sources = calls.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn")).join(levels, ["conv_id", "id"], "left").withColumn("found", F.lit(True))
-    answers = results.join(sources, ["conv_id", "id"], "left").select(
+    answers = _looked_up(results, sources).select(
         "conv_id", "turn", F.lit("tool").alias("role"), F.greatest("turn", "call_turn").alias("ord_turn"), F.coalesce("level", F.lit(2**31 - 1)).alias("ord_level"), F.lit(1).alias("ord_class"),
         F.concat(F.lit('{"content":'), F.coalesce(canonical(F.col("content")), _quoted("content")), F.lit(',"role":"tool","tool_call_id":'), _quoted("id"), F.lit("}")).alias("message"),
         F.lit(0).cast("long").alias("n_calls"), F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none).alias("problems"),
@@ -125,6 +127,13 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     return plain.unionByName(asking).unionByName(answers)
 
 
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with what is known of (conv_id, id). Rows without one of these find nothing and go round
+    the join, where they would all meet in one task."""
+    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+    return rows.filter(keyed).join(known, ["conv_id", "id"], "left").unionByName(rows.filter(~keyed), allowMissingColumns=True)
+
+
 def _quoted(column: str) -> Column:
     """A string column as a JSON string; null as null."""
     text = F.to_json(F.struct(F.col(column).alias("v")), {"ignoreNullFields": "false"})
