@@ -216,6 +216,15 @@ def test_chat_keeps_repeated_and_unkeyed_messages(spark):
     assert by[None, 3, "tool", None] == ["a no call"] and "a no result" in by[None, 3, "assistant", "a"]
 
 
+def test_chat_without_calls_is_plain(spark):
+    """What holds no calls, or what no call can be read from, stays as it is."""
+    texts = ['{"content":"hi","tool_calls":[]}', '{"tool_calls":"none"}', '{"tool_calls":null,"content":"x"}', '{"tool_calls":{"id":"a"}}', '{"tool_calls":[1,2]}', '{"tool_calls":[null]}', '{"tool_calls":[{"id":"a"},"b"]}', '{"tool_calls":[{"id":"a"}]', "tool_calls ["]
+    rows_ = [(1, i, "assistant", x) for i, x in enumerate(texts)]
+    for more in ([], [(1, 99, "assistant", call(("a", "t", {})))]):
+        got = chat.format_chat(spark.createDataFrame(rows_ + more, SCHEMA), {"t": {}}).orderBy("turn").collect()
+        assert [json.loads(r["message"])["content"] for r in got[: len(texts)]] == texts and len(got) == len(rows_ + more)
+
+
 def test_levels(spark):
     rows_ = [(1, i, "assistant", call((f"c{i}", "t", {"x": {"$ref": f"c{i + 1}"}} if i < 5 else {}))) for i in range(6)]
     df = spark.createDataFrame(rows_, SCHEMA)

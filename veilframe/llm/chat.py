@@ -1,7 +1,8 @@
 """Chat formatting with tool-call linking, in DataFrame operations alone.
 
 A message is a row (conv_id, turn, role, text). An assistant message whose text is a JSON object with
-``tool_calls`` ([{id, name, arguments}], arguments an object or a string holding one) makes calls; a tool
+``tool_calls`` ([{id, name, arguments}], arguments an object or a string holding one; an array of objects,
+at least one) makes calls; a tool
 message whose text is a JSON object with ``tool_call_id`` and ``content`` answers one. Everything else
 is plain content.
 
@@ -57,12 +58,21 @@ def _argument_problems(name: Column, args: Column, schemas: dict[str, dict]) ->
     return F.when(keys.isNull(), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(unknown, known))
 
 
+def _calls() -> Column:
+    """The calls that a text holds, as array<variant>; null if its ``tool_calls`` is no array."""
+    return F.try_variant_get(F.try_parse_json(F.col("text")), "$.tool_calls", "array<variant>")
+
+
+def makes_calls() -> Column:
+    """Whether a message makes calls; never null."""
+    objects = F.forall(_calls(), lambda x: F.schema_of_variant(x).startswith("OBJECT<"))
+    return F.coalesce((F.col("role") == "assistant") & F.col("text").contains("tool_calls") & (F.size(_calls()) > 0) & objects, F.lit(False))
+
+
 def tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
     """(conv_id, turn, place, id, name, arguments) and the ``keys`` of the message: one row a call."""
-    call = "array<struct<id:string,name:string,arguments:string>>"
-    made = messages.filter((F.col("role") == "assistant") & F.col("text").contains("tool_calls"))
-    made = made.withColumn("c", F.from_json(F.get_json_object("text", "$.tool_calls"), call)).filter("c IS NOT NULL")
-    return made.select(*keys, "conv_id", "turn", F.posexplode("c").alias("place", "x")).select(*keys, "conv_id", "turn", "place", "x.id", "x.name", "x.arguments")
+    made = messages.filter(makes_calls()).select(*keys, "conv_id", "turn", F.posexplode(_calls()).alias("place", "x"))
+    return made.select(*keys, "conv_id", "turn", "place", *(F.try_variant_get("x", f"$.{c}", "string").alias(c) for c in ("id", "name", "arguments")))
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
@@ -95,9 +105,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a message: conv_id, turn, role, ord_turn, ord_level, ord_class, message, n_calls, problems."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    is_call = (F.col("role") == "assistant") & F.col("text").contains("tool_calls") & F.get_json_object("text", "$.tool_calls").isNotNull()
+    is_call = makes_calls()
     is_result = (F.col("role") == "tool") & F.col("text").contains("tool_call_id") & F.get_json_object("text", "$.tool_call_id").isNotNull()
-    is_call, is_result = (F.coalesce(c, F.lit(False)) for c in (is_call, is_result))
+    is_result = F.coalesce(is_result, F.lit(False))
     none = F.array().cast("array<string>")
     envelope = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
     plain = messages.filter(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_level"), F.lit(0).alias("ord_class"), envelope.alias("message"), F.lit(0).cast("long").alias("n_calls"), none.alias("problems"))
