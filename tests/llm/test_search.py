@@ -225,6 +225,21 @@ def test_chat_without_calls_is_plain(spark):
         assert [json.loads(r["message"])["content"] for r in got[: len(texts)]] == texts and len(got) == len(rows_ + more)
 
 
+def test_chat_keeps_all_keys(spark):
+    """What stands beside the calls, in a call or beside a result is serialised too, keys in order."""
+    asked = {"tool_calls": [{"type": "function", "id": "a", "name": "t", "arguments": "{oops"}, {"id": "b", "name": "t", "arguments": {}}], "content": 'let me é "look"\n', "z.y": {"b": 1, "a": None}, "n": None, 'a"b': [], "role": "assistant"}
+    told = {"tool_call_id": "a", "content": "ok", "is_error": False, "name": "t"}
+    rows_ = [(1, 0, "assistant", json.dumps(asked)), (1, 1, "tool", json.dumps(told)), (1, 2, "tool", result("b", "x")[:-1]), (2, 0, "assistant", json.dumps({**asked, "role": "model"})), (2, 1, "tool", json.dumps({**told, "role": "bot"}))]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": {}}).collect()}
+    flat = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for k in (1, 2):
+        assert got[k, 0]["message"] == flat(asked) and got[k, 1]["message"] == flat({**told, "role": "tool"})
+    assert got[1, 0]["problems"] == ["a arguments: not an object", "b no result"] and got[1, 1]["problems"] == []
+    assert got[2, 0]["problems"][0] == 'role: "model"' and got[2, 1]["problems"] == ['role: "bot"']
+    # A text that is cut off is no object.
+    assert json.loads(got[1, 2]["message"])["content"] == rows_[2][3]
+
+
 def test_levels(spark):
     rows_ = [(1, i, "assistant", call((f"c{i}", "t", {"x": {"$ref": f"c{i + 1}"}} if i < 5 else {}))) for i in range(6)]
     df = spark.createDataFrame(rows_, SCHEMA)

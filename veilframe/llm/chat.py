@@ -14,12 +14,15 @@ is plain content.
   level: a result never precedes its call, nor a call one of its message that it depends on. Calls on a
   cycle keep level null and sort last in their turn.
 * Validation: arguments are checked against the tool's schema (required names, types, unknown names).
-* Serialising: canonical JSON, keys sorted at every depth, no white space, numbers normalised.
+* Serialising: canonical JSON, keys sorted at every depth, no white space, numbers normalised. The content
+  and all other keys beside ``tool_calls`` or ``tool_call_id``, and those of a call, are kept.
 
 Defined results: null text is content null; null conv_id or turn is kept and links with nothing. A call id
 used twice in a conversation links to the first call (lowest turn, then place); repeated results all link.
 A result without a call, a call without a result, and arguments that are not an object are reported in
-``problems``. Repeated rows are kept. Extra columns are ignored.
+``problems``; arguments that do not parse are kept as a string. The row's role decides: another one in the
+text is reported in ``problems``. A text that does not parse or repeats a key is no JSON object and stays plain
+content. Repeated rows are kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,15 +73,41 @@ def makes_calls() -> Column:
 
 
 def tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
-    """(conv_id, turn, place, id, name, arguments) and the ``keys`` of the message: one row a call."""
+    """(conv_id, turn, place, id, name, arguments, rest) and the ``keys`` of the message: one row a call."""
     made = messages.filter(makes_calls()).select(*keys, "conv_id", "turn", F.posexplode(_calls()).alias("place", "x"))
-    return made.select(*keys, "conv_id", "turn", "place", *(F.try_variant_get("x", f"$.{c}", "string").alias(c) for c in ("id", "name", "arguments")))
+    return made.select(*keys, "conv_id", "turn", "place", *(F.try_variant_get("x", f"$.{c}", "string").alias(c) for c in ("id", "name", "arguments")), _rest(F.col("x"), "id", "name", "arguments").alias("rest"))
+
+
+def answers_call() -> Column:
+    """Whether a message answers a call; never null."""
+    text = F.col("text")
+    whole = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT<")
+    return F.coalesce((F.col("role") == "tool") & text.contains("tool_call_id") & F.get_json_object(text, "$.tool_call_id").isNotNull() & whole, F.lit(False))
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
-    """The tool messages that answer a call, with their call id and content."""
-    found = messages.filter((F.col("role") == "tool") & F.col("text").contains("tool_call_id"))
-    return found.select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("id"), F.get_json_object("text", "$.content").alias("content")).filter("id IS NOT NULL")
+    """The tool messages that answer a call, with their call id, content, other keys and another role."""
+    found, v = messages.filter(answers_call()), F.try_parse_json(F.col("text"))
+    return found.select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("id"), F.get_json_object("text", "$.content").alias("content"), _rest(v, "content", "role", "tool_call_id").alias("rest"), _other_role(v, "tool").alias("other_role"))
+
+
+def _rest(v: Column, *own: str) -> Column:
+    """The members of a variant object besides ``own``: array<struct<k, json>>."""
+    members = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*own))
+    return F.transform(members, lambda e: F.struct(e["key"].alias("k"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
+
+
+def _object(rest: Column, **members: Column) -> Column:
+    """A JSON object of ``rest`` and of members given as JSON, keys sorted."""
+    given = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("json")) for k, v in members.items()))
+    parts = F.transform(F.array_sort(F.concat(rest, given)), lambda m: F.concat(_quoted(m["k"]), F.lit(":"), m["json"]))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def _other_role(v: Column, role: str) -> Column:
+    """What is wrong with the role that a text gives itself."""
+    found = F.to_json(F.try_variant_get(v, "$.role", "variant"))
+    return F.when(~found.isin(f'"{role}"', "null"), F.array(F.concat(F.lit("role: "), found))).otherwise(F.array().cast("array<string>"))
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -105,9 +134,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a message: conv_id, turn, role, ord_turn, ord_level, ord_class, message, n_calls, problems."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    is_call = makes_calls()
-    is_result = (F.col("role") == "tool") & F.col("text").contains("tool_call_id") & F.get_json_object("text", "$.tool_call_id").isNotNull()
-    is_result = F.coalesce(is_result, F.lit(False))
+    is_call, is_result = makes_calls(), answers_call()
     none = F.array().cast("array<string>")
     envelope = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
     plain = messages.filter(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_level"), F.lit(0).alias("ord_class"), envelope.alias("message"), F.lit(0).cast("long").alias("n_calls"), none.alias("problems"))
@@ -121,18 +148,23 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     answered = results.select("conv_id", "id").distinct().withColumn("answered", F.lit(True))
     linked = _looked_up(calls, levels.join(answered, ["conv_id", "id"], "left"))
     wrong = F.concat(_argument_problems(F.col("name"), F.col("arguments"), schemas or {}), F.when(F.col("answered").isNull(), F.array(F.lit("no result"))).otherwise(none), F.when(F.col("level").isNull(), F.array(F.lit("cyclic or without id"))).otherwise(none))
-    one = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("id"), F.lit(',"name":'), _quoted("name"), F.lit("}"))
+    arguments = F.coalesce(canonical(F.col("arguments")), _quoted(F.col("arguments")))
+    one = _object(F.col("rest"), arguments=arguments, id=_quoted(F.col("id")), name=_quoted(F.col("name")))
     # A message's calls, at most what its own text holds.
-    per_message = linked.select("row", "conv_id", "turn", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row", "conv_id", "turn").agg(
+    per_message = linked.select("row", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("l"), "place", "id", "json", "wrong"))).alias("all")
     )
     told = F.flatten(F.transform("all", lambda c: F.transform(c["wrong"], lambda w: F.concat_ws(" ", c["id"], w))))
-    asking = per_message.select("conv_id", "turn", F.lit("assistant").alias("role"), F.col("turn").alias("ord_turn"), F.element_at("all", 1)["l"].alias("ord_level"), F.lit(0).alias("ord_class"), F.concat(F.lit('{"role":"assistant","tool_calls":['), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]}")).alias("message"), F.size("all").cast("long").alias("n_calls"), told.alias("problems"))
+    v, asked = F.try_parse_json(F.col("text")), F.concat(F.lit("["), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]"))
+    asking = made.join(per_message, "row").select(
+        "conv_id", "turn", F.lit("assistant").alias("role"), F.col("turn").alias("ord_turn"), F.element_at("all", 1)["l"].alias("ord_level"), F.lit(0).alias("ord_class"),
+        _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=asked).alias("message"), F.size("all").cast("long").alias("n_calls"), F.concat(_other_role(v, "assistant"), told).alias("problems"),
+    )
     sources = calls.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn")).join(levels, ["conv_id", "id"], "left").withColumn("found", F.lit(True))
     answers = _looked_up(results, sources).select(
         "conv_id", "turn", F.lit("tool").alias("role"), F.greatest("turn", "call_turn").alias("ord_turn"), F.coalesce("level", F.lit(2**31 - 1)).alias("ord_level"), F.lit(1).alias("ord_class"),
-        F.concat(F.lit('{"content":'), F.coalesce(canonical(F.col("content")), _quoted("content")), F.lit(',"role":"tool","tool_call_id":'), _quoted("id"), F.lit("}")).alias("message"),
-        F.lit(0).cast("long").alias("n_calls"), F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none).alias("problems"),
+        _object(F.col("rest"), content=F.coalesce(canonical(F.col("content")), _quoted(F.col("content"))), role=F.lit('"tool"'), tool_call_id=_quoted(F.col("id"))).alias("message"),
+        F.lit(0).cast("long").alias("n_calls"), F.concat("other_role", F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none)).alias("problems"),
     )
     return plain.unionByName(asking).unionByName(answers)
 
@@ -144,7 +176,7 @@ def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.filter(keyed).join(known, ["conv_id", "id"], "left").unionByName(rows.filter(~keyed), allowMissingColumns=True)
 
 
-def _quoted(column: str) -> Column:
-    """A string column as a JSON string; null as null."""
-    text = F.to_json(F.struct(F.col(column).alias("v")), {"ignoreNullFields": "false"})
-    return F.substring(text, F.lit(6), F.length(text) - 6)
+def _quoted(text: Column) -> Column:
+    """A string as a JSON string; null as null."""
+    json = F.to_json(F.struct(text.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(json, F.lit(6), F.length(json) - 6)
