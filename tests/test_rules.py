@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe import queries
 from veilframe.plans import classify, matchers, packs, params, pipeline
 from veilframe.plans.budget import PrivacyError
 from veilframe.plans.matchers import Field
@@ -96,6 +97,12 @@ def test_pipelines(spark):
     assert [r["name"] for r in kept] == ["张**丰", "李四"]
 
 
+def test_medical_query_reads_every_field(spark, tmp_path):
+    spark.createDataFrame([(1, "flu", "hiv ward"), (2, "hiv", "ward"), (3, "flu", "ward"), (4, None, None)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["medical_pipeline"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["max_level"] for r in got} == {1: "L5", 2: "L5", 3: "L1", 4: "L1"}
+
+
 def test_params(spark, tmp_path):
     r = params.ParameterResolver.load(str(tmp_path / "p.json"))
     r.save("dp", {"epsilon": 0.3})

