@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before k
 return the columns of ``documents``. Stages are written to Parquet and read again between them.
 
 Rows with null text pass the filters as empty text would; null ids are kept where ids decide. Of rows
-that repeat an id the near-duplicate stage keeps one. Extra columns ride along until the last stage.
+that repeat an id the near-duplicate stage keeps one of every group of near duplicates. Extra columns ride along until the last stage.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of every group of near duplicates (5-word shingles, 0.8)."""
-    return near_dedup.keep_one(docs, near_dedup.near_duplicates(docs, k=5, percent=80))
+    return near_dedup.distinct_documents(docs, k=5, percent=80)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

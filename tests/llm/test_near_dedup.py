@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SMALL
+from corpus_pipeline import near_duplicate_filter
 from tests.llm import brute
 from veilframe.llm import shingles as sh
 from veilframe.llm.components import components
@@ -59,6 +60,21 @@ def test_edges(odd_docs, no_docs):
     assert near_duplicates(no_docs, 2).count() == 0 and keep_one(no_docs, near_duplicates(no_docs, 2)).count() == 0
 
 
+def test_texts_that_share_an_id(spark, odd_docs, no_docs):
+    """Another text under the same id is no duplicate of it; copies go, whatever their id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (7, a + " end"), (7, b), (7, b), (7, b.upper()), (7, c), (8, c + " end"), (9, d), (5, None), (5, " "), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, version string").repartition(3)
+    got = near_duplicate_filter(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    found = [(r["doc_id"], r["text"] and r["text"].lower().split()[:1]) for r in got.collect()]
+    texts = sorted(t[0] for i, t in found if i is not None and t)
+    assert texts == ["a0", "b0", "c0", "d0"] and len(found) == 7
+    assert (3, ["a0"]) in found and (7, ["b0"]) in found and [i for i, _ in found].count(5) == 1
+    assert got.filter("doc_id IS NULL").count() == 2 and near_duplicate_filter(spark, no_docs, SMALL).count() == 0
+    assert sorted(r["doc_id"] for r in near_duplicate_filter(spark, odd_docs, SMALL).filter("doc_id IS NOT NULL").collect()) == sorted(r["doc_id"] for r in keep_one(odd_docs, near_duplicates(odd_docs)).filter("doc_id IS NOT NULL").collect())
+
+
 def test_shingle_hashes():
     texts = ["a b c a b", "A  B\tc", "", "b a", "é ü é ü"]
     values, sizes = sh.shingle_sets([t.encode() for t in texts], 2)

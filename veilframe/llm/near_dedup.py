@@ -276,3 +276,21 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one of every group of near duplicates does.
+
+    Texts that share an id are told apart: the further ones are looked at under ids of their own above
+    all others, so a text of its own stays whatever its id's other rows duplicate.
+    """
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    version = F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+    versions = docs.filter("doc_id IS NOT NULL").select("doc_id", version.alias("version"))
+    several = materialise(versions.groupBy("doc_id").agg(F.min("version").alias("first"), F.max("version").alias("last")).filter("first <> last"), "several")
+    if several.isEmpty():
+        return keep_one(docs, near_duplicates(docs, k, percent))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    further = versions.join(several, "doc_id").filter("version <> first").select("doc_id", "version").distinct()
+    further = materialise(further.withColumn("own_id", F.monotonically_increasing_id() + F.lit(top + 1)), "further")
+    left = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", version.alias("version"))
+    named = left.join(further, ["doc_id", "version"], "left").select("row", "text", F.coalesce("own_id", F.col("doc_id").cast("long")).alias("doc_id"))
+    return keep_one(named, near_duplicates(named, k, percent)).select("row.*")
