@@ -27,6 +27,23 @@ def test_toxicity(spark):
     assert np.mean([a == b for a, b in pairs]) >= 0.85
 
 
+def test_toxic_documents_are_found(spark):
+    """Held out: an accuracy that predicting 0 everywhere would reach says nothing of these."""
+    pairs = held_out(spark, "op4_pu_toxicity", "toxic", 4, 2)
+    both, toxic, found = (sum(f(a, b) for a, b in pairs) for f in (lambda a, b: a == b == 1, lambda a, b: a == 1, lambda a, b: b == 1))
+    assert toxic >= 10 and both >= 0.6 * toxic and both >= 0.95 * found
+
+
+def test_fit_leaves_out_what_looks_like_a_copy():
+    """The documented bound: 7 of 32 minhashes, so most near copies and few others."""
+    rng = np.random.default_rng(0)
+    draw = lambda n: rng.integers(0, 2**32, n)
+    base = draw(400)
+    for shared, kept in ((380, 1), (40, 2), (0, 2)):
+        docs = [np.unique(base), np.unique(np.append(base[:shared], draw(400 - shared)))]
+        assert len(toxicity._spread_out(np.concatenate(docs), np.array([len(x) for x in docs]))[1]) == kept
+
+
 def test_language(spark):
     got = queries.op5_compression_langid(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.97
