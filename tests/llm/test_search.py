@@ -185,7 +185,7 @@ def test_chat(spark):
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows_], SCHEMA + ", level string")
     schemas = {"add": {"properties": {"x": "string", "y": "object"}, "required": ["x", "q"]}, "get": {"properties": {"k": "string"}}}
-    got = chat.format_chat(df, schemas).orderBy("conv_id", "ord_turn", "ord_level", "ord_class", "turn").collect()
+    got = chat.format_chat(df, schemas).orderBy("conv_id", "ord_turn", "ord_level", "turn").collect()
     assert len(got) == len(rows_)
     by = {(r["conv_id"], r["turn"], r["role"]): r for r in got}
     asked = by[1, 1, "assistant"]
@@ -194,7 +194,7 @@ def test_chat(spark):
     assert set(asked["problems"]) == {"a a: unknown", "b x: not string", "b q: missing"}
     assert by[1, 2, "tool"]["message"] == '{"content":{"b":[1,2],"z":1},"role":"tool","tool_call_id":"a"}'
     # The result that came before its call follows it.
-    assert by[1, 0, "tool"]["ord_turn"] == 1 and by[1, 0, "tool"]["ord_class"] == 1
+    assert (by[1, 0, "tool"]["ord_turn"], by[1, 0, "tool"]["ord_level"]) == (1, 1)
     assert by[1, 5, "tool"]["problems"] == ["zz no call"]
     assert sum("cyclic" in p for p in by[2, 0, "assistant"]["problems"]) == 2
     assert set(by[2, 1, "assistant"]["problems"]) == {"s arguments: not an object", "s no result"}
@@ -240,10 +240,61 @@ def test_chat_keeps_all_keys(spark):
     assert json.loads(got[1, 2]["message"])["content"] == rows_[2][3]
 
 
-def test_levels(spark):
-    rows_ = [(1, i, "assistant", call((f"c{i}", "t", {"x": {"$ref": f"c{i + 1}"}} if i < 5 else {}))) for i in range(6)]
-    df = spark.createDataFrame(rows_, SCHEMA)
-    assert {r["id"]: r["level"] for r in chat.call_levels(chat.tool_calls(df)).collect()} == {f"c{i}": 5 - i for i in range(6)}
+def placed(nodes, edges):
+    """{node: (at, level)} by the definition; nothing for what is on a cycle or behind one."""
+    needs, out = {}, {}
+    for a, b in edges:
+        needs.setdefault(a, set()).add(b)
+    while True:
+        ready = [n for n in nodes if n not in out and all(d in out for d in needs.get(n, ()))]
+        if not ready:
+            return out
+        for n in ready:
+            steps = [(at, level + 1) if at >= nodes[n] else (nodes[n], 0) for at, level in (out[d] for d in needs.get(n, ()))]
+            out[n] = max(steps, default=(nodes[n], 0))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_places(spark, seed):
+    """Random dependencies, chains, a hub, cycles and what is behind them."""
+    rng = random.Random(seed)
+    nodes = {i: rng.randrange(6) for i in range(260)}
+    edges = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(70)) if a > b] + [(100 + i, 99 + i) for i in range(1, 60)] + [(i, 7) for i in range(160, 200)]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 202), (204, 203), (204, 5), (205, 205), (206, 207), (207, 206), (207, 3), (3, 2), edges[0]]
+    got = {r["node"]: (r["at"], r["level"]) for r in chat.places(spark.createDataFrame(list(nodes.items()), "node long, t long"), spark.createDataFrame(edges, "node long, needs long")).collect()}
+    want = placed(nodes, edges)
+    assert got == {n: want.get(n, (None, None)) for n in nodes} and len(want) < len(nodes) and max(level for _, level in want.values()) > 5
+
+
+def test_chat_orders_across_turns(spark):
+    """No call precedes a call that it needs, or that call's result, whatever the turns say."""
+    ref = lambda *ids: {"x": [{"$ref": i} for i in ids]}
+    rows_ = [
+        (1, 5, "assistant", call(("late", "t", ref("base")))), (1, 7, "assistant", call(("base", "t", {}))), (1, 9, "tool", result("base", "x")), (1, 6, "user", "between"), (1, 9, "user", "after"),
+        (1, 8, "assistant", call(("own", "t", ref("late", "base")), ("two", "t", ref("own")))), (1, 1, "tool", result("two", "early")), (1, 2, "assistant", call(('q"\\', "t", {}))), (1, 1, "assistant", call(("esc", "t", ref('q"\\')))),
+        (2, 3, "assistant", call(("a", "t", ref("b")), ("c", "t", {}))), (2, 4, "assistant", call(("b", "t", ref("c")))), (2, 1, "tool", result("a", "x")), (2, 9, "assistant", call(("z", "t", ref("a")))),
+        (None, 3, "assistant", call(("n", "t", ref("base")))), (3, None, "assistant", call(("m", "t", ref("o")))), (3, 4, "assistant", call(("o", "t", {}))),
+    ]
+    got = chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": {"additional": True}}).orderBy("conv_id", "ord_turn", "ord_level", "turn").collect()
+    told = [(r["turn"], r["role"]) for r in got if r["conv_id"] == 1]
+    assert told == [(2, "assistant"), (1, "assistant"), (6, "user"), (7, "assistant"), (9, "user"), (9, "tool"), (5, "assistant"), (8, "assistant"), (1, "tool")] and len(got) == len(rows_)
+    stuck = [r for r in got if r["conv_id"] == 2]
+    assert [r["turn"] for r in stuck] == [3, 1, 4, 9] and all("cyclic" in r["problems"] for r in stuck)
+    assert [r["turn"] for r in got if r["conv_id"] == 3] == [4, None]
+
+
+def test_chat_odd_rows(spark):
+    """A very long text, a repeated call row, clashing columns, an id twice, bad JSON beside a good one."""
+    big = "wörd " * 400_000
+    rows_ = [(1, 1, "assistant", json.dumps({"content": big, "tool_calls": [{"id": "a", "name": "t", "arguments": {"x": big}}]})), (1, 2, "tool", result("a", big)), (1, 3, "user", big)]
+    rows_ += [(1, 4, "assistant", call(("a", "t", {"x": "second"})))] * 2 + [(1, 5, "assistant", call(("b", "t", {"x": {"$ref": "a"}})))] + [(1, 6, "tool", result("a", "again"))]
+    df = spark.createDataFrame([(*r, "clash", "clash", 1, "clash") for r in rows_], SCHEMA + ", message string, problems string, row long, id string")
+    got = chat.format_chat(df, {"t": {"properties": {"x": "string"}}}).collect()
+    assert len(got) == len(rows_) and sum(len(r["message"]) > len(big) for r in got) == 3
+    by = {(r["turn"], r["role"]): r for r in got}
+    assert (by[5, "assistant"]["ord_turn"], by[5, "assistant"]["problems"]) == (5, ["b x: not string", "b no result"]) and by[6, "tool"]["problems"] == []
+    empty = chat.format_chat(df.limit(0), {"t": {}})
+    assert empty.count() == 0 and empty.columns == chat.format_chat(df, {"t": {}}).columns
 
 
 def test_chat_is_native(spark):

@@ -2,38 +2,43 @@
 
 A message is a row (conv_id, turn, role, text). An assistant message whose text is a JSON object with
 ``tool_calls`` ([{id, name, arguments}], arguments an object or a string holding one; an array of objects,
-at least one) makes calls; a tool
-message whose text is a JSON object with ``tool_call_id`` and ``content`` answers one. Everything else
-is plain content.
+at least one) makes calls; a tool message whose text is a JSON object with ``tool_call_id`` and ``content``
+answers one. Everything else is plain content.
 
 * Linking: calls and results are hash-joined on (conv_id, call id); a hot conversation so spreads over
   its call ids. Nothing is gathered per conversation: the result is one row a message.
-* Order: a call may name calls it depends on by ``{"$ref": "<call id>"}`` in its arguments. A call's
-  level is 0 without dependencies, else one above its dependencies'; levels are relaxed by joins until
-  nothing moves. Messages sort by (ord_turn, ord_level, ord_class, turn), the calls of a message by
-  level: a result never precedes its call, nor a call one of its message that it depends on. Calls on a
-  cycle keep level null and sort last in their turn.
+* Order: a call may name calls it depends on by ``{"$ref": "<call id>"}`` in its arguments, in any turn
+  before or after its own. A message follows what it depends on: a result its call, a call the first result of
+  each call that it refers to, or where there is none the message with that call. Messages sort by (ord_turn,
+  ord_level, turn): ord_turn is the latest turn among a message and all it depends on, ord_level counts the
+  steps taken within that turn. The calls of a message are listed by their dependencies on each other, then
+  as given.
 * Validation: arguments are checked against the tool's schema (required names, types, unknown names).
 * Serialising: canonical JSON, keys sorted at every depth, no white space, numbers normalised. The content
   and all other keys beside ``tool_calls`` or ``tool_call_id``, and those of a call, are kept.
 
-Defined results: null text is content null; null conv_id or turn is kept and links with nothing. A call id
-used twice in a conversation links to the first call (lowest turn, then place); repeated results all link.
-A result without a call, a call without a result, and arguments that are not an object are reported in
-``problems``; arguments that do not parse are kept as a string. The row's role decides: another one in the
-text is reported in ``problems``. A text that does not parse or repeats a key is no JSON object and stays plain
-content. Repeated rows are kept. Extra columns are ignored.
+Defined results: null text is content null; null conv_id or turn is kept, and a null conv_id links with nothing.
+Every row comes out once: repeated rows are kept, an empty table gives no rows. A call id used twice in a
+conversation links to its first call (lowest turn, then place, then a hash of the call), repeated results all link and
+the first (lowest turn) is the one that dependent calls wait for. Messages on a cycle of dependencies, or behind
+one, stay in their turn, last, and say so in ``problems``, as do a result without a call, a call without a result,
+and arguments that are not an object; arguments that do not parse are kept as a string. The row's role decides:
+another one in the text is reported in ``problems``. A text that does not parse, repeats a key or is too long for a
+variant (128 MiB) is no JSON object and stays plain content. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import discard, materialise
 
 TYPES = {"string": "^STRING$", "integer": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<", "object": "^OBJECT<", "null": "^VOID$"}
-_REF = r'"\$ref"\s*:\s*"([^"]+)"'
+_REF = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)+)"'
+_LAST = 2**31 - 1
 
 
 def canonical(json: Column) -> Column:
@@ -85,10 +90,10 @@ def answers_call() -> Column:
     return F.coalesce((F.col("role") == "tool") & text.contains("tool_call_id") & F.get_json_object(text, "$.tool_call_id").isNotNull() & whole, F.lit(False))
 
 
-def tool_results(messages: DataFrame) -> DataFrame:
+def tool_results(messages: DataFrame, *keys: str) -> DataFrame:
     """The tool messages that answer a call, with their call id, content, other keys and another role."""
     found, v = messages.filter(answers_call()), F.try_parse_json(F.col("text"))
-    return found.select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("id"), F.get_json_object("text", "$.content").alias("content"), _rest(v, "content", "role", "tool_call_id").alias("rest"), _other_role(v, "tool").alias("other_role"))
+    return found.select(*keys, "conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("id"), F.get_json_object("text", "$.content").alias("content"), _rest(v, "content", "role", "tool_call_id").alias("rest"), _other_role(v, "tool").alias("other_role"))
 
 
 def _rest(v: Column, *own: str) -> Column:
@@ -110,73 +115,161 @@ def _other_role(v: Column, role: str) -> Column:
     return F.when(~found.isin(f'"{role}"', "null"), F.array(F.concat(F.lit("role: "), found))).otherwise(F.array().cast("array<string>"))
 
 
-def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of the first call of every id; null on a cycle or behind one."""
-    first = calls.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "arguments")).alias("f"))
-    edges = first.select("conv_id", "id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("f.arguments"), F.lit(_REF), F.lit(1)))).alias("needs"))
-    # References to ids that are no calls hold nothing up.
-    edges = materialise(edges.join(first.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi"), "edges")
-    held = edges.select("conv_id", "id").distinct()
-    done = first.select("conv_id", "id").join(held, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
+# -- order -------------------------------------------------------------------------------------------
+
+
+def _followed(at: Column, level: Column, m: Column, n: Column, c: Column) -> tuple[Column, Column]:
+    """The place (turn, level) after ``n`` steps from (at, level) whose latest turn is ``m``: a step into a
+    later turn starts it at level 0, so from before ``m`` one always ends at level ``c``."""
+    return F.greatest(at, m), F.when(at >= m, level + n).otherwise(c)
+
+
+def _joined(first: str, then: str) -> list[Column]:
+    """(m, n, c) of the steps ``first`` followed by the steps ``then`` (prefixes of columns)."""
+    m1, n1, c1, m2, n2, c2 = (F.col(f"{p}{x}") for p in (first, then) for x in "mnc")
+    return [F.greatest(m1, m2).alias("m"), (n1 + n2).alias("n"), F.when(m1 >= m2, c1 + n2).otherwise(c2).alias("c")]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, at, level) for each of ``nodes`` (node, t) with dependencies ``edges`` (node, needs): ``at`` is the
+    latest t among a node and all it depends on, ``level`` the most steps taken at that t. Both are null on
+    a cycle and behind one.
+
+    Nodes with one dependency make chains, which are followed by doubling: each round every open chain
+    skips as far as the node it points to has already skipped, so a chain of n takes log2(n) rounds; what
+    has reached a chain's root is not written again. Nodes with several dependencies are then placed level
+    by level among themselves, so only their own nesting costs rounds.
+    """
+    edges = materialise(edges.distinct().join(nodes, "node"), "edges")
     if edges.isEmpty():
-        return done
-    done = materialise(done, "levels")
-    while True:
-        ready = edges.join(done.withColumnRenamed("id", "needs"), ["conv_id", "needs"], "left").groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.sum(F.col("level").isNull().cast("int")).alias("waiting")).filter("waiting = 0").select("conv_id", "id", "level")
-        fresh = materialise(ready.join(done, ["conv_id", "id"], "left_anti"), "levels")
-        if fresh.isEmpty():
-            break
-        done = materialise(done.unionByName(fresh), "levels")
-        discard(fresh)
-    return done.unionByName(held.join(done, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(None).cast("int")))
+        discard(edges)
+        return nodes.select("node", F.col("t").alias("at"), F.lit(0).cast("long").alias("level"))
+    scratch = [edges]
+    degree = edges.groupBy("node").agg(F.count("*").alias("k"), F.min("needs").alias("to"), F.min("t").alias("t"))
+    degree = materialise(degree, "degree")
+    scratch.append(degree)
+    lone = degree.filter("k = 1")
+    rooted = lone.join(lone.select(F.col("node").alias("to"), F.lit(True).alias("inner")), "to", "left")
+    chain = materialise(rooted.select("node", "to", F.col("t").alias("m"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.col("inner").isNull().alias("ends")), "chain")
+    scratch.append(chain)
+    closed, rounds = [chain.filter("ends")], 0
+    left, longest = chain.filter("NOT ends"), None
+    while not left.isEmpty():
+        if longest is None:  # no chain is longer than its conversation has nodes
+            longest = chain.count()
+        if 1 << rounds > longest:
+            break  # what is still open runs in a circle
+        ahead = _union([*closed, left]).select(F.col("node").alias("to"), F.col("to").alias("further"), *(F.col(x).alias(f"a_{x}") for x in "mnc"), F.col("ends").alias("a_ends"))
+        near = left.select("node", "to", *(F.col(x).alias(f"b_{x}") for x in "mnc"))
+        step = materialise(near.join(ahead, "to").select("node", F.col("further").alias("to"), *_joined("a_", "b_"), F.col("a_ends").alias("ends")), "chain")
+        scratch.append(step)
+        closed.append(step.filter("ends"))
+        left, rounds = step.filter("NOT ends"), rounds + 1
+    chains = _union(closed).drop("ends")
+
+    # Nodes without dependencies stand where they are.
+    known = [nodes.join(degree.select("node"), "node", "left_anti").select("node", F.col("t").alias("at"), F.lit(0).cast("long").alias("level"))]
+    several = degree.filter("k > 1").select("node")
+    if not several.isEmpty():
+        own = edges.join(several, "node", "left_semi").select("node", F.col("needs").alias("to"), F.col("t").alias("b_m"), F.lit(1).cast("long").alias("b_n"), F.lit(0).cast("long").alias("b_c"))
+        through = chains.select(F.col("node").alias("to"), F.col("to").alias("root"), *(F.col(x).alias(f"a_{x}") for x in "mnc"))
+        via = own.join(through, "to", "left")
+        direct = via.filter("root IS NULL").select("node", F.col("to").alias("root"), *(F.col(f"b_{x}").alias(x) for x in "mnc"))
+        state = direct.unionByName(via.filter("root IS NOT NULL").select("node", "root", *_joined("a_", "b_")))
+        state = state.join(known[0].withColumnRenamed("node", "root"), "root", "left")
+        while True:
+            state = materialise(state, "waiting")
+            scratch.append(state)
+            at, level = _followed(F.col("at"), F.col("level"), F.col("m"), F.col("n"), F.col("c"))
+            placed = state.groupBy("node").agg(F.max(F.struct(at.alias("at"), level.alias("level"))).alias("p"), F.count_if(F.col("at").isNull()).alias("waits"))
+            fresh = materialise(placed.filter("waits = 0").select("node", "p.at", "p.level"), "placed")
+            scratch.append(fresh)
+            if fresh.isEmpty():
+                break
+            known.append(fresh)
+            found = fresh.select(F.col("node").alias("root"), F.col("at").alias("f_at"), F.col("level").alias("f_level"))
+            state = state.join(fresh.select("node"), "node", "left_anti").join(found, "root", "left").select("node", "root", "m", "n", "c", F.coalesce("at", "f_at").alias("at"), F.coalesce("level", "f_level").alias("level"))
+    known = _union(known)
+    at, level = _followed(F.col("at"), F.col("level"), F.col("m"), F.col("n"), F.col("c"))
+    followed = chains.join(known.withColumnRenamed("node", "to"), "to").select("node", at.alias("at"), level.alias("level"))
+    out = materialise(nodes.select("node").join(known.unionByName(followed), "node", "left"), "places")
+    discard(*scratch)
+    return out
+
+
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with what is known of (conv_id, id). Rows without one of these find nothing and go round
+    the join, where they would all meet in one task."""
+    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+    return rows.filter(keyed).join(known, ["conv_id", "id"], "left").unionByName(rows.filter(~keyed), allowMissingColumns=True)
+
+
+def _quoted(text: Column) -> Column:
+    """A string as a JSON string; null as null."""
+    json = F.to_json(F.struct(text.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(json, F.lit(6), F.length(json) - 6)
+
+
+def _references(arguments: Column) -> Column:
+    """The call ids that arguments refer to, without JSON's escapes."""
+    found = F.regexp_extract_all(arguments, F.lit(_REF), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v")))
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """One row a message: conv_id, turn, role, ord_turn, ord_level, ord_class, message, n_calls, problems."""
+    """One row a message: conv_id, turn, role, ord_turn, ord_level, message, n_calls, problems."""
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     is_call, is_result = makes_calls(), answers_call()
-    none = F.array().cast("array<string>")
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
     envelope = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
-    plain = messages.filter(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_level"), F.lit(0).alias("ord_class"), envelope.alias("message"), F.lit(0).cast("long").alias("n_calls"), none.alias("problems"))
-    if messages.filter(is_call | is_result).isEmpty():
+    plain = messages.filter(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_level"), envelope.alias("message"), zero.alias("n_calls"), none.alias("problems"))
+
+    # Every message that takes part has a key of its own, written once so that no recomputation deals it anew.
+    linked = materialise(messages.filter(is_call | is_result).withColumn("row", F.monotonically_increasing_id()), "linked")
+    if linked.isEmpty():
         return plain
+    calls, results = materialise(tool_calls(linked, "row"), "calls"), materialise(tool_results(linked, "row"), "results")
+    keyed = "conv_id IS NOT NULL AND id IS NOT NULL"
+    first = calls.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", F.xxhash64("name", "arguments"), "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("call_row"), F.col("f.place").alias("call_place"), F.col("f.turn").alias("call_turn"))
+    told = results.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("result_row"))
+    known = materialise(first.join(told, ["conv_id", "id"], "left"), "known")
 
-    # Every message that makes calls has a key of its own, written once so that no recomputation deals it anew.
-    made = materialise(messages.filter(is_call).withColumn("row", F.monotonically_increasing_id()), "made")
-    calls, results = tool_calls(made, "row"), tool_results(messages)
-    levels = call_levels(calls)
-    answered = results.select("conv_id", "id").distinct().withColumn("answered", F.lit(True))
-    linked = _looked_up(calls, levels.join(answered, ["conv_id", "id"], "left"))
-    wrong = F.concat(_argument_problems(F.col("name"), F.col("arguments"), schemas or {}), F.when(F.col("answered").isNull(), F.array(F.lit("no result"))).otherwise(none), F.when(F.col("level").isNull(), F.array(F.lit("cyclic or without id"))).otherwise(none))
+    # References to ids that are no calls hold nothing up.
+    needs = calls.filter("conv_id IS NOT NULL").select("row", "place", "conv_id", F.explode(_references(F.col("arguments"))).alias("id")).join(known, ["conv_id", "id"])
+    needs = materialise(needs.select("row", "place", "call_row", "call_place", "result_row"), "needs")
+    node = lambda row, place: F.concat_ws(":", row, place)
+    inner = needs.filter("row = call_row").select(node("row", "place").alias("node"), node("row", "call_place").alias("needs"))
+    within = places(calls.select(node("row", "place").alias("node"), zero.alias("t")), inner)
+    answering = results.join(known, ["conv_id", "id"]).select(F.col("row").alias("node"), F.col("call_row").alias("needs"))
+    outer = needs.filter("row <> call_row").select(F.col("row").alias("node"), F.coalesce("result_row", "call_row").alias("needs"))
+    # A missing turn is before all others.
+    never = F.lit(-(2**63))
+    order = places(linked.select(F.col("row").alias("node"), F.coalesce("turn", never).alias("t")), outer.unionByName(answering))
+    order = order.select(F.col("node").alias("row"), F.nullif(F.col("at"), never).alias("at"), F.col("level").cast("int").alias("ord_level"), F.col("at").isNull().alias("stuck"))
+
+    named = _looked_up(calls.withColumn("node", node("row", "place")), known.select("conv_id", "id", F.col("result_row").isNotNull().alias("answered")))
+    named = named.join(within.select("node", "level"), "node")
+    wrong = F.concat(_argument_problems(F.col("name"), F.col("arguments"), schemas or {}), F.when(~F.coalesce("answered", F.lit(False)), F.array(F.lit("no result"))).otherwise(none), F.when(F.col("id").isNull(), F.array(F.lit("no id"))).otherwise(none), F.when(F.col("level").isNull(), F.array(F.lit("cyclic"))).otherwise(none))
     arguments = F.coalesce(canonical(F.col("arguments")), _quoted(F.col("arguments")))
     one = _object(F.col("rest"), arguments=arguments, id=_quoted(F.col("id")), name=_quoted(F.col("name")))
     # A message's calls, at most what its own text holds.
-    per_message = linked.select("row", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("l"), "place", "id", "json", "wrong"))).alias("all")
+    per_message = named.select("row", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(_LAST).cast("long")).alias("l"), "place", "id", "json", "wrong"))).alias("all")
     )
     told = F.flatten(F.transform("all", lambda c: F.transform(c["wrong"], lambda w: F.concat_ws(" ", c["id"], w))))
     v, asked = F.try_parse_json(F.col("text")), F.concat(F.lit("["), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]"))
-    asking = made.join(per_message, "row").select(
-        "conv_id", "turn", F.lit("assistant").alias("role"), F.col("turn").alias("ord_turn"), F.element_at("all", 1)["l"].alias("ord_level"), F.lit(0).alias("ord_class"),
-        _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=asked).alias("message"), F.size("all").cast("long").alias("n_calls"), F.concat(_other_role(v, "assistant"), told).alias("problems"),
+    stuck = F.when(F.col("stuck"), F.array(F.lit("cyclic"))).otherwise(none)
+    asking = linked.join(per_message, "row").join(order, "row").select(
+        "conv_id", "turn", F.lit("assistant").alias("role"), F.when(F.col("stuck"), F.col("turn")).otherwise(F.col("at")).alias("ord_turn"), F.when(F.col("stuck"), _LAST - 1).otherwise(F.col("ord_level")).alias("ord_level"),
+        _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=asked).alias("message"), F.size("all").cast("long").alias("n_calls"), F.concat(_other_role(v, "assistant"), stuck, told).alias("problems"),
     )
-    sources = calls.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn")).join(levels, ["conv_id", "id"], "left").withColumn("found", F.lit(True))
-    answers = _looked_up(results, sources).select(
-        "conv_id", "turn", F.lit("tool").alias("role"), F.greatest("turn", "call_turn").alias("ord_turn"), F.coalesce("level", F.lit(2**31 - 1)).alias("ord_level"), F.lit(1).alias("ord_class"),
+    answers = _looked_up(results, known.select("conv_id", "id", "call_turn", F.lit(True).alias("found"))).join(order, "row").select(
+        "conv_id", "turn", F.lit("tool").alias("role"), F.when(F.col("stuck"), F.greatest("turn", "call_turn")).otherwise(F.col("at")).alias("ord_turn"), F.when(F.col("stuck"), _LAST).otherwise(F.col("ord_level")).alias("ord_level"),
         _object(F.col("rest"), content=F.coalesce(canonical(F.col("content")), _quoted(F.col("content"))), role=F.lit('"tool"'), tool_call_id=_quoted(F.col("id"))).alias("message"),
-        F.lit(0).cast("long").alias("n_calls"), F.concat("other_role", F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none)).alias("problems"),
+        zero.alias("n_calls"), F.concat("other_role", stuck, F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none)).alias("problems"),
     )
     return plain.unionByName(asking).unionByName(answers)
-
-
-def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` with what is known of (conv_id, id). Rows without one of these find nothing and go round
-    the join, where they would all meet in one task."""
-    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
-    return rows.filter(keyed).join(known, ["conv_id", "id"], "left").unionByName(rows.filter(~keyed), allowMissingColumns=True)
-
-
-def _quoted(text: Column) -> Column:
-    """A string as a JSON string; null as null."""
-    json = F.to_json(F.struct(text.alias("v")), {"ignoreNullFields": "false"})
-    return F.substring(json, F.lit(6), F.length(json) - 6)

@@ -26,15 +26,42 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-#: The tools that calls in ``conversations`` may make.
+#: The tools that calls derived from ``conversations`` may name.
 TOOLS = {
-    "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["query"]},
+    "search": {"properties": {"after": "object", "limit": "integer", "query": "string"}, "required": ["query"]},
     "calculate": {"properties": {"expression": "string"}, "required": ["expression"]},
 }
 
 
+def derived_calls(conversations: DataFrame) -> DataFrame:
+    """``conversations``, which hold no tool traffic, with traffic derived from all their rows.
+
+    With i = turn div 2, an assistant message of turn t keeps its text as content and calls ``search`` under
+    the id s<t> (``lookup``, which no schema names, where t mod 6 = 5). Its query is the text; it refers to s<t + 2>
+    if i mod 4 = 1, to s<t - 4> if i mod 4 = 2, to s<t - 2> otherwise, which may or may not exist. The limit is a
+    word if t mod 3 = 2; t mod 5 = 4 adds a field that no schema names. Where i mod 3 = 0 a call of
+    ``calculate``, k<t>, comes before it, whose arguments are a string with JSON that refers to s<t>: an object in
+    place of a string. A user message of turn t > 0 answers s<t - 1> unless t mod 7 = 6. All else stays.
+    """
+    t, text = F.col("turn"), F.col("text")
+    i = F.floor(t / 2)
+    back = F.when(i % 4 == 1, t + 2).when(i % 4 == 2, t - 4).otherwise(t - 2)
+    s = lambda turn, head="s": F.concat(F.lit(head), turn.cast("string"))
+    limit = F.when(t % 3 == 2, F.lit('"many"')).otherwise(t.cast("string"))
+    page = F.when(t % 5 == 4, F.lit(', "page": 1')).otherwise(F.lit(""))
+    json = lambda c: F.substring(j := F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), F.lit(6), F.length(j) - 6)
+    search = F.concat(F.lit('{"name": "'), F.when(t % 6 == 5, "lookup").otherwise("search"), F.lit('", "id": "'), s(t), F.lit('", "arguments": {"query": '), json(text), F.lit(', "limit": '), limit, page, F.lit(', "after": {"$ref": "'), s(back), F.lit('"}}}'))
+    calculate = F.when(i % 3 == 0, F.concat(F.lit('{"id": "'), s(t, "k"), F.lit('", "name": "calculate", "arguments": "{\\"expression\\": {\\"$ref\\": \\"'), s(t), F.lit('\\"}}"}, '))).otherwise(F.lit(""))
+    asks = F.concat(F.lit('{"tool_calls": ['), calculate, search, F.lit('], "content": '), json(text), F.lit("}"))
+    tells = F.concat(F.lit('{"tool_call_id": "'), s(t - 1), F.lit('", "content": '), json(text), F.lit("}"))
+    calls = (F.col("role") == "assistant") & t.isNotNull()
+    answers = (F.col("role") == "user") & (t > 0) & (t % 7 != 6)
+    return conversations.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(calls, asks).when(answers, tells).otherwise(text).alias("text"))
+
+
 def op3_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"), TOOLS).select("conv_id", "turn", "role", "ord_turn", "ord_level", "ord_class", "message", "n_calls", F.size("problems").cast("long").alias("n_problems"))
+    messages = derived_calls(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(messages, TOOLS).select("conv_id", "turn", "role", "ord_turn", "ord_level", "message", "n_calls", F.array_join("problems", "; ").alias("problems"))
 
 
 def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +147,36 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-#: For conversations that make no tool calls, as in the supplied tables.
+#: The traffic of ``derived_calls`` in SQL: who answers and needs whom, places by recursion along the needs,
+#: and the serialised messages with what is wrong with them.
 _CHAT = """
-SELECT conv_id, turn, role, turn AS ord_turn, CAST(0 AS INTEGER) AS ord_level, CAST(0 AS INTEGER) AS ord_class,
-  CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS message, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_problems
-FROM conversations"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, conv_id, turn AS t, turn // 2 AS i, role, text, role = 'assistant' AS asks, role = 'user' AND turn > 0 AND turn % 7 <> 6 AS tells FROM conversations),
+calls AS (SELECT r, conv_id, t, i, CASE i % 4 WHEN 1 THEN t + 2 WHEN 2 THEN t - 4 ELSE t - 2 END AS ref FROM d WHERE asks AND t IS NOT NULL),
+first_call AS (SELECT conv_id, t, min(r) AS r FROM calls WHERE conv_id IS NOT NULL GROUP BY ALL),
+first_told AS (SELECT conv_id, t - 1 AS t, min(r) AS r FROM d WHERE tells AND conv_id IS NOT NULL GROUP BY ALL),
+needs AS (
+  SELECT c.r, c.t, coalesce(b.r, a.r) AS needs FROM calls c LEFT JOIN first_call a ON a.conv_id = c.conv_id AND a.t = c.ref LEFT JOIN first_told b ON b.conv_id = a.conv_id AND b.t = a.t
+  UNION ALL SELECT d.r, d.t, a.r FROM d LEFT JOIN first_call a ON a.conv_id = d.conv_id AND a.t = d.t - 1 WHERE tells
+), place(r, ord_turn, ord_level) AS (
+  SELECT r, t, 0 FROM needs WHERE needs IS NULL
+  UNION ALL SELECT n.r, greatest(n.t, p.ord_turn), CASE WHEN p.ord_turn >= n.t THEN p.ord_level + 1 ELSE 0 END FROM needs n JOIN place p ON n.needs = p.r
+), asked AS (
+  SELECT c.r, CASE WHEN c.i % 3 = 0 THEN 2 ELSE 1 END AS n_calls,
+    '{"arguments":{"after":{"$ref":"s' || ref || '"},"limit":' || CASE WHEN c.t % 3 = 2 THEN '"many"' ELSE c.t::VARCHAR END || CASE WHEN c.t % 5 = 4 THEN ',"page":1' ELSE '' END || ',"query":' || coalesce(to_json(text)::VARCHAR, 'null') || '},"id":"s' || c.t || '","name":"' || CASE WHEN c.t % 6 = 5 THEN 'lookup' ELSE 'search' END || '"}'
+      || CASE WHEN c.i % 3 = 0 THEN ',{"arguments":{"expression":{"$ref":"s' || c.t || '"}},"id":"k' || c.t || '","name":"calculate"}' ELSE '' END AS json,
+    list_transform(list_filter([
+        CASE WHEN c.t % 6 = 5 THEN 'tool: unknown' END, CASE WHEN c.t % 6 <> 5 AND c.t % 3 = 2 THEN 'limit: not integer' END, CASE WHEN c.t % 6 <> 5 AND text IS NULL THEN 'query: not string' END,
+        CASE WHEN c.t % 6 <> 5 AND c.t % 5 = 4 THEN 'page: unknown' END, CASE WHEN b.r IS NULL THEN 'no result' END], lambda x: x IS NOT NULL), lambda x: 's' || c.t || ' ' || x)
+      || CASE WHEN c.i % 3 = 0 THEN ['k' || c.t || ' expression: not string', 'k' || c.t || ' no result'] ELSE [] END AS wrong
+  FROM calls c JOIN d USING (r) LEFT JOIN first_told b ON b.conv_id = c.conv_id AND b.t = c.t
+)
+SELECT d.conv_id, d.t AS turn, CASE WHEN tells THEN 'tool' ELSE role END AS role, coalesce(ord_turn, d.t) AS ord_turn, CAST(coalesce(ord_level, 0) AS INTEGER) AS ord_level,
+  CASE WHEN n_calls IS NOT NULL THEN '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":"assistant","tool_calls":[' || json || ']}'
+    WHEN tells THEN '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"s' || (d.t - 1) || '"}'
+    ELSE CAST(to_json({'content': text, 'role': role}) AS VARCHAR) END AS message,
+  CAST(coalesce(n_calls, 0) AS BIGINT) AS n_calls,
+  CASE WHEN n_calls IS NOT NULL THEN array_to_string(wrong, '; ') WHEN tells AND a.r IS NULL THEN 's' || (d.t - 1) || ' no call' ELSE '' END AS problems
+FROM d LEFT JOIN place USING (r) LEFT JOIN asked USING (r) LEFT JOIN first_call a ON a.conv_id = d.conv_id AND a.t = d.t - 1"""
 
 #: Links by an inverted index over all shingles, components by repeated minima. Sets of the same text are
 #: counted once.
