@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -155,6 +156,32 @@ def test_mondrian_is_the_recursion(spark, n, local):
     assert out.groupBy("_pid").count().agg(F.min("count")).first()[0] >= 3
 
 
+@pytest.mark.parametrize(("qi", "order"), [(["number", "text", "real"], "place"), (["day", "flag"], "text")])
+def test_mondrian_is_the_same_at_every_size(spark, qi, order):
+    """In one task or level by level: nulls, NaN, ties, dates and booleans."""
+    rng = random.Random(3)
+    some = lambda v: None if rng.random() < 0.2 else v
+    rows = [(i, some(rng.randrange(4)), some(rng.choice("ab")), some(rng.choice([0.5, float("nan"), -1.0])), some(datetime.date(2024, 1, rng.randrange(1, 5))), some(rng.random() < 0.5), None if i == 7 else -i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, number int, text string, real double, day date, flag boolean, place int").repartition(3)
+    key = F.collect_set("id") if order == "place" else F.count("*")
+    found = [sorted((r["_pid"], str(sorted(r["n"]) if order == "place" else r["n"])) for r in kanon.mondrian_partitions(df, qi, 4, 3, order, n).groupBy("_pid").agg(key.alias("n")).collect()) for n in (10, 10**6)]
+    assert found[0] == found[1] and len(found[0]) == 8
+    with pytest.raises(PrivacyError):
+        kanon.mondrian_partitions(df.withColumn("a", F.array("id")), ["number"], 4, order="a")
+
+
+def test_mondrian_order_of_every_type(spark):
+    """The order column itself may be null, NaN, a date or a boolean."""
+    rng = random.Random(4)
+    for kind, values in (("int", [None, 1, 2, 3]), ("double", [None, float("nan"), 1.5, -2.0]), ("boolean", [None, True, False]), ("string", [None, "", "é", "z"]), ("date", [None, datetime.date(2024, 1, 1), datetime.date(2023, 1, 1)])):
+        df = spark.createDataFrame([(i, rng.choice("xy"), v) for i, v in enumerate(values * 10)], f"id int, q string, o {kind}")
+        found = []
+        for local in (10, 10**6):
+            got = kanon.mondrian_partitions(df, ["q"], 10, 1, "o", local)
+            found.append(sorted(map(str, ((r["_pid"], r["q"], r["o"], r["n"]) for r in got.groupBy("_pid", "q", "o").agg(F.count("*").alias("n")).collect()))))
+        assert found[0] == found[1]
+
+
 def test_kanon_edges(spark):
     rows = [("30", "100000", "F"), ("31", "100001", "F"), ("32", "100002", "M"), ("33", "100003", "M")]
     df = spark.createDataFrame(rows, "age string, zip string, gender string")

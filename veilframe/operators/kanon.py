@@ -6,12 +6,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.plans.budget import PrivacyError
-from veilframe.plans.storage import persisted
+from veilframe.plans.storage import dropped, persisted
 
 
 class Hierarchy(Protocol):
@@ -74,96 +75,135 @@ _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 
 LOCAL_ROWS = 50_000
+_UNORDERED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
-def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """``df`` with ``_pid``, the partition each row falls in.
+def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None, local_rows: int = LOCAL_ROWS, rows: int | None = None) -> DataFrame:
+    """``df`` with ``_pid``, the partition each row falls in, written once.
 
-    Level-synchronous: every level splits all partitions of 2k rows or more at their middle row, along
-    the quasi-identifier of the widest span (first if several). Spans, sizes and the choice are one
-    aggregation; the split is a rank within a range of the partition's value order, so even the first
-    levels, where one partition is the table, sort in many tasks. Once no partition holds more than
-    ``local_rows``, the remaining levels of each run in one task over its partition. ``order`` breaks ties.
+    Every level splits all partitions of 2k rows or more at their middle row, along the quasi-identifier of
+    the widest span (first if several). Nulls sort before all values and take no part in spans; ``order``
+    breaks ties, its nulls first, or without it a hash of the row.
+
+    While partitions are larger than ``local_rows`` a level is a few Spark jobs over (row, quasi-identifiers)
+    alone: spans and sizes are one aggregation, the value that the middle row holds comes from running
+    totals of value counts, laid out in ranges, and only rows of that very value are ranked. Smaller
+    partitions finish their levels in one task each, by the same rules on arrays. The other columns are
+    joined back at the end. ``rows`` is the number of rows of ``df`` if known.
     """
-    numeric = {q: isinstance(df.schema[q].dataType, _NUMBERS) for q in quasi_identifiers}
-    keys = {q: F.coalesce(F.col(q).cast("double"), F.lit(float("-inf"))) if numeric[q] else F.coalesce(F.col(q).cast("string"), F.lit("")) for q in quasi_identifiers}
-    tie = F.col(order) if order else F.xxhash64(*df.columns)
-    current = persisted(df.select("*", F.lit(1).cast("long").alias("_pid"), tie.alias("_pos"), F.lit(False).alias("_leaf")), "mondrian")
+    if order and isinstance(df.schema[order].dataType, _UNORDERED):
+        raise PrivacyError(f"rows can't be ordered by {order!r}")
+    numeric = [isinstance(df.schema[q].dataType, _NUMBERS) for q in quasi_identifiers]
+    keys = [F.col(q).cast("double" if n else "string").alias(f"_q{i}") for i, (q, n) in enumerate(zip(quasi_identifiers, numeric, strict=True))]
+    tie = (F.col(order) if order else F.xxhash64(*df.columns)).alias("_pos")
+    if (df.count() if rows is None else rows) <= local_rows:
+        # ``_own`` stands for the columns of ``df``, whatever their names.
+        own = df.select(F.struct(*df.columns).alias("_own"), F.lit(1).cast("long").alias("_pid"), tie, *keys)
+        out = T.StructType([*own.select("_own", "_pid").schema])
+        return persisted(own.groupBy("_pid").applyInArrow(_local_levels("_own", numeric, k, max_depth), out).select("_own.*", "_pid"), "mondrian")
+    source = persisted(df.select(F.struct(*df.columns).alias("_own"), F.monotonically_increasing_id().alias("_id"), tie, *keys), "rows")
+    current = persisted(source.select("_id", "_pos", *(f"_q{i}" for i in range(len(numeric))), F.lit(1).cast("long").alias("_pid")), "mondrian")
     for level in range(max_depth):
-        spans = [(F.coalesce(F.max(F.col(q).cast("double")) - F.min(F.col(q).cast("double")), F.lit(0.0)) if numeric[q] else F.greatest(F.count_distinct(q) - 1, F.lit(0)).cast("double")).alias(f"_s{i}") for i, q in enumerate(quasi_identifiers)]
-        stats = current.filter(~F.col("_leaf")).groupBy("_pid").agg(F.count("*").alias("_n"), *spans).filter(F.col("_n") >= 2 * k)
-        choice, widest = F.lit(0), F.col("_s0")
-        for i in range(1, len(quasi_identifiers)):
-            choice, widest = F.when(F.col(f"_s{i}") > widest, i).otherwise(choice), F.greatest(widest, F.col(f"_s{i}"))
-        stats = persisted(stats.select("_pid", "_n", choice.alias("_dim")), "spans")
+        stats = persisted(_choices(current, numeric, k), "spans")
         largest = stats.agg(F.max("_n")).first()[0]
         if largest is None:
             break
         if largest <= local_rows:
-            current = current.groupBy("_pid").applyInArrow(_local_levels(quasi_identifiers, numeric, k, max_depth - level), current.schema)
+            current = current.groupBy("_pid").applyInArrow(_local_levels("_id", numeric, k, max_depth - level), "_id long, _pid long")
             break
-        joined = current.join(stats, "_pid", "left")
-        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-        for i, q in enumerate(quasi_identifiers):
-            if numeric[q]:
-                number = F.when(F.col("_dim") == i, keys[q]).otherwise(number)
-            else:
-                text = F.when(F.col("_dim") == i, keys[q]).otherwise(text)
-        joined = _ranked(joined.withColumn("_number", number).withColumn("_text", text))
-        right = F.coalesce(F.col("_rank") > F.floor(F.col("_n") / 2), F.lit(False))
-        moved = F.when(F.col("_n").isNotNull(), 2 * F.col("_pid") + right.cast("long")).otherwise(F.col("_pid"))
-        current = persisted(joined.select(*df.columns, moved.alias("_pid"), "_pos", F.col("_n").isNull().alias("_leaf")), "mondrian")
-    return current.select(*df.columns, "_pid", "_pos")
-
-
-def _local_levels(quasi_identifiers: list[str], numeric: dict[str, bool], k: int, depth: int):
-    """The levels from here on for one partition: the same splits, on arrays."""
+        done, current = current, persisted(_halved(current.join(stats, "_pid", "left"), numeric).select(*current.columns), "mondrian")
+        dropped(done, stats)
+    return persisted(source.select("_id", "_own").join(current.select("_id", "_pid"), "_id").select("_own.*", "_pid"), "partitions")
+
+
+def _choices(current: DataFrame, numeric: list[bool], k: int) -> DataFrame:
+    """(_pid, _n, _dim): the size and the split dimension of every partition of 2k rows or more."""
+    spans = [
+        F.coalesce(F.max(f"_q{i}") - F.min(f"_q{i}"), F.lit(0.0)) if n else F.greatest(F.count_distinct(f"_q{i}") - 1, F.lit(0)).cast("double")
+        for i, n in enumerate(numeric)
+    ]
+    stats = current.groupBy("_pid").agg(F.count("*").alias("_n"), *(s.alias(f"_s{i}") for i, s in enumerate(spans))).filter(F.col("_n") >= 2 * k)
+    choice, widest = F.lit(0), F.col("_s0")
+    for i in range(1, len(numeric)):
+        choice, widest = F.when(F.col(f"_s{i}") > widest, i).otherwise(choice), F.greatest(widest, F.col(f"_s{i}"))
+    return stats.select("_pid", "_n", choice.alias("_dim"))
+
+
+def _halved(joined: DataFrame, numeric: list[bool]) -> DataFrame:
+    """Rows with their (_n, _dim) moved to partition 2p or 2p + 1."""
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for i, n in enumerate(numeric):
+        if n:
+            number = F.when(F.col("_dim") == i, F.coalesce(f"_q{i}", F.lit(float("-inf")))).otherwise(number)
+        else:
+            text = F.when(F.col("_dim") == i, F.coalesce(f"_q{i}", F.lit(""))).otherwise(text)
+    valued = joined.withColumn("_v", F.struct(number.alias("number"), text.alias("text")))
+    counts = valued.filter("_n IS NOT NULL").groupBy("_pid", "_n", "_v").agg(F.count("*").alias("_c"))
+    upto = _running(counts, ["_pid", "_v"], F.col("_c"))
+    half = F.floor(F.col("_n") / 2)
+    split = persisted(upto.filter((F.col("_upto") > half) & (F.col("_upto") - F.col("_c") <= half)).select("_pid", F.col("_v").alias("_split"), (half - F.col("_upto") + F.col("_c")).alias("_take")), "splits")
+    sided = valued.join(split, "_pid", "left")
+    # Of the rows that hold the middle value, the first ``_take`` stay on the left.
+    tied = persisted(sided.filter((F.col("_v") == F.col("_split")) & (F.col("_take") > 0)).select("_id", "_pid", "_pos", "_take"), "ties")
+    left = _running(tied, ["_pid", "_pos", "_id"], F.lit(1)).filter(F.col("_upto") <= F.col("_take")).select("_id", F.lit(True).alias("_left"))
+    right = (F.col("_v") > F.col("_split")) | (F.col("_v") == F.col("_split")) & F.col("_left").isNull()
+    return sided.join(left, "_id", "left").withColumn("_pid", F.when(F.col("_split").isNull(), F.col("_pid")).otherwise(2 * F.col("_pid") + right.cast("long")))
+
+
+def _running(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
+    """``df`` with ``_upto``, the total of ``weight`` up to each row within its first column of ``by``.
+
+    Rows are laid out in ranges; a row's total is that within its range plus that of earlier ranges.
+    """
+    laid = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+    laid = persisted(laid.withColumn("_local", F.sum(weight).over(Window.partitionBy("_range", by[0]).orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, 0))), "ranges")
+    sizes = laid.groupBy(by[0], "_range").agg(F.max("_local").alias("_all"))
+    before = sizes.select(by[0], "_range", (F.sum("_all").over(Window.partitionBy(by[0]).orderBy("_range")) - F.col("_all")).alias("_before"))
+    return laid.join(before, [by[0], "_range"]).withColumn("_upto", F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
+
+
+def _ranks(c: pa.ChunkedArray) -> np.ndarray:
+    """Dense ranks in Spark's order: nulls first, then values, NaN last."""
+    if pa.types.is_floating(c.type):
+        v, there = c.to_numpy(), np.asarray(c.is_valid())
+        kind = np.where(there, np.where(np.isnan(v), 2, 1), 0)
+        plain = np.unique(np.where(kind == 1, v, 0.0), return_inverse=True)[1]
+        return kind.astype(np.int64) * len(v) + plain
+    if pa.types.is_boolean(c.type):
+        c = c.cast(pa.int8())
+    return np.asarray(pc.rank(c, "ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+
+
+def _local_levels(keep: str, numeric: list[bool], k: int, depth: int):
+    """The levels from here on for one partition: the same splits, on arrays. Gives (keep, _pid)."""
 
     def run(part: pa.Table) -> pa.Table:
-        keys, present = [], []
-        for q in quasi_identifiers:
-            c = part.column(q).combine_chunks()
+        keys, values, present = [], [], []
+        for i, n in enumerate(numeric):
+            c = part.column(f"_q{i}")
             present.append(np.asarray(c.is_valid()))
-            if numeric[q]:
-                values = c.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-            else:
-                values = np.unique([str(v) if v is not None else "" for v in c.to_pylist()], return_inverse=True)[1] if len(c) else np.zeros(0)
-            keys.append(values)
-        place = np.unique(np.array(part.column("_pos").to_pylist()), return_inverse=True)[1]
+            values.append(c.fill_null(-np.inf).to_numpy() if n else _ranks(c.fill_null("")))
+            keys.append(values[-1])
+        place = _ranks(part.column("_pos"))
         pid = np.full(len(part), part.column("_pid")[0].as_py(), np.int64)
-        todo = [(np.arange(len(part)), int(pid[0]), depth)] if len(part) else []
+        todo = [(np.arange(len(part)), int(pid[0]), depth)]
         while todo:
             rows, own, left = todo.pop()
             if len(rows) < 2 * k or left <= 0:
                 pid[rows] = own
                 continue
             spans = []
-            for q, values, there in zip(quasi_identifiers, keys, present, strict=True):
-                v = values[rows][there[rows]]
-                spans.append(0.0 if not len(v) else float(v.max() - v.min()) if numeric[q] else float(len(np.unique(v)) - 1))
+            for n, v, there in zip(numeric, values, present, strict=True):
+                v = v[rows][there[rows]]
+                spans.append(0.0 if not len(v) else float(v.max() - v.min()) if n else float(len(np.unique(v)) - 1))
             rows = rows[np.lexsort((place[rows], keys[int(np.argmax(spans))][rows]))]
             half = len(rows) // 2
             todo += [(rows[:half], 2 * own, left - 1), (rows[half:], 2 * own + 1, left - 1)]
-        at = part.schema.get_field_index("_pid")
-        return part.set_column(at, part.schema.field(at), pa.array(pid))
+        return pa.table({keep: part.column(keep), "_pid": pa.array(pid)})
 
     return run
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """``df`` with ``_rank``, the 1-based rank in its partition by the chosen dimension and tie-breaker.
-
-    Rows are laid out in ranges of (partition, value, tie-breaker); a row's rank is its place within its
-    range plus the rows of its partition in earlier ranges.
-    """
-    by = ["_pid", "_number", "_text", "_pos"]
-    laid = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
-    laid = persisted(laid.withColumn("_local", F.row_number().over(Window.partitionBy("_range", "_pid").orderBy(*by[1:]))), "ranges")
-    sizes = laid.groupBy("_pid", "_range").agg(F.count("*").alias("_c"))
-    before = sizes.select("_pid", "_range", (F.sum("_c").over(Window.partitionBy("_pid").orderBy("_range")) - F.col("_c")).alias("_before"))
-    return laid.join(before, ["_pid", "_range"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-
-
 def k_anonymize_table(df: DataFrame, quasi_identifiers: list[str], k: int = 5, max_depth: int = 10, order: str | None = None, keep_partition: bool = False) -> DataFrame:
     """The table with its quasi-identifiers generalised, as strings, over Mondrian partitions of at
     least k rows. Other columns and the number of rows stay."""
@@ -174,7 +214,7 @@ def k_anonymize_table(df: DataFrame, quasi_identifiers: list[str], k: int = 5, m
     n = df.count()
     if n and n < k:
         raise PrivacyError(f"{n} rows are fewer than k = {k}")
-    parts = mondrian_partitions(df, quasi_identifiers, k, max_depth, order)
+    parts = mondrian_partitions(df, quasi_identifiers, k, max_depth, order, rows=n)
     # Ranges and value sets of a leaf are one aggregation, joined back by partition.
     numeric = {q: isinstance(df.schema[q].dataType, _NUMBERS) for q in quasi_identifiers}
     aggs = []

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from fnmatch import translate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +84,7 @@ class Classifier:
 
     def suppressible(self, d: Downgrade) -> list[str]:
         """The rules a downgrade may suppress: those that no exemption glob matches in full."""
-        exempt = [re.compile(translate(p)) for p in d.exempt_rules]
+        exempt = [re.compile(matchers.glob(p), re.DOTALL) for p in d.exempt_rules]
         return [r.id for r in self.rules if not any(e.fullmatch(r.id) for e in exempt)]
 
     def _suppressed(self, tags: Column, bound: Column) -> Column:
@@ -165,7 +164,7 @@ class Classifier:
         """Composite rules met by a set of field names: decided when the plan is built."""
         low, out = [n.lower() for n in names], []
         for c in self.composites:
-            hits = sum(any(re.search(rf"(?i)\b{p}\b", n) for n in low) for p in c.field_patterns if _compiles(rf"\b{p}\b"))
+            hits = sum(any(matchers.found(rf"(?i)\b{p}\b", n) for n in low) for p in c.field_patterns if matchers.valid(rf"\b{p}\b"))
             if hits >= c.min_matches:
                 out.append(c)
         return out
@@ -239,14 +238,6 @@ class Classifier:
         return r.agg(F.count("*").alias("records"), F.coalesce(best, F.lit(self.taxonomy.default_level)).alias("final_level"), F.max("confidence").alias("confidence"), F.bool_or("needs_review").alias("needs_review"), F.sum("n_tags").alias("n_tags"))
 
 
-def _compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def build(domain: str | None = None, standard: str | None = None, semantics: str = "reference", policy: Policy | None = None, profiles: dict[str, Profile] | None = None) -> Classifier:
     """The classifier of a standard, of a domain, or of the default packs.
 

@@ -7,9 +7,12 @@ semantics the declared target decides. Null values miss.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,18 +93,30 @@ def contains_any(subject: Column, words: list[str]) -> Column:
     return _any([F.contains(subject, F.lit(w)) for w in dict.fromkeys(least)])
 
 
-def _valid(pattern: str) -> bool:
+@functools.cache
+def valid(pattern: str) -> bool:
+    """Whether the engine's own dialect, that of ``rlike``, accepts a pattern."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
         return False
     return True
 
 
+def found(pattern: str, text: str) -> bool:
+    """Whether a valid pattern occurs in a text known while the plan is built."""
+    return SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(pattern).matcher(text).find()
+
+
+def glob(pattern: str) -> str:
+    """A glob of ``*`` and ``?`` as a regular expression; all else is literal."""
+    return "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
+
+
 @register("regex")
 def regex(f: Field, params: dict) -> Column:
     pattern = str(params.get("pattern") or "")
-    if not pattern or len(pattern) > MAX_PATTERN or not _valid(pattern):
+    if not pattern or len(pattern) > MAX_PATTERN or not valid(pattern):
         return F.lit(False)
     flag = "(?i)" if as_bool(params.get("case_insensitive"), False) else ""
     return F.coalesce(f.value.rlike(flag + pattern), F.lit(False))
@@ -184,7 +199,7 @@ def icd10_range(f: Field, params: dict) -> Column:
 @register("date_range")
 def date_range(f: Field, params: dict) -> Column:
     pattern = str(params.get("pattern") or r"\d{4}[-/]\d{2}[-/]\d{2}")
-    return F.coalesce(f.value.rlike(pattern), F.lit(False)) if _valid(pattern) else F.lit(False)
+    return F.coalesce(f.value.rlike(pattern), F.lit(False)) if valid(pattern) else F.lit(False)
 
 
 @register("value_range")
@@ -198,7 +213,7 @@ def value_range(f: Field, params: dict) -> Column:
 def field_name_match(f: Field, params: dict) -> Column:
     hits = []
     for p in as_list(params.get("patterns")):
-        hits.append(f.name.rlike("(?i)" + p) if _valid(p) else F.contains(F.lower(f.name), F.lit(p.lower())))
+        hits.append(f.name.rlike("(?i)" + p) if valid(p) else F.contains(F.lower(f.name), F.lit(p.lower())))
     return _any(hits)
 
 
