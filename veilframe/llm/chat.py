@@ -41,14 +41,8 @@ _REF = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)+)"'
 _LAST = 2**31 - 1
 
 
-def canonical(json: Column) -> Column:
-    """Canonical JSON of a JSON text; null if it doesn't parse."""
-    return F.to_json(F.try_parse_json(json))
-
-
-def _argument_problems(name: Column, args: Column, schemas: dict[str, dict]) -> Column:
-    """Array of what is wrong with the arguments of a call of tool ``name``."""
-    v, keys = F.try_parse_json(args), F.json_object_keys(args)
+def _argument_problems(name: Column, v: Column, keys: Column, schemas: dict[str, dict]) -> Column:
+    """Array of what is wrong with the arguments ``v`` (a variant with these keys) of a call of tool ``name``."""
     none = F.array().cast("array<string>")
     known = none
     for tool, schema in schemas.items():
@@ -77,10 +71,8 @@ def makes_calls() -> Column:
     return F.coalesce((F.col("role") == "assistant") & F.col("text").contains("tool_calls") & (F.size(_calls()) > 0) & objects, F.lit(False))
 
 
-def tool_calls(messages: DataFrame, *keys: str) -> DataFrame:
-    """(conv_id, turn, place, id, name, arguments, rest) and the ``keys`` of the message: one row a call."""
-    made = messages.filter(makes_calls()).select(*keys, "conv_id", "turn", F.posexplode(_calls()).alias("place", "x"))
-    return made.select(*keys, "conv_id", "turn", "place", *(F.try_variant_get("x", f"$.{c}", "string").alias(c) for c in ("id", "name", "arguments")), _rest(F.col("x"), "id", "name", "arguments").alias("rest"))
+def _member(x: Column, key: str) -> Column:
+    return F.try_variant_get(x, f"$.{key}", "string")
 
 
 def answers_call() -> Column:
@@ -90,12 +82,6 @@ def answers_call() -> Column:
     return F.coalesce((F.col("role") == "tool") & text.contains("tool_call_id") & F.get_json_object(text, "$.tool_call_id").isNotNull() & whole, F.lit(False))
 
 
-def tool_results(messages: DataFrame, *keys: str) -> DataFrame:
-    """The tool messages that answer a call, with their call id, content, other keys and another role."""
-    found, v = messages.filter(answers_call()), F.try_parse_json(F.col("text"))
-    return found.select(*keys, "conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("id"), F.get_json_object("text", "$.content").alias("content"), _rest(v, "content", "role", "tool_call_id").alias("rest"), _other_role(v, "tool").alias("other_role"))
-
-
 def _rest(v: Column, *own: str) -> Column:
     """The members of a variant object besides ``own``: array<struct<k, json>>."""
     members = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~e["key"].isin(*own))
@@ -220,8 +206,32 @@ def _references(arguments: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v")))
 
 
+def _serialised(calls: Column, info: Column, schemas: dict[str, dict]) -> Column:
+    """The calls of a message in their order: array<struct<l, place, json, told>>. ``info``: array of
+    (place, level, answered) of each call, by place."""
+    none = F.array().cast("array<string>")
+    bound = F.transform(calls, lambda x, i: F.struct(x.alias("x"), i.alias("place"), *(_member(x, c).alias(c) for c in ("id", "name", "arguments")), F.get(info, i).alias("info")))
+    # Arguments are parsed once for all that looks at them.
+    bound = F.transform(bound, lambda c: F.struct(c.alias("c"), F.try_parse_json(c["arguments"]).alias("v"), F.json_object_keys(c["arguments"]).alias("keys")))
+
+    def one(b: Column) -> Column:
+        c = b["c"]
+        wrong = F.concat(
+            _argument_problems(c["name"], b["v"], b["keys"], schemas), F.when(c["info"]["answered"], none).otherwise(F.array(F.lit("no result"))),
+            F.when(c["id"].isNull(), F.array(F.lit("no id"))).otherwise(none), F.when(c["info"]["level"].isNull(), F.array(F.lit("cyclic"))).otherwise(none),
+        )
+        json = _object(_rest(c["x"], "id", "name", "arguments"), arguments=F.coalesce(F.to_json(b["v"]), _quoted(c["arguments"])), id=_quoted(c["id"]), name=_quoted(c["name"]))
+        return F.struct(F.coalesce(c["info"]["level"], F.lit(_LAST).cast("long")).alias("l"), c["place"].alias("place"), json.alias("json"), F.transform(wrong, lambda w: F.concat_ws(" ", c["id"], w)).alias("told"))
+
+    return F.array_sort(F.transform(bound, one))
+
+
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """One row a message: conv_id, turn, role, ord_turn, ord_level, message, n_calls, problems."""
+    """One row a message: conv_id, turn, role, ord_turn, ord_level, message, n_calls, problems.
+
+    Texts are written once and shuffled once, to meet what the links say of their message; everything
+    between is done on ids.
+    """
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     is_call, is_result = makes_calls(), answers_call()
     none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
@@ -229,17 +239,20 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     plain = messages.filter(~is_call & ~is_result).select("conv_id", "turn", "role", F.col("turn").alias("ord_turn"), F.lit(0).alias("ord_level"), envelope.alias("message"), zero.alias("n_calls"), none.alias("problems"))
 
     # Every message that takes part has a key of its own, written once so that no recomputation deals it anew.
-    linked = materialise(messages.filter(is_call | is_result).withColumn("row", F.monotonically_increasing_id()), "linked")
+    linked = materialise(messages.filter(is_call | is_result).withColumn("row", F.monotonically_increasing_id()).withColumn("asks", F.col("role") == "assistant"), "linked")
     if linked.isEmpty():
         return plain
-    calls, results = materialise(tool_calls(linked, "row"), "calls"), materialise(tool_results(linked, "row"), "results")
+    text = F.col("text")
+    calls = linked.filter("asks").select("row", "conv_id", "turn", F.posexplode(_calls()).alias("place", "x"))
+    calls = materialise(calls.select("row", "conv_id", "turn", "place", _member(F.col("x"), "id").alias("id"), _references(_member(F.col("x"), "arguments")).alias("refs"), F.xxhash64(F.to_json("x")).alias("h")), "calls")
+    results = materialise(linked.filter("NOT asks").select("row", "conv_id", "turn", F.get_json_object(text, "$.tool_call_id").alias("id")), "results")
     keyed = "conv_id IS NOT NULL AND id IS NOT NULL"
-    first = calls.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", F.xxhash64("name", "arguments"), "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("call_row"), F.col("f.place").alias("call_place"), F.col("f.turn").alias("call_turn"))
+    first = calls.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "h", "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("call_row"), F.col("f.place").alias("call_place"), F.col("f.turn").alias("call_turn"))
     told = results.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("result_row"))
     known = materialise(first.join(told, ["conv_id", "id"], "left"), "known")
 
     # References to ids that are no calls hold nothing up.
-    needs = calls.filter("conv_id IS NOT NULL").select("row", "place", "conv_id", F.explode(_references(F.col("arguments"))).alias("id")).join(known, ["conv_id", "id"])
+    needs = calls.filter("conv_id IS NOT NULL").select("row", "place", "conv_id", F.explode("refs").alias("id")).join(known, ["conv_id", "id"])
     needs = materialise(needs.select("row", "place", "call_row", "call_place", "result_row"), "needs")
     node = lambda row, place: F.concat_ws(":", row, place)
     inner = needs.filter("row = call_row").select(node("row", "place").alias("node"), node("row", "call_place").alias("needs"))
@@ -249,27 +262,24 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
     # A missing turn is before all others.
     never = F.lit(-(2**63))
     order = places(linked.select(F.col("row").alias("node"), F.coalesce("turn", never).alias("t")), outer.unionByName(answering))
-    order = order.select(F.col("node").alias("row"), F.nullif(F.col("at"), never).alias("at"), F.col("level").cast("int").alias("ord_level"), F.col("at").isNull().alias("stuck"))
 
-    named = _looked_up(calls.withColumn("node", node("row", "place")), known.select("conv_id", "id", F.col("result_row").isNotNull().alias("answered")))
+    named = _looked_up(calls.select("row", "place", "conv_id", "id", node("row", "place").alias("node")), known.select("conv_id", "id", F.col("result_row").isNotNull().alias("answered")))
     named = named.join(within.select("node", "level"), "node")
-    wrong = F.concat(_argument_problems(F.col("name"), F.col("arguments"), schemas or {}), F.when(~F.coalesce("answered", F.lit(False)), F.array(F.lit("no result"))).otherwise(none), F.when(F.col("id").isNull(), F.array(F.lit("no id"))).otherwise(none), F.when(F.col("level").isNull(), F.array(F.lit("cyclic"))).otherwise(none))
-    arguments = F.coalesce(canonical(F.col("arguments")), _quoted(F.col("arguments")))
-    one = _object(F.col("rest"), arguments=arguments, id=_quoted(F.col("id")), name=_quoted(F.col("name")))
     # A message's calls, at most what its own text holds.
-    per_message = named.select("row", "place", "id", "level", one.alias("json"), wrong.alias("wrong")).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(_LAST).cast("long")).alias("l"), "place", "id", "json", "wrong"))).alias("all")
-    )
-    told = F.flatten(F.transform("all", lambda c: F.transform(c["wrong"], lambda w: F.concat_ws(" ", c["id"], w))))
-    v, asked = F.try_parse_json(F.col("text")), F.concat(F.lit("["), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]"))
-    stuck = F.when(F.col("stuck"), F.array(F.lit("cyclic"))).otherwise(none)
-    asking = linked.join(per_message, "row").join(order, "row").select(
-        "conv_id", "turn", F.lit("assistant").alias("role"), F.when(F.col("stuck"), F.col("turn")).otherwise(F.col("at")).alias("ord_turn"), F.when(F.col("stuck"), _LAST - 1).otherwise(F.col("ord_level")).alias("ord_level"),
-        _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=asked).alias("message"), F.size("all").cast("long").alias("n_calls"), F.concat(_other_role(v, "assistant"), stuck, told).alias("problems"),
-    )
-    answers = _looked_up(results, known.select("conv_id", "id", "call_turn", F.lit(True).alias("found"))).join(order, "row").select(
-        "conv_id", "turn", F.lit("tool").alias("role"), F.when(F.col("stuck"), F.greatest("turn", "call_turn")).otherwise(F.col("at")).alias("ord_turn"), F.when(F.col("stuck"), _LAST).otherwise(F.col("ord_level")).alias("ord_level"),
-        _object(F.col("rest"), content=F.coalesce(canonical(F.col("content")), _quoted(F.col("content"))), role=F.lit('"tool"'), tool_call_id=_quoted(F.col("id"))).alias("message"),
-        zero.alias("n_calls"), F.concat("other_role", stuck, F.when(F.col("found").isNull(), F.array(F.concat(F.col("id"), F.lit(" no call")))).otherwise(none)).alias("problems"),
+    per_message = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "level", F.coalesce("answered", F.lit(False)).alias("answered")))).alias("info"))
+    per_result = _looked_up(results.select("row", "conv_id", "id"), known.select("conv_id", "id", "call_turn", F.lit(True).alias("found"))).select("row", "call_turn", F.coalesce("found", F.lit(False)).alias("found"))
+    links = per_message.unionByName(per_result, allowMissingColumns=True).join(order.withColumnRenamed("node", "row"), "row")
+
+    asks, stuck, v = F.col("asks"), F.col("at").isNull(), F.try_parse_json(text)
+    whole = linked.join(links, "row").select(
+        *linked.columns, stuck.alias("stuck"), F.when(stuck, F.greatest("turn", "call_turn")).otherwise(F.nullif(F.col("at"), never)).alias("ord_turn"),
+        F.when(stuck, F.when(asks, _LAST - 1).otherwise(_LAST)).otherwise(F.col("level")).cast("int").alias("ord_level"), "found", F.when(asks, _serialised(_calls(), F.col("info"), schemas or {})).alias("all"),
     )
-    return plain.unionByName(asking).unionByName(answers)
+    asked = _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=F.concat(F.lit("["), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]")))
+    content, call_id = F.get_json_object(text, "$.content"), F.get_json_object(text, "$.tool_call_id")
+    answered = _object(_rest(v, "content", "role", "tool_call_id"), content=F.coalesce(F.to_json(F.try_parse_json(content)), _quoted(content)), role=F.lit('"tool"'), tool_call_id=_quoted(call_id))
+    cyclic = F.when(F.col("stuck"), F.array(F.lit("cyclic"))).otherwise(none)
+    said = F.when(asks, F.concat(_other_role(v, "assistant"), cyclic, F.flatten(F.transform("all", lambda c: c["told"])))).otherwise(
+        F.concat(_other_role(v, "tool"), cyclic, F.when(F.col("found"), none).otherwise(F.array(F.concat(call_id, F.lit(" no call")))))
+    )
+    return plain.unionByName(whole.select("conv_id", "turn", "role", "ord_turn", "ord_level", F.when(asks, asked).otherwise(answered).alias("message"), F.when(asks, F.size("all")).otherwise(0).cast("long").alias("n_calls"), said.alias("problems")))
