@@ -1,11 +1,17 @@
+import http.server
+import json
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.client import PrivacyClient
 from veilframe.functions.noise import HashNoise
-from veilframe.plans import classify, params
+from veilframe.operators import dp
+from veilframe.plans import classify, endpoint, params
 from veilframe.plans.budget import BudgetAccountant, BudgetExhausted
 from veilframe.plans.model import Policy
+from veilframe.sources import samples
 
 
 @pytest.fixture
@@ -35,6 +41,34 @@ def test_every_release_is_charged(spark, client):
         client.dp_count(df, "v", 5.0)
 
 
+def test_what_draws_nothing_costs_nothing(spark, client):
+    """Empty tables are free; a vector mean whose count is too small is charged for the count alone."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([1.0],), (None,)], "e array<double>")
+    none = df.filter("e IS NULL")
+    assert client.dp_mean(spark.createDataFrame([], "v double"), "v", lower=0, upper=1).first()["value"] == 0
+    assert client.dp_vector_sum(none, "e").count() == client.dp_vector_mean(none, "e").count() == 0
+    assert client.remaining_budget() == {"epsilon": 20.0, "delta": 1e-3}
+    assert [(r["pos"], r["value"]) for r in client.dp_vector_mean(df, "e", 10.0, 2.0, min_count=1000).collect()] == [(0, 0.0), (1, 0.0)]
+    assert client.remaining_budget()["epsilon"] == 19.0 and client.remaining_budget()["delta"] == pytest.approx(1e-3 - 5e-6)
+    assert client.dp_vector_mean(df, "e", 10.0, 2.0, min_count=0).count() in (0, 2) and client.remaining_budget()["epsilon"] in (17.0, 18.0)
+    with pytest.raises(BudgetExhausted):
+        client.dp_vector_sum(df, "e", epsilon=30.0)
+    assert client.metrics.counters["budget_exhausted"] == client.ledger.refused == 1 and client.metrics.seconds["dp_vector_mean"]
+    exact = dp.vector_sum(df, "e", 10.0, 1e9).orderBy("pos").collect()
+    assert [round(r["value"], 3) for r in exact] == [4.0, 4.0]  # a shorter vector ends in zeros
+
+
+def test_every_sample_runs(spark):
+    BudgetAccountant.reset("samples")
+    c = PrivacyClient("samples", 1000.0, 1.0, HashNoise("c"))
+    offered = {n for n in dir(c) if not n.startswith("_") and callable(getattr(c, n))}
+    for name in samples.CATALOGUE:
+        assert samples.run(c, spark, name).count() >= 0 and (name in offered or name.startswith("ldp_") or name.startswith("classify_"))
+    got = samples.run(c, spark, "mask").first()
+    assert got["masked"] == "a***@example.com"
+    assert samples.run(c, spark, "ldp_binary").first()[0] == pytest.approx(0.716395, abs=1e-5)
+
+
 def test_layers(spark):
     df = spark.createDataFrame([(1, "zz"), (2, "13800138000")], "id long, q string")
     ner = lambda rows: rows.select("record_id", "field", F.array(F.struct(F.col("value").alias("text"), F.lit("DISEASE").alias("label"), F.lit(0.9).alias("score"))).alias("entities"))
@@ -49,3 +83,46 @@ def test_profiles(tmp_path):
     assert params.load_profile(str(tmp_path / "none.json")) == {}
     (tmp_path / "p.json").write_text('{"namespace": "n", "budget": {"epsilon": 3}}')
     assert params.profile_namespace(params.load_profile(str(tmp_path / "p.json"))) == ("n", 3.0, 1e-4)
+
+
+def test_personalised_parameters(tmp_path, monkeypatch):
+    """Kept by namespace, in the file that the environment names."""
+    monkeypatch.setenv(params.PERSONALISED, str(tmp_path / "own.json"))
+    r = params.ParameterResolver.load()
+    r.save("dp", {"epsilon": 0.3}, "team")
+    r.save("dp", {"mechanism": "gaussian"}, "team")
+    again = params.ParameterResolver.load()
+    assert again.resolve("dp", context=params.Context("team"))["epsilon"] == 0.3 and again.resolve("dp", context=params.Context("team"))["mechanism"] == "gaussian"
+    assert again.resolve("dp")["epsilon"] == 1.0 and again.resolve("dp", {"epsilon": 2.0}, params.Context("team"))["epsilon"] == 2.0
+    yaml = pytest.importorskip("yaml")
+    y = params.ParameterResolver(path=str(tmp_path / "own.yaml"))
+    y.save("qol", {"num_dummies": 5})
+    assert yaml.safe_load((tmp_path / "own.yaml").read_text()) == {"default": {"qol": {"num_dummies": 5}}}
+    assert params.ParameterResolver.load(str(tmp_path / "own.yaml")).resolve("qol") == {"num_dummies": 5}
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    def do_POST(self):  # noqa: N802
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+        level = "L4" if "secret" in asked else "L9"
+        self.send_response(500 if "broken" in asked else 200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"choices": [{"message": {"content": json.dumps({"level": level})}}]}).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_http_model(spark):
+    """Asked for open rows only; unknown levels and failures change nothing."""
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    c = classify.build("general-pii", semantics="intended", policy=Policy(enable_llm=True))
+    model = endpoint.HttpModel(f"http://127.0.0.1:{server.server_port}/", c.taxonomy)
+    df = spark.createDataFrame([(1, "secret"), (2, "13800138000"), (3, "plain"), (4, "broken secret"), (5, None)], "id long, zz string")
+    got = {r["record_id"]: (r["final_level"], r["engine_layer"]) for r in c.classify_fields(df, "id", llm=model).collect()}
+    server.shutdown()
+    assert got[1] == ("L4", "llm") and got[2] == ("L3", "rule") and {got[i][1] for i in (3, 4, 5)} == {"rule"}
+    assert model.ask("zz", "secret") is None  # nobody listens any more
+    for bad in ("ftp://x", "http://169.254.169.254/", "", None, "http://"):
+        assert not endpoint.allowed(bad)

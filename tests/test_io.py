@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.noise import HashNoise
 from veilframe.operators import stats
+from veilframe.plans import pipeline
 from veilframe.plans.budget import BudgetAccountant, BudgetExhausted, PrivacyError
 from veilframe.sources import ingest
 from veilframe.streaming import windows
@@ -21,7 +22,15 @@ def test_csv(spark, tmp_path):
     with pytest.raises(PrivacyError):
         ingest.process_file(spark, str(f), "k_anonymize")
     with pytest.raises(PrivacyError):
-        ingest.process_file(spark, str(f), "mask_dataframe", size=11 << 20)
+        ingest.process_file(spark, str(f), "mask_dataframe", limit=50)
+    big = tmp_path / "big.csv"
+    big.write_bytes(b"name\n" + b"Bob\n" * (3 << 20))
+    with pytest.raises(PrivacyError):
+        ingest.process_file(spark, str(big), "mask_dataframe")
+    got = pipeline.run_file(spark, str(f), str(tmp_path / "out"), "records")
+    assert {r["name"] for r in got.collect()} >= {"B**b"}
+    with pytest.raises(PrivacyError):
+        pipeline.run_file(spark, str(f), str(tmp_path / "none"), "other")
 
 
 def test_json(spark, tmp_path):
@@ -65,3 +74,34 @@ def test_stream(spark, tmp_path):
     assert a.remaining()["epsilon"] == 0
     with pytest.raises(BudgetExhausted):
         a.spend(0.1)
+    assert a.refused == 1
+
+
+def test_a_repeated_batch_is_neither_charged_nor_drawn_again(spark, tmp_path, monkeypatch):
+    """The same micro-batch handed over twice, as after a restart."""
+    held = []
+
+    class Stream:  # hands out the function that a query would call
+        sparkSession = spark
+
+        def __getattr__(self, name):
+            return lambda *a, **k: held.append(a[0]) or self if name == "foreachBatch" else self
+
+    stream = Stream()
+    stream.writeStream = stream
+    BudgetAccountant.reset("again")
+    a, out = BudgetAccountant.instance("again", 10.0, 0.0), []
+    windows.release_stream(stream, a, 1.0, 1.0, lambda df, n: out.append((n, df.collect())), checkpoint=str(tmp_path))
+    batch = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 00:02:00", 5, 3.0)], "window_start string, window_end string, n long, s double").withColumns({c: F.to_timestamp(c) for c in ("window_start", "window_end")})
+    for number in (0, 0, 1):
+        held[0](batch, number)
+    held[0](batch.limit(0), 2)
+    assert [n for n, _ in out] == [0, 0, 1] and out[0] == out[1] != out[2]
+    assert a.remaining()["epsilon"] == 8
+
+
+def test_latency_percentiles(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)] + [(None,)], "v double")
+    r = stats.concurrency_stats(df, "v", 2.0).first()
+    assert (r["n"], r["qps"], r["p50"], r["p95"], r["p99"]) == (4, 2.0, 2.5, 3.85, 3.97)
+    assert stats.concurrency_stats(df.limit(0), "v", 2.0).first()["p50"] is None

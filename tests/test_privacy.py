@@ -71,6 +71,12 @@ def test_adaptive_clip(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert dp.adaptive_clip(df, "v", 5.0, noise=HashNoise("s")) == (1.0, pytest.approx(high))
     assert dp.adaptive_clip(df.limit(0), "v", 1.0) == (0.0, 10.0)
+    low, high = 0.0, 1000.0
+    for i in range(30):  # several aggregations, each over the interval that the one before left
+        mid = (low + high) / 2
+        share = sum(v > mid for v in values) / len(values) + dp._driver_laplace(HashNoise("t"), 30 / (len(values) * 1e6), f"clip{i}")
+        low, high = (mid, high) if share > 0.4 else (low, mid)
+    assert dp.adaptive_clip(df, "v", 1e6, 0.6, 30, 1000.0, HashNoise("t")) == (1.0, pytest.approx(high, abs=1e-9))
 
 
 def test_secure_noise_scale(spark):

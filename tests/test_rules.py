@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe import queries
-from veilframe.plans import classify, matchers, packs, params, pipeline
+from veilframe.plans import classify, loader, matchers, packs, params, pipeline
 from veilframe.plans.budget import PrivacyError
 from veilframe.plans.matchers import Field
 from veilframe.plans.model import Downgrade, Matcher, Policy, Profile, Rule
@@ -117,4 +117,68 @@ def test_params(spark, tmp_path):
     m.count("mask")
     m.timed("mask", 0.5)
     assert m.snapshot()["counters"] == {"mask": 1}
-    assert packs.REDACTION["labels"]["HIV_AIDS"] == "IMMUNODEFICIENCY"
+
+
+def test_patterns_are_the_engines_own(spark):
+    """What Spark's own dialect accepts counts, not Python's."""
+    for value, pattern, want in (
+        ("Zoë", r"^\p{L}+$", True), ("Z0", r"^\p{L}+$", False), ("y2024", r"(?<y>\d{4})", True), ("aaab", "a++b", True), ("aaa", "a++a", False), ("x1", r"(?<=x)\d", True),
+        ("x", "(?P<y>x)", False), ("x", "(", False), ("x", "[", False), ("X", "x", False),
+    ):
+        assert hit(spark, "regex", value, {"pattern": pattern}) is want, pattern
+        assert hit(spark, "date_range", value, {"pattern": pattern}) is want
+    assert hit(spark, "field_name_match", "", {"patterns": ["(?P<f"]}, name="x(?p<F>") is True
+    c = classify.build("medical")
+    assert c.suppressible(Downgrade("d", (), "L1", "c", True, "L3", ("RULE_MED_G_[0-9]*", "RULE_MED_SE?"))) == [r.id for r in c.rules if r.id != "RULE_MED_SEQ"]
+
+
+def test_rule_hits_count_every_tag(spark):
+    df = spark.createDataFrame([(1, "13000000001"), (2, "18300000002"), (3, "x")], "id long, mobile string")
+    c = classify.build("general-pii")
+    own = c.classify_fields(df, "id")
+    want = {"RULE_PII_PHONE": 2, "RULE_PII_MEDICAL_CARD": sum(int(r["h"]) for r in df.select(matchers.get("medical_card_checksum")(Field(F.lit("m"), F.col("mobile")), {}).alias("h")).collect())}
+    got = {r["rule_id"]: r["hits"] for r in params.rule_hit_counts(own).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    m = params.Metrics()
+    watched, add = m.watch(own, ["RULE_PII_PHONE", "RULE_PII_NAME"])
+    assert watched.count() == 3
+    add()
+    assert m.counters["fields"] == 3 and m.counters["rule:RULE_PII_PHONE"] == 2 and m.counters["rule:RULE_PII_NAME"] == 0 and m.counters["needs_review"] == 0
+    assert "audit_timestamp" in classify.audited(own).columns
+
+
+def test_rule_store(spark, tmp_path):
+    """The bundled packs go through files and come back the same; own packs load, reload, and stay inside."""
+    store = loader.write_bundled(str(tmp_path / "rules"))
+    assert {n: store.profile(n) for n in store.names("domains")} == packs.PROFILES
+    assert {n: store.taxonomy(n) for n in store.names("taxonomies")} == packs.TAXONOMIES
+    assert {n: store.standard(n) for n in store.names("standards")} == packs.STANDARDS
+    for options in ({}, {"domain": "medical"}, {"domain": "finance"}):
+        assert store.classifier(**options) == classify.build(**options)
+        wise = loader.RuleStore(str(tmp_path / "rules"), "intended")
+        assert wise.classifier(**options) == classify.build(**options, semantics="intended")
+    assert wise.classifier(standard="jrt0197") == classify.build(standard="jrt0197", semantics="intended")
+    with pytest.raises(PrivacyError):
+        store.classifier(standard="jrt0197")  # as shipped, taxonomies don't parse
+    own = Profile("own", (Rule("R", "L4", "c", 1, (Matcher("prefix", {"prefixes": ("x",)}),)),))
+    store.write(own)
+    df = spark.createDataFrame([(1, "xy")], "id long, f string")
+    assert store.classifier("own").classify_records(df, "id").first()["final_level"] == "L4"
+    path = tmp_path / "rules" / "domains" / "own.json"
+    path.write_text(path.read_text().replace('"L4"', '"L5"'))
+    assert store.classifier("own").classify_records(df, "id").first()["final_level"] == "L4"
+    store.reload()
+    assert store.classifier("own").classify_records(df, "id").first()["final_level"] == "L5"
+    for bad in ("../own", "a/b", "a\\b", "", "nope"):
+        with pytest.raises(PrivacyError):
+            store.profile(bad)
+    (tmp_path / "secret.json").write_text("{}")
+    (tmp_path / "rules" / "domains" / "link.json").symlink_to(tmp_path / "secret.json")
+    with pytest.raises(PrivacyError):
+        store.profile("link")
+    (tmp_path / "rules" / "domains" / "list.json").write_text("[]")
+    with pytest.raises(PrivacyError):
+        store.profile("list")
+    pytest.importorskip("yaml")
+    (tmp_path / "rules" / "domains" / "y.yaml").write_text("domain: y\nunknown: 1\nrules:\n  - id: R\n    level: L2\n    matchers:\n      - operator: regex\n        params: {pattern: '^a'}\n")
+    assert store.profile("y") == Profile("y", (Rule("R", "L2", None, 50, (Matcher("regex", {"pattern": "^a"}),)),))

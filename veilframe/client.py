@@ -13,7 +13,7 @@ from veilframe.functions import masks
 from veilframe.functions.noise import SecureNoise
 from veilframe.operators import dp, kanon, ldp, obfuscate
 from veilframe.plans import classify, params, pipeline
-from veilframe.plans.budget import DEFAULT_DELTA, DEFAULT_EPSILON, DEFAULT_NAMESPACE, BudgetAccountant
+from veilframe.plans.budget import DEFAULT_DELTA, DEFAULT_EPSILON, DEFAULT_NAMESPACE, BudgetAccountant, BudgetExhausted
 
 
 class PrivacyClient:
@@ -22,11 +22,20 @@ class PrivacyClient:
         self.metrics = params.Metrics()
 
     def _release(self, name: str, plan, epsilon: float, delta: float) -> DataFrame:
-        out = dp.release(plan, self.ledger, epsilon, delta)
+        try:
+            with self.metrics.timer(name):
+                out = dp.release(plan, self.ledger, epsilon, delta)
+        except BudgetExhausted:
+            self.metrics.count("budget_exhausted")
+            raise
         self.metrics.count(name)
         self.metrics.count("epsilon", epsilon)
         return out
 
+    @staticmethod
+    def _none(df: DataFrame, schema: str, *rows: tuple) -> DataFrame:
+        return df.sparkSession.createDataFrame(list(rows), schema)
+
     # Masking: columns and frames; nothing is charged.
     mask = staticmethod(masks.mask_value)
     mask_batch = staticmethod(masks.mask_batch)
@@ -46,6 +55,9 @@ class PrivacyClient:
         return self._release("dp_sum", lambda: dp.sum(df, column, epsilon, delta, mechanism, lower, upper, self.noise), epsilon, delta)
 
     def dp_mean(self, df: DataFrame, column: str, epsilon: float = 1.0, delta: float = 0.0, mechanism: str = "laplace", lower: float | None = None, upper: float | None = None) -> DataFrame:
+        """An empty table gives 0 without a charge."""
+        if df.isEmpty():
+            return self._none(df, "value double", (0.0,))
         return self._release("dp_mean", lambda: dp.mean(df, column, epsilon, delta, mechanism, lower, upper, self.noise), epsilon, delta)
 
     def dp_histogram(self, df: DataFrame, column: str, categories: list[str], epsilon: float = 1.0, delta: float = 0.0, mechanism: str = "laplace") -> DataFrame:
@@ -72,17 +84,30 @@ class PrivacyClient:
     def dp_chunked_mean(self, df: DataFrame, chunks: str, epsilon: float = 1.0, delta: float = 0.0, mechanism: str = "laplace", lower: float | None = None, upper: float | None = None, min_count: int = 5) -> DataFrame:
         """Fewer true values than ``min_count`` give 0 without a charge."""
         if (df.agg(F.sum(F.greatest(F.size(chunks), F.lit(0)))).first()[0] or 0) < min_count:
-            return df.sparkSession.createDataFrame([(0.0,)], "value double")
+            return self._none(df, "value double", (0.0,))
         return self._release("dp_chunked_mean", lambda: dp.chunked_mean(df, chunks, epsilon, delta, mechanism, lower, upper, min_count, self.noise), epsilon, delta)
 
     def dp_chunked_histogram(self, df: DataFrame, chunks: str, categories: list[str], epsilon: float = 1.0, delta: float = 0.0, mechanism: str = "laplace") -> DataFrame:
         return self._release("dp_chunked_histogram", lambda: dp.chunked_histogram(df, chunks, categories, epsilon, delta, mechanism, self.noise), epsilon, delta)
 
     def dp_vector_sum(self, df: DataFrame, column: str, max_norm: float = 1.0, epsilon: float = 1.0, delta: float = 1e-5, mechanism: str = "gaussian") -> DataFrame:
+        """No vectors give no rows and cost nothing."""
+        if dp.vector_dimension(df, column) is None:
+            return self._none(df, "pos int, value double")
         return self._release("dp_vector_sum", lambda: dp.vector_sum(df, column, max_norm, epsilon, delta, mechanism, self.noise), epsilon, delta)
 
     def dp_vector_mean(self, df: DataFrame, column: str, max_norm: float = 1.0, epsilon: float = 1.0, delta: float = 1e-5, mechanism: str = "gaussian", min_count: int = 5) -> DataFrame:
-        return self._release("dp_vector_mean", lambda: dp.vector_mean(df, column, max_norm, epsilon, delta, mechanism, min_count, self.noise), epsilon, delta)
+        """The count is charged half; only if it reaches ``min_count`` is the sum drawn and charged the other
+        half, else all is zero. No vectors give no rows and cost nothing."""
+        dim = dp.vector_dimension(df, column)
+        if dim is None:
+            return self._none(df, "pos int, value double")
+        total = df.agg(F.count(column).alias("n"))
+        n = self._release("dp_vector_mean", lambda: total.select(dp.noisy_count(F.col("n"), epsilon / 2, delta / 2, mechanism, self.noise, "vector.count").alias("value")), epsilon / 2, delta / 2).first()["value"]
+        if n < min_count or n <= 0:
+            return self._none(df, "pos int, value double", *((i, 0.0) for i in range(dim)))
+        summed = self._release("dp_vector_mean_sum", lambda: dp.vector_sum(df, column, max_norm, epsilon / 2, delta / 2, mechanism, self.noise), epsilon / 2, delta / 2)
+        return summed.select("pos", (F.col("value") / n).alias("value"))
 
     def dp_adaptive_clip(self, df: DataFrame, column: str, epsilon: float = 1.0, quantile: float = 0.95, iterations: int = 15, initial: float = 10.0) -> tuple[float, float]:
         """Reference semantics charge nothing; intended semantics charge epsilon."""

@@ -1,6 +1,6 @@
 """Sources of noise for released values.
 
-``SecureNoise`` draws at run time. A plan that draws must be materialised before it is released: see
+``SecureNoise`` draws at run time from the operating system's secure source. A plan that draws must be materialised before it is released: see
 ``veilframe.operators.dp.release``. ``HashNoise`` derives the draw from a key and a seed, which gives the
 same value in any engine and partitioning; a known seed removes all privacy, so it is for tests.
 """
@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 class SecureNoise:
     def uniform(self, key: Column) -> Column:
-        """A draw from (0, 1)."""
-        return F.rand()
+        """A draw from (0, 1): 52 bits of the initialisation vector that an encryption takes from the JVM's
+        secure random source. ``rand`` is in what is encrypted only so that every row draws anew."""
+        sealed = F.aes_encrypt(F.rand().cast("string").cast("binary"), F.lit(bytearray(16)))
+        return (F.conv(F.substring(F.hex(sealed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
     def normal(self, key: Column) -> Column:
-        return F.randn()
+        """Box and Muller on two draws."""
+        a, b = (self.uniform(F.concat(key, F.lit(tail))) for tail in ("#a", "#b"))
+        return F.sqrt(-2 * F.log(a)) * F.cos(b * (2 * math.pi))
 
     def laplace(self, scale: Column | float, key: Column) -> Column:
         u = self.uniform(key) - 0.5
@@ -38,11 +42,6 @@ class HashNoise(SecureNoise):
         digest = F.md5(F.concat_ws("|", key, F.lit(self.seed)).cast("binary"))
         return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-    def normal(self, key: Column) -> Column:
-        """Box and Muller on two hashed draws."""
-        a, b = (self.uniform(F.concat(key, F.lit(tail))) for tail in ("#a", "#b"))
-        return F.sqrt(-2 * F.log(a)) * F.cos(b * (2 * math.pi))
-
 
 def hash_uniform_sql(key: str, seed: str) -> str:
     """``HashNoise.uniform`` in SQL; ``key`` is a text expression."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once: a bound variable, where a repeated expression would be
+    evaluated at every mention."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def normalised(c: Column) -> Column:
     """Lower case without underscores, hyphens and white space."""
     return F.regexp_replace(F.lower(c), r"[_\-\s]+", "")

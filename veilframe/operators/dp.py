@@ -20,6 +20,7 @@ from veilframe.plans.budget import BudgetAccountant, PrivacyError
 from veilframe.plans.storage import persisted
 
 SECURE = SecureNoise()
+CLIP_BITS = 12
 
 
 def release(plan: Callable[[], DataFrame], accountant: BudgetAccountant, epsilon: float, delta: float = 0.0) -> DataFrame:
@@ -176,18 +177,22 @@ def chunked_histogram(df: DataFrame, chunks: str, categories: list[str], epsilon
     return histogram(df.select(F.explode(chunks).alias("v")), "v", categories, epsilon, delta, mechanism, noise, keep_others=True)
 
 
-def _vector_parts(df: DataFrame, column: str, max_norm: float) -> DataFrame:
+def vector_dimension(df: DataFrame, column: str) -> int | None:
+    """The largest dimension among the vectors; None if there are none."""
+    return df.agg(F.max(F.when(F.col(column).isNotNull(), F.size(column)))).first()[0]
+
+
+def _vector_parts(df: DataFrame, column: str, max_norm: float, dim: int | None) -> DataFrame:
     """(pos, n, s): the number of vectors and, for each coordinate, the sum of vectors scaled to norm
-    ``max_norm`` at most. The dimension is that of the first vector."""
-    dim = df.filter(F.col(column).isNotNull()).select(F.size(column)).head()
+    ``max_norm`` at most. Shorter vectors count as zero where they end."""
     if dim is None:
         return df.sparkSession.createDataFrame([], "pos int, n long, s double")
     v = F.col(column).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
     scaled = df.filter(F.col(column).isNotNull()).select(v.alias("v"), F.when(norm > max_norm, max_norm / norm).otherwise(1.0).alias("f"))
     # One pass without exploding: a sum for each coordinate, partial on the map side.
-    sums = [F.sum(F.get("v", F.lit(i)) * F.col("f")).alias(f"s{i}") for i in range(dim[0])]
-    return scaled.agg(F.count("*").alias("n"), F.array(*sums).alias("s") if sums else F.array().alias("s")).select("n", F.posexplode("s").alias("pos", "s")).select("pos", "n", "s")
+    sums = [F.coalesce(F.sum(F.get("v", F.lit(i)) * F.col("f")), F.lit(0.0)).alias(f"s{i}") for i in range(dim)]
+    return scaled.agg(F.count("*").alias("n"), F.array(*sums).cast("array<double>").alias("s")).select("n", F.posexplode("s").alias("pos", "s")).select("pos", "n", "s")
 
 
 def _vector_scale(dim: int, max_norm: float, epsilon: float, delta: float, mech: str) -> float:
@@ -196,17 +201,17 @@ def _vector_scale(dim: int, max_norm: float, epsilon: float, delta: float, mech:
 
 def vector_sum(df: DataFrame, column: str, max_norm: float, epsilon: float, delta: float = 1e-5, mechanism: str | None = "gaussian", noise: SecureNoise = SECURE) -> DataFrame:
     """(pos, value): noisy sum of L2-clipped vectors; no vectors give no rows."""
-    mech, parts = mechanism_of(epsilon, delta, mechanism), _vector_parts(df, column, max_norm)
-    dim = (df.filter(F.col(column).isNotNull()).select(F.size(column)).head() or [0])[0]
-    scale, key = _vector_scale(dim, max_norm, epsilon, delta, mech), F.concat(F.lit("v"), F.col("pos"))
+    mech, dim = mechanism_of(epsilon, delta, mechanism), vector_dimension(df, column)
+    parts = _vector_parts(df, column, max_norm, dim)
+    scale, key = _vector_scale(dim or 0, max_norm, epsilon, delta, mech), F.concat(F.lit("v"), F.col("pos"))
     return parts.select("pos", (F.col("s") + (noise.laplace(scale, key) if mech == "laplace" else noise.gaussian(scale, key))).alias("value"))
 
 
 def vector_mean(df: DataFrame, column: str, max_norm: float, epsilon: float, delta: float = 1e-5, mechanism: str | None = "gaussian", min_count: int = 5, noise: SecureNoise = SECURE) -> DataFrame:
     """(pos, value): half the budget for the count; a noisy count below ``min_count`` gives zeros."""
-    mech, parts = mechanism_of(epsilon, delta, mechanism), _vector_parts(df, column, max_norm)
-    dim = (df.filter(F.col(column).isNotNull()).select(F.size(column)).head() or [0])[0]
-    scale, key = _vector_scale(dim, max_norm, epsilon / 2, delta / 2, mech), F.concat(F.lit("v"), F.col("pos"))
+    mech, dim = mechanism_of(epsilon, delta, mechanism), vector_dimension(df, column)
+    parts = _vector_parts(df, column, max_norm, dim)
+    scale, key = _vector_scale(dim or 0, max_norm, epsilon / 2, delta / 2, mech), F.concat(F.lit("v"), F.col("pos"))
     n = noisy_count(F.col("n"), epsilon / 2, delta / 2, mechanism, noise, "vector.count")
     s = F.col("s") + (noise.laplace(scale, key) if mech == "laplace" else noise.gaussian(scale, key))
     return parts.select("pos", F.when((n >= min_count) & (n > 0), s / n).otherwise(0.0).alias("value"))
@@ -216,33 +221,39 @@ def adaptive_clip(df: DataFrame, column: str, epsilon: float, quantile: float =
     """(smallest value, clip): binary search for the quantile in [0, initial].
 
     The search only ever compares with points of a dyadic grid, so one aggregation by grid cell answers
-    all its questions; at most 2**iterations + 2 counts reach the driver.
+    ``CLIP_BITS`` of its questions; the cells of the interval that they leave answer the next ones. At most
+    2**CLIP_BITS + 2 counts reach the driver at a time.
     """
     if not epsilon > 0:
         raise PrivacyError("epsilon must be positive")
-    cells = 1 << iterations
-    cell = F.greatest(F.lit(0), F.least(F.lit(cells + 1), F.ceil(F.col(column).cast("double") / initial * cells)))
-    rows = df.filter(F.col(column).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(column).alias("lo")).collect()
-    if not rows:
-        return 0.0, initial
-    n = builtin_sum(r["n"] for r in rows)
-    above = [0] * (cells + 3)  # above[i]: values in cells beyond i
-    for r in rows:
-        above[r["cell"]] += r["n"]
-    total = 0
-    for i in range(cells + 2, -1, -1):
-        above[i], total = total, total + above[i]
-    low, high = 0, cells
-    for i in range(iterations):
-        mid = (low + high) // 2
-        if above[mid] / n + _driver_laplace(noise, iterations / (n * epsilon), f"clip{i}") > 1 - quantile:
-            low = mid
-        else:
-            high = mid
-    return float(min(r["lo"] for r in rows)), initial * high / cells
-
-
-
+    whole = 1 << iterations
+    place = F.col(column).cast("double") / initial * whole
+    low, high, least, n = 0, whole, None, 0
+    for start in range(0, iterations, CLIP_BITS):
+        bits = min(CLIP_BITS, iterations - start)
+        width = (high - low) >> bits  # of a cell, in points of the finest grid
+        base = low
+        cell = F.greatest(F.lit(0), F.least(F.lit((1 << bits) + 1), F.ceil((place - base) / width)))
+        rows = df.filter(F.col(column).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(column).alias("lo")).collect()
+        if not rows:
+            return 0.0, initial
+        above = [0] * ((1 << bits) + 3)  # above[i]: values in cells beyond i
+        for r in rows:
+            above[r["cell"]] += r["n"]
+        total = 0
+        for i in range(len(above) - 1, -1, -1):
+            above[i], total = total, total + above[i]
+        n, least = total, min(r["lo"] for r in rows)
+        for i in range(start, start + bits):
+            mid = (low + high) // 2
+            if above[(mid - base) // width] / n + _driver_laplace(noise, iterations / (n * epsilon), f"clip{i}") > 1 - quantile:
+                low = mid
+            else:
+                high = mid
+    if least is None:
+        least = df.agg(F.min(column)).first()[0]
+        return (0.0, initial) if least is None else (float(least), float(initial))
+    return float(least), initial * high / whole
 
 
 def _driver_laplace(noise: SecureNoise, scale: float, key: str) -> float:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.text import let
 from veilframe.plans.budget import PrivacyError
 
 # Dummy queries and slot terms.
@@ -32,10 +33,6 @@ def _shuffled(items: Column, query: Column, seed: str | None) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
-def _replacing(query: Column, term: str):
-    return lambda other: F.replace(query, F.lit(term), other)
-
-
 def obfuscate(query: Column | str, dummies: int = 3, domain: str | None = "medical", medical_pool: list[str] | None = None, generic_pool: list[str] | None = None, seed: str | None = None) -> Column:
     """struct<queries, real_index, domain, num_dummies, strategy> for a query column.
 
@@ -51,25 +48,31 @@ def obfuscate(query: Column | str, dummies: int = 3, domain: str | None = "medic
     pool = list(own_pool or (MEDICAL_QUERIES if medical else GENERIC_QUERIES))
     terms = () if own_pool else (DISEASES if medical else ENTITIES)
 
-    filled = F.lit(None).cast("array<string>")
+    none, items = F.array().cast("array<string>"), F.array(*map(F.lit, pool))
+
+    def slots(first: Column) -> Column:
+        others = F.slice(_shuffled(F.array_remove(known, first), query, seed), 1, dummies) if dummies else none
+        return F.when(first.isNotNull(), F.transform(others, lambda o: F.replace(query, first, o)))
+
+    def similar(others: Column) -> Column:
+        near = lambda d: F.filter(others, lambda x: F.abs(F.length(x) - F.length(query)) <= d)
+        close = let(near(12), lambda wide: let(F.filter(wide, lambda x: F.abs(F.length(x) - F.length(query)) <= 6), lambda tight: F.when(F.size(tight) > 0, tight).when(F.size(wide) > 0, wide).otherwise(others)))
+        # Beyond the pool's size, items repeat.
+        return let(_shuffled(close, query, seed), lambda order: F.slice(F.flatten(F.array_repeat(order, F.ceil(F.lit(dummies) / F.size(order)).cast("int"))), 1, dummies))
+
+    by_length = let(F.filter(items, lambda x: x != query), lambda others: similar(F.when(F.size(others) == 0, items).otherwise(others))) if dummies else none
     if len(terms) - 1 >= dummies and terms:
-        for t in reversed(terms):  # the first term of the list wins
-            others = F.array(*(F.lit(o) for o in terms if o != t))
-            chosen = F.slice(_shuffled(others, query, seed), 1, dummies) if dummies else F.array().cast("array<string>")
-            filled = F.when(F.contains(query, F.lit(t)), F.transform(chosen, _replacing(query, t))).otherwise(filled)
-
-    items = F.array(*map(F.lit, pool))
-    others = F.filter(items, lambda x: x != query)
-    others = F.when(F.size(others) == 0, items).otherwise(others)
-    near = lambda d: F.filter(others, lambda x: F.abs(F.length(x) - F.length(query)) <= d)
-    close = F.when(F.size(near(6)) > 0, near(6)).when(F.size(near(12)) > 0, near(12)).otherwise(others)
-    order = _shuffled(close, query, seed)
-    # Beyond the pool's size, items repeat.
-    times = F.ceil(F.lit(dummies) / F.size(order)).cast("int")
-    similar = F.slice(F.flatten(F.array_repeat(order, times)), 1, dummies) if dummies else F.array().cast("array<string>")
-    fakes = F.coalesce(filled, similar)
+        known = F.array(*map(F.lit, terms))
+        filled = let(F.get(F.filter(known, lambda t: F.contains(query, t)), F.lit(0)), slots)  # the first term of the list wins
+    else:
+        filled = F.lit(None).cast("array<string>")
     at = F.floor(F.rand() * (dummies + 1)).cast("int") if seed is None else F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), query).cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(dummies + 1)).cast("int")
-    return F.struct(F.array_insert(fakes, at + 1, query).alias("queries"), at.alias("real_index"), F.lit((domain or "").lower()).alias("domain"), F.lit(dummies).alias("num_dummies"), F.when(filled.isNotNull(), "slot_filling").otherwise("length_similarity").alias("strategy"))
+
+    def result(found: Column) -> Column:
+        fakes, place = F.coalesce(found["filled"], by_length), found["at"]
+        return F.struct(F.array_insert(fakes, place + 1, query).alias("queries"), place.alias("real_index"), F.lit((domain or "").lower()).alias("domain"), F.lit(dummies).alias("num_dummies"), F.when(found["filled"].isNotNull(), "slot_filling").otherwise("length_similarity").alias("strategy"))
+
+    return let(F.struct(filled.alias("filled"), at.alias("at")), result)
 
 
 def obfuscate_batch(df: DataFrame, column: str, **options) -> DataFrame:

@@ -29,10 +29,17 @@ def node_stats(df: DataFrame, node: str, latency: str, ok: str) -> DataFrame:
 
 
 def concurrency_stats(df: DataFrame, latency: str, seconds: float) -> DataFrame:
-    """(n, qps, avg_ms, min_ms, max_ms, p50, p95, p99); percentiles interpolate between ranks."""
-    p = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    got = df.agg(F.count(latency).alias("n"), *(F.round(f(latency), 2).alias(f"{n}_ms") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))), p.alias("p"))
-    return got.select("n", F.round(F.col("n") / seconds, 2).alias("qps"), "avg_ms", "min_ms", "max_ms", *(F.round(F.element_at("p", i + 1), 2).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    """(n, qps, avg_ms, min_ms, max_ms, p50, p95, p99); percentiles interpolate between the two ranks next to
+    them, which are found by counting (``ranked_values``)."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    place = {p: (F.col("n") - 1) * s for p, s in shares.items()}
+    ranks = ranked_values(df, latency, F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in place.values())))))
+    found = ranks.agg(F.map_from_entries(F.collect_list(F.struct("rank", F.col("value").cast("double").alias("value")))).alias("at"))  # at most six
+    sums = df.agg(F.count(latency).alias("n"), *(F.round(f(latency), 2).alias(f"{n}_ms") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))))
+    value = lambda x: F.element_at("at", x)
+    between = {p: F.when(F.col("n") > 0, value(F.floor(x)) + (x - F.floor(x)) * (value(F.ceil(x)) - value(F.floor(x)))) for p, x in place.items()}
+    got = sums.unionByName(found, allowMissingColumns=True).agg(*(F.first(c, ignorenulls=True).alias(c) for c in (*sums.columns, "at")))
+    return got.select("n", F.round(F.col("n") / seconds, 2).alias("qps"), "avg_ms", "min_ms", "max_ms", *(F.round(c, 2).alias(p) for p, c in between.items()))
 
 
 def ranked_values(df: DataFrame, column: str, ranks: Column) -> DataFrame:

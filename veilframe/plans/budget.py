@@ -31,6 +31,7 @@ class BudgetAccountant:
         self.namespace, self.epsilon, self.delta = namespace, epsilon, delta
         self.spent_epsilon = self.spent_delta = 0.0
         self.history: list[tuple[float, float]] = []
+        self.refused = 0
         self._own = threading.Lock()
 
     @classmethod
@@ -53,6 +54,7 @@ class BudgetAccountant:
         """Charge the ledger; on exhaustion nothing is charged."""
         with self._own:
             if self.spent_epsilon + epsilon > self.epsilon or self.spent_delta + delta > self.delta:
+                self.refused += 1
                 raise BudgetExhausted(f"namespace {self.namespace!r} has {self.epsilon - self.spent_epsilon} epsilon and {self.delta - self.spent_delta} delta left")
             self.spent_epsilon += epsilon
             self.spent_delta += delta

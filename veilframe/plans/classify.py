@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.text import normalised, normalised_text
+from veilframe.functions.text import let, normalised, normalised_text
 from veilframe.plans import matchers, packs
 from veilframe.plans.budget import PrivacyError
 from veilframe.plans.matchers import Field
-from veilframe.plans.model import Composite, Downgrade, Policy, Profile, Rule, Taxonomy
+from veilframe.plans.model import Composite, Downgrade, Policy, Profile, Rule, Standard, Taxonomy
 
 TAG = "struct<level:string,category:string,source:string,confidence:double,rule_id:string>"
 LAYER_RULE, LAYER_NER, LAYER_LLM = "rule", "ner", "llm"
@@ -30,12 +30,6 @@ def _tag(level: str, category: str, source: str, confidence: float, rule: str) -
     return F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule_id"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value`` evaluated once: a bound variable, where a repeated expression would be
-    evaluated at every mention."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
-
-
 @dataclass(frozen=True)
 class Classifier:
     taxonomy: Taxonomy
@@ -113,7 +107,7 @@ class Classifier:
 
     def kept_tags(self, name: Column, value: Column) -> Column:
         """The tags that hit and are not suppressed."""
-        return _let(self.bind(name, value), lambda b: _let(self._tags(b), lambda t: F.array_except(t, self._suppressed(t, b))))
+        return let(self.bind(name, value), lambda b: let(self._tags(b), lambda t: F.array_except(t, self._suppressed(t, b))))
 
     # -- funnel ------------------------------------------------------------------------------------
 
@@ -139,9 +133,9 @@ class Classifier:
             )
 
         def tagged(b: Column) -> Column:
-            return _let(self._tags(b), lambda t: _let(self._suppressed(t, b), lambda g: _let(F.array_except(t, g), lambda k: result(b, g, k))))
+            return let(self._tags(b), lambda t: let(self._suppressed(t, b), lambda g: let(F.array_except(t, g), lambda k: result(b, g, k))))
 
-        return _let(self.bind(name, value), tagged)
+        return let(self.bind(name, value), tagged)
 
     def ner_tags(self, entities: Column, mapping: dict[str, str]) -> Column:
         """Tags of an array<struct<text,label,score>> of entities; a mapping gives "level:category" or a
@@ -238,7 +232,7 @@ class Classifier:
         return r.agg(F.count("*").alias("records"), F.coalesce(best, F.lit(self.taxonomy.default_level)).alias("final_level"), F.max("confidence").alias("confidence"), F.bool_or("needs_review").alias("needs_review"), F.sum("n_tags").alias("n_tags"))
 
 
-def build(domain: str | None = None, standard: str | None = None, semantics: str = "reference", policy: Policy | None = None, profiles: dict[str, Profile] | None = None) -> Classifier:
+def build(domain: str | None = None, standard: str | None = None, semantics: str = "reference", policy: Policy | None = None, profiles: dict[str, Profile] | None = None, standards: dict[str, Standard] | None = None, taxonomies: dict[str, Taxonomy] | None = None) -> Classifier:
     """The classifier of a standard, of a domain, or of the default packs.
 
     Reference semantics: a standard can't be loaded (its taxonomy does not parse), every other engine
@@ -246,31 +240,34 @@ def build(domain: str | None = None, standard: str | None = None, semantics: str
     semantics: taxonomies load as written.
     """
     known = packs.PROFILES if profiles is None else profiles
+    written = packs.TAXONOMIES if taxonomies is None else taxonomies
     for name in (domain, standard):
         if name and not re.fullmatch(r"[\w-]+", name):
             raise PrivacyError(f"not a name: {name!r}")
     composites: tuple[Composite, ...] = ()
     if standard:
-        s = packs.STANDARDS.get(standard)
+        s = (packs.STANDARDS if standards is None else standards).get(standard)
         if s is None or semantics == "reference":
             raise PrivacyError(f"standard {standard!r} can't be loaded")
-        chosen, taxonomy = [known[d] for d in s.domains], packs.TAXONOMIES[s.taxonomy]
+        chosen, taxonomy = [known[d] for d in s.domains], written[s.taxonomy]
         composites = tuple(c for p in chosen for c in p.composites)
     elif domain:
         if domain not in known:
             raise PrivacyError(f"no domain {domain!r}")
-        chosen, taxonomy = [known[domain]], packs.BUILT_IN if semantics == "reference" else _taxonomy_for(known[domain])
+        chosen, taxonomy = [known[domain]], packs.BUILT_IN if semantics == "reference" else _taxonomy_for(known[domain], written)
         composites = known[domain].composites
     else:
         chosen = [known[d] for d in ("general-pii", "medical") if d in known] or [packs.FALLBACK]
-        taxonomy = packs.BUILT_IN if semantics == "reference" else packs.TAXONOMIES["default"]
+        taxonomy = packs.BUILT_IN if semantics == "reference" else written.get("default", packs.BUILT_IN)
     rules = tuple(r for p in chosen for r in p.rules)
     return Classifier(taxonomy, rules, tuple(d for p in chosen for d in p.downgrades), composites, policy or Policy(), semantics)
 
 
-def _taxonomy_for(profile: Profile) -> Taxonomy:
+def _taxonomy_for(profile: Profile, taxonomies: dict[str, Taxonomy]) -> Taxonomy:
+    """The first taxonomy that knows all levels of a profile, the default one before the others."""
     levels = {r.level for r in profile.rules}
-    return next((t for t in packs.TAXONOMIES.values() if levels <= set(t.levels)), packs.TAXONOMIES["default"])
+    order = sorted(taxonomies.values(), key=lambda t: (t.name != "default", t.name))
+    return next((t for t in order if levels <= set(t.levels)), taxonomies.get("default", packs.BUILT_IN))
 
 
 def arbitrate(taxonomy: Taxonomy, rule_level: str | None, model_level: str | None) -> str | None:
@@ -280,6 +277,11 @@ def arbitrate(taxonomy: Taxonomy, rule_level: str | None, model_level: str | Non
     return model_level if taxonomy.rank(model_level) > taxonomy.rank(rule_level) else rule_level
 
 
+def audited(result: DataFrame) -> DataFrame:
+    """A classification result with the time it was made, ``audit_timestamp``."""
+    return result.withColumn("audit_timestamp", F.current_timestamp())
+
+
 def list_standards() -> list[str]:
     return sorted(packs.STANDARDS)
 

@@ -11,8 +11,8 @@ import functools
 import re
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,7 +98,7 @@ def valid(pattern: str) -> bool:
     """Whether the engine's own dialect, that of ``rlike``, accepts a pattern."""
     try:
         SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
     return True
 

@@ -19,10 +19,6 @@ class Taxonomy:
         """The first of the highest-ranked levels; the default level of none."""
         return max(levels, key=self.rank) if levels else self.default_level
 
-    def category_path(self, category: str) -> str:
-        return self.categories.get(category, category)
-
-
 @dataclass(frozen=True)
 class Matcher:
     operator: str

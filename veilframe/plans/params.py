@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import threading
+import time
+import uuid
 from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.operators.stats import ranked_values
@@ -40,34 +45,59 @@ class Context:
     sensitivity_tags: tuple[str, ...] = ()
 
 
+#: Names the file of personalised parameters where no path is given.
+PERSONALISED = "PRIVACY_PERSONALIZED_PROFILE"
+
+
 @dataclass
 class ParameterResolver:
-    """Later layers win: defaults, template, profile, personalised, context, request."""
+    """Later layers win: defaults, template, profile, personalised, request. Personalised parameters are
+    those of the context's namespace: {namespace: {primitive: {name: value}}}."""
 
     profile: dict = field(default_factory=dict)
-    personalised: dict[str, dict] = field(default_factory=dict)
+    personalised: dict[str, dict[str, dict]] = field(default_factory=dict)
     path: str | None = None
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def resolve(self, primitive: str, request: dict | None = None, context: Context | None = None, template: dict | None = None) -> dict:
         out = dict(DEFAULTS.get(primitive, {}))
-        for layer in (template, self.profile.get("primitives", {}).get(primitive), self.personalised.get(primitive), request):
+        own = self.personalised.get((context and context.namespace) or "default", {}).get(primitive)
+        for layer in (template, self.profile.get("primitives", {}).get(primitive), own, request):
             out |= layer or {}
         validate(primitive, out)
         return out
 
-    def save(self, primitive: str, params: dict) -> None:
-        """Keep personalised parameters, in the file too if there is one (JSON)."""
+    def save(self, primitive: str, params: dict, namespace: str = "default") -> None:
+        """Add personalised parameters to those of a namespace, and to the file if there is one, which is
+        replaced as a whole."""
         with self._lock:
-            self.personalised[primitive] = dict(params)
+            self.personalised.setdefault(namespace, {}).setdefault(primitive, {}).update(params)
             if self.path:
-                Path(self.path).write_text(json.dumps(self.personalised, indent=2, sort_keys=True))
+                p = Path(self.path)
+                fresh = p.with_name(f"{p.name}.{uuid.uuid4().hex}")
+                fresh.write_text(_written(p, self.personalised), encoding="utf-8")
+                fresh.replace(p)
 
     @classmethod
-    def load(cls, path: str, profile: dict | None = None) -> ParameterResolver:
-        """A missing file is an empty set of parameters."""
-        p = Path(path)
-        return cls(profile or {}, json.loads(p.read_text()) if p.exists() else {}, path)
+    def load(cls, path: str | None = None, profile: dict | None = None) -> ParameterResolver:
+        """From a JSON or YAML file, by default the one that ``PERSONALISED`` names. A missing file is an empty
+        set of parameters."""
+        path = path or os.environ.get(PERSONALISED)
+        return cls(profile or {}, load_profile(path) if path else {}, path)
+
+
+def _written(path: Path, found: dict) -> str:
+    if path.suffix == ".json":
+        return json.dumps(found, indent=2, sort_keys=True)
+    return _yaml().safe_dump(found, allow_unicode=True)
+
+
+def _yaml():
+    try:
+        import yaml
+    except ImportError as e:
+        raise PrivacyError("YAML files need PyYAML; use JSON") from e
+    return yaml
 
 
 def load_profile(path: str) -> dict:
@@ -75,13 +105,8 @@ def load_profile(path: str) -> dict:
     p = Path(path)
     if not p.exists():
         return {}
-    if p.suffix == ".json":
-        return json.loads(p.read_text())
-    try:
-        import yaml
-    except ImportError as e:
-        raise PrivacyError("YAML profiles need PyYAML; use JSON") from e
-    return yaml.safe_load(p.read_text()) or {}
+    text = p.read_text(encoding="utf-8")
+    return (json.loads(text) if p.suffix == ".json" else _yaml().safe_load(text)) or {}
 
 
 def profile_namespace(profile: dict) -> tuple[str, float, float]:
@@ -124,7 +149,8 @@ def recommend(df: DataFrame, column: str, records: int | None = None) -> DataFra
 
 @dataclass
 class Metrics:
-    """Counters of the driver: operations, budget, classifications and rule hits."""
+    """Counters of the driver: operations, budget spent and refused, classifications and rule hits. What jobs
+    count is added when they end (``watch``)."""
 
     counters: Counter = field(default_factory=Counter)
     seconds: dict[str, list[float]] = field(default_factory=dict)
@@ -135,6 +161,31 @@ class Metrics:
     def timed(self, name: str, value: float) -> None:
         self.seconds.setdefault(name, []).append(value)
 
+    @contextmanager
+    def timer(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.timed(name, time.perf_counter() - began)
+
+    def watch(self, classified: DataFrame, rules: list[str]) -> tuple[DataFrame, Callable[[], None]]:
+        """Classified fields that count themselves as some job reads them, without a pass of their own: fields,
+        levels of review and hits of ``rules``. Call the second result after that job to add its counts."""
+        seen = Observation()
+
+        def of(rule: str) -> Callable[[Column], Column]:
+            return lambda t: t["rule_id"] == rule
+
+        hits = [F.sum(F.size(F.filter("tags", of(r)))).alias(f"rule:{r}") for r in rules]
+        out = classified.observe(seen, F.count(F.lit(1)).alias("fields"), F.count_if(F.col("needs_review")).alias("needs_review"), *hits)
+
+        def add() -> None:
+            for name, n in seen.get.items():
+                self.count(name, n or 0)
+
+        return out, add
+
     def snapshot(self) -> dict:
         return {"counters": dict(self.counters), "seconds": {k: {"n": len(v), "total": sum(v), "max": max(v)} for k, v in self.seconds.items()}}
 

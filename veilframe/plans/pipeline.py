@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import masks
+from veilframe.plans.budget import PrivacyError
 from veilframe.plans.classify import Classifier, build
+from veilframe.sources import ingest
 
 
 def _masked(df: DataFrame, when=None):
@@ -38,3 +40,13 @@ def process_records(df: DataFrame, mask_l4: bool = True, mask_l5: bool = True, d
     c = build(domain or "medical", semantics=semantics)
     wanted = [level for level, flag in (("L4", mask_l4), ("L5", mask_l5)) if flag]
     return df.select(*_masked(df, _levels(df, c, df.columns).isin(wanted)))
+
+
+def run_file(spark: SparkSession, source: str, target: str, pipeline: str = "medical", kind: str = "parquet", **options) -> DataFrame:
+    """A CSV or JSON file through a pipeline ("medical" or "records") into a sink; returns what was written."""
+    run = {"medical": medical_process, "records": process_records}.get(pipeline)
+    if run is None:
+        raise PrivacyError(f"unknown pipeline {pipeline!r}")
+    df = ingest.read_json(spark, source) if source.lower().endswith(".json") else ingest.read_csv(spark, source)
+    ingest.write(run(df, **options), target, kind)
+    return spark.read.csv(target, header=True) if kind == "csv" else spark.read.format(kind).load(target)

@@ -79,10 +79,35 @@ _match("length_range", {"min": "9", "max": 10}, "part", "p_partkey", "p_name", "
 _match("id_card_checksum", {}, "people", "c_custkey", "id_card", f"coalesce({id_card_sql('id_card')}, false)")
 _match("medical_card_checksum", {}, "people", "c_custkey", "mobile_phone", f"coalesce(length({digits_sql('mobile_phone')}) BETWEEN 8 AND 12 AND {luhn_sql(digits_sql('mobile_phone'))}, false)")
 _match("luhn_checksum", {}, "people", "c_custkey", "bank_no", f"coalesce(length({digits_sql('bank_no')}) >= 13 AND {luhn_sql(digits_sql('bank_no'))}, false)")
-_match("date_range", {}, "orders", "o_orderkey", "o_orderpriority", r"coalesce(regexp_matches(o_orderpriority, '\d{4}[-/]\d{2}[-/]\d{2}'), false)")
 _match("value_range", {"max": "40.5"}, "ages", "c_custkey", "age", "coalesce(try_cast(age AS DOUBLE) >= 5e-324 AND try_cast(age AS DOUBLE) <= 40.5, false)")
-_match("field_name_match", {"patterns": ["^C_", "name("]}, "people", "c_custkey", "c_name", "true")
-_match("contains_digit_ratio", {"threshold": 0.3}, "people", "c_custkey", "address", "coalesce(length(address) > 0 AND length(regexp_replace(address, '[^0-9]', '', 'g'))::DOUBLE / length(address) >= 0.3, false)")
+_match("contains_digit_ratio", {"threshold": 0.2}, "people", "c_custkey", "address", "coalesce(length(address) > 0 AND length(regexp_replace(address, '[^0-9]', '', 'g'))::DOUBLE / length(address) >= 0.2, false)")
+
+
+@query("match_date_range", r"""SELECT o_orderkey, coalesce(regexp_matches(note, '\d{4}[-/]\d{2}[-/]\d{2}'), false) AS hit FROM (
+  SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'due ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') || ' noon' WHEN 2 THEN strftime(o_orderdate, '%Y.%m.%d') END AS note FROM orders)""")
+def _(s, d):
+    k, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    note = F.when(k == 0, F.concat(F.lit("due "), F.date_format(day, "yyyy-MM-dd"))).when(k == 1, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" noon"))).when(k == 2, F.date_format(day, "yyyy.MM.dd"))
+    return t(s, d, "orders").select("o_orderkey", matchers.get("date_range")(Field(F.lit("note"), note), {}).alias("hit"))
+
+
+# A name that starts with c_, one that holds what is no pattern, and one by its script.
+@query("match_field_name_match", "SELECT p_partkey, p_partkey % 5 IN (0, 1, 3) AS hit FROM part")
+def _(s, d):
+    name = F.element_at(F.array(*map(F.lit, ("C_name", "my(KEY)", "acct_c_id", "患者姓名", "key"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t(s, d, "part").select("p_partkey", matchers.get("field_name_match")(Field(name, F.col("p_name")), {"patterns": ["^c_", "(key", r"\p{IsHan}{2}"]}).alias("hit"))
+
+
+#: Patterns of the engine's own dialect, by column: classes, named groups, possessive quantifiers, look-behind,
+#: and what is no pattern there.
+_DIALECT = {"letters": r"^\p{Lu}\p{Ll}+\P{L}", "named": r"(?<user>[a-z0-9]+)@(?<host>[a-z]+)", "possessive": r"[a-z]++, [a-z]", "behind": r"(?<=[0-9])[A-Z]", "open": r"(", "foreign": r"(?P<y>[a-z]+)"}
+
+
+@query("match_regex_dialect", r"""SELECT doc_id, coalesce(regexp_matches(text, '^\p{Lu}\p{Ll}+\P{L}'), false) AS letters, coalesce(regexp_matches(text, '[a-z0-9]+@[a-z]+'), false) AS named,
+  coalesce(regexp_matches(text, '[a-z], [a-z]'), false) AS possessive, coalesce(regexp_matches(text, '[0-9][A-Z]'), false) AS behind, false AS open, false AS foreign FROM documents""")
+def _(s, d):
+    f = Field(F.lit("note"), F.col("text"))
+    return t(s, d, "documents").select("doc_id", *(matchers.get("regex")(f, {"pattern": p}).alias(n) for n, p in _DIALECT.items()))
 
 
 @query("match_icd10_range", "SELECT p_partkey, upper(code) >= 'B20' AND upper(code) <= 'B24' OR upper(code) >= 'X1' AS hit FROM (SELECT p_partkey, substr('ABCX', (p_partkey % 4 + 1)::INT, 1) || (p_partkey % 90 + 10) AS code FROM part)")
@@ -95,8 +120,8 @@ def _(s, d):
 # -- classification ----------------------------------------------------------------------------------
 
 
-def field_sql(c: Classifier, source: str, key: str) -> str:
-    """Rules, suppression and level of (key, field, value) rows in SQL."""
+def field_sql(c: Classifier, source: str, key: str, ids: bool = False) -> str:
+    """Rules, suppression and level of (key, field, value) rows in SQL; with ``ids`` also all kept rules."""
     rules = sorted((r for r in c.rules if r.enabled), key=lambda r: -r.priority)
 
     def hit(r: Rule) -> str:
@@ -113,7 +138,7 @@ def field_sql(c: Classifier, source: str, key: str) -> str:
 kept AS (SELECT {key}, field, value, tags, list_filter(tags, lambda x: NOT ({drop})) AS kept FROM tagged)
 SELECT {key} AS record_id, field, len(kept)::INT AS n_tags, (len(tags) - len(kept))::INT AS n_suppressed, kept[1].id AS first_rule,
   coalesce(list_filter(kept, lambda x: x.rank = list_max(list_transform(kept, lambda y: y.rank)))[1].level, '{c.taxonomy.default_level}') AS final_level,
-  coalesce(len(kept) > 1 AND list_max(list_transform(kept, lambda y: y.rank)) - list_min(list_transform(kept, lambda y: y.rank)) > 1, false) AS conflict FROM kept"""
+  coalesce(len(kept) > 1 AND list_max(list_transform(kept, lambda y: y.rank)) - list_min(list_transform(kept, lambda y: y.rank)) > 1, false) AS conflict{", list_transform(kept, lambda x: x.id) AS rule_ids" if ids else ""} FROM kept"""
 
 
 def field_columns(c: Classifier, key: str, name, value) -> list:
@@ -181,15 +206,14 @@ def _(s, d):
     return _PII.classify_records(named_people(s, d), "c_custkey").select("record_id", "final_level", F.col("n_tags").cast("long").alias("n_tags"))
 
 
-@query("classify_table", f"SELECT count(*) AS records, 'L3' AS final_level, 0.95::DOUBLE AS confidence, false AS needs_review, sum(n_tags)::BIGINT AS n_tags FROM ({_record_sql(_PII, _LONG_SQL, 'c_custkey')})")
+@query("classify_table", f"SELECT count(*) AS records, arg_max(final_level, CASE final_level WHEN 'L5' THEN 5 WHEN 'L4' THEN 4 WHEN 'L3' THEN 3 WHEN 'L2' THEN 2 ELSE 1 END * 100000000 - record_id) AS final_level, 0.95::DOUBLE AS confidence, false AS needs_review, sum(n_tags)::BIGINT AS n_tags FROM ({_record_sql(_PII, _LONG_SQL, 'c_custkey')})")
 def _(s, d):
     return _PII.classify_table(people(s, d).select("c_custkey", *_LONG), "c_custkey")
 
 
-@query("rule_hits", f"SELECT first_rule AS rule_id, count(*) AS hits FROM ({field_sql(_PII, _LONG_SQL, 'c_custkey')}) WHERE n_tags = 1 GROUP BY 1")
+@query("rule_hits", f"SELECT rule_id, count(*) AS hits FROM (SELECT unnest(rule_ids) AS rule_id FROM ({field_sql(_PII, _LONG_SQL, 'c_custkey', ids=True)})) GROUP BY 1")
 def _(s, d):
-    c = _PII.classify_fields(people(s, d).select("c_custkey", *_LONG), "c_custkey")
-    return params.rule_hit_counts(c.filter(F.size("tags") == 1))
+    return params.rule_hit_counts(_PII.classify_fields(people(s, d).select("c_custkey", *_LONG), "c_custkey"))
 
 
 @query("level_rollup", f"SELECT final_level, count(*) AS fields FROM ({field_sql(_PII, _LONG_SQL, 'c_custkey')}) GROUP BY 1")
@@ -213,15 +237,19 @@ def _(s, d):
 # -- pipelines ---------------------------------------------------------------------------------------
 
 _MED = classify.build("medical")
-_TEXT_LEVEL = field_sql(_MED, "SELECT doc_id, 'text' AS field, text AS value FROM documents", "doc_id")
+_MED_FIELDS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS field, {c}::VARCHAR AS value FROM documents" for c in ("doc_id", "text", "source"))
 
 
-@query("medical_pipeline", f"SELECT doc_id, {MASK_SQL['default']('text')} AS text, {MASK_SQL['default']('source')} AS source, final_level AS max_level FROM documents JOIN ({_TEXT_LEVEL}) l ON doc_id = record_id")
+@query("medical_pipeline", f"SELECT doc_id, {MASK_SQL['default']('text')} AS text, {MASK_SQL['default']('source')} AS source, l.final_level AS max_level FROM documents JOIN ({_record_sql(_MED, _MED_FIELDS, 'doc_id')}) l ON doc_id = record_id")
 def _(s, d):
-    # The SQL has the level of the text alone: in the supplied tables no id or source meets a rule.
     return pipeline.medical_process(t(s, d, "documents").select("doc_id", "text", "source"))
 
 
+@query("classify_record_medical", _record_sql(_MED, _MED_FIELDS, "doc_id"))
+def _(s, d):
+    return _MED.classify_records(t(s, d, "documents").select("doc_id", "text", "source"), "doc_id", ["doc_id", "text", "source"]).select("record_id", "final_level", F.col("n_tags").cast("long").alias("n_tags"))
+
+
 @query("process_records", f"SELECT c_custkey, {MASK_SQL['name']('c_name')} AS c_name, {MASK_SQL['default']('c_mktsegment')} AS c_mktsegment FROM customer")
 def _(s, d):
     return pipeline.process_records(t(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), mask_l4=True, mask_l5=False)
@@ -245,7 +273,7 @@ def _(s, d):
 
 @query("param_resolve", "SELECT 'dp' AS primitive, 0.5::DOUBLE AS epsilon, 'gaussian' AS mechanism, 7::INT AS k")
 def _(s, d):
-    r = params.ParameterResolver({"primitives": {"dp": {"epsilon": 0.25, "mechanism": "gaussian"}}}, {"k_anonymity": {"k": 7}})
+    r = params.ParameterResolver({"primitives": {"dp": {"epsilon": 0.25, "mechanism": "gaussian"}}}, {"default": {"k_anonymity": {"k": 7}}})
     got, k = r.resolve("dp", {"epsilon": 0.5}), r.resolve("k_anonymity")
     return s.createDataFrame([("dp", got["epsilon"], got["mechanism"], k["k"])], "primitive string, epsilon double, mechanism string, k int")
 
@@ -270,11 +298,11 @@ def _(s, d):
     return ingest.read_json(s, path, multi_line=False)
 
 
-@query("process_file", f"SELECT s_suppkey::VARCHAR AS s_suppkey, {MASK_SQL['name']('s_name')} AS s_name FROM (SELECT s_suppkey, s_name FROM supplier)")
+@query("process_file", f"SELECT {MASK_SQL['default']('k')} AS s_suppkey, {MASK_SQL['name']('s_name')} AS s_name FROM (SELECT s_suppkey::VARCHAR AS k, s_name FROM supplier)")
 def _(s, d):
     # A folder of part files named like an upload.
     path = _stage(s, t(s, d, "supplier").select("s_suppkey", "s_name"), "csv")
-    return ingest.process_file(s, path, "mask_dataframe").select(F.regexp_replace("s_suppkey", r"\*", "").alias("s_suppkey"), "s_name")
+    return ingest.process_file(s, path, "mask_dataframe", limit=None)
 
 
 def _stage(s: SparkSession, df: DataFrame, kind: str) -> str:
@@ -310,11 +338,11 @@ def _(s, d):
 # -- intended semantics ------------------------------------------------------------------------------
 
 
-@query("intended_standard", "SELECT c_custkey AS record_id, 'C4' AS final_level FROM customer")
+# Names that no rule knows, so that only what is a card number by its digits is C4.
+@query("intended_standard", f"SELECT c_custkey AS record_id, CASE WHEN {luhn_sql('bank_no')} THEN 'C4' ELSE 'C3' END AS final_level FROM {PEOPLE} p")
 def _(s, d):
     c = classify.build(standard="jrt0197", semantics="intended")
-    p = people(s, d).select("c_custkey", F.col("bank_no").alias("card_no"), F.col("c_acctbal").cast("string").alias("balance"))
-    return c.classify_records(p, "c_custkey").select("record_id", "final_level")
+    return c.classify_records(people(s, d).select("c_custkey", F.col("bank_no").alias("ref"), F.col("c_mktsegment").alias("segment")), "c_custkey").select("record_id", "final_level")
 
 
 @query("intended_icd10", "SELECT p_partkey, CASE WHEN code BETWEEN 'B20' AND 'B24' OR code BETWEEN 'A50' AND 'A64' OR code BETWEEN 'F20' AND 'F29' OR code BETWEEN 'C00' AND 'C97' THEN true ELSE false END AS hit FROM (SELECT p_partkey, substr('ABCF', (p_partkey % 4 + 1)::INT, 1) || (p_partkey % 90 + 10) AS code FROM part)")

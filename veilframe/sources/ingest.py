@@ -59,14 +59,21 @@ def from_arrow(spark: SparkSession, table: pa.Table | bytes) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def process_file(spark: SparkSession, path: str, op: str, params: dict | None = None, size: int | None = None) -> DataFrame:
-    """An uploaded .csv or .json, masked (``mask_dataframe``) or k-anonymised (``k_anonymize``)."""
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of a folder's files, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def process_file(spark: SparkSession, path: str, op: str, params: dict | None = None, limit: int | None = MAX_UPLOAD) -> DataFrame:
+    """An uploaded .csv or .json of at most ``limit`` bytes (None: any size), masked (``mask_dataframe``) or
+    k-anonymised (``k_anonymize``)."""
     params = params or {}
-    if size is not None and size > MAX_UPLOAD:
-        raise PrivacyError("the file is larger than 10 MiB")
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in (".csv", ".json"):
         raise PrivacyError(f"unsupported file type {suffix!r}")
+    if limit is not None and size_of(spark, path) > limit:
+        raise PrivacyError(f"the file is larger than {limit} bytes")
     df = read_csv(spark, path) if suffix == ".csv" else read_json(spark, path)
     if op == "mask_dataframe":
         return mask_dataframe(df, params.get("columns"))

@@ -39,15 +39,21 @@ def noised(windows: DataFrame, epsilon: float, sensitivity: float, noise: Secure
 
 def release_stream(windows: DataFrame, accountant: BudgetAccountant, epsilon: float, sensitivity: float, sink: Callable[[DataFrame, int], None], keys: tuple[str, ...] = (), noise: SecureNoise | None = None, checkpoint: str | None = None, overlap: int = 1) -> StreamingQuery:
     """Start the query: for each micro-batch with closed windows, spend, draw, write, hand the result to
-    ``sink``. Tumbling windows are disjoint and compose in parallel, so a batch costs epsilon once; with
+    ``sink``. A batch that is run again, as after a restart, is found by its number: what was drawn for it goes to
+    the sink again, without another charge or draw. Tumbling windows are disjoint and compose in parallel, so a batch costs epsilon once; with
     sliding windows an event is in ``overlap`` (window / slide) of them and costs as many times."""
 
+    where = checkpoint or f"{shared_dir(windows.sparkSession)}/veilframe/stream-{accountant.namespace}"
+
     def each(batch: DataFrame, number: int) -> None:
-        closed = persisted(batch, "closed")
-        if closed.isEmpty():
-            return
-        accountant.spend(epsilon * overlap)
-        sink(persisted(noised(closed, epsilon, sensitivity, noise, keys), "release"), number)
+        spark, path = batch.sparkSession, f"{where}/released/{number}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            closed = persisted(batch, "closed")
+            if closed.isEmpty():
+                return
+            accountant.spend(epsilon * overlap)
+            noised(closed, epsilon, sensitivity, noise, keys).write.mode("overwrite").parquet(path)
+        sink(spark.read.parquet(path), number)
 
-    where = checkpoint or f"{shared_dir(windows.sparkSession)}/veilframe/stream-{accountant.namespace}"
     return windows.writeStream.outputMode("append").option("checkpointLocation", where).foreachBatch(each).trigger(availableNow=True).start()
