@@ -6,6 +6,8 @@ import pytest
 from tests.conftest import SMALL
 from corpus_pipeline import near_duplicate_filter
 from tests.llm import brute
+from veilframe.llm import common, near_dedup
+from veilframe.llm import components as components_module
 from veilframe.llm import shingles as sh
 from veilframe.llm.components import components
 from veilframe.llm.near_dedup import keep_one, near_duplicates
@@ -60,6 +62,45 @@ def test_edges(odd_docs, no_docs):
     assert near_duplicates(no_docs, 2).count() == 0 and keep_one(no_docs, near_duplicates(no_docs, 2)).count() == 0
 
 
+def test_an_id_with_several_texts_is_one_node(spark):
+    """It links as any of its texts does, and all its rows share its component."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, b), (7, a), (7, b), (9, a), (9, a), (11, c), (12, c + " end"), (11, d), (15, d), (20, " "), (20, a), (30, None)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()))
+    want = {3: 3, 7: 3, 9: 3, 11: 11, 12: 11, 15: 11}
+    assert got == sorted((i, len(brute.shingles(t, 5)), want.get(i, 3) if brute.shingles(t, 5) else i) for i, t in rows)
+
+
+@pytest.mark.parametrize("by", [None, "x"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_is_a_join(spark, by, how, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 4)
+    rows = spark.createDataFrame([(i % 3 if i < 40 else i, i % 7) for i in range(60)] + [(None, 1)] * 9 + [(99, 1)] * 9, "k int, x int")
+    table = spark.createDataFrame([(i, f"v{i}") for i in (0, 2, 45, 50, 1000)], "k int, v string")
+    hot = common.hubs(rows, "k", rows.count())
+    assert {r["k"] for r in hot.collect()} == {0, 1, 2, 99, None}
+    key = lambda df: sorted(map(str, df.collect()))
+    if by is None or how != "left_semi":
+        assert key(common.spread_join(rows, table, "k", hot, how, by)) == key(rows.join(table, "k", how)) == key(common.spread_join(rows, table, "k", None, how, by))
+    assert common.hubs(rows, "k", 10**9) is None
+
+
+def test_hot_buckets_change_nothing(spark, monkeypatch):
+    """A family large enough to be found hot by the sample, beside pairs and strangers."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(common, "HUB", 8)
+    monkeypatch.setattr(components_module, "HUB", 8)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"{i // 2}v{j}" for j in range(40)) + " end" * (i % 2)) for i in range(20)] + [(200 + i, rows[0][1]) for i in range(30)]
+    assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5)) == brute.near_duplicates(rows, 5)
+
+
 def test_texts_that_share_an_id(spark, odd_docs, no_docs):
     """Another text under the same id is no duplicate of it; copies go, whatever their id."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
+import re
 import sys
-import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,24 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.plans.storage import shared_dir
 
 BATCH = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, read from the session.
-
-    Where it is unset (local tests) a temporary folder is made and set, which local mode may do
-    because driver and executors are one process there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="veilframe-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+HUB, HUBS = 256, 10_000
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,6 +47,35 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hubs(rows: DataFrame, key: str | list[str], total: int) -> DataFrame | None:
+    """(key, parts): the keys that more than 1 in ``HUBS`` of the ``total`` rows share, and at least ``HUB`` rows,
+    with the number of parts to deal each in. At most ``HUBS`` keys, so the table may be broadcast. None if
+    there are none."""
+    limit = max(HUB, total // HUBS)
+    found = materialise(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).withColumn("_parts", F.ceil(F.col("_n") / limit)).drop("_n"), "hubs")
+    return None if found.isEmpty() else found
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner", by: str | None = None) -> DataFrame:
+    """``rows.join(table, key, how)`` that never gathers a hub's rows in one task. ``table`` holds a key once.
+
+    What ``table`` says of hubs (``hot``, from ``hubs``) is broadcast; only other rows are shuffled. With ``by``, for
+    tables of large values, a hub's rows are dealt by that column into parts instead, each with a copy of
+    the table's row.
+    """
+    if hot is None:
+        return rows.join(table, key, how)
+    keys = [key] if isinstance(key, str) else key
+    if by is None:
+        named = F.broadcast(hot.select(*keys))
+        meets = rows.join(named, keys, "left_semi").join(F.broadcast(table.join(named, keys, "left_semi")), keys, how)
+        return meets.unionByName(rows.join(named, keys, "left_anti").join(table, keys, how))
+    parts, one = F.broadcast(hot), F.lit(1).cast("long")
+    left = rows.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", one))).drop("_parts")
+    right = table.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", one) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of at most 1024 rows and about ``limit`` bytes of text; a longer row stands
     alone."""
@@ -78,15 +90,26 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tupl
         yield lo, len(sizes)
 
 
+_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of the session to ``BATCH`` bytes, unless they are smaller already. Plans read the
+    setting when they run, so it stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", spark.conf.get(key).lower())
+    size = int(found[1]) << _UNITS.get(found[2], 0) if found else -1
+    if size <= 0 or size > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, encodes: bool = False) -> DataFrame:
     """``mapInArrow`` with per-task set-up: ``make`` runs once a task and returns the batch function.
 
-    Batches are held to ``BATCH`` bytes in the session, so a batch of long texts stays small. Worker
-    processes are reused: a task that does not encode frees the token cache that an earlier one left.
+    Batches are held to ``BATCH`` bytes, so a batch of long texts stays small. Worker processes are reused: a
+    task that does not encode frees the token cache that an earlier one left.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key, str(BATCH)).rstrip("b")) > BATCH:
-        conf.set(key, str(BATCH))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not encodes and (tokens := sys.modules.get("veilframe.llm.tokens")):
@@ -112,8 +135,3 @@ def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
-
-
-def crc_u32(ids: bytes) -> int:
-    """crc32 of little-endian unsigned 32-bit ids."""
-    return zlib.crc32(ids)

@@ -15,12 +15,16 @@ lead it. Because the result is the components, only sets not yet in one componen
 components against all leaders of those buckets, (3) where components still meet in a bucket, the members
 outside the largest against all sets of the largest and against each other, both packed in blocks. A family of
 n near copies so costs about n confirmations and never emits its pairs, and no qualifying pair that
-meets is left out.
-
-Defined results: null or blank text has the empty set, links with nothing and is its own component.
-Rows with null ids carry a null component and are kept. Exact copies of a set fold into one
-representative (128-bit fingerprint of the sorted set) before anything is indexed. Rows that repeat
-an id share that id's component. Extra columns are ignored.
+meets is left out. Hot buckets, leaders, components and copies are found by counting, and joins deal their rows
+over many tasks (``spread_join``); hot buckets skip the shuffle that drops lone members.
+
+Defined results: null or blank text has the empty set, links with nothing and is its own component, whatever
+other rows have its id. Rows with null ids carry a null component and are kept. Exact copies of a set fold into one
+representative (128-bit fingerprint of the sorted set) before anything is indexed. An id with several texts is
+one node that links as any of them does: its rows share a component. Ties between leaders go to the smaller id.
+Very long texts are hashed whole, a text at a time, with memory of about 40 bytes a byte. Repeated rows come
+out each, an empty table gives no rows. Extra columns are ignored by ``near_duplicates`` and kept by the filters; of
+rows that repeat an id, these keep the one whose content hashes lowest.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilframe.llm import shingles as sh
-from veilframe.llm.common import discard, map_arrow, materialise, text_chunks
+from veilframe.llm.common import HUB, HUBS, discard, hubs, map_arrow, materialise, spread_join, text_chunks
 from veilframe.llm.components import components
 
-HASHES, BITS, CHUNK, LEADERS, PART = 128, 16, 8, 4, 512
+HASHES, BITS, CHUNK, LEADERS, PART, SAMPLE = 128, 16, 8, 4, 512, 64
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
@@ -84,10 +88,18 @@ def _keys(reps: DataFrame) -> DataFrame:
     return map_arrow(reps.select("node", "sig"), make, "key long, node long")
 
 
-def _members(keys: DataFrame) -> DataFrame:
+def _hot_keys(reps: DataFrame, n: int) -> DataFrame:
+    """Keys of large buckets, from one node in ``SAMPLE``: at most ``HUBS`` of them. Which are found decides only
+    how buckets are dealt, not what they hold."""
+    some = _keys(reps.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+    return some.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > max(16, n * HASHES // SAMPLE // HUBS)).select("key")
+
+
+def _members(keys: DataFrame, hot: DataFrame) -> DataFrame:
     """(key, node) of buckets with two members or more.
 
-    Rows arrive sorted by key; a bucket streams through with only its first member held back.
+    Buckets known to be hot have many members and stay where they are. The rows of others arrive sorted
+    by key; a bucket streams through with only its first member held back.
     """
 
     def run(batches):
@@ -107,15 +119,19 @@ def _members(keys: DataFrame) -> DataFrame:
             if take.any():
                 yield pa.record_batch([pa.array(key[take]), pa.array(node[take])], ["key", "node"])
 
-    laid = keys.repartition("key").sortWithinPartitions("key")
-    return laid.mapInArrow(run, "key long, node long")
+    hot = materialise(hot, "hot")
+    if hot.isEmpty():
+        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+    named = F.broadcast(hot)
+    laid = keys.join(named, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    return laid.mapInArrow(run, "key long, node long").unionByName(keys.join(named, "key", "left_semi").select("key", "node"))
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(key, node, c) of the buckets that span components."""
     named = _with_component(members, labels)
     spans = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    return named.join(spans, "key", "left_semi").select("key", "node", "c")
+    return spread_join(named, spans, "key", hot, "left_semi").select("key", "node", "c")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -136,11 +152,14 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that reach ``percent`` of Jaccard similarity on full sets."""
-    na, nb = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = pairs.join(na, "a").join(nb, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    """The (a, b) of ``pairs`` (a written table) that reach ``percent`` of Jaccard similarity on full sets. Many
+    pairs may share an ``a``."""
+    hot = hubs(pairs, "a", pairs.count())
+    na, nb = (sizes.select(F.col("node").alias(x), F.col("lo").alias(f"l{x}"), F.col("hi").alias(f"h{x}")) for x in "ab")
+    # An id with several texts has sets of several sizes.
+    near = spread_join(pairs, na, "a", hot).join(nb, "b").filter((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))).select("a", "b")
     left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    both = near.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    both = spread_join(near, left, "a", hot, by="b").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
@@ -150,9 +169,10 @@ def _with_component(nodes: DataFrame, labels: DataFrame, node: str = "node", com
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different components so far."""
-    both = _with_component(_with_component(pairs, labels, "a", "ca"), labels, "b", "cb")
-    return both.filter("ca <> cb").select("a", "b")
+    """The ``pairs`` (a, b), a written table, whose ends are in different components so far."""
+    named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    both = spread_join(pairs, named("a"), "a", hubs(pairs, "a", pairs.count()), "left").join(named("b"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,7 +206,7 @@ def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return laid.select("c", "node", "set").mapInArrow(run, "c long, ids binary, sizes binary, values binary")
 
 
-def _confirm_blocks(meets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm_blocks(meets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """(a, b) links between the ``meets`` (node, c, w) and the ``nodes`` (node, c, w) of the same c: the
     sets of both sides are packed, and blocks meet blocks."""
 
@@ -212,9 +232,9 @@ def _confirm_blocks(meets: DataFrame, nodes: DataFrame, sets: DataFrame, percent
 
         return each
 
-    wanted = nodes.join(meets.select("c").distinct(), "c", "left_semi")
+    wanted = spread_join(nodes, meets.select("c").distinct(), "c", hot, "left_semi")
     other = _blocks(wanted, sets).select("c", *(F.col(c).alias(f"{c}2") for c in ("ids", "sizes", "values")))
-    both = _blocks(meets, sets).join(other, "c").select("ids", "sizes", "values", "ids2", "sizes2", "values2")
+    both = spread_join(_blocks(meets, sets), other, "c", hot, by="ids").select("ids", "sizes", "values", "ids2", "sizes2", "values2")
     return map_arrow(both, make, "a long, b long")
 
 
@@ -222,58 +242,75 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     feats = materialise(features(docs, k), "features")
     # Empty sets link with nothing: they never enter the index.
-    reps = feats.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.sig").alias("sig"))
+    full = feats.filter("n > 0 AND doc_id IS NOT NULL")
+    reps = full.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"), F.count("*").alias("copies")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.sig").alias("sig"), "copies")
     reps = materialise(reps, "reps")
-    members = materialise(_members(_keys(reps)), "members")
+    n = reps.count()
+    members = materialise(_members(_keys(reps), _hot_keys(reps, n)), "members")
     met = materialise(members.select("node").distinct(), "met")
     sets = materialise(_sets(docs, met, k), "sets")
-    sizes = reps.select("node", "n")
+    sizes = materialise(reps.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
 
+    hot = hubs(members, "key", members.count())
     big = members.groupBy("key").agg(F.count("*").alias("size"))
-    popular = members.join(big, "key").groupBy("node").agg(F.sum("size").alias("meets"))
+    popular = spread_join(members, big, "key", hot).groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = members.join(popular, "node").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), "node"))).filter(F.col("rank") <= LEADERS)
     leaders = materialise(ranked.select("key", F.col("node").alias("a"), "rank"), "leaders")
 
-    stars = members.withColumnRenamed("node", "b").join(leaders.filter("rank = 1").drop("rank"), "key").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    best = stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
-    links = materialise(_confirm(best, sets, sizes, percent), "links")
-    labels = components(links)
-
-    spread = _mixed(members, labels)
-    pairs = spread.select("key", F.col("node").alias("b")).join(leaders.select("key", "a"), "key").filter("a <> b").select("a", "b").distinct()
-    links = materialise(links.unionByName(_confirm(_across(pairs, labels), sets, sizes, percent)), "links")
+    stars = spread_join(members.withColumnRenamed("node", "b"), leaders.filter("rank = 1").drop("rank"), "key", hot).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    best = materialise(stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("x")).select("b", F.col("x.a").alias("a")), "best")
+    links = materialise(_confirm(best, sets, sizes, percent).unionByName(_same_id(full, reps)), "links")
     labels = materialise(components(links), "labels")
 
-    spread = materialise(_mixed(spread.select("key", "node"), labels), "spread")
-    named = _with_component(met, labels)
-    weight = named.groupBy("c").agg(F.count("*").alias("w"))
-    nodes = materialise(named.join(weight, "c").select("node", "c", "w"), "nodes")
-    weight = nodes.select("c", "w").distinct()
-    # Of a mixed bucket, everything outside its largest component is a satellite of that component. Two
-    # members from different components are then a satellite and a member, or two satellites, of one.
-    largest = spread.join(weight, "c").groupBy("key").agg(F.max(F.struct("w", "c")).alias("x")).select("key", F.col("x.c").alias("core"))
-    meets = spread.join(largest, "key").filter("c <> core").select("node", F.col("core").alias("c")).distinct()
-    meets = materialise(meets.join(meets.groupBy("c").agg(F.count("*").alias("w")), "c").select("node", "c", "w"), "meets")
-    nodes = nodes.unionByName(meets)
-    links = links.unionByName(_confirm_blocks(meets, nodes, sets, percent))
+    spread = materialise(_mixed(members, labels, hot), "spread")
+    led = leaders.groupBy("key").agg(F.collect_list("a").alias("all"))  # at most LEADERS a key
+    pairs = spread_join(spread.select("key", F.col("node").alias("b")), led, "key", hot).select("b", F.explode("all").alias("a")).filter("a <> b").distinct()
+    pairs = materialise(pairs, "pairs")
+    across = materialise(_across(pairs, labels), "across")
+    links = materialise(links.unionByName(_confirm(across, sets, sizes, percent)), "links")
     labels = materialise(components(links), "labels")
-    discard(members, leaders, sets, spread, meets)
 
-    named = reps.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    return (
-        feats.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
-        .join(named, ["f1", "f2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    mixed, spread = spread, materialise(_mixed(spread.select("key", "node"), labels, hot), "spread")
+    if not spread.isEmpty():
+        named = materialise(_with_component(met, labels), "named")
+        wide = hubs(named, "c", named.count())
+        weight = named.groupBy("c").agg(F.count("*").alias("w"))
+        nodes = materialise(spread_join(named, weight, "c", wide).select("node", "c", "w"), "nodes")
+        # Of a mixed bucket, everything outside its largest component is a satellite of that component. Two
+        # members from different components are then a satellite and a member, or two satellites, of one.
+        largest = spread_join(spread, weight, "c", wide).groupBy("key").agg(F.max(F.struct("w", "c")).alias("x")).select("key", F.col("x.c").alias("core"))
+        meets = materialise(spread_join(spread, largest, "key", hot).filter("c <> core").select("node", F.col("core").alias("c")).distinct(), "meets")
+        meets = materialise(spread_join(meets, meets.groupBy("c").agg(F.count("*").alias("w")), "c", hubs(meets, "c", meets.count())).select("node", "c", "w"), "meets")
+        links = links.unionByName(_confirm_blocks(meets, nodes.unionByName(meets), sets, percent, wide))
+        labels = materialise(components(links), "labels")
+        discard(named, nodes, meets)
+    discard(members, leaders, sets, sizes, mixed, spread, met, best, pairs, across)
+
+    named = reps.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"), "copies")
+    copied = reps.filter(F.col("copies") > max(HUB, feats.count() // HUBS)).select("f1", "f2")  # at most HUBS sets
+    linked = spread_join(full.select("doc_id", "n", "f1", "f2"), named.drop("copies"), ["f1", "f2"], copied)
+    alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n", "component_id").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _same_id(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) links between the representatives of an id's several sets."""
+    several = materialise(full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).filter("lo <> hi").select("doc_id"), "several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    sets = full.select("doc_id", "f1", "f2").distinct().join(several, "doc_id", "left_semi").join(reps.select("f1", "f2", "node"), ["f1", "f2"])
+    return sets.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their component keeps; of rows repeating an id one stays."""
     kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL")
+    if not named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        row = F.struct(*docs.columns)
+        named = named.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -289,8 +326,9 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     if several.isEmpty():
         return keep_one(docs, near_duplicates(docs, k, percent))
     top = docs.agg(F.max("doc_id")).first()[0]
-    further = versions.join(several, "doc_id").filter("version <> first").select("doc_id", "version").distinct()
+    further = versions.distinct().join(several, "doc_id").filter("version <> first").select("doc_id", "version")
     further = materialise(further.withColumn("own_id", F.monotonically_increasing_id() + F.lit(top + 1)), "further")
     left = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", version.alias("version"))
-    named = left.join(further, ["doc_id", "version"], "left").select("row", "text", F.coalesce("own_id", F.col("doc_id").cast("long")).alias("doc_id"))
+    hot = hubs(versions, ["doc_id", "version"], docs.count())
+    named = spread_join(left, further, ["doc_id", "version"], hot, "left").select("row", "text", F.coalesce("own_id", F.col("doc_id").cast("long")).alias("doc_id"))
     return keep_one(named, near_duplicates(named, k, percent)).select("row.*")
