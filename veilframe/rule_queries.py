@@ -100,11 +100,11 @@ def _(s, d):
 
 #: Patterns of the engine's own dialect, by column: classes, named groups, possessive quantifiers, look-behind,
 #: and what is no pattern there.
-_DIALECT = {"letters": r"^\p{Lu}\p{Ll}+\P{L}", "named": r"(?<user>[a-z0-9]+)@(?<host>[a-z]+)", "possessive": r"[a-z]++, [a-z]", "behind": r"(?<=[0-9])[A-Z]", "open": r"(", "foreign": r"(?P<y>[a-z]+)"}
+_DIALECT = {"letters": r"^\p{Lu}\p{Ll}+\P{L}", "named": r"(?<user>[a-z0-9]+)@(?<host>[a-z]+)", "possessive": r"[a-z]++, [a-z]", "behind": r"(?<=[.]) [A-Z]", "open": r"(", "foreign": r"(?P<y>[a-z]+)"}
 
 
 @query("match_regex_dialect", r"""SELECT doc_id, coalesce(regexp_matches(text, '^\p{Lu}\p{Ll}+\P{L}'), false) AS letters, coalesce(regexp_matches(text, '[a-z0-9]+@[a-z]+'), false) AS named,
-  coalesce(regexp_matches(text, '[a-z], [a-z]'), false) AS possessive, coalesce(regexp_matches(text, '[0-9][A-Z]'), false) AS behind, false AS open, false AS foreign FROM documents""")
+  coalesce(regexp_matches(text, '[a-z], [a-z]'), false) AS possessive, coalesce(regexp_matches(text, '[.] [A-Z]'), false) AS behind, false AS open, false AS foreign FROM documents""")
 def _(s, d):
     f = Field(F.lit("note"), F.col("text"))
     return t(s, d, "documents").select("doc_id", *(matchers.get("regex")(f, {"pattern": p}).alias(n) for n, p in _DIALECT.items()))
