@@ -24,6 +24,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilframe/{name}-{uuid.uuid4().hex}"
 
 
+def as_uri(path: str) -> str:
+    """A path of the shared folder as pyarrow's file systems read it."""
+    if path.startswith("/"):
+        return f"file://{path}"
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the reader over it.
 
@@ -57,19 +64,25 @@ def hubs(rows: DataFrame, key: str | list[str], total: int) -> DataFrame | None:
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner", by: str | None = None) -> DataFrame:
-    """``rows.join(table, key, how)`` that never gathers a hub's rows in one task. ``table`` holds a key once.
+    """``rows.join(table, key, how)`` (inner, left or left_semi) that never gathers a hub's rows in one task.
+    ``table`` holds a key once.
 
-    What ``table`` says of hubs (``hot``, from ``hubs``) is broadcast; only other rows are shuffled. With ``by``, for
-    tables of large values, a hub's rows are dealt by that column into parts instead, each with a copy of
-    the table's row.
+    What ``table`` says of hubs (``hot``, from ``hubs``) is broadcast; their rows keep the task they come from as a
+    part of the key of the join that all other rows need. With ``by``, for tables of large values, a hub's
+    rows are dealt by that column into parts instead, each with a copy of the table's row.
     """
     if hot is None:
         return rows.join(table, key, how)
     keys = [key] if isinstance(key, str) else key
     if by is None:
-        named = F.broadcast(hot.select(*keys))
-        meets = rows.join(named, keys, "left_semi").join(F.broadcast(table.join(named, keys, "left_semi")), keys, how)
-        return meets.unionByName(rows.join(named, keys, "left_anti").join(table, keys, how))
+        values = [c for c in table.columns if c not in keys]
+        known = table.select(*keys, F.struct(F.lit(True).alias("_hit"), *values).alias("_far"))
+        few = F.broadcast(known.join(F.broadcast(hot.select(*keys)), keys, "left_semi").withColumnRenamed("_far", "_near"))
+        named = F.broadcast(hot.select(*keys, F.lit(True).alias("_hub")).join(few, keys, "left"))
+        dealt = rows.join(named, keys, "left").withColumn("_part", F.when(F.col("_hub"), F.spark_partition_id()).otherwise(-1))
+        both = dealt.join(known.withColumn("_part", F.lit(-1)), [*keys, "_part"], "left").withColumn("_v", F.coalesce("_near", "_far"))
+        found = both if how == "left" else both.filter(F.col("_v._hit"))
+        return found.select(*rows.columns, *(F.col(f"_v.{c}").alias(c) for c in values if how != "left_semi"))
     parts, one = F.broadcast(hot), F.lit(1).cast("long")
     left = rows.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", one))).drop("_parts")
     right = table.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", one) - 1))).drop("_parts")

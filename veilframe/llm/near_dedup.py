@@ -39,7 +39,7 @@ from veilframe.llm import shingles as sh
 from veilframe.llm.common import HUB, HUBS, discard, hubs, map_arrow, materialise, spread_join, text_chunks
 from veilframe.llm.components import components
 
-HASHES, BITS, CHUNK, LEADERS, PART, SAMPLE = 128, 16, 8, 4, 512, 64
+HASHES, BITS, CHUNK, LEADERS, PART, SAMPLE = 128, 16, 8, 4, 128, 64
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
