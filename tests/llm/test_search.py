@@ -42,10 +42,11 @@ def best(vectors, k, scale=256):
 def test_top_k(spark, seed, monkeypatch):
     """Small shards and coarse values: many ties, several shards and blocks."""
     monkeypatch.setattr(topk, "SHARD", 64)
-    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "GROUP", 4)
     rng = np.random.default_rng(seed)
     vectors = [(i, (rng.integers(-3, 4, 8) / 4).tolist()) for i in range(300)]
-    vectors += [(400 + i, vectors[7][1]) for i in range(40)] + [(900, None), (901, [1.0, None]), (950, [float("nan")] * 8), (951, []), (1000, [float("inf")] * 8), (None, [1.0] * 8), vectors[3], (1050, [2.0, 3.0]), (1051, [1e6, -1e6])]
+    vectors += [(400 + i, vectors[7][1]) for i in range(40)] + [(900, None), (901, [1.0, None]), (950, [float("nan")] * 8), (951, []), (1000, [float("inf")] * 8), (None, [1.0] * 8), vectors[3], (1050, [2.0, 3.0]), (1051, [1e6, -1e6]), (1052, [-128.0, 127.996]), (1053, [1e12, 1.0])]
+    vectors += [(1100 + i, rng.normal(size=3000).tolist()) for i in (0, 1, 50)]
     df = spark.createDataFrame([(*v, "clash") for v in vectors], "vec_id long, embedding array<double>, score string")
     assert set(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == best(vectors, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -140,6 +141,33 @@ def test_structures():
     assert not secrets.is_der_key(b"") and not secrets.is_der_key(b"0\x84\xff\xff\xff\xff") and not secrets.is_openssh_key(None)
 
 
+def test_structures_in_odd_places():
+    """Keys in paths and wrapped lines, keys under encryption headers, tokens with spaced headers."""
+    for body in (PKCS1, PKCS8):
+        key = b64(body)
+        (found,) = secrets.find_secrets(f"see path/{key}/tail and more")
+        assert found[0] == "der" and f"see path/{key}/tail and more"[found[1] : found[2]].rstrip("=") == key.rstrip("=")
+        wrapped = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+        assert secrets.find_secrets(f"x\n{wrapped}\nrest of it") == [("der", 2, 2 + len(wrapped))]
+        assert kinds(f"x\n{wrapped[:-8]}\nrest of it") == []
+        assert kinds(f"path{key}") == [] and (key.endswith("=") or kinds(f"a/{key}b") == [])
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    armour = lambda h, b: f"-----BEGIN RSA PRIVATE KEY-----\n{h}{b64(b)}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(armour(head.format("AB" * 16), b"\x07" * 64)) == ["pem"]
+    assert kinds(armour(head.format("AB" * 16), b"\x07" * 63)) == kinds(armour(head.format("AB" * 7), b"\x07" * 64)) == kinds(armour("", b"\x07" * 64)) == []
+    assert kinds(armour("Comment: mine\n", PKCS1)) == ["der"]  # headers that name no cipher: the key counts by itself
+    assert kinds(armour("", PKCS1)) == ["pem"]
+    for header in (b'{ "alg": "none"}', b'{\n"alg":"none"}', b'{"alg":"none"}'):
+        assert kinds(f"t {b64(header, True)}.{b64(b'{ }', True)}. end") == ["jwt"]
+    many = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (40).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in [b"p" * 51] * 40 + [b"s" * 136])
+    assert kinds(f"key {b64(many)} end") == ["openssh"]
+    import time
+
+    began = time.perf_counter()
+    assert kinds("MII" * 300_000) == [] and kinds("M/" * 300_000) == [] and kinds("MIIBAgEA\n" * 60_000) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_base_patterns():
     t = "token=token=abcdefgh api_key: 'short' API-KEY=x apikey = \"A1b2C3\" paſſword=abcdefgh AKIA1234 AKIA" + "A" * 16 + " " + "ab" * 12 + " " + "ab" * 11 + "G"
     found = secrets.find_secrets(t)

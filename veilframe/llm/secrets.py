@@ -3,10 +3,14 @@
 Three base patterns report on their own. Base64 and hex candidates are reported only if they decode
 to something with the structure of a secret: a signed token whose header and payload are JSON objects
 and whose header names an algorithm, a DER key whose nested lengths all fit, or an OpenSSH private key
-whose length-prefixed fields all fit.
-
-Defined results: null text is empty and has no spans. Texts are scanned whole. Spans are code points,
-end exclusive, ordered by start, then by ``KINDS``. Extra columns are kept by ``redact``.
+whose length-prefixed fields all fit. A key in PEM armour may have header lines; one that says it is encrypted is
+confirmed by its cipher, initialisation vector and block length. A DER key without armour may stand in a
+path or be wrapped in lines: where its own length says it ends is where it ends.
+
+Defined results: null text is empty and has no spans, an empty table gives no rows. Texts are scanned whole,
+whatever their length, in time that grows with it. Repeated rows come out each. Spans are code points, end
+exclusive, ordered by start, then by ``KINDS``; spans of several kinds may overlap. Extra columns are kept by
+``redact`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -30,9 +34,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{43,}={0,2}")
+# Base64 of a text that starts with a brace: e, then one of the letters and signs for 110000 to 111111.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z][A-Za-z-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_DEK = re.compile(r"^DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{43,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_OPENSSH = "b3BlbnNzaC1rZXktdjEA"  # the magic
+_KEY_START = re.compile(rf"(?<![A-Za-z0-9])(?:M(?=[A-Za-z0-9+/_-])|{_OPENSSH})")
+_LINES = re.compile(r"([A-Za-z0-9+/_-]+)(?:[ \t]*\r?\n[ \t]*)?")
 
 
 def _b64(s: str) -> bytes | None:
@@ -99,7 +109,58 @@ def is_openssh_key(b: bytes | None) -> bool:
         return False
     keys = int.from_bytes(b[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(field() for _ in range(keys + 1))
+    return keys >= 1 and all(field() for _ in range(keys + 1))  # ends at the first that does not fit
+
+
+def is_encrypted_key(headers: str, b: bytes | None) -> bool:
+    """A body under headers that name a cipher: whole cipher blocks, an initialisation vector of a block."""
+    found = _DEK.search(headers)
+    block = 8 if found and "DES" in found[1] else 16
+    return bool(b and found and re.search(r"^Proc-Type:\s*4,ENCRYPTED\s*$", headers, re.M)) and len(found[2]) == 2 * block and len(b) % block == 0
+
+
+def _declared(head: bytes) -> int | None:
+    """Bytes that a DER key with these first bytes must have: a SEQUENCE that starts with a small INTEGER."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    size = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] & 0x80 and not 1 <= size <= 4:
+        return None
+    n = int.from_bytes(head[2 : 2 + size], "big") if size else head[1]
+    at = 2 + size
+    return at + n if head[at : at + 2] == b"\x02\x01" and head[at + 2 : at + 3] <= b"\x02" else None
+
+
+def _bare_key(text: str, start: int) -> tuple[str, int] | None:
+    """(kind, end) of a DER or OpenSSH key in base64 that starts here, in one run or in lines of one length."""
+    if text.startswith(_OPENSSH, start):
+        run = _B64.match(text, start)
+        return ("openssh", run.end()) if run and is_openssh_key(_b64(run[0])) else None
+    wanted = _declared(_b64(text[start : start + 16]) or b"")
+    if wanted is None:
+        return None
+    chars = -(-4 * wanted // 3)
+    if _RUN.fullmatch(text, start, start + chars) and start + chars <= len(text):
+        after = text[start + chars : start + chars + 1]
+        if after and after.isascii() and after.isalnum():
+            return None
+        end, body = start + chars, text[start : start + chars]
+    else:
+        lines, end, held, width = [], start, 0, 0
+        while held < chars:
+            line = _LINES.match(text, end)
+            if not line or width and len(lines[-1]) != width:
+                return None
+            lines.append(line[1])
+            width, held, end = width or len(line[1]), held + len(line[1]), line.end()
+        if held != chars:
+            return None
+        body, end = "".join(lines), line.end(1)
+    if not is_der_key(_b64(body)):
+        return None
+    while text[end : end + 1] == "=" and (end - start) % 4:
+        end += 1
+    return "der", end
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -122,18 +183,23 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+    out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
-        out += [("pem", *m.span()) for m in _PEM.finditer(text) if is_der_key(body := _b64(m[2])) or is_openssh_key(body) or "ENCRYPTED" in m[1] and body and body[0] == 0x30]
+        for m in _PEM.finditer(text):
+            body = _b64(m[3])
+            if is_encrypted_key(m[2], body) if m[2] else is_der_key(body) or is_openssh_key(body) or "ENCRYPTED" in m[1] and body and body[0] == 0x30:
+                out.append(("pem", *m.span()))
     # A DER SEQUENCE starts with the byte 0x30, so with M in base64; the OpenSSH magic with b3Bl.
-    for m in _B64.finditer(text):
-        if text[m.start()] == "M" or text.startswith("b3Bl", m.start()):
-            body = _b64(m[0])
-            if is_openssh_key(body):
-                out.append(("openssh", *m.span()))
-            elif is_der_key(body):
-                out.append(("der", *m.span()))
+    # A key in confirmed armour is not reported again.
+    armoured, at = {p: e for k, s, e in out if k == "pem" for p in range(s, e)} if "PRIVATE KEY-----" in text else {}, 0
+    while start := _KEY_START.search(text, at):
+        if start.start() in armoured:
+            at = armoured[start.start()]
+            continue
+        found = _bare_key(text, start.start())
+        if found:
+            out.append((found[0], start.start(), found[1]))
+        at = found[1] if found else start.end()
     for m in _HEX_ANY.finditer(text):
         if text.startswith("30", m.start()) and is_der_key(bytes.fromhex(m[0])):
             out.append(("der", *m.span()))

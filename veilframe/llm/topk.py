@@ -6,17 +6,17 @@ largest product it can contribute there, its floor the smallest. Terms are taken
 between the two; as many are essential as it takes for a candidate at their floor to stay below the
 threshold (the k-th best score so far) whatever the rest adds. Essential postings are traversed for all candidates; the others are probed, a few terms
 at a time, only for candidates whose score so far plus the remaining bounds still reaches the threshold.
-Ties at the threshold are kept, so the result is exact. Each (query block, shard) pair gives k rows a
-query at most and a ranked merge follows.
+Ties at the threshold are kept, so the result is exact. Each (query group, shard) pair gives k rows a query at most and a ranked merge follows.
 
-Vectors become integers, ``floor(scale * x)`` with x as double. Shards hold at most ``SHARD`` vectors,
-query blocks at most ``BLOCK`` queries; both are made by hash, so their number follows the table and no
-task holds more than a pair of them.
+Vectors become integers, ``floor(scale * x)`` with x as double, kept in the narrowest of 2, 4 and 8 bytes. Shards
+hold about ``SHARD`` vectors, dealt by hash; a shard's vectors and its queries meet in one task, which reads every
+vector once for each ``GROUP`` queries. Queries go to every shard, so what is shuffled is the table for each
+group of queries and the queries for each shard.
 
 Defined results: vectors that are null or empty or hold null or non-finite components take no part. Vectors are
-compared with those of the same length only. A repeated row (same id and vector) counts once; rows with
-a query's id are never its candidates. Rows with null ids take no part. Fewer than k candidates: all of
-them. Extra columns are ignored.
+compared with those of the same length only, whatever their length. A repeated row (same id and vector) counts
+once; rows with a query's id are never its candidates. Ties go to the smaller id. Rows with null ids take no part.
+Fewer than k candidates: all of them; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,33 +26,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_arrow
+from veilframe.llm.common import map_arrow, materialise
 
-SHARD, BLOCK, STEP = 16_384, 1024, 8
+SHARD, GROUP, STEP = 16_384, 65_536, 8
+_KINDS = (np.int16, np.int32, np.int64)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>, dim) of the vectors that take part."""
-    v = F.col("embedding")
-    fit = v.isNotNull() & (F.size(v) > 0) & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ints = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
-    return vectors.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v")).withColumn("dim", F.size("v")).distinct()
+    """(vec_id, dim, v) of the vectors that take part, each once; v are little-endian integers."""
 
+    def make():
+        def each(b: pa.RecordBatch):
+            ids, lists = b.column("vec_id"), b.column("v")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ints = np.floor(flat * scale).astype(np.int64)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            out = []
+            for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                own = ints[lo:hi]
+                most = int(max(own.max(), -own.min() - 1))
+                out.append(own.astype(next(k for k in _KINDS if most <= np.iinfo(k).max)).tobytes())
+            yield pa.record_batch([ids, pa.array(np.diff(ends, prepend=0).astype(np.int32)), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
 
-def _packed(rows: DataFrame, group: str) -> DataFrame:
-    """(dim, group, ids, matrix): the vectors of a group as one matrix, dimension by dimension.
+        return each
 
-    A group has a bounded number of rows by construction.
-    """
+    v = F.col("embedding")
+    fit = v.isNotNull() & (F.size(v) > 0) & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    return map_arrow(rows, make, "vec_id long, dim int, v binary").distinct()
 
-    def run(table: pa.Table) -> pa.Table:
-        n, dim = table.num_rows, table.column("dim")[0].as_py()
-        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-        matrix = table.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(n, dim)[order]
-        ids = table.column("vec_id").to_numpy()[order]
-        return pa.table({"dim": pa.array([dim], pa.int32()), group: [table.column(group)[0].as_py()], "ids": [ids.tobytes()], "matrix": [np.ascontiguousarray(matrix.T).tobytes()]})
 
-    return rows.groupBy("dim", group).applyInArrow(run, f"dim int, {group} long, ids binary, matrix binary")
+def _matrix(v: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """(vectors, dim) of vectors of any width."""
+    blobs = v.to_pylist()
+    out = np.empty((len(blobs), dim), np.int64)
+    width = np.array([len(x) for x in blobs], np.int64) // dim
+    for kind in _KINDS:
+        at = np.flatnonzero(width == np.dtype(kind).itemsize)
+        if len(at):
+            out[at] = np.frombuffer(b"".join([blobs[i] for i in at]), kind).reshape(len(at), dim)
+    return out
 
 
 class Shard:
@@ -111,31 +124,28 @@ class Shard:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of every row where ``is_query`` holds."""
-    rows = quantised(vectors, scale)
+    """(query_id, rank, vec_id, score): the k best candidates of every row where ``is_query`` (of vec_id) holds."""
+    rows = materialise(quantised(vectors, scale), "vectors")
     queries = rows.filter(is_query)
-    sizes = [rows.groupBy("dim").count().agg(F.max("count")).first()[0] or 0, queries.groupBy("dim").count().agg(F.max("count")).first()[0] or 0]
-    shards, blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (SHARD // 2, BLOCK // 2), strict=True))
-    held = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))), "shard")
-    asked = _packed(queries.withColumn("block", F.pmod(F.xxhash64("v", "vec_id"), F.lit(blocks))), "block")
-    asked = asked.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
-    pairs = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, ["dim", "block"])
-    pairs = pairs.repartition(F.col("shard"), F.col("block"), F.col("dim"))
-
-    def make():
-        def each(b: pa.RecordBatch):
-            for dim, ids, matrix, q_ids, q_matrix in zip(*(b.column(c) for c in ("dim", "ids", "matrix", "q_ids", "q_matrix")), strict=True):
-                dim = dim.as_py()
-                ids, matrix, q_ids, q_matrix = (np.frombuffer(x.as_py(), np.int64) for x in (ids, matrix, q_ids, q_matrix))
-                shard, asks = Shard(ids, matrix.reshape(dim, -1)), q_matrix.reshape(dim, -1).T
-                found = [shard.search(np.ascontiguousarray(asks[i]), int(q_ids[i]), k) for i in range(len(q_ids))]
-                sizes = [len(f[0]) for f in found]
-                if sum(sizes):
-                    cols = (np.repeat(q_ids, sizes), *(np.concatenate([f[j] for f in found]) for j in (0, 1)))
-                    yield pa.record_batch([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
-        return each
-
-    found = map_arrow(pairs.select("dim", "ids", "matrix", "q_ids", "q_matrix"), make, "query_id long, vec_id long, score long")
+    most = [df.groupBy("dim").count().agg(F.max("count")).first()[0] or 0 for df in (rows, queries)]
+    # Hashing deals unevenly: parts are made for half as many rows as they may hold.
+    shards, groups = (max(1, -(-n // (size // 2))) for n, size in zip(most, (SHARD, GROUP), strict=True))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    held = rows.withColumn("shard", dealt(shards)).withColumn("part", every(groups))
+    asked = queries.withColumn("part", dealt(groups)).withColumn("shard", every(shards))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+        dim = left.column("dim")[0].as_py()
+        shard = Shard(left.column("vec_id").to_numpy(), np.ascontiguousarray(_matrix(left.column("v"), dim).T))
+        q_ids, asks = right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
+        found = [shard.search(q, int(i), k) for i, q in zip(q_ids, asks, strict=True)]
+        sizes = [len(f[0]) for f in found]
+        return pa.table({"query_id": np.repeat(q_ids, sizes), **{c: np.concatenate([f[j] for f in found]) for j, c in enumerate(("vec_id", "score"))}})
+
+    keys = ("dim", "shard", "part")
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
