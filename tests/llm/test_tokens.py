@@ -100,6 +100,8 @@ def test_elias_fano(steps, base):
     values = np.cumsum(np.array(steps, np.int64)) + base
     ef = tokenbin.EliasFano.from_bytes(tokenbin.EliasFano.encode(values).to_bytes())
     assert [ef.select(i) for i in range(ef.n)] == values.tolist()
+    for lo, hi in ((0, ef.n), (ef.n // 3, ef.n), (0, ef.n // 2), (min(63, ef.n), min(130, ef.n))):
+        assert ef.span(lo, hi).tolist() == values[lo:hi].tolist()
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -112,7 +114,7 @@ def test_elias_fano_is_small():
 def test_token_file():
     ids = [np.array(x, "<u2").tobytes() for x in ([1, 2, 0], [0], [5] * 700 + [0])]
     f = tokenbin.TokenFile(io.BytesIO(tokenbin.encode_file([None, 7, 7], ids, 2)))
-    assert [f.doc_id(i) for i in range(3)] == [None, 7, 7]
+    assert [f.doc_id(i) for i in range(3)] == [None, 7, 7] == f.doc_ids(0, 3) and f.doc_ids(1, 2) == [7] and f.doc_ids(0, 1) == [None]
     assert [f.ids(i).tobytes() for i in (2, 0, 1)] == [ids[2], ids[0], ids[1]]
     with pytest.raises(ValueError):
         tokenbin.TokenFile(io.BytesIO(b"x" * 100))
@@ -127,6 +129,20 @@ def test_op7(spark):
     assert sorted(map(tuple, op7_elias_fano_tokens(spark, SMALL).collect())) == want
 
 
+def test_one_id_for_all(spark, tmp_path):
+    """Rows of one id spread over tasks and files, and starts still run through."""
+    docs = spark.createDataFrame([(5, f"text {i % 50}") for i in range(400)], "doc_id long, text string").repartition(4)
+    path = f"file://{tmp_path}/one"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokenbin.write_tokens(docs, path, BYTE, shard=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["path"].rsplit("/", 1)[1].split("-")[0] for r in manifest.collect()}) > 2
+    got = tokenbin.with_digest(tokenbin.read_tokens(manifest, path)).orderBy("start").collect()
+    assert len(got) == 400 and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+
+
 def test_token_edges(odd_docs, no_docs, tmp_path):
     docs = odd_docs.collect()
     path = f"file://{tmp_path}/t"

@@ -14,8 +14,9 @@ more items mean more blocks, each scanned against all documents.
 Defined results: null or blank documents and items match nothing. An item of fewer than ``k`` words
 is one shingle, the whole sequence, and matches only documents that are that sequence. Items repeated
 with the same id and text count once. Rows repeating a document id are reported once each; a null
-document id is reported as null. Extra columns of the input are ignored by ``contained_items`` and
-kept by ``decontaminate``.
+document id is reported as null. Exactly ``percent`` is contained. Without documents or items there are no
+rows, or all documents stay. A very long document is read whole, alone, with memory of about 40 bytes a byte. Extra
+columns of the input are ignored by ``contained_items`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations

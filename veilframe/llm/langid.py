@@ -2,16 +2,20 @@
 
 Every language has a zstandard raw-content dictionary made of its own text. A text is compressed once
 with each, in pieces so that the dictionary keeps its weight in long texts, and the language with the
-smallest total wins. Case and everything but letters and single spaces are removed first, from
+smallest total wins. Case and everything but letters (``str.isalpha``) and single spaces are removed first, from
 dictionaries and texts alike, so that markup says nothing. Where the two best sizes are closer than
 ``margin`` of the best, ``rejected`` is true; the best language is still named.
 
-Bounds: a dictionary holds at most ``DICTIONARY`` bytes, from at most ``DOCUMENTS`` documents of the
-language in hash order of the id. Whole texts of all documents are classified.
+Bounds of what is learned from: a dictionary holds at most ``DICTIONARY`` bytes, and all together ``TOTAL`` (with more
+than 256 languages each so gets less), from at most ``DOCUMENTS`` documents of the language in hash order of the id. Of
+one document at most ``SHARE`` bytes of letters are learned, in pieces evenly spaced over its whole text, so that
+a few long documents don't fill a dictionary. Whole texts of all documents are classified, in pieces of
+``PIECE`` bytes whatever their length.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected. Equal sizes
 go to the language with more learned documents, then the first by name. Without any learned language
-all is ``und``. Rows with null lang are not learned. Extra columns are ignored.
+all is ``und``, an empty table gives no rows. Rows with null lang are not learned. Repeated rows come out each; in
+learning they count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +32,27 @@ from pyspark.sql import Window
 
 from veilframe.llm.common import map_arrow, text_chunks
 
-DICTIONARY, DOCUMENTS, PIECE, LEVEL = 1 << 18, 400, 1 << 12, 3
+DICTIONARY, TOTAL, DOCUMENTS, SHARE, PIECE, LEVEL = 1 << 18, 1 << 26, 400, 1 << 15, 1 << 12, 3
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+# Word characters that are no letters, such as fractions and circled digits, lie below 0x20000.
+_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_SIGNS}]+")
 
 
 def letters(text: str | None) -> bytes:
     return _OTHER.sub(" ", text or "").strip().lower().encode("utf-8", "replace")
 
 
+def spread(t: bytes, limit: int) -> bytes:
+    """All of ``t``, or ``limit`` bytes of it in pieces that are evenly spaced."""
+    n = limit // PIECE
+    if len(t) <= limit or not n:
+        return t[:limit]
+    starts = [i * (len(t) - PIECE) // max(1, n - 1) for i in range(n)]
+    return b" ".join(t[i : i + PIECE] for i in starts)[:limit]
+
+
 @dataclass
 class Dictionaries:
     names: list[str]  # most learned documents first
@@ -67,24 +82,26 @@ class Classifier:
         return self.names[best], float(1 / odds.sum()), second - sizes[best] < self.margin * sizes[best]
 
 
-def train(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY) -> Dictionaries:
+def train(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY, share: int = SHARE) -> Dictionaries:
     """``docs``: (doc_id, text, lang) that may be learned from."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row a language
+    size = min(size, TOTAL // max(1, len(counts)))
+    share = min(share, size)
     order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
     # A bound on the hash, set for each language to leave about eight times the wanted documents, keeps
     # the ranking small whatever the table's size.
     bound = {k: min(1.0, 8 * documents / n) for k, n in counts.items()}
-    share = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]) if bound else F.lit(None)
+    most = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]) if bound else F.lit(None)
     pick = known.select("doc_id", "lang", order.alias("o"))
     if bound:
-        pick = pick.filter((F.pmod(F.col("o.h"), F.lit(1 << 20)) / float(1 << 20)) <= share[F.col("lang")])
+        pick = pick.filter((F.pmod(F.col("o.h"), F.lit(1 << 20)) / float(1 << 20)) <= most[F.col("lang")])
     pick = pick.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("o.h", F.lit(1 << 20)), "o"))).filter(F.col("r") <= documents).select("doc_id", "lang", "r")
     rows = known.select("doc_id", "lang", F.col("text")).join(F.broadcast(pick), ["doc_id", "lang"])
 
     def make():
         def each(b: pa.RecordBatch):
-            cut = [letters(t)[: size // 8] for t in b.column("text").to_pylist()]
+            cut = [spread(letters(t), share) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("lang"), b.column("r").cast(pa.int32()), pa.array(cut, pa.binary())], ["lang", "r", "t"])
 
         return each

@@ -10,23 +10,28 @@ longest down, each is matched with the longest large item that still fits beside
 from the longest down, go where they leave the smallest gap, new sequences opening only where no gap
 fits. Pieces find their place by their rank among the pieces of their length: a piece's rank is its
 place in its task's files plus the count of that length in earlier tasks, so no length is ever gathered
-in one task.
+in one task. These counts lie in a small file for each task, which whoever places that task's pieces
+reads: token ids are written once and never shuffled, nor are counts broadcast.
 
 Defined results: null text is empty, which is the end id alone; an empty table has no pieces. Rows that
-repeat an id are packed each. Extra columns are ignored. Sequence numbers are dense from 0.
+repeat an id are packed each; among pieces of one length the order of tasks and of rows in them decides, so equal
+rows may change places between runs. A very long text is tokenised whole, a quarter of a megabyte at a time. Extra
+columns are ignored. Sequence numbers are dense from 0.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_arrow, materialise, text_chunks
+from veilframe.llm.common import as_uri, map_arrow, materialise, new_path, text_chunks
 from veilframe.llm.tokens import encoder
 
 END = 0
@@ -145,6 +150,26 @@ def _places(runs: dict[int, list[tuple[int, int, int, int]]]):
     return find
 
 
+def _write_bases(counts: DataFrame) -> str:
+    """A file for each task: lengths, and how many pieces of each the tasks before it have."""
+    path = as_uri(new_path(counts.sparkSession, "bases"))
+
+    def run(table: pa.Table) -> pa.Table:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        task = table.column("task")[0].as_py()
+        temporary = f"{root}/{task}.{uuid.uuid4().hex}"
+        with store.open_output_stream(temporary) as f:
+            f.write(np.stack([table.column(c).to_numpy() for c in ("length", "base")]).astype(np.int64).tobytes())
+        store.move(temporary, f"{root}/{task}.bases")
+        return pa.table({"task": pa.array([task], pa.int32())})
+
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
+    # At most ``capacity`` rows a task.
+    counts.select("task", "length", before.alias("base")).groupBy("task").applyInArrow(run, "task int").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) for every piece; ``ids`` are little-endian
     unsigned 32-bit."""
@@ -153,14 +178,27 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: boo
     counts = materialise(pieces.groupBy("length", "task").agg((F.max("place") + 1).alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
     shared = spark.sparkContext.broadcast(plan(histogram, capacity))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
-    bases = counts.select("length", "task", before.alias("base"))
+    path = _write_bases(counts)
 
     def make():
-        find = _places(shared.value)
+        find, store, root = _places(shared.value), *fs.FileSystem.from_uri(path)
+        bases: dict[int, np.ndarray] = {}
+
+        def base_of(task: int) -> np.ndarray:
+            """The pieces of each length in earlier tasks."""
+            if task not in bases:
+                bases.clear()
+                with store.open_input_file(f"{root}/{task}.bases") as f:
+                    length, n = np.frombuffer(f.read(), np.int64).reshape(2, -1)
+                bases[task] = np.zeros(capacity + 1, np.int64)
+                bases[task][length] = n
+            return bases[task]
 
         def each(b: pa.RecordBatch):
-            length, base, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "base", "place"))
+            length, task, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "task", "place"))
+            base = np.zeros(len(length), np.int64)
+            for t in np.unique(task):
+                base[task == t] = base_of(int(t))[length[task == t]]
             seq, offset = find(length, base + place)
             ids = [np.frombuffer(x, f"<u{w}").astype("<u4").tobytes() for x, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)]
             keep = ("doc_id", "piece", "start", "length")
@@ -168,5 +206,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: boo
 
         return each
 
-    placed = pieces.join(bases, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids", "width", "place", "base")
-    return map_arrow(placed, make, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return map_arrow(pieces, make, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

@@ -10,9 +10,10 @@ Bounds: at most ``SAMPLE`` labelled rows, in hash order of the id, and ``PAIRS``
 used to fit. All documents are scored.
 
 Defined results: null text is empty; an empty text has the all-zero features and a score like any
-other. Several labels of one id count as the highest. With labels of one class or none there are no
-preferences: every score is the share of good labels, or 0.5. Extra columns are kept by ``keep_good``
-and ignored otherwise.
+other, an empty table gives no rows. Several labels of one id count as the highest; of rows that repeat an id
+each is scored, and each is learned from. Equal scores at the threshold are kept. With labels of one class or none
+there are no preferences: every score is the share of good labels, or 0.5. A very long text is read whole, with memory
+of about 30 bytes a byte. Extra columns are kept by ``keep_good`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from veilframe.llm.labelled import first_by_hash, texts_of
 SAMPLE, PAIRS, CUT = 6000, 40_000, 0.3
 
 _PUNCT = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
-_CLASS = np.full(256, 5, np.int64)
+_CLASS = np.full(256, 5, np.uint8)
 _CLASS[:128] = 6
 _CLASS[[0x20, 0x09]] = 0
 _CLASS[[0x0A, 0x0D]] = 1
@@ -47,19 +48,19 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     """(texts, WIDTH) float32."""
     lengths = np.array([0 if t is None else len(t) for t in texts], np.int64)
     codes = _CLASS[np.frombuffer(b"".join(t or b"" for t in texts), np.uint8)]
-    row = np.repeat(np.arange(len(texts)), lengths)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     out = np.zeros((len(texts), WIDTH), np.float32)
     if len(codes):
         same = row[1:] == row[:-1]
-        pair = (row[:-1] * CLASSES * CLASSES + codes[:-1] * CLASSES + codes[1:])[same]
+        pair = (row[:-1] * np.int32(CLASSES * CLASSES) + codes[:-1] * np.int32(CLASSES) + codes[1:])[same]
         counts = np.bincount(pair, minlength=len(texts) * CLASSES * CLASSES).reshape(len(texts), -1)
         out[:, : CLASSES * CLASSES] = np.sqrt(counts / np.maximum(1, lengths - 1)[:, None])
-        words, n = sh.word_hashes(texts)
+        words, n = hashed = sh.word_hashes(texts)
         of = np.repeat(np.arange(len(texts)), n)
         repeated = np.bincount(of[1:][(words[1:] == words[:-1]) & (of[1:] == of[:-1])], minlength=len(texts)) if len(words) > 1 else np.zeros(len(texts))
         some = np.maximum(1, n)
         for j, k in enumerate((1, 3)):
-            out[:, CLASSES * CLASSES + j] = sh.shingle_sets(texts, k)[1] / np.maximum(1, n - k + 1)
+            out[:, CLASSES * CLASSES + j] = sh.shingle_sets(texts, k, hashed)[1] / np.maximum(1, n - k + 1)
         out[:, CLASSES * CLASSES + 2] = repeated / some
         out[:, CLASSES * CLASSES + 3] = np.minimum(lengths / some, 50) / 10
         out[:, CLASSES * CLASSES + 4] = np.log1p(n) / 10

@@ -19,6 +19,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 2**64)
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEEP = 1 << 22  # powers that are kept for later texts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,11 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_P, _PINV)):
+        size = n if n > _KEEP else 1 << (n - 1).bit_length()
+        made = []
+        for base in (_P, _PINV):
             a = np.full(size, base, np.uint64)
             a[0] = 1
-            _pow[i] = np.multiply.accumulate(a)
+            made.append(np.multiply.accumulate(a))
+        if n > _KEEP:
+            return made[0], made[1]
+        _pow[:] = made
     return _pow[0][:n], _pow[1][:n]
 
 
@@ -59,12 +64,13 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(bounds)
 
 
-def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes | None], k: int, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingle hashes of each text, concatenated and ascending, and the set sizes.
 
-    Fewer than ``k`` words: the whole sequence is the one shingle. No words: the empty set.
+    Fewer than ``k`` words: the whole sequence is the one shingle. No words: the empty set. ``hashed`` are the
+    texts' ``word_hashes`` if known.
     """
-    words, counts = word_hashes(texts)
+    words, counts = hashed or word_hashes(texts)
     n = len(words)
     acc = words.copy()
     for j in range(1, k):

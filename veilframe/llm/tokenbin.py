@@ -13,8 +13,12 @@ Writing lays documents out in ascending id, range partitioned, and each task wri
 temporary name before renaming them, so a retried or speculative task leaves the same files. The table
 of files (one row each) is the manifest.
 
-Defined results: null text is empty: the end id alone. Rows with null ids come first; rows that repeat an
-id are kept, in the order of their texts. An empty table gives no files. Extra columns are ignored.
+Reading takes offsets and ids from the sequences' select structure, a block of ``SAMPLE`` values at a time, so no
+64-bit table of a file's documents is ever made.
+
+Defined results: null text is empty: the end id alone. Rows with null ids come first; rows that repeat an id are kept,
+in the order of a hash of their texts. A text of any length is one document; it stands alone in its file if longer
+than ``SHARD`` ids. An empty table gives no files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_arrow, materialise, new_path, text_chunks
+from veilframe.llm.common import as_uri, map_arrow, materialise, new_path, small_batches, text_chunks
 from veilframe.llm.tokens import encoder
 
 END, SHARD, SAMPLE = 0, 4 << 20, 64
@@ -78,11 +82,24 @@ class EliasFano:
             low = chunk >> (first & 7) & ((1 << self.low_bits) - 1)
         return self.base + (high << self.low_bits | low)
 
-    def values(self) -> np.ndarray:
-        """All values at once, for a sequential read."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        return self.base + (high << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+    def block(self, i: int) -> np.ndarray:
+        """The values from the i-th sample to the next: ``select`` for all of them, from the one-bit that the
+        sample names on."""
+        lo, hi = i * SAMPLE, min((i + 1) * SAMPLE, self.n)
+        first = int(self.samples[i]) >> 3
+        last = int(self.samples[i + 1]) // 8 + 1 if i + 1 < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + 8 * first
+        ones = ones[np.searchsorted(ones, int(self.samples[i])) :][: hi - lo]
+        at = lo * self.low_bits >> 3  # whole bytes, as SAMPLE is a multiple of 8
+        bits = np.unpackbits(self.low[at : (hi * self.low_bits + 7) >> 3], count=(hi - lo) * self.low_bits, bitorder="little").reshape(hi - lo, self.low_bits)
+        return self.base + (ones - np.arange(lo, hi) << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """The values lo to hi - 1."""
+        if not 0 <= lo < hi <= self.n:
+            return np.zeros(0, np.int64)
+        first = lo // SAMPLE
+        return np.concatenate([self.block(i) for i in range(first, -(-hi // SAMPLE))])[lo - first * SAMPLE : hi - first * SAMPLE]
 
     def to_bytes(self) -> bytes:
         return _SEQ.pack(self.n, self.base & (1 << 64) - 1, self.low_bits, len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
@@ -118,6 +135,10 @@ class TokenFile:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.nulls else self.docs.select(i - self.nulls)
 
+    def doc_ids(self, lo: int, hi: int) -> list[int | None]:
+        known = self.docs.span(max(0, lo - self.nulls), hi - self.nulls).tolist()
+        return [None] * (hi - lo - len(known)) + known
+
     def bounds(self, i: int) -> tuple[int, int]:
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
@@ -173,15 +194,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
             yield from each(None)
 
     spark = docs.sparkSession
+    small_batches(spark)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
-    laid = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = materialise(laid.mapInArrow(run, "task long, file long, path string, documents long, tokens long"), "manifest")
-    rows, base = [], 0
-    for r in files.orderBy("task", "file").toLocalIterator():  # one row a file
-        rows.append((r["path"], base, r["documents"], r["tokens"]))
-        base += r["tokens"]
-    return spark.createDataFrame(rows, "path string, base long, documents long, tokens long")
+    # Rows of one id are told apart by their text, equal rows by their place, so none fill a range alone.
+    order = ("doc_id", "h", "row")
+    laid = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")).repartitionByRange(*order).sortWithinPartitions(*order)
+    files = materialise(laid.select("doc_id", "text").mapInArrow(run, "task long, file long, path string, documents long, tokens long"), "manifest")
+    # Ids before a file: those of earlier tasks, one row each, and of earlier files of its task.
+    tasks = files.groupBy("task").agg(F.sum("tokens").alias("own"))
+    tasks = tasks.select("task", (F.sum("own").over(Window.orderBy("task")) - F.col("own")).alias("before"))
+    within = F.sum("tokens").over(Window.partitionBy("task").orderBy("file")) - F.col("tokens")
+    return files.withColumn("within", within).join(tasks, "task").select("path", (F.col("before") + F.col("within")).alias("base"), "documents", "tokens")
 
 
 def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
@@ -194,15 +218,16 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
             for name, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with store.open_input_file(name) as source:
                     f = TokenFile(source)
-                    docs = [None] * f.nulls + f.docs.values().tolist()
-                    bounds = np.append(0, f.ends.values())
                     source.seek(f.body)
-                    for lo in range(0, f.documents, 256):
-                        at = bounds[lo : lo + 257]
+                    end = 0
+                    for lo in range(0, f.documents, 4 * SAMPLE):
+                        hi = min(lo + 4 * SAMPLE, f.documents)
+                        at = np.append(end, f.ends.span(lo, hi))
                         ids = np.frombuffer(source.read(int(at[-1] - at[0]) * f.width), f"<u{f.width}").astype("<u4")
-                        cut = pa.array((4 * (at - at[0])).astype(np.int32))
-                        blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, cut.buffers()[1], pa.py_buffer(ids)])
-                        yield pa.record_batch([pa.array(docs[lo : lo + 256], pa.int64()), pa.array(base + at[:-1]), blobs], ["doc_id", "start", "ids"])
+                        cut = pa.array((4 * (at - at[0])).astype(np.int64))
+                        blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, cut.buffers()[1], pa.py_buffer(ids)])
+                        yield pa.record_batch([pa.array(f.doc_ids(lo, hi), pa.int64()), pa.array(base + at[:-1]), blobs.cast(pa.binary())], ["doc_id", "start", "ids"])
+                        end = int(at[-1])
 
         return each
 
@@ -216,9 +241,5 @@ def with_digest(tokens: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, keeps_space: bool = True) -> DataFrame:
     """``docs`` written to a new folder among the shared ones, and read back."""
-    path = new_path(docs.sparkSession, "tokens")
-    if path.startswith("/"):
-        path = f"file://{path}"
-    elif path.startswith("file:/") and not path.startswith("file://"):
-        path = f"file://{path[5:]}"
+    path = as_uri(new_path(docs.sparkSession, "tokens"))
     return read_tokens(write_tokens(docs, path, tokenizer, keeps_space), path)

@@ -16,8 +16,9 @@ shares 7 of 32 minhashes of its features (a similarity of about 0.22) with an ea
 out of the fit: more than half of them on larger tables (README). Whole texts of all documents are scored.
 
 Defined results: null text is empty; a text without words scores the bias alone. Several labels of one
-id count as the highest. Without positives every score is the prior (0 if there are no labels). Extra
-columns are ignored.
+id count as the highest; rows that repeat an id are scored each, and learned from each. Without positives every
+score is the prior (0 if there are no labels). An empty table gives no rows. A very long text is read whole, with memory
+of about 60 bytes a byte. Extra columns are ignored.
 """
 
 from __future__ import annotations
