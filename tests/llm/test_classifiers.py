@@ -1,9 +1,13 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
+from tests.llm import brute
 from veilframe.llm import langid, quality, queries, toxicity
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -49,6 +53,91 @@ def test_language(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.97
 
 
+def plain_quality(text, ranker):
+    """The features by loops over bytes and words, and the score of a weighted sum."""
+    raw = (text or "").encode()
+    kinds = [int(quality._CLASS[b]) for b in raw]
+    x = np.zeros(quality.WIDTH)
+    for a, b in zip(kinds, kinds[1:], strict=False):
+        x[a * quality.CLASSES + b] += 1
+    x = np.sqrt(x / max(1, len(raw) - 1))
+    words, at = brute.words(text), quality.CLASSES**2
+    if raw:
+        n = len(words)
+        x[at] = len(set(words)) / max(1, n)
+        x[at + 1] = len(brute.shingles(text, 3)) / max(1, n - 2)
+        x[at + 2] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n)
+        x[at + 3] = min(len(raw) / max(1, n), 50) / 10
+        x[at + 4] = np.log1p(n) / 10
+    z = ((x - ranker.mean) @ ranker.weights - ranker.threshold) / ranker.scale + np.log(ranker.cut / (1 - ranker.cut))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def plain_toxicity(text, model):
+    """Sum of the weights of the words and word beginnings that a text holds."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+    own = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    seen = set()
+    for word in re.findall(rb"[a-z\x80-\xff]+", low):
+        for j, size in enumerate((0, *toxicity.BEGINNINGS)):
+            if len(word) >= size:
+                (ids, _) = toxicity.feature_ids([word[: size or len(word)]])
+                whole = {int(i) for i in ids}
+                seen |= whole if j == 0 and not size else {i for i in whole if i in own}
+    return seen
+
+
+def plain_language(text, learned, margin=0.02):
+    """One compressor for each language and piece by piece, by the definition."""
+    t = "".join(c if c.isalpha() else " " for c in text or "")
+    t = " ".join(t.split()).lower().encode()
+    if not t:
+        return "und", True
+    sizes = []
+    for c in learned.contents:
+        z = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(z.compress(t[i : i + langid.PIECE])) for i in range(0, len(t), langid.PIECE)))
+    first, second = sorted(sizes)[:2]
+    return learned.names[sizes.index(first)], second - first < margin * first
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    """Whole small table, scored in Spark and by loops with the same learned weights and dictionaries."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ranker = quality.train(docs, quality.learnable(labels, "quality", 5, 0))
+    for r in quality.score(docs, ranker).collect():
+        assert r["score"] == pytest.approx(plain_quality(texts[r["doc_id"]], ranker), abs=1e-4)
+    model = toxicity.train(docs, quality.learnable(labels, "toxic", 4, 2), docs)
+    for r in toxicity.score(docs, model).collect():
+        ids, counts = toxicity.feature_ids([(texts[r["doc_id"]] or "").encode()])
+        own = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+        z = sum(own.get(int(i), 0.0) for i in ids) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4)
+        assert plain_toxicity(texts[r["doc_id"]], model) <= set(ids.tolist())
+    learned = langid.train(docs)
+    for r in langid.classify(docs, learned).collect():
+        assert (r["lang_pred"], r["rejected"]) == plain_language(texts[r["doc_id"]], learned)
+
+
+def test_letters_are_letters():
+    """Numbers of any kind are none, and dictionaries take pieces from all over a long text."""
+    assert langid.letters("a²½①Ⅷ_٣ Zoë9é") == "a zoë é".encode()
+    d = langid.Dictionaries(["a", "b"], [b"lorem ipsum dolor sit amet " * 40, b"the quick brown fox jumps over " * 40])
+    for text in ("²", "½", "① Ⅷ", "12 ٣", "", None, "〇"):
+        assert langid.Classifier(d, 0.02).predict(text) == ("und", 0.0, True)
+    t = bytes(range(256)) * 400
+    got = langid.spread(t, 1 << 15)
+    assert len(got) == 1 << 15 and got[: langid.PIECE] == t[: langid.PIECE] and t[-256:-16] in got and langid.spread(b"abc", 1 << 15) == b"abc"
+
+
+def test_languages_share_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL", 4000)
+    rows = [(i, f"l{i % 8}", " ".join(f"{chr(97 + i % 8)}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}" for j in range(2000))) for i in range(40)]
+    d = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(d.names) == 8 and all(len(c) <= 500 for c in d.contents)
+
+
 def test_ranker():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.WIDTH)).astype(np.float32)
