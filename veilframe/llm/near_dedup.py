@@ -168,13 +168,6 @@ def _with_component(nodes: DataFrame, labels: DataFrame, node: str = "node", com
     return nodes.join(found, node, "left").withColumn(component, F.coalesce(component, node))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b), a written table, whose ends are in different components so far."""
-    named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    both = spread_join(pairs, named("a"), "a", hubs(pairs, "a", pairs.count()), "left").join(named("b"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def _blocks(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, ids, sizes, values): the sets of every component packed into blocks of about 256 kB.
 
@@ -263,10 +256,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = materialise(components(links), "labels")
 
     spread = materialise(_mixed(members, labels, hot), "spread")
-    led = leaders.groupBy("key").agg(F.collect_list("a").alias("all"))  # at most LEADERS a key
-    pairs = spread_join(spread.select("key", F.col("node").alias("b")), led, "key", hot).select("b", F.explode("all").alias("a")).filter("a <> b").distinct()
-    pairs = materialise(pairs, "pairs")
-    across = materialise(_across(pairs, labels), "across")
+    # A member meets the leaders of other components only; at most LEADERS a key.
+    led = _with_component(leaders, labels, "a", "ca").groupBy("key").agg(F.collect_list(F.struct("a", "ca")).alias("all"))
+    others = F.explode(F.filter("all", lambda x: x["ca"] != F.col("c"))).alias("x")
+    across = spread_join(spread.withColumnRenamed("node", "b"), led, "key", hot).select("b", others).select(F.col("x.a").alias("a"), "b").distinct()
+    across = materialise(across, "across")
     links = materialise(links.unionByName(_confirm(across, sets, sizes, percent)), "links")
     labels = materialise(components(links), "labels")
 
@@ -284,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.unionByName(_confirm_blocks(meets, nodes.unionByName(meets), sets, percent, wide))
         labels = materialise(components(links), "labels")
         discard(named, nodes, meets)
-    discard(members, leaders, sets, sizes, mixed, spread, met, best, pairs, across)
+    discard(members, leaders, sets, sizes, mixed, spread, met, best, across)
 
     named = reps.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"), "copies")
     copied = reps.filter(F.col("copies") > max(HUB, feats.count() // HUBS)).select("f1", "f2")  # at most HUBS sets
