@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontam, langid, packing, quality, secrets, tokenbin, topk, toxicity
+from veilframe.llm import audit, chat, decontam, fim, langid, packing, quality, secrets, tokenbin, topk, toxicity, warc
 from veilframe.llm.common import fold
 from veilframe.llm.near_dedup import near_duplicates
 
@@ -98,6 +98,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.page_rows(warc.resolved(warc.round_trip(pages)), pages.schema["page_id"].dataType.simpleString())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -110,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_bradley_terry_quality": op9_bradley_terry_quality,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_warc_reassembly": op12_warc_reassembly,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -225,6 +241,50 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM d LEFT JOIN told USING (r)"""
 
 
+#: Tokens as a list, cut by counting.
+_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d
+), c AS (
+  SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS f FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s"""
+
+_ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN strlen(t) >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(t) >= 1000 AND page_id < top THEN top END AS refers_to
+FROM p"""
+
+#: Every order is walked over the counts of documents by what they fail.
+_AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > low THEN 'E' ELSE '' END AS fails,
+    count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s, o[s] AS own, o[:s - 1] AS before FROM orders, unnest([1, 2, 3, 4, 5]) AS u(s)),
+r AS (
+  SELECT part, o, s, own, coalesce(sum(n) FILTER (translate(fails, before || own, '') = fails), 0) AS kept, coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, before, '') = fails), 0) AS removed,
+    coalesce(sum(n) FILTER (contains(fails, own) AND translate(fails, before, '') <> fails), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (contains(fails, own) AND translate(fails, before, '') = fails), 0) AS good_lost, coalesce(sum(bad) FILTER (contains(fails, own) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM f, steps GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": _NEAR,
@@ -232,4 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_maxscore_top_k": _TOP_K,
         "op8_secret_scan": _SECRETS,
         "op10_benchmark_decontamination": _DECONTAMINATION,
+        "op11_fill_in_middle": _MIDDLE,
+        "op12_warc_reassembly": _ARCHIVES,
+        "op13_filter_audit": _AUDIT,
     }
