@@ -5,10 +5,11 @@ to something with the structure of a secret: a signed token whose header and pay
 and whose header names an algorithm, a DER key whose nested lengths all fit, or an OpenSSH private key
 whose length-prefixed fields all fit. A key in PEM armour may have header lines; one that says it is encrypted is
 confirmed by its cipher, initialisation vector and block length. A DER key without armour may stand in a
-path or be wrapped in lines: where its own length says it ends is where it ends.
+path or be wrapped in lines: where its own length says it ends is where it ends. A sequence of more than ``ELEMENTS``
+elements and an OpenSSH file of more than ``KEYS`` keys are no key; armour has at most 16 header lines.
 
 Defined results: null text is empty and has no spans, an empty table gives no rows. Texts are scanned whole,
-whatever their length, in time that grows with it. Repeated rows come out each. Spans are code points, end
+whatever their length, in time in proportion to it for hostile texts too. Repeated rows come out each. Spans are code points, end
 exclusive, ordered by start, then by ``KINDS``; spans of several kinds may overlap. Extra columns are kept by
 ``redact`` and ignored otherwise.
 """
@@ -19,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,13 +38,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 # Base64 of a text that starts with a brace: e, then one of the letters and signs for 110000 to 111111.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z][A-Za-z-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Nothing is matched twice: a body starts at no white space and stops at the first dash, headers are few and short.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z][A-Za-z-]{0,99}+:[^\n]{0,998}+\n){0,16}+)([A-Za-z0-9+/=\s]++)-----END \1-----")
 _DEK = re.compile(r"^DEK-Info:\s*([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{43,}={0,2}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*")
 _OPENSSH = "b3BlbnNzaC1rZXktdjEA"  # the magic
-_KEY_START = re.compile(rf"(?<![A-Za-z0-9])(?:M(?=[A-Za-z0-9+/_-])|{_OPENSSH})")
-_LINES = re.compile(r"([A-Za-z0-9+/_-]+)(?:[ \t]*\r?\n[ \t]*)?")
+_KEY_START = re.compile(rf"(?<![A-Za-z0-9])(?:M(?=[A-P])|{_OPENSSH})")
+_BREAK = re.compile(r"[ \t]*+\r?\n[ \t]*+")
+#: Elements of a key's sequences and keys of an OpenSSH file, at most. Real ones have no more than 11 and 1.
+ELEMENTS, KEYS = 32, 64
 
 
 def _b64(s: str) -> bytes | None:
@@ -53,63 +57,79 @@ def _b64(s: str) -> bytes | None:
         return None
 
 
-def _der_items(b: bytes) -> list[tuple[int, bytes]] | None:
-    """The (tag, content) elements that fill ``b`` exactly; None if the lengths don't fit."""
-    out, at = [], 0
-    while at < len(b):
-        if at + 2 > len(b):
+def _elements(at: Callable[[int, int], bytes], lo: int, hi: int) -> list[tuple[int, int, int]] | None:
+    """The (tag, start, end) of the DER elements that fill bytes ``lo`` to ``hi`` exactly, read through
+    ``at(offset, length)``; None if the lengths don't fit or there are too many. Contents are not read."""
+    out = []
+    while lo < hi:
+        head = at(lo, min(6, hi - lo))
+        if len(head) < 2 or len(out) == ELEMENTS:
             return None
-        tag, n, at = b[at], b[at + 1], at + 2
+        tag, n, lo = head[0], head[1], lo + 2
         if n & 0x80:
             size = n & 0x7F
-            if not 1 <= size <= 4 or at + size > len(b):
+            if not 1 <= size <= 4 or len(head) < 2 + size:
                 return None
-            n, at = int.from_bytes(b[at : at + size], "big"), at + size
-        if at + n > len(b):
+            n, lo = int.from_bytes(head[2 : 2 + size], "big"), lo + size
+        if lo + n > hi:
             return None
-        out.append((tag, b[at : at + n]))
-        at += n
+        out.append((tag, lo, lo + n))
+        lo += n
     return out
 
 
-def is_der_key(b: bytes | None) -> bool:
+def _is_der_key(at: Callable[[int, int], bytes], size: int) -> bool:
     """One SEQUENCE that starts with a small version INTEGER and holds key material: PKCS#1 (all
     INTEGERs), SEC1 (an OCTET STRING next) or PKCS#8 (an algorithm SEQUENCE with an OID next)."""
-    outer = _der_items(b) if b and b[0] == 0x30 else None
-    inner = _der_items(outer[0][1]) if outer and len(outer) == 1 else None
-    if not inner or len(inner) < 3 and [t for t, _ in inner] != [0x02, 0x04]:
+    outer = _elements(at, 0, size)
+    inner = _elements(at, *outer[0][1:]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not inner or len(inner) < 3 and [t for t, _, _ in inner] != [0x02, 0x04]:
         return False
-    if inner[0][0] != 0x02 or len(inner[0][1]) != 1 or inner[0][1][0] > 2:
+    tag, lo, hi = inner[0]
+    if tag != 0x02 or hi - lo != 1 or at(lo, 1)[0] > 2:
         return False
-    if inner[1][0] == 0x02:
-        return len(inner) >= 6 and all(t == 0x02 and c for t, c in inner)
-    if inner[1][0] == 0x04:
-        return len(inner[1][1]) >= 16
-    algorithm = _der_items(inner[1][1]) if inner[1][0] == 0x30 else None
-    return bool(algorithm) and algorithm[0][0] == 0x06 and inner[2][0] == 0x04 and bool(inner[2][1])
+    tag, lo, hi = inner[1]
+    if tag == 0x02:
+        return len(inner) >= 6 and all(t == 0x02 and e > s for t, s, e in inner)
+    if tag == 0x04:
+        return hi - lo >= 16
+    algorithm = _elements(at, lo, hi) if tag == 0x30 else None
+    return bool(algorithm) and algorithm[0][0] == 0x06 and inner[2][0] == 0x04 and inner[2][2] > inner[2][1]
 
 
-def is_openssh_key(b: bytes | None) -> bool:
+def is_der_key(b: bytes | None) -> bool:
+    return bool(b) and _is_der_key(lambda o, n: b[o : o + n], len(b))
+
+
+def _is_openssh_key(at: Callable[[int, int], bytes], size: int) -> bool:
     """The magic, then cipher, kdf and kdf options, a key count, and that many public blobs and a
     private blob, each inside its length prefix."""
     magic = b"openssh-key-v1\0"
-    if not b or not b.startswith(magic):
+    if at(0, len(magic)) != magic:
+        return False
+    place = len(magic)
+
+    def number() -> int:
+        nonlocal place
+        place += 4
+        return int.from_bytes(at(place - 4, 4), "big") if place <= size else size
+
+    for _ in range(3):
+        n = number()  # moves the place
+        place += n
+    keys = number()
+    if place > size or not 1 <= keys <= KEYS:
         return False
-    at = len(magic)
+    for _ in range(keys + 1):
+        n = number()
+        place += n
+        if not n or place > size:
+            return False
+    return True
 
-    def field() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(b):
-            return None
-        n = int.from_bytes(b[at : at + 4], "big")
-        at += 4 + n
-        return b[at - n : at] if at <= len(b) else None
 
-    if any(field() is None for _ in range(3)) or at + 4 > len(b):
-        return False
-    keys = int.from_bytes(b[at : at + 4], "big")
-    at += 4
-    return keys >= 1 and all(field() for _ in range(keys + 1))  # ends at the first that does not fit
+def is_openssh_key(b: bytes | None) -> bool:
+    return bool(b) and _is_openssh_key(lambda o, n: b[o : o + n], len(b))
 
 
 def is_encrypted_key(headers: str, b: bytes | None) -> bool:
@@ -131,36 +151,95 @@ def _declared(head: bytes) -> int | None:
     return at + n if head[at : at + 2] == b"\x02\x01" and head[at + 2 : at + 3] <= b"\x02" else None
 
 
-def _bare_key(text: str, start: int) -> tuple[str, int] | None:
-    """(kind, end) of a DER or OpenSSH key in base64 that starts here, in one run or in lines of one length."""
-    if text.startswith(_OPENSSH, start):
-        run = _B64.match(text, start)
-        return ("openssh", run.end()) if run and is_openssh_key(_b64(run[0])) else None
-    wanted = _declared(_b64(text[start : start + 16]) or b"")
-    if wanted is None:
-        return None
-    chars = -(-4 * wanted // 3)
-    if _RUN.fullmatch(text, start, start + chars) and start + chars <= len(text):
-        after = text[start + chars : start + chars + 1]
-        if after and after.isascii() and after.isalnum():
+class _Bare:
+    """Keys in base64 without armour. Where runs, lines and breaks of a text end is found once, and of a
+    candidate only the headers are decoded, so many false starts cost no more than their number."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run = (0, 0)
+        self.breaks: dict[int, int | None] = {}
+        self.lines: dict[int, tuple[int, int]] = {}  # of a line's start: its run of equal lines, its place there
+        self.equal: list[tuple[int, list[int], tuple[int, int]]] = []  # width, starts, (start, width) of the line after
+
+    def run_end(self, at: int) -> int:
+        if not self.run[0] <= at < self.run[1]:
+            self.run = (at, _RUN.match(self.text, at).end())
+        return self.run[1]
+
+    def next_line(self, end: int) -> int | None:
+        if end not in self.breaks:
+            found = _BREAK.match(self.text, end)
+            self.breaks[end] = found and found.end()
+        return self.breaks[end]
+
+    def equal_lines(self, at: int) -> tuple[int, list[int], tuple[int, int], int]:
+        """The lines as wide as the one that starts here, from it on, and its place among them."""
+        if at not in self.lines:
+            width, starts, line, wide = self.run_end(at) - at, [], at, 0
+            while line is not None and (wide := self.run_end(line) - line) == width and width:
+                self.lines[line] = (len(self.equal), len(starts))
+                starts.append(line)
+                line = self.next_line(line + wide)
+            self.lines.setdefault(at, (len(self.equal), 0))
+            self.equal.append((width, starts, (-1, 0) if line is None else (line, wide)))
+        group, place = self.lines[at]
+        return (*self.equal[group], place)
+
+    def key(self, start: int) -> tuple[str, int] | None:
+        """(kind, end) of a DER or OpenSSH key that starts here, in one run or in lines of one length."""
+        text = self.text
+        if text.startswith(_OPENSSH, start):
+            end = self.run_end(start)
+            size = 3 * (end - start) // 4
+            if end - start < 43 or (end - start) % 4 == 1 or not _is_openssh_key(self.reader(end - start, lambda _: start, end - start), size):
+                return None
+            return "openssh", end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+        wanted = _declared(_b64(text[start : start + 16]) or b"")
+        chars = wanted and -(-4 * wanted // 3)
+        if wanted is None or start + chars > len(text):
             return None
-        end, body = start + chars, text[start : start + chars]
-    else:
-        lines, end, held, width = [], start, 0, 0
-        while held < chars:
-            line = _LINES.match(text, end)
-            if not line or width and len(lines[-1]) != width:
+        width = self.run_end(start) - start
+        if width >= chars:
+            end, line = start + chars, lambda _: start
+            if text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                return None
+            width = chars
+        else:
+            whole, rest = divmod(chars - 1, width)  # lines before the last, of the first one's width
+            rest += 1
+            second = self.next_line(start + width)
+            if second is None:
+                return None
+            wide, starts, after, place = self.equal_lines(second)
+            if whole > 1 and wide != width:
                 return None
-            lines.append(line[1])
-            width, held, end = width or len(line[1]), held + len(line[1]), line.end()
-        if held != chars:
+            # The line after the first and ``whole - 1`` more: one of the equal lines, or what follows them.
+            at = place + whole - 1
+            last, own = (starts[at], wide) if at < len(starts) else after if at == len(starts) else (-1, 0)
+            if last < 0 or own != rest:
+                return None
+            end, line = last + rest, lambda i: start if not i else starts[place + i - 1] if place + i - 1 < len(starts) else after[0]
+        if not _is_der_key(self.reader(width, line, chars), wanted):
             return None
-        body, end = "".join(lines), line.end(1)
-    if not is_der_key(_b64(body)):
-        return None
-    while text[end : end + 1] == "=" and (end - start) % 4:
-        end += 1
-    return "der", end
+        for _ in range(-chars % 4):
+            end += text[end : end + 1] == "="
+        return "der", end
+
+    def reader(self, width: int, line: Callable[[int], int], chars: int) -> Callable[[int, int], bytes]:
+        """Bytes of a body whose lines, of ``width`` characters, start at ``line(i)``."""
+
+        def at(offset: int, n: int) -> bytes:
+            lo, hi = offset // 3 * 4, min(chars, -(-(offset + n) // 3) * 4)
+            parts = []
+            while lo < hi:
+                i, skip = divmod(lo, width)
+                take = min(hi - lo, width - skip)
+                parts.append(self.text[line(i) + skip : line(i) + skip + take])
+                lo += take
+            return (_b64("".join(parts)) or b"")[offset % 3 : offset % 3 + n]
+
+        return at
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -192,11 +271,12 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     # A DER SEQUENCE starts with the byte 0x30, so with M in base64; the OpenSSH magic with b3Bl.
     # A key in confirmed armour is not reported again.
     armoured, at = {p: e for k, s, e in out if k == "pem" for p in range(s, e)} if "PRIVATE KEY-----" in text else {}, 0
+    bare = _Bare(text)
     while start := _KEY_START.search(text, at):
         if start.start() in armoured:
             at = armoured[start.start()]
             continue
-        found = _bare_key(text, start.start())
+        found = bare.key(start.start())
         if found:
             out.append((found[0], start.start(), found[1]))
         at = found[1] if found else start.end()
