@@ -206,3 +206,37 @@ def test_fold(spark):
 
     got = [r["f"] for r in spark.range(50).select(fold(F.col("id"), 4).alias("f")).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 4 for i in range(50)]
+
+
+def crowd(spark, n=5000):
+    """``n`` rows of one id among 40 documents."""
+    rows = [(7, f"the same words again {i % 3}", "en") for i in range(n)] + [(100 + i, f"{'les mots' if i % 2 else 'some words'} of number{i} and more", "fr" if i % 2 else "en") for i in range(40)]
+    return spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, label string").repartition(4)
+
+
+def test_rows_that_repeat_an_id_are_learned_once(spark, monkeypatch):
+    """Fits see a row an id, and so no more rows than their bounds say."""
+    docs = crowd(spark)
+    labels = spark.createDataFrame([(7, 1), (7, 0), *((100 + i, i % 2) for i in range(40))], "doc_id long, label int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.update(p=len(p[1]), u=len(u[1])))
+    toxicity.train(docs, labels, docs, unlabelled=30)
+    assert seen == {"p": 21, "u": 30}
+    toxicity.train(docs, labels, docs)
+    assert seen == {"p": 21, "u": 41}
+    monkeypatch.setattr(quality, "fit", lambda x, good: seen.update(x=len(x), good=int(good.sum())))
+    quality.train(docs, labels)
+    assert seen["x"] == 41 and seen["good"] == 21
+    learned = langid.train(docs)
+    assert learned.names == ["en", "fr"] and learned.contents[0].count(b"again") == 1 and learned.contents[0].count(b"number") == 20
+
+
+def test_dictionaries_take_what_fits(spark):
+    """The same bytes as a plain loop over documents in hash order, whatever is cut."""
+    docs = crowd(spark, 1)
+    order = [r["doc_id"] for r in docs.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").collect()]
+    texts = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect()}
+    for size in (1 << 18, 200, 10, 5):
+        want = {k: b" ".join(langid.spread(langid.letters(t), min(size, langid.SHARE)) for i in order for lang, t in (texts[i],) if lang == k)[:size] for k in ("en", "fr")}
+        got = langid.train(docs, size=size)
+        assert dict(zip(got.names, got.contents, strict=True)) == {k: v for k, v in want.items() if len(v) >= langid.LEAST}

@@ -71,6 +71,23 @@ def test_an_id_with_several_texts_is_one_node(spark):
     assert got == sorted((i, len(brute.shingles(t, 5)), want.get(i, 3) if brute.shingles(t, 5) else i) for i, t in rows)
 
 
+def test_rows_that_repeat_an_id_and_text_are_compared_once(spark, monkeypatch):
+    """2000 rows of each of two near ids, in many tasks: three sets are written, and one comparison is made."""
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(3, a)] * 2000 + [(7, a + " end")] * 2000 + [(9, a + " tail")]
+    sizes, plain = {}, near_dedup.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 3, 2000), (7, 3, 2000), (9, 3, 1)]
+    assert sizes["sets"] == 3 and sizes["every_set"] <= 33 and sizes["links"] == 2
+
+
 @pytest.mark.parametrize("by", [None, "x"])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_spread_join_is_a_join(spark, by, how, monkeypatch):

@@ -14,8 +14,9 @@ a few long documents don't fill a dictionary. Whole texts of all documents are c
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected. Equal sizes
 go to the language with more learned documents, then the first by name. Without any learned language
-all is ``und``, an empty table gives no rows. Rows with null lang are not learned. Repeated rows come out each; in
-learning they count each. Extra columns are ignored.
+all is ``und``, an empty table gives no rows. Rows with null lang, id or text are not learned, nor are languages with less
+than ``LEAST`` bytes of letters. Repeated rows come out each; of rows that repeat an id and language one is learned, that
+whose text hashes lowest. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Window
 
 from veilframe.llm.common import map_arrow, text_chunks
 
-DICTIONARY, TOTAL, DOCUMENTS, SHARE, PIECE, LEVEL = 1 << 18, 1 << 26, 400, 1 << 15, 1 << 12, 3
+DICTIONARY, TOTAL, DOCUMENTS, SHARE, PIECE, LEVEL, LEAST = 1 << 18, 1 << 26, 400, 1 << 15, 1 << 12, 3, 8
 UNKNOWN = "und"
 
 # Word characters that are no letters, such as fractions and circled digits, lie below 0x20000.
@@ -84,20 +85,22 @@ class Classifier:
 
 def train(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY, share: int = SHARE) -> Dictionaries:
     """``docs``: (doc_id, text, lang) that may be learned from."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row a language
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # One row a language.
+    counts = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("ids")).collect()}
     size = min(size, TOTAL // max(1, len(counts)))
     share = min(share, size)
-    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
+    order = F.struct(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"), F.col("doc_id"))
     # A bound on the hash, set for each language to leave about eight times the wanted documents, keeps
     # the ranking small whatever the table's size.
-    bound = {k: min(1.0, 8 * documents / n) for k, n in counts.items()}
-    most = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]) if bound else F.lit(None)
+    bound = {k: min(1.0, 8 * documents / r["ids"]) for k, r in counts.items()}
     pick = known.select("doc_id", "lang", order.alias("o"))
     if bound:
-        pick = pick.filter((F.pmod(F.col("o.h"), F.lit(1 << 20)) / float(1 << 20)) <= most[F.col("lang")])
-    pick = pick.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("o.h", F.lit(1 << 20)), "o"))).filter(F.col("r") <= documents).select("doc_id", "lang", "r")
-    rows = known.select("doc_id", "lang", F.col("text")).join(F.broadcast(pick), ["doc_id", "lang"])
+        most = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])
+        pick = pick.filter(F.col("o.h") / float(1 << 20) <= most[F.col("lang")])
+    pick = pick.distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("r") <= documents).select("doc_id", "lang", "r")
+    found = known.select("doc_id", "lang", "text").join(F.broadcast(pick), ["doc_id", "lang"])
+    rows = found.groupBy("lang", "r").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
         def each(b: pa.RecordBatch):
@@ -106,14 +109,15 @@ def train(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY, s
 
         return each
 
-    got = map_arrow(rows.select("lang", "r", "text"), make, "lang string, r int, t binary").collect()
-    names = sorted(counts, key=lambda k: (-counts[k], k))
-    contents = []
-    for name in names:
-        own = b" ".join(bytes(r["t"]) for r in sorted((r for r in got if r["lang"] == name), key=lambda r: (r["r"], bytes(r["t"]))))
-        contents.append(own[:size])
-    keep = [i for i, c in enumerate(contents) if len(c) >= 8]
-    return Dictionaries([names[i] for i in keep], [contents[i] for i in keep])
+    # A language's documents as far as they fill its dictionary, which is all that the driver gets.
+    learned = map_arrow(rows, make, "lang string, r int, t binary")
+    before = F.sum(F.octet_length("t") + 1).over(Window.partitionBy("lang").orderBy("r")) - F.octet_length("t") - 1
+    parts: dict[str, list[bytes]] = {}
+    for r in learned.withColumn("before", before).filter(F.col("before") < size).orderBy("lang", "r").select("lang", "t").collect():
+        parts.setdefault(r["lang"], []).append(bytes(r["t"]))
+    contents = {k: b" ".join(v)[:size] for k, v in parts.items()}
+    names = sorted((k for k, c in contents.items() if len(c) >= LEAST), key=lambda k: (-counts[k]["rows"], k))
+    return Dictionaries(names, [contents[k] for k in names])
 
 
 def classify(docs: DataFrame, learned: Dictionaries, margin: float = 0.02) -> DataFrame:

@@ -21,7 +21,8 @@ over many tasks (``spread_join``); hot buckets skip the shuffle that drops lone
 Defined results: null or blank text has the empty set, links with nothing and is its own component, whatever
 other rows have its id. Rows with null ids carry a null component and are kept. Exact copies of a set fold into one
 representative (128-bit fingerprint of the sorted set) before anything is indexed. An id with several texts is
-one node that links as any of them does: its rows share a component. Ties between leaders go to the smaller id.
+one node that links as any of them does: its rows share a component, and its different sets are compared each. Rows that
+repeat an id and set are compared once. Ties between leaders go to the smaller id.
 Very long texts are hashed whole, a text at a time, with memory of about 40 bytes a byte. Repeated rows come
 out each, an empty table gives no rows. Extra columns are ignored by ``near_duplicates`` and kept by the filters; of
 rows that repeat an id, these keep the one whose content hashes lowest.
@@ -29,6 +30,8 @@ rows that repeat an id, these keep the one whose content hashes lowest.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,21 +137,37 @@ def _mixed(members: DataFrame, labels: DataFrame, hot: DataFrame | None) -> Data
     return spread_join(named, spans, "key", hot, "left_semi").select("key", "node", "c")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the wanted documents, sets as arrays of shingle hashes."""
+def _sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the wanted documents, sets as arrays of shingle hashes. A set that several rows of an id
+    have comes once: a task emits it once, and the rows of ``repeated`` ids then meet."""
 
     def make():
+        seen = set()
+
         def each(b: pa.RecordBatch):
             for lo, hi in text_chunks(b, "text", 1 << 20):
                 part = b.slice(lo, hi - lo)
                 values, sizes = sh.shingle_sets(part.column("text").cast(pa.large_binary()).to_pylist(), k)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))], ["node", "set"])
+                ends = np.cumsum(sizes)
+                prints = [hashlib.blake2b(values[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends, sizes, strict=True)]
+                new = []
+                for key in zip(part.column("doc_id").to_pylist(), prints, strict=True):
+                    new.append(key not in seen)
+                    seen.add(key)
+                offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+                made = [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64))), pa.array(prints, pa.binary()), part.column("again")]
+                yield pa.record_batch(made, ["node", "set", "print", "again"]).filter(pa.array(new))
 
         return each
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return map_arrow(wanted, make, "node long, set array<long>")
+    marked = ids.join(repeated.select(F.col("doc_id").alias("node"), F.lit(True).alias("again")), "node", "left")
+    wanted = docs.select("doc_id", "text").join(marked.withColumnRenamed("node", "doc_id"), "doc_id")
+    sets = map_arrow(wanted, make, "node long, set array<long>, print binary, again boolean")
+    if repeated.isEmpty():
+        return sets.select("node", "set")
+    sets = materialise(sets, "every_set")
+    once = sets.filter("again").groupBy("node", "print").agg(F.first("set").alias("set"))
+    return sets.filter("again IS NULL").select("node", "set").unionByName(once.select("node", "set"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +260,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     n = reps.count()
     members = materialise(_members(_keys(reps), _hot_keys(reps, n)), "members")
     met = materialise(members.select("node").distinct(), "met")
-    sets = materialise(_sets(docs, met, k), "sets")
+    ids = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi"), F.count("*").alias("rows"))
+    repeated = materialise(ids.filter("rows > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated")
+    sets = materialise(_sets(docs, met, repeated, k), "sets")
     sizes = materialise(reps.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
 
     hot = hubs(members, "key", members.count())
@@ -252,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     stars = spread_join(members.withColumnRenamed("node", "b"), leaders.filter("rank = 1").drop("rank"), "key", hot).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"))
     best = materialise(stars.groupBy("b").agg(F.max(F.struct("met", "a")).alias("x")).select("b", F.col("x.a").alias("a")), "best")
-    links = materialise(_confirm(best, sets, sizes, percent).unionByName(_same_id(full, reps)), "links")
+    links = materialise(_confirm(best, sets, sizes, percent).unionByName(_same_id(full, reps, repeated.filter("several"))), "links")
     labels = materialise(components(links), "labels")
 
     spread = materialise(_mixed(members, labels, hot), "spread")
@@ -261,8 +282,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     others = F.explode(F.filter("all", lambda x: x["ca"] != F.col("c"))).alias("x")
     across = spread_join(spread.withColumnRenamed("node", "b"), led, "key", hot).select("b", others).select(F.col("x.a").alias("a"), "b").distinct()
     across = materialise(across, "across")
-    links = materialise(links.unionByName(_confirm(across, sets, sizes, percent)), "links")
-    labels = materialise(components(links), "labels")
+    first, links = links, materialise(links.unionByName(_confirm(across, sets, sizes, percent)), "links")
+    old, labels = labels, materialise(components(links), "labels")
+    discard(first, old)
 
     mixed, spread = spread, materialise(_mixed(spread.select("key", "node"), labels, hot), "spread")
     if not spread.isEmpty():
@@ -275,10 +297,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         largest = spread_join(spread, weight, "c", wide).groupBy("key").agg(F.max(F.struct("w", "c")).alias("x")).select("key", F.col("x.c").alias("core"))
         meets = materialise(spread_join(spread, largest, "key", hot).filter("c <> core").select("node", F.col("core").alias("c")).distinct(), "meets")
         meets = materialise(spread_join(meets, meets.groupBy("c").agg(F.count("*").alias("w")), "c", hubs(meets, "c", meets.count())).select("node", "c", "w"), "meets")
-        links = links.unionByName(_confirm_blocks(meets, nodes.unionByName(meets), sets, percent, wide))
-        labels = materialise(components(links), "labels")
-        discard(named, nodes, meets)
-    discard(members, leaders, sets, sizes, mixed, spread, met, best, across)
+        old, labels = labels, materialise(components(links.unionByName(_confirm_blocks(meets, nodes.unionByName(meets), sets, percent, wide))), "labels")
+        discard(named, nodes, meets, old)
+    discard(members, leaders, sets, sizes, mixed, spread, met, best, across, links, repeated)
 
     named = reps.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"), "copies")
     copied = reps.filter(F.col("copies") > max(HUB, feats.count() // HUBS)).select("f1", "f2")  # at most HUBS sets
@@ -288,9 +309,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _same_id(full: DataFrame, reps: DataFrame) -> DataFrame:
+def _same_id(full: DataFrame, reps: DataFrame, several: DataFrame) -> DataFrame:
     """(a, b) links between the representatives of an id's several sets."""
-    several = materialise(full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).filter("lo <> hi").select("doc_id"), "several")
     if several.isEmpty():
         return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     sets = full.select("doc_id", "f1", "f2").distinct().join(several, "doc_id", "left_semi").join(reps.select("f1", "f2", "node"), ["f1", "f2"])

@@ -6,12 +6,12 @@ labelled good over one labelled bad) by the logistic loss on feature differences
 quantile of the training scores at the share of bad documents; a score is mapped to (0, 1) so that the
 threshold falls on ``CUT``.
 
-Bounds: at most ``SAMPLE`` labelled rows, in hash order of the id, and ``PAIRS`` preference pairs are
+Bounds: at most ``SAMPLE`` labelled documents, in hash order of the id, and ``PAIRS`` preference pairs are
 used to fit. All documents are scored.
 
 Defined results: null text is empty; an empty text has the all-zero features and a score like any
 other, an empty table gives no rows. Several labels of one id count as the highest; of rows that repeat an id
-each is scored, and each is learned from. Equal scores at the threshold are kept. With labels of one class or none
+each is scored, and one is learned from, that whose text hashes lowest. Rows with a null id are scored and not learned from. Equal scores at the threshold are kept. With labels of one class or none
 there are no preferences: every score is the share of good labels, or 0.5. A very long text is read whole, with memory
 of about 30 bytes a byte. Extra columns are kept by ``keep_good`` and ignored otherwise.
 """

@@ -16,9 +16,10 @@ shares 7 of 32 minhashes of its features (a similarity of about 0.22) with an ea
 out of the fit: more than half of them on larger tables (README). Whole texts of all documents are scored.
 
 Defined results: null text is empty; a text without words scores the bias alone. Several labels of one
-id count as the highest; rows that repeat an id are scored each, and learned from each. Without positives every
-score is the prior (0 if there are no labels). An empty table gives no rows. A very long text is read whole, with memory
-of about 60 bytes a byte. Extra columns are ignored.
+id count as the highest; rows that repeat an id are scored each, and one of them is learned from, that whose text hashes
+lowest. Rows with a null id are scored and not learned from. Without positives every score is the prior (0 if there
+are no labels). An empty table gives no rows. A very long text is read whole, with memory of about 60 bytes a byte. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: DataFrame, prior: float |
     best = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     if prior is None:
         prior = best.agg(F.avg("label")).first()[0] or 0.0
-    chosen = first_by_hash(best.filter("label = 1").select("doc_id"), positives).withColumn("p", F.lit(1)).unionByName(first_by_hash(allowed.select("doc_id").filter("doc_id IS NOT NULL"), unlabelled).withColumn("p", F.lit(0)))
+    chosen = first_by_hash(best.filter("label = 1").select("doc_id"), positives).withColumn("p", F.lit(1)).unionByName(first_by_hash(allowed.filter("doc_id IS NOT NULL").select("doc_id").distinct(), unlabelled).withColumn("p", F.lit(0)))
 
     def make():
         def each(b: pa.RecordBatch):
