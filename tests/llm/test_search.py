@@ -30,13 +30,13 @@ def test_sql(spark, name):
 def best(vectors, k, scale=256):
     ints = {}
     for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v and all(x is not None and np.isfinite(x) and -(2**63) <= scale * x < 2**63 for x in v):
             ints.setdefault(i, []).append([int(np.floor(scale * x)) for x in v])
     out = set()
     for q in ints:
         if q % 50 == 0:
             scored = {(-sum(a * b for a, b in zip(x, y, strict=True)), i) for i in ints if i != q for x in ints[q] for y in ints[i] if len(x) == len(y)}
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])}
+            out |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(sorted(scored)[:k])}
     return out
 
 
@@ -54,6 +54,28 @@ def test_top_k(spark, seed, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_scores_beyond_a_long_are_ranked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 16)
+    rng = random.Random(9)
+    vectors = [(i, [rng.choice((-1, 1)) * 2.0 ** rng.randrange(20, 54) for _ in range(6)]) for i in range(200)]
+    vectors += [(300 + i, [2.0**54, 2.0**54 - i % 3, 1.0, 0.0, 0.0, 0.0]) for i in range(40)] + [(500, [1e30, 1.0]), (501, [3.0, 1.0]), (550, [-(2.0**55), 2.0]), (551, [2.0**55, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = set(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert got == best(vectors, 5) and sum(abs(r[3]) >= 2**63 - 1 for r in got) > 10 and not any(500 in (r[0], r[2]) for r in got)
+
+
+def test_shards_are_bounded_in_bytes(spark, monkeypatch):
+    """Each part's vectors of 3000 components stay under the bound, and results do not change."""
+    monkeypatch.setattr(topk, "BYTES", 10 * 8 * 3000)
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=3000).tolist()) for i in range(60)]
+    sizes = []
+    plain = topk.Shard.__init__
+    monkeypatch.setattr(topk.Shard, "__init__", lambda self, ids, posts: (sizes.append(len(ids)), plain(self, ids, posts))[1])
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert set(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())) == best(vectors, 5)
+
+
 def test_shard_is_exact_where_it_prunes():
     rng = np.random.default_rng(1)
     data = rng.integers(-256, 257, (20_000, 16))
@@ -308,6 +330,42 @@ def test_chat_keeps_all_keys(spark):
     assert json.loads(got[1, 2]["message"])["content"] == rows_[2][3]
 
 
+def test_chat_content_keeps_its_type(spark):
+    contents = ["123", "null", "true", '{"a": 1}', "[1]", " 7 ", "", 123, None, True, {"b": 1, "a": [1.50, None]}, [], "é\n/"]
+    rows_ = [(1, 0, "assistant", call(("a", "t", {})))] + [(1, i + 1, "tool", result("a", x)) for i, x in enumerate(contents)] + [(1, 99, "tool", '{"tool_call_id":"a"}')]
+    got = {r["turn"]: json.loads(r["message"])["content"] for r in chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": {}}).collect() if r["turn"]}
+    assert [repr(got[i + 1]) for i in range(len(contents))] == [repr(dict(sorted(x.items())) if isinstance(x, dict) else x) for x in contents] and got[99] is None
+
+
+def test_chat_reads_nested_calls(spark):
+    """Calls with an object ``function`` link, are checked and keep their form."""
+    asked = {"tool_calls": [{"id": "b", "type": "function", "function": {"name": "t", "arguments": '{"x": {"$ref": "a"}, "n": 2}', "strict": True}}, {"id": "a", "type": "function", "function": {"name": "t", "arguments": {"x": "s"}}}, {"id": "c", "function": 5}, {"id": "d", "name": "t", "arguments": {"x": "s"}, "function": {"name": "no"}}]}
+    rows_ = [(1, 0, "assistant", json.dumps(asked)), (1, 1, "tool", result("b", "ok"))]
+    got = {r["turn"]: r for r in chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": {"properties": {"x": ["string", "object"], "n": "string"}, "required": ["x"]}}).collect()}
+    calls = json.loads(got[0]["message"])["tool_calls"]
+    assert [c["id"] for c in calls] == ["a", "c", "d", "b"] and got[0]["n_calls"] == 4
+    assert calls[3] == {"function": {"arguments": {"n": 2, "x": {"$ref": "a"}}, "name": "t", "strict": True}, "id": "b", "type": "function"}
+    assert calls[1] == {"arguments": None, "function": 5, "id": "c", "name": None} and calls[2]["function"] == {"name": "no"}
+    assert got[0]["problems"] == ["a no result", "c arguments: not an object", "c no result", "d no result", "b n: not string"] and got[1]["problems"] == []
+
+
+def test_chat_checks_nested_schemas(spark):
+    point = {"type": "object", "properties": {"x": "number", "y": ["number", "null"]}, "required": ["x"]}
+    schema = {"properties": {"p": point, "ps": {"type": "array", "items": point}, "unit": {"enum": ["m", 1, None]}, "grid": {"items": {"type": "array", "items": "integer"}}, "it's": "string", "open": {"type": "object", "properties": {"k": "string"}, "additional": True}}, "required": ["p"]}
+    cases = [
+        ({"p": {"x": 1, "y": None}, "ps": [{"x": 2.5}], "unit": "m", "grid": [[1], []], "it's": "a", "open": {"z": 1}}, []),
+        ({"p": {"y": "s", "z": 1}, "unit": "km"}, ["p.y: not number or null", "p.x: missing", "p.z: unknown", "unit: not allowed"]),
+        ({"p": 5, "ps": [{"x": 1}, {"x": "a"}, 7, {}], "unit": None, "grid": [[1, "b"], 3], "it's": 4, "open": {"k": 1}, "more": 0}, ["p: not object", "ps[1].x: not number", "ps[2]: not object", "ps[3].x: missing", "grid[0][1]: not integer", "grid[1]: not array", "it's: not string", "open.k: not string", "more: unknown"]),
+        ({"unit": 1, "ps": {}}, ["ps: not array", "p: missing"]),
+    ]
+    rows_ = [(1, i, "assistant", call((f"c{i}", "t", x))) for i, (x, _) in enumerate(cases)]
+    got = {r["turn"]: r["problems"] for r in chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": schema}).collect()}
+    assert got == {i: [f"c{i} {p}" for p in [*wrong, "no result"]] for i, (_, wrong) in enumerate(cases)}
+    for wrong in ("text", {"type": ["string", "date"]}, {"items": {"type": "text"}}):
+        with pytest.raises(ValueError, match="no type"):
+            chat.format_chat(spark.createDataFrame(rows_, SCHEMA), {"t": {"properties": {"p": wrong}}})
+
+
 def placed(nodes, edges):
     """{node: (at, level)} by the definition; nothing for what is on a cycle or behind one."""
     needs, out = {}, {}

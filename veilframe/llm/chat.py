@@ -1,8 +1,8 @@
 """Chat formatting with tool-call linking, in DataFrame operations alone.
 
 A message is a row (conv_id, turn, role, text). An assistant message whose text is a JSON object with
-``tool_calls`` ([{id, name, arguments}], arguments an object or a string holding one; an array of objects,
-at least one) makes calls; a tool message whose text is a JSON object with ``tool_call_id`` and ``content``
+``tool_calls`` ([{id, name, arguments}] or [{id, function: {name, arguments}}], arguments an object or a string holding
+one; an array of objects, at least one) makes calls; a tool message whose text is a JSON object with ``tool_call_id`` and ``content``
 answers one. Everything else is plain content.
 
 * Linking: calls and results are hash-joined on (conv_id, call id); a hot conversation so spreads over
@@ -13,9 +13,12 @@ answers one. Everything else is plain content.
   ord_level, turn): ord_turn is the latest turn among a message and all it depends on, ord_level counts the
   steps taken within that turn. The calls of a message are listed by their dependencies on each other, then
   as given.
-* Validation: arguments are checked against the tool's schema (required names, types, unknown names).
+* Validation: arguments are checked against the tool's schema: {"properties": {name: spec}, "required": [names],
+  "additional": whether other names are allowed}. A spec is a type of ``TYPES``, a list of types, or an object with any of
+  type, enum, items (a spec) and the three keys above, to any depth; nested places are told as a.b[0].
 * Serialising: canonical JSON, keys sorted at every depth, no white space, numbers normalised. The content
-  and all other keys beside ``tool_calls`` or ``tool_call_id``, and those of a call, are kept.
+  and all other keys beside ``tool_calls`` or ``tool_call_id``, and those of a call, are kept; a content that is a
+  string stays one, whatever it holds, and a call keeps its form.
 
 Defined results: null text is content null; null conv_id or turn is kept, and a null conv_id links with nothing.
 Every row comes out once: repeated rows are kept, an empty table gives no rows. A call id used twice in a
@@ -29,6 +32,7 @@ variant (128 MiB) is no JSON object and stays plain content. Extra columns are i
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,21 +45,63 @@ _REF = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)+)"'
 _LAST = 2**31 - 1
 
 
+def _path(name: str) -> str:
+    """A member's path in a variant."""
+    for quote in "'\"":
+        if quote not in name and "?" not in name:
+            return f"$[{quote}{name}{quote}]"
+    raise ValueError(f"no path leads to a property of the name {name!r}")
+
+
+def _spec(spec: str | list | dict, where: str) -> dict:
+    """A property's spec as an object, its type as a list; refuses types that are none."""
+    spec = dict(spec) if isinstance(spec, dict) else {"type": spec}
+    kinds = spec.get("type")
+    spec["type"] = kinds if isinstance(kinds, list) or kinds is None else [kinds]
+    if wrong := [k for k in spec["type"] or () if k not in TYPES]:
+        raise ValueError(f"{where}: no type {wrong[0]!r} among {', '.join(TYPES)}")
+    return spec
+
+
+def _value_problems(v: Column, at: Column, spec: dict, where: str) -> Column:
+    """Array of what is wrong with a value; a missing one is null and has no faults."""
+    kind, none, parts = F.schema_of_variant(v), F.array().cast("array<string>"), []
+    if spec["type"]:
+        fits = reduce(Column.__or__, (kind.rlike(TYPES[k]) for k in spec["type"]))
+        parts.append(F.when(~fits, F.array(F.concat(at, F.lit(f": not {' or '.join(spec['type'])}")))))
+    if "enum" in spec:
+        values = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in spec["enum"]]
+        parts.append(F.when(v.isNotNull() & ~F.to_json(v).isin(values), F.array(F.concat(at, F.lit(": not allowed")))))
+    if spec.get("properties") or spec.get("required"):
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        parts.append(F.when(kind.startswith("OBJECT<"), _member_problems(v, keys, spec, where, F.concat(at, F.lit(".")))))
+    if "items" in spec:
+        items = _spec(spec["items"], f"{where}[]")
+        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _value_problems(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), items, f"{where}[]"))
+        parts.append(F.when(kind.startswith("ARRAY<"), F.flatten(each)))
+    return F.concat(*(F.coalesce(p, none) for p in parts)) if parts else none
+
+
+def _member_problems(v: Column, keys: Column, schema: dict, where: str, before: Column | None = None) -> Column:
+    """Array of what is wrong with the members (named ``keys``) of an object."""
+    named = lambda x: x if before is None else F.concat(before, x)
+    none, parts, properties = F.array().cast("array<string>"), [], schema.get("properties", {})
+    for field, spec in properties.items():
+        own = f"{where}.{field}"
+        parts.append(_value_problems(F.try_variant_get(v, _path(field), "variant"), named(F.lit(field)), _spec(spec, own), own))
+    parts += [F.when(F.array_contains(keys, field), none).otherwise(F.array(F.concat(named(F.lit(field)), F.lit(": missing")))) for field in schema.get("required", [])]
+    if not schema.get("additional", False) and (before is None or properties):
+        allowed = F.array(*map(F.lit, properties)) if properties else none
+        parts.append(F.transform(F.array_except(keys, allowed), lambda k: F.concat(named(k), F.lit(": unknown"))))
+    return F.concat(*parts) if parts else none
+
+
 def _argument_problems(name: Column, v: Column, keys: Column, schemas: dict[str, dict]) -> Column:
     """Array of what is wrong with the arguments ``v`` (a variant with these keys) of a call of tool ``name``."""
     none = F.array().cast("array<string>")
     known = none
     for tool, schema in schemas.items():
-        checks = []
-        for field, kind in schema.get("properties", {}).items():
-            found = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-            checks.append(F.when(found.isNotNull() & ~found.rlike(TYPES[kind]), F.lit(f"{field}: not {kind}")))
-        checks += [F.when(~F.array_contains(keys, field), F.lit(f"{field}: missing")) for field in schema.get("required", [])]
-        given = F.array(*checks) if checks else none
-        if not schema.get("additional", False):
-            allowed = F.array(*map(F.lit, schema.get("properties", {}))) if schema.get("properties") else none
-            given = F.concat(given, F.transform(F.array_except(keys, allowed), lambda k: F.concat(k, F.lit(": unknown"))))
-        known = F.when(name == tool, F.array_compact(given)).otherwise(known)
+        known = F.when(name == tool, _member_problems(v, keys, schema, tool)).otherwise(known)
     unknown = F.when(~F.coalesce(name.isin(*schemas), F.lit(False)), F.array(F.lit("tool: unknown"))).otherwise(none) if schemas else none
     return F.when(keys.isNull(), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(unknown, known))
 
@@ -75,6 +121,18 @@ def _member(x: Column, key: str) -> Column:
     return F.try_variant_get(x, f"$.{key}", "string")
 
 
+def _nested(x: Column) -> Column:
+    """Whether a call keeps its name and arguments in an object ``function``."""
+    inner = F.schema_of_variant(F.try_variant_get(x, "$.function", "variant")).startswith("OBJECT<")
+    flat = F.try_variant_get(x, "$.name", "variant").isNotNull() | F.try_variant_get(x, "$.arguments", "variant").isNotNull()
+    return F.coalesce(inner & ~flat, F.lit(False))
+
+
+def _called(x: Column, key: str) -> Column:
+    """The ``name`` or ``arguments`` of a call, in either form."""
+    return F.when(_nested(x), _member(x, f"function.{key}")).otherwise(_member(x, key))
+
+
 def answers_call() -> Column:
     """Whether a message answers a call; never null."""
     text = F.col("text")
@@ -210,7 +268,7 @@ def _serialised(calls: Column, info: Column, schemas: dict[str, dict]) -> Column
     """The calls of a message in their order: array<struct<l, place, json, told>>. ``info``: array of
     (place, level, answered) of each call, by place."""
     none = F.array().cast("array<string>")
-    bound = F.transform(calls, lambda x, i: F.struct(x.alias("x"), i.alias("place"), *(_member(x, c).alias(c) for c in ("id", "name", "arguments")), F.get(info, i).alias("info")))
+    bound = F.transform(calls, lambda x, i: F.struct(x.alias("x"), i.alias("place"), _member(x, "id").alias("id"), *(_called(x, c).alias(c) for c in ("name", "arguments")), F.get(info, i).alias("info")))
     # Arguments are parsed once for all that looks at them.
     bound = F.transform(bound, lambda c: F.struct(c.alias("c"), F.try_parse_json(c["arguments"]).alias("v"), F.json_object_keys(c["arguments"]).alias("keys")))
 
@@ -220,8 +278,10 @@ def _serialised(calls: Column, info: Column, schemas: dict[str, dict]) -> Column
             _argument_problems(c["name"], b["v"], b["keys"], schemas), F.when(c["info"]["answered"], none).otherwise(F.array(F.lit("no result"))),
             F.when(c["id"].isNull(), F.array(F.lit("no id"))).otherwise(none), F.when(c["info"]["level"].isNull(), F.array(F.lit("cyclic"))).otherwise(none),
         )
-        json = _object(_rest(c["x"], "id", "name", "arguments"), arguments=F.coalesce(F.to_json(b["v"]), _quoted(c["arguments"])), id=_quoted(c["id"]), name=_quoted(c["name"]))
-        return F.struct(F.coalesce(c["info"]["level"], F.lit(_LAST).cast("long")).alias("l"), c["place"].alias("place"), json.alias("json"), F.transform(wrong, lambda w: F.concat_ws(" ", c["id"], w)).alias("told"))
+        own = {"arguments": F.coalesce(F.to_json(b["v"]), _quoted(c["arguments"])), "name": _quoted(c["name"])}
+        inner = _object(_rest(F.try_variant_get(c["x"], "$.function", "variant"), "name", "arguments"), **own)
+        text = F.when(_nested(c["x"]), _object(_rest(c["x"], "id", "function"), function=inner, id=_quoted(c["id"]))).otherwise(_object(_rest(c["x"], "id", "name", "arguments"), id=_quoted(c["id"]), **own))
+        return F.struct(F.coalesce(c["info"]["level"], F.lit(_LAST).cast("long")).alias("l"), c["place"].alias("place"), text.alias("json"), F.transform(wrong, lambda w: F.concat_ws(" ", c["id"], w)).alias("told"))
 
     return F.array_sort(F.transform(bound, one))
 
@@ -244,7 +304,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
         return plain
     text = F.col("text")
     calls = linked.filter("asks").select("row", "conv_id", "turn", F.posexplode(_calls()).alias("place", "x"))
-    calls = materialise(calls.select("row", "conv_id", "turn", "place", _member(F.col("x"), "id").alias("id"), _references(_member(F.col("x"), "arguments")).alias("refs"), F.xxhash64(F.to_json("x")).alias("h")), "calls")
+    calls = materialise(calls.select("row", "conv_id", "turn", "place", _member(F.col("x"), "id").alias("id"), _references(_called(F.col("x"), "arguments")).alias("refs"), F.xxhash64(F.to_json("x")).alias("h")), "calls")
     results = materialise(linked.filter("NOT asks").select("row", "conv_id", "turn", F.get_json_object(text, "$.tool_call_id").alias("id")), "results")
     keyed = "conv_id IS NOT NULL AND id IS NOT NULL"
     first = calls.filter(keyed).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "h", "row")).alias("f")).select("conv_id", "id", F.col("f.row").alias("call_row"), F.col("f.place").alias("call_place"), F.col("f.turn").alias("call_turn"))
@@ -276,8 +336,8 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
         F.when(stuck, F.when(asks, _LAST - 1).otherwise(_LAST)).otherwise(F.col("level")).cast("int").alias("ord_level"), "found", F.when(asks, _serialised(_calls(), F.col("info"), schemas or {})).alias("all"),
     )
     asked = _object(_rest(v, "role", "tool_calls"), role=F.lit('"assistant"'), tool_calls=F.concat(F.lit("["), F.array_join(F.transform("all", lambda c: c["json"]), ","), F.lit("]")))
-    content, call_id = F.get_json_object(text, "$.content"), F.get_json_object(text, "$.tool_call_id")
-    answered = _object(_rest(v, "content", "role", "tool_call_id"), content=F.coalesce(F.to_json(F.try_parse_json(content)), _quoted(content)), role=F.lit('"tool"'), tool_call_id=_quoted(call_id))
+    content, call_id = F.to_json(F.try_variant_get(v, "$.content", "variant")), F.get_json_object(text, "$.tool_call_id")
+    answered = _object(_rest(v, "content", "role", "tool_call_id"), content=F.coalesce(content, F.lit("null")), role=F.lit('"tool"'), tool_call_id=_quoted(call_id))
     cyclic = F.when(F.col("stuck"), F.array(F.lit("cyclic"))).otherwise(none)
     said = F.when(asks, F.concat(_other_role(v, "assistant"), cyclic, F.flatten(F.transform("all", lambda c: c["told"])))).otherwise(
         F.concat(_other_role(v, "tool"), cyclic, F.when(F.col("found"), none).otherwise(F.array(F.concat(call_id, F.lit(" no call")))))
