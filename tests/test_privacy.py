@@ -221,3 +221,70 @@ def test_obfuscation(spark):
     assert q.select(obfuscate.obfuscate("q", 0, seed="s").alias("o")).first()["o"]["queries"] == ["我想了解高血压的治疗"]
     with pytest.raises(PrivacyError):
         obfuscate.obfuscate("q", -1)
+
+
+# -- draws of the secure source: what a statistic mentions often is drawn once ---------------------------
+
+
+@pytest.mark.parametrize("true", ["a", "c", "e"])
+def test_categorical_reports_keep_their_promise(spark, true):
+    """The true value with e / (e + 4), every other with 1 / (e + 4), whatever its place."""
+    n = 40_000
+    reports = spark.range(n).select(ldp.perturb_categorical(F.lit(true), list("abcde"), 1.0, F.col("id").cast("string")).alias("r"))
+    got = {r["r"]: r["count"] for r in reports.groupBy("r").count().collect()}
+    for c in "abcde":
+        p = (math.e if c == true else 1) / (math.e + 4)
+        assert abs(got[c] - n * p) < 4 * math.sqrt(n * p * (1 - p)), (true, got)
+    unknown = spark.range(n).select(ldp.perturb_categorical(F.lit("x"), list("abcde"), 1.0, F.col("id").cast("string")).alias("r")).groupBy("r").count().collect()
+    q = 4 / 5 / (math.e + 4)
+    assert all(abs(r["count"] - n * q) < 4 * math.sqrt(n * q * (1 - q)) for r in unknown if r["r"] != "x")
+
+
+def test_noisy_means_divide_by_the_count_they_test(spark):
+    """Few rows and much noise: the drawn count is often 0, where the mean is 0 and never fails."""
+    n = 10_000
+    drawn = spark.range(n).select(dp.noisy_mean(F.lit(12.0), F.lit(3), 1e-9, 0.5, min_count=2, key="m").alias("m"))
+    got = drawn.agg(F.count("m").alias("n"), F.sum((F.col("m") == 0).cast("int")).alias("zero"), F.min("m").alias("lo"), F.max("m").alias("hi")).first()
+    # The sum is next to exact: a mean is 12 / count with a count of 2 at least, or 0.
+    assert got["n"] == n and 0 < got["zero"] < n and got["lo"] >= 0 and got["hi"] <= 6.001
+    few = spark.createDataFrame([(float(i),) for i in range(6)], "v double")
+    for _ in range(15):
+        assert math.isfinite(value(dp.mean(few, "v", 0.05, lower=0, upper=5)))
+        assert all(math.isfinite(r["value"]) for r in dp.aggregate(few, {"v": ("mean", {"clip_lower": 0, "clip_upper": 5})}, 0.05).collect())
+
+
+def test_coordinates_share_one_drawn_count(spark):
+    """Sums next to exact and counts of much noise: all coordinates of a release give the same count."""
+    v = spark.createDataFrame([([1.0] * 40,)] * 60, "v array<double>")
+    counts = set()
+    for _ in range(6):
+        got = [r["value"] for r in dp.vector_mean(v, "v", 100.0, 0.4, 1e-5, min_count=0, noise=_CountNoise()).collect()]
+        assert len(got) == 40 and len({round(x, 9) for x in got}) == 1
+        counts.add(round(got[0], 9))
+    assert len(counts) > 1
+
+
+class _CountNoise(type(dp.SECURE)):
+    """Draws for the count only."""
+
+    def gaussian(self, sigma, key):
+        return F.when(key == "vector.count", super().gaussian(sigma, key)).otherwise(0.0)
+
+
+def test_vectors_of_many_dimensions(spark):
+    """The plan does not grow with the dimension; lengths differ, norms are clipped, nulls count as zero."""
+    rng = random.Random(1)
+    rows = [[rng.uniform(-1, 1) for _ in range(3000 - 7 * (i % 3))] for i in range(60)] + [[], [None, 3.0], None]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<double>").repartition(5)
+    want = [0.0] * 3000
+    for r in filter(None, rows):
+        norm = math.sqrt(sum(x * x for x in r if x is not None))
+        for i, x in enumerate(r):
+            want[i] += (x or 0.0) * min(1.0, 2.0 / norm)
+    summed = dp.vector_sum(df, "v", 2.0, 1e12)
+    got = {r["pos"]: r["value"] for r in summed.collect()}
+    assert sorted(got) == list(range(3000)) and all(abs(got[i] - want[i]) < 1e-6 for i in range(3000))
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    assert size(summed) < size(dp.vector_sum(df.select(F.slice("v", 1, 2).alias("v")), "v", 2.0, 1e12)) + 200
+    with pytest.raises(PrivacyError):
+        dp.adaptive_clip(df.select(F.get("v", F.lit(0)).alias("x")), "x", 1.0, iterations=63)

@@ -12,10 +12,13 @@ import math
 from builtins import sum as builtin_sum
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.noise import HashNoise, SecureNoise
+from veilframe.functions.text import let
 from veilframe.plans.budget import BudgetAccountant, PrivacyError
 from veilframe.plans.storage import persisted
 
@@ -69,10 +72,10 @@ def noisy_sum(true: Column, sensitivity: float | Column, epsilon: float, delta:
 
 def noisy_mean(true_sum: Column, true_count: Column, sensitivity: float | Column, epsilon: float, delta: float = 0.0, mechanism: str | None = "laplace", min_count: int = 0, noise: SecureNoise = SECURE, key: str = "mean") -> Column:
     """Half the budget for the count, half for the sum; 0 where the noisy count is below ``min_count``
-    or not positive."""
+    or not positive. The count is drawn once, for the test and the division."""
     n = noisy_count(true_count, epsilon / 2, delta / 2, mechanism, noise, f"{key}.count")
     s = noisy_sum(true_sum, sensitivity, epsilon / 2, delta / 2, mechanism, noise, f"{key}.sum")
-    return F.when((n > 0) & (n >= min_count), s / n).otherwise(0.0)
+    return let(n, lambda drawn: F.when((drawn > 0) & (drawn >= min_count), s / drawn).otherwise(0.0))
 
 
 def _key(key: str | Column) -> Column:
@@ -182,17 +185,43 @@ def vector_dimension(df: DataFrame, column: str) -> int | None:
     return df.agg(F.max(F.when(F.col(column).isNotNull(), F.size(column)))).first()[0]
 
 
-def _vector_parts(df: DataFrame, column: str, max_norm: float, dim: int | None) -> DataFrame:
-    """(pos, n, s): the number of vectors and, for each coordinate, the sum of vectors scaled to norm
-    ``max_norm`` at most. Shorter vectors count as zero where they end."""
-    if dim is None:
-        return df.sparkSession.createDataFrame([], "pos int, n long, s double")
-    v = F.col(column).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
-    scaled = df.filter(F.col(column).isNotNull()).select(v.alias("v"), F.when(norm > max_norm, max_norm / norm).otherwise(1.0).alias("f"))
-    # One pass without exploding: a sum for each coordinate, partial on the map side.
-    sums = [F.coalesce(F.sum(F.get("v", F.lit(i)) * F.col("f")), F.lit(0.0)).alias(f"s{i}") for i in range(dim)]
-    return scaled.agg(F.count("*").alias("n"), F.array(*sums).cast("array<double>").alias("s")).select("n", F.posexplode("s").alias("pos", "s")).select("pos", "n", "s")
+def _partial_sums(max_norm: float):
+    """Of a partition's vectors (array<double>): their number, then the sums of the coordinates of the vectors
+    scaled to norm ``max_norm`` at most."""
+
+    def run(batches):
+        total = np.zeros(1)
+        for b in batches:
+            v = b.column("v").drop_null()
+            sizes = np.asarray(v.value_lengths())
+            flat = v.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            if len(sizes) and sizes.max() >= len(total):
+                total = np.append(total, np.zeros(int(sizes.max()) + 1 - len(total)))
+            total[0] += len(sizes)
+            for size in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == size)
+                for lo in range(0, len(own), max(1, (1 << 20) // size)):
+                    ends_here = ends[own[lo : lo + max(1, (1 << 20) // size)]]
+                    rows = flat[(ends_here - size)[:, None] + np.arange(size)]
+                    norm = np.sqrt((rows * rows).sum(axis=1))
+                    factor = np.divide(max_norm, norm, out=np.ones(len(norm)), where=norm > max_norm)
+                    total[1 : size + 1] += factor @ rows
+        if total[0]:
+            yield pa.record_batch([pa.array([total], pa.list_(pa.float64()))], ["t"])
+
+    return run
+
+
+def _vector_sums(df: DataFrame, column: str, max_norm: float) -> DataFrame:
+    """One row (n, s): the number of vectors and the array of the sums of their coordinates. Shorter vectors count
+    as zero where they end. A partition adds its vectors up as arrays, and only these sums are shuffled, by
+    coordinate: the plan is the same for any dimension."""
+    vectors = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"))
+    partial = vectors.mapInArrow(_partial_sums(max_norm), "t array<double>").select(F.posexplode("t").alias("pos", "x"))
+    sums = partial.groupBy("pos").agg(F.sum("x").alias("x"))
+    whole = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("t"))
+    return whole.filter(F.size("t") > 0).select(F.get("t", F.lit(0)).alias("n"), F.slice("t", F.lit(2), F.size("t")).alias("s"))
 
 
 def _vector_scale(dim: int, max_norm: float, epsilon: float, delta: float, mech: str) -> float:
@@ -202,19 +231,20 @@ def _vector_scale(dim: int, max_norm: float, epsilon: float, delta: float, mech:
 def vector_sum(df: DataFrame, column: str, max_norm: float, epsilon: float, delta: float = 1e-5, mechanism: str | None = "gaussian", noise: SecureNoise = SECURE) -> DataFrame:
     """(pos, value): noisy sum of L2-clipped vectors; no vectors give no rows."""
     mech, dim = mechanism_of(epsilon, delta, mechanism), vector_dimension(df, column)
-    parts = _vector_parts(df, column, max_norm, dim)
+    parts = _vector_sums(df, column, max_norm).select(F.posexplode("s").alias("pos", "s"))
     scale, key = _vector_scale(dim or 0, max_norm, epsilon, delta, mech), F.concat(F.lit("v"), F.col("pos"))
     return parts.select("pos", (F.col("s") + (noise.laplace(scale, key) if mech == "laplace" else noise.gaussian(scale, key))).alias("value"))
 
 
 def vector_mean(df: DataFrame, column: str, max_norm: float, epsilon: float, delta: float = 1e-5, mechanism: str | None = "gaussian", min_count: int = 5, noise: SecureNoise = SECURE) -> DataFrame:
-    """(pos, value): half the budget for the count; a noisy count below ``min_count`` gives zeros."""
+    """(pos, value): half the budget for the count; a noisy count below ``min_count`` gives zeros. All coordinates
+    are divided by the one count that is drawn."""
     mech, dim = mechanism_of(epsilon, delta, mechanism), vector_dimension(df, column)
-    parts = _vector_parts(df, column, max_norm, dim)
     scale, key = _vector_scale(dim or 0, max_norm, epsilon / 2, delta / 2, mech), F.concat(F.lit("v"), F.col("pos"))
-    n = noisy_count(F.col("n"), epsilon / 2, delta / 2, mechanism, noise, "vector.count")
+    drawn = _vector_sums(df, column, max_norm).select(noisy_count(F.col("n"), epsilon / 2, delta / 2, mechanism, noise, "vector.count").alias("n"), "s")
+    parts = drawn.select("n", F.posexplode("s").alias("pos", "s"))
     s = F.col("s") + (noise.laplace(scale, key) if mech == "laplace" else noise.gaussian(scale, key))
-    return parts.select("pos", F.when((n >= min_count) & (n > 0), s / n).otherwise(0.0).alias("value"))
+    return parts.select("pos", F.when((F.col("n") >= min_count) & (F.col("n") > 0), s / F.col("n")).otherwise(0.0).alias("value"))
 
 
 def adaptive_clip(df: DataFrame, column: str, epsilon: float, quantile: float = 0.95, iterations: int = 15, initial: float = 10.0, noise: SecureNoise = SECURE) -> tuple[float, float]:
@@ -226,6 +256,8 @@ def adaptive_clip(df: DataFrame, column: str, epsilon: float, quantile: float =
     """
     if not epsilon > 0:
         raise PrivacyError("epsilon must be positive")
+    if not 0 <= iterations <= 60:
+        raise PrivacyError("between 0 and 60 iterations")
     whole = 1 << iterations
     place = F.col(column).cast("double") / initial * whole
     low, high, least, n = 0, whole, None, 0

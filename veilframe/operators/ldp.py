@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.noise import SecureNoise
+from veilframe.functions.text import let
 
 SECURE = SecureNoise()
 
@@ -28,13 +29,14 @@ def perturb_categorical(value: Column, categories: list[str], epsilon: float, ke
     k = len(categories)
     if k <= 1:
         return value
-    keep, at = noise.uniform(key), F.lit(None).cast("int")
+    at = F.lit(None).cast("int")
     for i, c in enumerate(categories):  # later duplicates overwrite earlier ones
         at = F.when(value == c, F.lit(i)).otherwise(at)
     pick = noise.uniform(F.concat(key, F.lit("#other")))
-    other = F.least(F.floor(pick * (k - 1)).cast("int"), F.lit(k - 2))
-    other = F.when(at.isNull(), F.least(F.floor(pick * k).cast("int"), F.lit(k - 1))).otherwise(other + (other >= at).cast("int"))
-    return F.when(keep < _keep(epsilon, k), value).otherwise(F.element_at(F.array(*map(F.lit, categories)), other + 1))
+    index = lambda n: F.least(F.floor(pick * n).cast("int"), F.lit(n - 1))
+    # The index of another category is drawn once and then passes over the own one.
+    other = F.when(at.isNull(), index(k)).otherwise(let(index(k - 1), lambda i: i + (i >= at).cast("int")))
+    return F.when(noise.uniform(key) < _keep(epsilon, k), value).otherwise(F.element_at(F.array(*map(F.lit, categories)), other + 1))
 
 
 def estimate_binary(df: DataFrame, column: str, epsilon: float) -> DataFrame:
