@@ -288,3 +288,81 @@ def test_vectors_of_many_dimensions(spark):
     assert size(summed) < size(dp.vector_sum(df.select(F.slice("v", 1, 2).alias("v")), "v", 2.0, 1e12)) + 200
     with pytest.raises(PrivacyError):
         dp.adaptive_clip(df.select(F.get("v", F.lit(0)).alias("x")), "x", 1.0, iterations=63)
+
+
+# -- l-diversity and t-closeness -------------------------------------------------------------------------
+
+
+def distance(part, rows, column, buckets):
+    """The earth mover's distance of two lists of values, from its definition."""
+    if isinstance(next((r[column] for r in rows if r[column] is not None), ""), str):
+        share = lambda x, v: sum(r[column] == v for r in x) / len(x)
+        return sum(abs(share(part, v) - share(rows, v)) for v in {r[column] for r in rows}) / 2
+    key = lambda v: (v is not None, 0 if v is None else v)
+    values = sorted({r[column] for r in rows}, key=key)
+    place, m = {v: i for i, v in enumerate(values)}, len(values)
+    if m > buckets:
+        place, m = {v: math.floor(buckets * sum(key(r[column]) < key(v) for r in rows) / len(rows)) for v in values}, buckets
+    upto = lambda x, i: sum(place[r[column]] <= i for r in x) / len(x)
+    return sum(abs(upto(part, i) - upto(rows, i)) for i in range(m - 1)) / (m - 1) if m > 1 else 0.0
+
+
+def diverse(rows, qi, column, k, depth, l, t, buckets):  # noqa: E741
+    def span(part, q):
+        v = [r[q] for r in part if r[q] is not None]
+        return 0 if not v else max(v) - min(v) if isinstance(v[0], int | float) else len(set(v)) - 1
+
+    def fits(part):
+        return len({r[column] for r in part}) >= l and distance(part, rows, column, buckets) <= t + 1e-9
+
+    def split(part, left):
+        if len(part) >= 2 * k and left > 0:
+            for q in sorted(qi, key=lambda q: -span(part, q)):
+                laid = sorted(part, key=lambda r: (("" if q == "s" else float("-inf")) if r[q] is None else r[q], r["id"]))
+                halves = laid[: len(laid) // 2], laid[len(laid) // 2 :]
+                if all(map(fits, halves)):
+                    return split(halves[0], left - 1) + split(halves[1], left - 1)
+        return [part]
+
+    return {frozenset(r["id"] for r in p) for p in split(rows, depth)}
+
+
+@pytest.mark.parametrize("column", ["word", "number"])
+@pytest.mark.parametrize(("local", "buckets"), [(0, 1000), (60, 1000), (10**6, 1000), (40, 5), (10**6, 5)])
+def test_diverse_classes_are_those_of_the_recursion(spark, column, local, buckets):
+    """Every arm, level by level, mixed and in one task: nulls, hot values, refused splits and second choices."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        a = rng.choice([None, *range(30)])
+        rows.append({"id": i, "a": a, "s": rng.choice(["x", "y", "z", None]), "word": rng.choice(["u", "u", "u", "v", None]) if (a or 0) < 15 else rng.choice(["w", "w", "v", "u"]), "number": None if rng.random() < 0.1 else (a or 0) + rng.randrange(6), "_g": "clash"})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, a int, s string, word string, number int, _g string").repartition(3)
+    l, t = (3, 0.3) if column == "word" else (4, 0.2)  # noqa: E741
+    rule = kanon.sensitive_values(df, column, l, t, buckets)
+    got = kanon.mondrian_partitions(df, ["a", "s"], 4, 5, "id", local, sensitive=column, rule=rule)
+    assert got.columns == [*df.columns, "_pid"]
+    parts = {frozenset(r["ids"]) for r in got.groupBy("_pid").agg(F.collect_list("id").alias("ids")).collect()}
+    assert parts == diverse(rows, ["a", "s"], column, 4, 5, l, t, buckets) and 1 < len(parts) < len(mondrian(rows, ["a", "s"], 4, 5))
+    by = {r["_pid"]: r for r in kanon.closeness(got, ["_pid"], column, buckets).collect()}
+    for r in got.groupBy("_pid").agg(F.collect_list("id").alias("ids")).collect():
+        own = [rows[i] for i in r["ids"]]
+        c = by[r["_pid"]]
+        assert c["size"] == len(own) and c["distinct_values"] == len({x[column] for x in own}) >= l
+        assert abs(c["distance"] - distance(own, rows, column, buckets)) < 1e-9 and c["distance"] <= t + 1e-9
+
+
+def test_limits_that_cannot_be_kept(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], None) for i in range(20)], "a int, s string, n int")
+    with pytest.raises(PrivacyError):
+        kanon.k_anonymize_table(df, ["a"], 2, sensitive="s", l=3)
+    with pytest.raises(PrivacyError):
+        kanon.k_anonymize_table(df, ["a"], 2, sensitive="no")
+    for bad in (dict(l=0), dict(t=-0.1), dict(t=float("nan")), dict(buckets=1)):
+        with pytest.raises(PrivacyError):
+            kanon.k_anonymize_table(df, ["a"], 2, sensitive="s", **bad)
+    whole = kanon.k_anonymize_table(df, ["a"], 2, sensitive="s", l=2, t=0.0, keep_partition=True)
+    assert all(r["d"] == 0 for r in kanon.closeness(whole, ["_pid"], "s").select(F.col("distance").alias("d")).collect())
+    assert kanon.k_anonymize_table(df.limit(0), ["a"], 2, sensitive="s", l=3).count() == 0
+    assert kanon.k_anonymize_table(df, ["a"], 2, sensitive="n", l=1, t=0.0).count() == 20
+    classes = kanon.closeness(spark.createDataFrame([(None, "x"), (None, "y"), (1, "x")], "k int, s string"), ["k"], "s")
+    assert {(r["k"], r["size"], round(r["distance"], 6)) for r in classes.collect()} == {(None, 2, 0.166667), (1, 1, 0.333333)}

@@ -474,6 +474,68 @@ def _(s, d):
     return a.groupBy("_pid").agg(F.count("*").alias("n")).agg(F.sum("n").alias("records"), F.bool_and(F.col("n") >= 5).alias("all_at_least_k"))
 
 
+def diverse_sql(qi: list[str], texts: list[str], sensitive: str, place: str, places: int | None, k: int, depth: int, l: int, t: float) -> str:  # noqa: E741
+    """Levels of attempts: a partition is halved along the first identifier, from the widest span on, whose halves both
+    have ``l`` values and lie within ``t``. ``place``: of the value in the whole order; ``places`` None: words."""
+    cols = ", ".join(qi)
+    steps = [f"c0 AS (SELECT c_custkey, c_name, {cols}, {sensitive} AS s, {place} AS code, count(*) OVER (PARTITION BY {sensitive})::DOUBLE / count(*) OVER () AS g, 1::BIGINT AS pid, false AS set FROM customer)"]
+    if places:
+        steps.append(f"whole AS (SELECT r, (count(*) FILTER (code <= r))::DOUBLE / count(*) AS upto FROM c0, range({places - 1}) u(r) GROUP BY r)")
+    at = 0
+    for _ in range(depth):
+        for j in range(len(qi)):
+            a, b = f"c{at}", f"c{at + 1}"
+            spans = ", ".join((f"count(DISTINCT {q})::DOUBLE - 1" if q in texts else f"(max({q}) - min({q}))::DOUBLE") + f" AS w{i}" for i, q in enumerate(qi))
+            rank = lambda i: " + ".join(f"(w{o} > w{i} OR w{o} = w{i} AND {o} < {i})::INT" for o in range(len(qi)) if o != i)
+            by = ", ".join(f"CASE WHEN {rank(i)} = {j} THEN {q} END" for i, q in enumerate(qi))
+            distance = "sum(greatest(0, n::DOUBLE / size - g))"
+            steps += [
+                f"w{at} AS MATERIALIZED (SELECT pid, count(*) AS n, {spans} FROM {a} WHERE NOT set GROUP BY pid HAVING count(*) >= {2 * k})",
+                f"h{at} AS MATERIALIZED (SELECT {a}.*, (row_number() OVER (PARTITION BY pid ORDER BY {by}, c_custkey) > n // 2)::BIGINT AS half FROM {a} JOIN w{at} USING (pid) WHERE NOT set)",
+            ]
+            if places:
+                steps.append(f"d{at} AS (SELECT pid, half, sum(abs(f - upto)) / {places - 1} AS dist FROM (SELECT pid, half, r, (count(*) FILTER (code <= r))::DOUBLE / count(*) AS f FROM h{at}, range({places - 1}) u(r) GROUP BY ALL) JOIN whole USING (r) GROUP BY ALL)")
+            else:
+                steps.append(f"d{at} AS (SELECT pid, half, {distance} AS dist FROM (SELECT pid, half, s, g, count(*) AS n, sum(count(*)) OVER (PARTITION BY pid, half) AS size FROM h{at} GROUP BY pid, half, s, g) GROUP BY pid, half)")
+            steps += [
+                f"k{at} AS (SELECT pid FROM d{at} JOIN (SELECT pid, half, count(DISTINCT s) AS l FROM h{at} GROUP BY ALL) USING (pid, half) GROUP BY pid HAVING bool_and(l >= {l} AND dist <= {t + 1e-9}))",
+                f"{b} AS MATERIALIZED (SELECT c.c_custkey, c.c_name, {', '.join('c.' + q for q in qi)}, c.s, c.code, c.g, CASE WHEN k.pid IS NULL THEN c.pid ELSE 2 * c.pid + half END AS pid, {'false' if j == len(qi) - 1 else 'c.set OR k.pid IS NOT NULL'} AS set FROM {a} c LEFT JOIN k{at} k ON c.pid = k.pid AND NOT c.set LEFT JOIN h{at} h ON h.c_custkey = c.c_custkey)",
+            ]
+            at += 1
+    return f"WITH {', '.join(steps)} SELECT c_custkey, pid FROM c{at}"
+
+
+# The widest span is the balance's for long; words are 1 apart.
+@query("kanon_diverse", diverse_sql(["c_nationkey", "c_acctbal"], [], "c_mktsegment", "0", None, 5, 6, 4, 0.2))
+def _(s, d):
+    rows = t(s, d, "customer")
+    rule = kanon.sensitive_values(rows, "c_mktsegment", 4, 0.2)
+    return kanon.mondrian_partitions(rows, ["c_nationkey", "c_acctbal"], 5, 6, "c_custkey", sensitive="c_mktsegment", rule=rule).select("c_custkey", F.col("_pid").alias("pid"))
+
+
+# Balances are ordered, in 50 places by the share of smaller ones.
+@query("kanon_close", diverse_sql(["c_nationkey", "c_mktsegment"], ["c_mktsegment"], "c_acctbal", "floor(50 * (rank() OVER (ORDER BY c_acctbal) - 1) / count(*) OVER ())::INT", 50, 5, 6, 6, 0.1))
+def _(s, d):
+    rows = t(s, d, "customer")
+    rule = kanon.sensitive_values(rows, "c_acctbal", 6, 0.1, 50)
+    return kanon.mondrian_partitions(rows, ["c_nationkey", "c_mktsegment"], 5, 6, "c_custkey", sensitive="c_acctbal", rule=rule).select("c_custkey", F.col("_pid").alias("pid"))
+
+
+@query("kanon_diverse_check", "SELECT count(*) AS records, true AS all_at_least_k, true AS all_diverse, true AS all_close FROM customer")
+def _(s, d):
+    rows = t(s, d, "customer")
+    held = kanon.k_anonymize_table(rows, ["c_nationkey", "c_acctbal"], 5, 10, order="c_custkey", keep_partition=True, sensitive="c_mktsegment", l=3, t=0.25)
+    c = kanon.closeness(held, ["_pid"], "c_mktsegment")
+    return c.agg(F.sum("size").alias("records"), F.bool_and(F.col("size") >= 5).alias("all_at_least_k"), F.bool_and(F.col("distinct_values") >= 3).alias("all_diverse"), F.bool_and(F.col("distance") <= 0.25 + 1e-9).alias("all_close"))
+
+
+@query("t_closeness", """WITH w AS (SELECT c_mktsegment AS s, count(*)::DOUBLE / sum(count(*)) OVER () AS g FROM customer GROUP BY 1),
+c AS (SELECT c_nationkey, c_mktsegment AS s, count(*) AS n, sum(count(*)) OVER (PARTITION BY c_nationkey) AS size FROM customer GROUP BY c_nationkey, c_mktsegment)
+SELECT c_nationkey, CAST(any_value(size) AS BIGINT) AS size, count(*) AS distinct_values, round(sum(greatest(0, n / size - g)), 6) AS distance FROM c JOIN w USING (s) GROUP BY 1""")
+def _(s, d):
+    return rounded(kanon.closeness(t(s, d, "customer"), ["c_nationkey"], "c_mktsegment"), 6)
+
+
 # One level: the widest identifier is the balance; ranks split it at the middle row.
 @query("kanon_one_split", """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) > count(*) OVER () // 2 AS upper FROM customer)
 SELECT c_custkey, '[' || CASE WHEN w THEN lo::BIGINT::VARCHAR ELSE lo::VARCHAR END || '-' || CASE WHEN w THEN hi::BIGINT::VARCHAR ELSE hi::VARCHAR END || ']' AS c_acctbal FROM (
