@@ -17,8 +17,9 @@ from veilframe.plans.budget import DEFAULT_DELTA, DEFAULT_EPSILON, DEFAULT_NAMES
 
 
 class PrivacyClient:
-    def __init__(self, namespace: str = DEFAULT_NAMESPACE, epsilon: float = DEFAULT_EPSILON, delta: float = DEFAULT_DELTA, noise: SecureNoise | None = None, semantics: str = "reference"):
-        self.ledger, self.noise, self.semantics = BudgetAccountant.instance(namespace, epsilon, delta), noise or dp.SECURE, semantics
+    def __init__(self, namespace: str = DEFAULT_NAMESPACE, epsilon: float = DEFAULT_EPSILON, delta: float = DEFAULT_DELTA, noise: SecureNoise | None = None, semantics: str = "reference", ledger: BudgetAccountant | None = None):
+        """``ledger``: another accountant than the process's own, such as a ``DurableAccountant``."""
+        self.ledger, self.noise, self.semantics = ledger or BudgetAccountant.instance(namespace, epsilon, delta), noise or dp.SECURE, semantics
         self.metrics = params.Metrics()
 
     def _release(self, name: str, plan, epsilon: float, delta: float) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The privacy ledger: driver-side, one accountant for each namespace, spent before anything runs."""
+"""The privacy ledger: driver-side, one accountant for each namespace, spent before anything runs.
+
+Accountants here live as long as their process; ``veilframe.plans.ledger`` keeps one on the shared file system.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +24,12 @@ class BudgetExhausted(RuntimeError):
     status = "RESOURCE_EXHAUSTED"
 
 
+def checked_charge(epsilon: float, delta: float) -> None:
+    """A charge adds to what is spent: a negative one would give budget back."""
+    if not epsilon >= 0 or not delta >= 0:
+        raise PrivacyError(f"a charge can't be negative, got {epsilon} and {delta}")
+
+
 class BudgetAccountant:
     """Basic composition: totals of epsilon and delta add up."""
 
@@ -52,6 +61,7 @@ class BudgetAccountant:
 
     def spend(self, epsilon: float, delta: float = 0.0) -> None:
         """Charge the ledger; on exhaustion nothing is charged."""
+        checked_charge(epsilon, delta)
         with self._own:
             if self.spent_epsilon + epsilon > self.epsilon or self.spent_delta + delta > self.delta:
                 self.refused += 1

@@ -67,6 +67,28 @@ class ParameterResolver:
         validate(primitive, out)
         return out
 
+    def resolve_rows(self, requests: DataFrame, primitive: str, asked: dict[str, Column], namespace: Column | None = None, template: dict | None = None) -> DataFrame:
+        """``requests`` with ``params``, a struct of the parameters that ``resolve`` would give each row, and ``valid``,
+        whether it would accept them. ``asked``: the row's own parameters, null where it has none; ``namespace``: whose
+        personalised parameters apply. Parameters that are no scalars are left out."""
+        layers = [DEFAULTS.get(primitive, {}), template or {}, self.profile.get("primitives", {}).get(primitive, {})]
+        own = {ns: found[primitive] for ns, found in self.personalised.items() if primitive in found}
+        names = [n for n in dict.fromkeys(k for layer in (*layers, *own.values(), asked) for k in layer)]
+        out = []
+        for n in names:
+            fixed = next((layer[n] for layer in reversed(layers) if n in layer), None)
+            if isinstance(fixed, list | dict):
+                continue
+            value = F.lit(fixed)
+            for ns, found in own.items():
+                if n in found:
+                    value = F.when(F.coalesce(namespace if namespace is not None else F.lit("default"), F.lit("default")) == ns, F.lit(found[n])).otherwise(value)
+            out.append((F.coalesce(asked[n], value) if n in asked else value).alias(n))
+        checks = {"dp": ("epsilon", lambda c: c > 0), "k_anonymity": ("k", lambda c: c >= 2), "classification": ("default_level", lambda c: c.rlike("^L[0-9]+$"))}
+        field, holds = checks.get(primitive, (None, None))
+        told = requests.withColumn("params", F.struct(*out))
+        return told.withColumn("valid", F.coalesce(holds(F.col(f"params.{field}")), F.lit(False)) if field else F.lit(True))
+
     def save(self, primitive: str, params: dict, namespace: str = "default") -> None:
         """Add personalised parameters to those of a namespace, and to the file if there is one, which is
         replaced as a whole."""

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.text import ID_CHECKS, ID_WEIGHTS, normalised_text
 from veilframe.operators import stats
-from veilframe.plans import classify, matchers, packs, params, pipeline
-from veilframe.plans.budget import BudgetAccountant
+from veilframe.plans import classify, ledger, matchers, packs, params, pipeline
 from veilframe.plans.classify import Classifier
 from veilframe.plans.matchers import Field
 from veilframe.plans.model import Matcher, Rule
@@ -263,19 +262,40 @@ def _(s, d):
 # -- budget and parameters ---------------------------------------------------------------------------
 
 
-@query("budget_remaining", "SELECT 'query' AS namespace, 0.75::DOUBLE AS epsilon, 0.0000625::DOUBLE AS delta")
+# Orders as charges of 100 ledgers: eighths of epsilon, and a delta for two of three.
+_CHARGES = """WITH RECURSIVE c AS (
+  SELECT o_orderkey, o_custkey % 100 AS ns, (o_orderkey % 7 + 1) / 8.0::DOUBLE AS e, (o_orderkey % 3) / 1048576.0::DOUBLE AS d, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS i FROM orders
+), w(ns, i, o_orderkey, accepted, e, d) AS (
+  SELECT ns, 0::BIGINT, NULL::BIGINT, false, 0.0::DOUBLE, 0.0::DOUBLE FROM c WHERE i = 1
+  UNION ALL SELECT c.ns, c.i, c.o_orderkey, f, CASE WHEN f THEN w.e + c.e ELSE w.e END, CASE WHEN f THEN w.d + c.d ELSE w.d END
+  FROM w JOIN c ON c.ns = w.ns AND c.i = w.i + 1, LATERAL (SELECT w.e + c.e <= 10 AND w.d + c.d <= 0.0000457763671875 AS f)
+)"""
+
+
+def _replayed(s: SparkSession, d: str) -> DataFrame:
+    charges = t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("ns"))
+    return ledger.replay(charges, "ns", ["o_orderkey"], (F.col("o_orderkey") % 7 + 1) / 8, (F.col("o_orderkey") % 3) / (1 << 20), 10.0, 0.0000457763671875)
+
+
+@query("budget_replay", f"{_CHARGES} SELECT o_orderkey, ns, accepted, e AS spent_epsilon, d AS spent_delta FROM w WHERE i > 0")
+def _(s, d):
+    return _replayed(s, d)
+
+
+@query("budget_remaining", f"{_CHARGES} SELECT ns::VARCHAR AS namespace, 10 - max(e) AS epsilon, 0.0000457763671875::DOUBLE - max(d) AS delta, count(*) FILTER (NOT accepted AND i > 0) AS refused FROM w GROUP BY ns")
 def _(s, d):
-    BudgetAccountant.reset("query")
-    a = BudgetAccountant.instance("query", 1.0, 1.25e-4)
-    a.spend(0.25, 6.25e-5)
-    return a.as_dataframe(s)
+    left = _replayed(s, d).groupBy(F.col("ns").cast("string").alias("namespace"))
+    return left.agg((10 - F.max("spent_epsilon")).alias("epsilon"), (0.0000457763671875 - F.max("spent_delta")).alias("delta"), F.count_if(~F.col("accepted")).alias("refused"))
 
 
-@query("param_resolve", "SELECT 'dp' AS primitive, 0.5::DOUBLE AS epsilon, 'gaussian' AS mechanism, 7::INT AS k")
+# Requests of orders: by priority as namespace, with parameters of their own for some.
+@query("param_resolve", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 4 - 1) / 2.0::DOUBLE WHEN o_orderpriority = '1-URGENT' THEN 2.0::DOUBLE ELSE 0.25::DOUBLE END AS epsilon,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 1e-6::DOUBLE ELSE 1e-5::DOUBLE END AS delta, CASE WHEN o_orderkey % 5 = 0 THEN 'laplace' ELSE 'gaussian' END AS mechanism,
+  NOT (o_orderkey % 3 = 0 AND o_orderkey % 4 <= 1) AS valid FROM orders""")
 def _(s, d):
-    r = params.ParameterResolver({"primitives": {"dp": {"epsilon": 0.25, "mechanism": "gaussian"}}}, {"default": {"k_anonymity": {"k": 7}}})
-    got, k = r.resolve("dp", {"epsilon": 0.5}), r.resolve("k_anonymity")
-    return s.createDataFrame([("dp", got["epsilon"], got["mechanism"], k["k"])], "primitive string, epsilon double, mechanism string, k int")
+    r = params.ParameterResolver({"primitives": {"dp": {"epsilon": 0.25, "mechanism": "gaussian"}}}, {"1-URGENT": {"dp": {"epsilon": 2.0}}, "2-HIGH": {"dp": {"delta": 1e-6}}})
+    asked = {"epsilon": F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 4 - 1) / 2), "mechanism": F.when(F.col("o_orderkey") % 5 == 0, "laplace")}
+    return r.resolve_rows(t(s, d, "orders"), "dp", asked, F.col("o_orderpriority")).select("o_orderkey", "params.*", "valid")
 
 
 @query("recommend_params", "WITH v AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r, count(*) OVER () AS n FROM lineitem) SELECT max(x) FILTER (WHERE r = floor(0.05 * n)) AS clip_lower, max(x) FILTER (WHERE r = ceil(0.95 * n) - 1) AS clip_upper, least(1e-5, 1 / (10.0 * max(n) * max(n)))::DOUBLE AS delta, 1.0::DOUBLE AS epsilon, 10::INT AS k, 10::INT AS max_depth FROM v")
