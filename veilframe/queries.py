@@ -7,6 +7,7 @@ derived from keys, in both engines by the same rule.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from veilframe.functions import masks
 from veilframe.functions.noise import HashNoise, hash_gaussian_sql, hash_laplace_sql, hash_uniform_sql
 from veilframe.operators import dp, kanon, ldp, obfuscate
-from veilframe.sources import ingest
+from veilframe.plans.storage import shared_dir
+from veilframe.sources import arrow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,7 +349,9 @@ def _(s, d):
 
 @query("dp_arrow_count", f"SELECT round(greatest(0.0, count(*) + {lap(1.0, 'count')}), 4) AS value FROM supplier")
 def _(s, d):
-    return rounded(dp.count(ingest.from_arrow(s, t(s, d, "supplier").select("s_acctbal").toArrow()), "s_acctbal", 1.0, noise=NOISE))
+    path = f"{shared_dir(s)}/veilframe/arrow-{uuid.uuid4().hex}"
+    arrow.write_arrow(t(s, d, "supplier").select("s_acctbal"), path)
+    return rounded(dp.count(arrow.read_arrow(s, path), "s_acctbal", 1.0, noise=NOISE))
 
 
 # -- local differential privacy ----------------------------------------------------------------------

@@ -53,7 +53,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def from_arrow(spark: SparkSession, table: pa.Table | bytes) -> DataFrame:
-    """An Arrow table or IPC stream as a DataFrame."""
+    """An Arrow table or IPC stream that the driver holds as a DataFrame. ``veilframe.sources.arrow`` reads and writes
+    files without the driver."""
     if isinstance(table, bytes):
         table = pa.ipc.open_stream(table).read_all()
     return spark.createDataFrame(table)
