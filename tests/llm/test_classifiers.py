@@ -123,6 +123,8 @@ def test_scores_are_those_of_plain_loops(spark):
 def test_letters_are_letters():
     """Numbers of any kind are none, and dictionaries take pieces from all over a long text."""
     assert langid.letters("a²½①Ⅷ_٣ Zoë9é") == "a zoë é".encode()
+    wrong = [hex(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (langid.letters(chr(i)) != b"") != chr(i).isalpha()]
+    assert wrong == [] and langid.letters("a\U0001D7D8!\U0001F10B b𝒜") == "a b𝒜".lower().encode()
     d = langid.Dictionaries(["a", "b"], [b"lorem ipsum dolor sit amet " * 40, b"the quick brown fox jumps over " * 40])
     for text in ("²", "½", "① Ⅷ", "12 ٣", "", None, "〇"):
         assert langid.Classifier(d, 0.02).predict(text) == ("und", 0.0, True)

@@ -36,13 +36,17 @@ from veilframe.llm.common import map_arrow, text_chunks
 DICTIONARY, TOTAL, DOCUMENTS, SHARE, PIECE, LEVEL, LEAST = 1 << 18, 1 << 26, 400, 1 << 15, 1 << 12, 3, 8
 UNKNOWN = "und"
 
-# Word characters that are no letters, such as fractions and circled digits, lie below 0x20000.
-_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_SIGNS}]+")
+# Word characters that are no letters, such as fractions and circled digits, lie below 0x20000. Those above 0xFFFF have
+# a pattern of their own, tried on texts with such characters alone: in one class with the others they slow every text.
+_SIGNS, _HIGH_SIGNS = ("".join(c for c in map(chr, span) if c.isalnum() and not c.isalpha()) for span in (range(0x80, 0x10000), range(0x10000, 0x20000)))
+_OTHER, _HIGH_OTHER = re.compile(rf"[\W\d_{_SIGNS}]+"), re.compile(f"[{_HIGH_SIGNS}]")
 
 
 def letters(text: str | None) -> bytes:
-    return _OTHER.sub(" ", text or "").strip().lower().encode("utf-8", "replace")
+    text = text or ""
+    if not text.isascii() and len(text.encode("utf-16-le", "replace")) > 2 * len(text):
+        text = _HIGH_OTHER.sub(" ", text)
+    return _OTHER.sub(" ", text).strip().lower().encode("utf-8", "replace")
 
 
 def spread(t: bytes, limit: int) -> bytes:
