@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.plans.budget import PrivacyError
-from veilframe.sources import arrow
+from veilframe.sources import arrow, ingest, split
 
 
 def every_type(spark, n=1000):
@@ -70,3 +70,86 @@ def test_files_of_others(spark, tmp_path):
         with pytest.raises(Exception, match="no such file|no Arrow file"):
             arrow.read_arrow(spark, str(missing)).count()
     assert issubclass(PrivacyError, ValueError) and json.dumps([])
+
+
+# -- split files -----------------------------------------------------------------------------------------
+
+
+def quoted_csv(rng, rows, newline):
+    """Cells with line feeds, quotes, separators, blanks, quotes inside plain cells, short and long rows."""
+
+    def cell():
+        kind = rng.randrange(9)
+        plain = "".join(rng.choice("abc é日") for _ in range(rng.randrange(6)))
+        if kind < 4:
+            return plain.strip() or "p"
+        if kind == 4:
+            return 'x5" disk'
+        body = "".join(rng.choice(("a", ",", newline, '""', "é", " ", newline * 2)) for _ in range(rng.randrange(1, 14)))
+        return f'"{body}"' if kind < 8 else f'"{body * 30}"'
+
+    lines = ["one,two,three"]
+    for _ in range(rows):
+        lines.append(",".join(cell() for _ in range(rng.choice((3, 3, 3, 3, 2, 4)))))
+        if rng.random() < 0.05:
+            lines.append("")
+    return newline.join(lines) + rng.choice(("", newline))
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """File blocks of 200 bytes, so that even small files are read by many tasks."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for key in keys:
+        spark.conf.set(key, "200")
+    yield spark
+    for key in keys:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("blocks", [100_000, 0])
+def test_split_csv_is_the_whole_reader_s(small_blocks, tmp_path, seed, blocks, monkeypatch):
+    import random
+
+    monkeypatch.setattr(split, "BLOCKS", blocks)
+    rng = random.Random(seed)
+    newline = "\n" if seed % 2 else "\r\n"
+    (tmp_path / "a.csv").write_bytes((b"\xef\xbb\xbf" if seed == 2 else b"") + quoted_csv(rng, 80, newline).encode())
+    (tmp_path / "b.csv").write_bytes(quoted_csv(rng, 20, newline).encode())
+    want = ingest.read_csv(small_blocks, str(tmp_path), whole=True)
+    got = ingest.read_csv(small_blocks, str(tmp_path))
+    assert got.columns == want.columns == ["one", "two", "three"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert split._pieces(small_blocks, str(tmp_path), "\n").rdd.getNumPartitions() > 10
+
+
+def test_lines_follow_the_states():
+    for line, outside, inside in (("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('x,"y', True, False), ('x,"y""z",w', False, False), ('",', True, False), ('","', False, True), ('""', False, True), ('a"",b', False, True), ('","x,', False, True)):
+        assert (split.after_line(line, False, ","), split.after_line(line, True, ",")) == (outside, inside), line
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_json_is_the_whole_reader_s(small_blocks, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice(('"', "\\", "{", "}", "[", "]", ",", "é", "\n", "a", "\\\"}")) for _ in range(rng.randrange(n)))
+    rows = [{"id": i, "t": text(30), "deep": {"k": [{"x": text(8)}, {"x": i}] if i % 3 else [], "e": {}}, **({"big": text(600)} if i % 17 == 0 else {}), **({"n": i / 4} if i % 2 else {})} for i in range(90)]
+    (tmp_path / "a.json").write_text(json.dumps(rows[:60], indent=seed % 3 or None, ensure_ascii=bool(seed % 2)), encoding="utf-8")
+    (tmp_path / "b.json").write_text("﻿" * (seed == 1) + json.dumps(rows[60:]) + "\n", encoding="utf-8")
+    (tmp_path / "c.json").write_text("[]")
+    want = ingest.read_json(small_blocks, str(tmp_path), whole=True)
+    got = ingest.read_json(small_blocks, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 90
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    assert split.json_records(small_blocks, str(tmp_path / "lines.json")).count() == 90
+    objects = [json.loads(r["text"]) for r in split.json_records(small_blocks, str(tmp_path / "a.json")).collect()]
+    assert sorted(objects, key=lambda x: x["id"]) == rows[:60]
+
+
+@pytest.mark.parametrize("text", ['"text"', "[1, 2", '[{"a": 1}', '[{"a": "}', "x", '{"a": [1}'])
+def test_what_is_no_array_of_objects_is_refused(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="array of objects|FAILFAST|[Mm]alformed"):
+        ingest.read_json(spark, str(tmp_path / "a.json")).count()

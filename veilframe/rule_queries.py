@@ -315,7 +315,7 @@ def _(s, d):
 @query("ingest_json", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def _(s, d):
     path = _stage(s, t(s, d, "customer").select("c_name", "c_custkey"), "json")
-    return ingest.read_json(s, path, multi_line=False)
+    return ingest.read_json(s, path)
 
 
 @query("process_file", f"SELECT {MASK_SQL['default']('k')} AS s_suppkey, {MASK_SQL['name']('s_name')} AS s_name FROM (SELECT s_suppkey::VARCHAR AS k, s_name FROM supplier)")

@@ -12,14 +12,18 @@ from pyspark.sql import types as T
 from veilframe.functions.masks import mask_dataframe
 from veilframe.operators.kanon import k_anonymize_strings
 from veilframe.plans.budget import PrivacyError
+from veilframe.sources import split
 
 MAX_UPLOAD = 10 << 20
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """All strings, no inference; short rows are padded with "", extra cells dropped, a byte-order mark
-    is stripped. Files without quoted line feeds should pass ``multi_line=False`` to be split."""
-    df = spark.read.csv(path, header=True, multiLine=multi_line, mode="PERMISSIVE", quote='"', escape='"', encoding="UTF-8")
+    is stripped. Large files are read by many tasks, quoted line feeds or not (``split``); ``whole``: one task a file, which
+    also takes files whose lines end in carriage returns alone."""
+    if not whole:
+        return split.read_csv(spark, path)
+    df = spark.read.csv(path, header=True, multiLine=True, mode="PERMISSIVE", quote='"', escape='"', encoding="UTF-8")
     if not df.columns:
         raise PrivacyError("the file is empty")
     return df.na.fill("")
@@ -40,13 +44,14 @@ def _stringified(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, whole: bool = False) -> DataFrame:
     """An array of objects (or lines of them): the sorted union of keys, everything as strings.
 
-    Absent keys and nulls are "". Give a ``schema`` to spare the inference pass.
+    Absent keys and nulls are "". Large files are read by many tasks (``split``): their objects are written as lines first;
+    ``whole``: one task a file. Give a ``schema`` to spare the inference pass.
     """
     reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.json(path, multiLine=multi_line, mode="FAILFAST")
+    df = reader.json(path, multiLine=True, mode="FAILFAST") if whole else reader.json(split.json_lines(spark, path), mode="FAILFAST")
     if "_corrupt_record" in df.columns:
         raise PrivacyError("not an array of objects")
     return df.select(*(_stringified(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in sorted(df.columns)))
@@ -75,7 +80,8 @@ def process_file(spark: SparkSession, path: str, op: str, params: dict | None =
         raise PrivacyError(f"unsupported file type {suffix!r}")
     if limit is not None and size_of(spark, path) > limit:
         raise PrivacyError(f"the file is larger than {limit} bytes")
-    df = read_csv(spark, path) if suffix == ".csv" else read_json(spark, path)
+    small = limit is not None  # then one task reads the file
+    df = read_csv(spark, path, small) if suffix == ".csv" else read_json(spark, path, whole=small)
     if op == "mask_dataframe":
         return mask_dataframe(df, params.get("columns"))
     if op == "k_anonymize":
