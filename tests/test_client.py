@@ -2,13 +2,14 @@ import http.server
 import json
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.client import PrivacyClient
 from veilframe.functions.noise import HashNoise
 from veilframe.operators import dp
-from veilframe.plans import classify, endpoint, params
+from veilframe.plans import classify, endpoint, packs, params
 from veilframe.plans.budget import BudgetAccountant, BudgetExhausted
 from veilframe.plans.model import Policy
 from veilframe.sources import samples
@@ -102,27 +103,87 @@ def test_personalised_parameters(tmp_path, monkeypatch):
 
 
 class Answers(http.server.BaseHTTPRequestHandler):
+    asked: list[str] = []
+    failures: dict[str, int] = {}
+
     def do_POST(self):  # noqa: N802
         asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
-        level = "L4" if "secret" in asked else "L9"
-        self.send_response(500 if "broken" in asked else 200)
+        self.asked.append(asked)
+        if "moved" in asked:
+            self.send_response(302)
+            self.send_header("Location", f"http://{self.headers['Host']}/secret")
+            self.end_headers()
+            return
+        left = next((k for k, n in self.failures.items() if k in asked and n), None)
+        if left:
+            self.failures[left] -= 1
+        self.send_response(503 if left else 500 if "broken" in asked else 200)
         self.end_headers()
-        self.wfile.write(json.dumps({"choices": [{"message": {"content": json.dumps({"level": level})}}]}).encode())
+        level = "l4" if "secret" in asked else "L9"
+        self.wfile.write(json.dumps({"choices": [{"message": {"content": "Here: " + json.dumps({"level": level, "why": {}}) + " done"}}]}).encode())
 
     def log_message(self, *a):
         pass
 
 
-def test_http_model(spark):
-    """Asked for open rows only; unknown levels and failures change nothing."""
+@pytest.fixture
+def answers(monkeypatch):
+    monkeypatch.setattr(endpoint, "PAUSE", 0.01)
+    Answers.asked.clear()
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
     threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_http_model(spark, answers):
+    """Asked for open rows only; unknown levels, failures and redirects change nothing."""
     c = classify.build("general-pii", semantics="intended", policy=Policy(enable_llm=True))
-    model = endpoint.HttpModel(f"http://127.0.0.1:{server.server_port}/", c.taxonomy)
-    df = spark.createDataFrame([(1, "secret"), (2, "13800138000"), (3, "plain"), (4, "broken secret"), (5, None)], "id long, zz string")
+    model = endpoint.HttpModel(answers, c.taxonomy, attempts=2, tasks=2)
+    df = spark.createDataFrame([(1, "secret"), (2, "13800138000"), (3, "plain"), (4, "broken secret"), (5, None), (6, "moved secret")], "id long, zz string")
     got = {r["record_id"]: (r["final_level"], r["engine_layer"]) for r in c.classify_fields(df, "id", llm=model).collect()}
-    server.shutdown()
-    assert got[1] == ("L4", "llm") and got[2] == ("L3", "rule") and {got[i][1] for i in (3, 4, 5)} == {"rule"}
-    assert model.ask("zz", "secret") is None  # nobody listens any more
-    for bad in ("ftp://x", "http://169.254.169.254/", "", None, "http://"):
+    assert got[1] == ("L4", "llm") and got[2] == ("L3", "rule") and {got[i][1] for i in (3, 4, 5, 6)} == {"rule"}
+    assert sum("broken" in a for a in Answers.asked) == 2 and sum("moved" in a for a in Answers.asked) == 1
+    assert model.ask("zz", "secret") == "L4" and endpoint.HttpModel("http://127.0.0.1:9/", c.taxonomy, attempts=1).ask("zz", "secret") is None
+    for bad in ("ftp://x", "http://169.254.169.254/", "", None, "http://", "http://x:99999/"):
         assert not endpoint.allowed(bad)
+
+
+def test_a_question_is_asked_once(spark, answers, tmp_path):
+    """However many rows share it, tasks run again or later runs ask it; failures are repeated and asked anew."""
+    taxonomy = packs.TAXONOMIES["default"]
+    Answers.failures.update(late=2, never=10**6)
+    model = endpoint.HttpModel(answers, taxonomy, attempts=3, tasks=3, answers=str(tmp_path / "kept"))
+    values = ["secret one"] * 400 + ["secret late", "plain", "never secret", "x" * 99 + "yz", "x" * 99 + "yw", None, ""]
+    rows = spark.createDataFrame([(i, "f", v) for i, v in enumerate(values)], "record_id long, field string, value string").repartition(5)
+    level = lambda df: {values[r["record_id"]]: r["level"] for r in df.collect()}
+    got = level(model(rows))
+    assert got["secret one"] == got["secret late"] == "L4" and got["plain"] is None and "never secret" not in got
+    count = lambda text: sum(f'holds "{text}"' in a for a in Answers.asked)
+    assert (count("secret one"), count("secret late"), count("never secret"), count("x" * 99 + "y..."), count("")) == (1, 3, 3, 1, 1)
+    assert "L3 (敏感数据)" in Answers.asked[0] and got["x" * 99 + "yz"] is None
+    Answers.failures.clear()
+    assert level(model(rows))["never secret"] == "L4" and len(Answers.asked) == 11 and count("never secret") == 4
+    # A task that fails after its answers came finds them when it runs again.
+    folder = str(tmp_path / "lost")
+    plain = endpoint.HttpModel(answers, taxonomy, tasks=1, answers=folder)
+    batch = pa.record_batch([pa.array(["k1", "k2"]), pa.array(["f", "f"]), pa.array(["secret a", "secret b"])], ["key", "field", "value"])
+    Answers.asked.clear()
+    questions = spark.createDataFrame([("k1", "f", "secret a"), ("k2", "f", "secret b")], "key string, field string, value string").coalesce(1)
+
+    def dies(batches):
+        yield from plain._asked(folder)(batches)
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        questions.mapInArrow(dies, "key string, level string").collect()
+    assert len(Answers.asked) == 2 == batch.num_rows
+    assert sorted(map(tuple, questions.mapInArrow(plain._asked(folder), "key string, level string").collect())) == [("k1", "L4"), ("k2", "L4")] and len(Answers.asked) == 2
+
+
+def test_levels_are_read_from_answers():
+    m = endpoint.HttpModel("http://x/", packs.TAXONOMIES["gd_health"])
+    say = lambda content: json.dumps({"choices": [{"message": {"content": content}}]})
+    assert m.level_of(say('{"level": "g2"}')) == m.level_of('{"level": " G2 "}') == m.level_of(say('so {"level":"G2"} it is')) == "G2"
+    for bad in ("", "x", "[]", "{}", say("G2"), say('{"level": "L2"}'), say('{"lev'), say('{"level": null}'), '{"choices": []}', '{"choices": 5}'):
+        assert m.level_of(bad) is None

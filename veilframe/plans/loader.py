@@ -64,8 +64,9 @@ def taxonomy_of(name: str, doc: dict) -> Taxonomy:
         return {str(x["id"]): x for x in found} if isinstance(found, list) else {str(k): v or {} for k, v in (found or {}).items()}
 
     levels = {k: int(v.get("rank", 0)) for k, v in by_id(doc.get("levels")).items()}
+    names = {k: str(v["name"]) for k, v in by_id(doc.get("levels")).items() if v.get("name")}
     categories = {k: str(v.get("path") or k) for k, v in by_id(doc.get("categories")).items()}
-    return Taxonomy(name, str(doc.get("default_level") or "L3"), levels, categories)
+    return Taxonomy(name, str(doc.get("default_level") or "L3"), levels, categories, names)
 
 
 def as_document(x: Profile | Taxonomy | Standard) -> dict:
@@ -78,7 +79,7 @@ def as_document(x: Profile | Taxonomy | Standard) -> dict:
             "composite_rules": [{"id": c.id, "field_patterns": c.field_patterns, "target_level": c.target_level, "category": c.category, "min_matches": c.min_matches} for c in x.composites],
         }
     if isinstance(x, Taxonomy):
-        return {"domain": x.name, "default_level": x.default_level, "levels": {k: {"id": k, "rank": r} for k, r in x.levels.items()}, "categories": {k: {"id": k, "path": p} for k, p in x.categories.items()}}
+        return {"domain": x.name, "default_level": x.default_level, "levels": {k: {"id": k, "rank": r} | ({"name": x.names[k]} if k in x.names else {}) for k, r in x.levels.items()}, "categories": {k: {"id": k, "path": p} for k, p in x.categories.items()}}
     return {"standard_id": x.id, "taxonomy": x.taxonomy, "domains": x.domains}
 
 

@@ -11,6 +11,7 @@ class Taxonomy:
     default_level: str
     levels: dict[str, int]  # level -> rank
     categories: dict[str, str] = field(default_factory=dict)  # category -> path
+    names: dict[str, str] = field(default_factory=dict)  # level -> what it is called
 
     def rank(self, level: str | None) -> int:
         return self.levels.get(level or "", 0)
@@ -19,6 +20,7 @@ class Taxonomy:
         """The first of the highest-ranked levels; the default level of none."""
         return max(levels, key=self.rank) if levels else self.default_level
 
+
 @dataclass(frozen=True)
 class Matcher:
     operator: str

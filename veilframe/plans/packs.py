@@ -5,6 +5,8 @@ Fixed values: identifiers, levels, keywords, patterns and priorities are data th
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from veilframe.plans.model import Composite, Downgrade, Matcher, Profile, Rule, Standard, Taxonomy
 
 
@@ -154,7 +156,14 @@ STANDARDS = {s.id: s for s in (Standard("gd_health", "gd_health", ("gd_health",)
 
 _L = {"L1": 1, "L2": 2, "L3": 3, "L4": 4, "L5": 5}
 BUILT_IN = Taxonomy("built-in", "L1", _L, {"personal-info": "general/personal-info", "contact": "general/contact", "identity": "general/identity", "financial": "finance/financial", "medical": "health/medical"})
-TAXONOMIES = {t.name: t for t in (
+# What the levels of the taxonomies are called.
+LEVEL_NAMES = {
+    "default": {"L1": "公开数据", "L2": "内部数据", "L3": "敏感数据", "L4": "高敏感数据", "L5": "极敏感数据"},
+    "finance_jrt0197": {"C1": "第一级（不敏感）", "C2": "第二级（低敏感）", "C3": "第三级（敏感）", "C4": "第四级（高敏感）"},
+    "gd_health": {"G1": "第1级（低敏感）", "G2": "第2级（较低敏感）", "G3": "第3级（敏感）", "G4": "第4级（高敏感）"},
+    "sc_health_db51": {"L1": "公开数据/第1级", "L2": "内部数据/第2级", "L3": "敏感数据/第3级", "L4": "高敏感数据/第4级", "L5": "极敏感数据/第5级"},
+}
+TAXONOMIES = {t.name: replace(t, names=LEVEL_NAMES[t.name]) for t in (
     Taxonomy("default", "L3", _L, {c: f"MEDICAL_TREATMENT/{c}" for c in ("GENOMIC", "MEDICAL_ICD10_GENERAL", "MEDICAL_ICD10_HIV", "MEDICAL_ICD10_STD", "MEDICAL_ICD10_PSYCHIATRIC", "MEDICAL_ICD10_CANCER")}),
     Taxonomy("finance_jrt0197", "C3", {"C1": 1, "C2": 2, "C3": 3, "C4": 4}),
     Taxonomy("gd_health", "G2", {"G1": 1, "G2": 2, "G3": 3, "G4": 4}),
