@@ -172,16 +172,19 @@ def recommend(df: DataFrame, column: str, records: int | None = None) -> DataFra
 @dataclass
 class Metrics:
     """Counters of the driver: operations, budget spent and refused, classifications and rule hits. What jobs
-    count is added when they end (``watch``)."""
+    count is added when they end (``watch``, or ``listeners.listen`` for all jobs and streams)."""
 
     counters: Counter = field(default_factory=Counter)
     seconds: dict[str, list[float]] = field(default_factory=dict)
+    _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def count(self, name: str, by: float = 1) -> None:
-        self.counters[name] += by
+        with self._lock:
+            self.counters[name] += by
 
     def timed(self, name: str, value: float) -> None:
-        self.seconds.setdefault(name, []).append(value)
+        with self._lock:
+            self.seconds.setdefault(name, []).append(value)
 
     @contextmanager
     def timer(self, name: str) -> Iterator[None]:
