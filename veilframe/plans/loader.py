@@ -7,6 +7,7 @@ from what a file held when it was first read; ``reload`` forgets that.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 from pathlib import Path
@@ -83,6 +84,9 @@ def as_document(x: Profile | Taxonomy | Standard) -> dict:
     return {"standard_id": x.id, "taxonomy": x.taxonomy, "domains": x.domains}
 
 
+KINDS = ("domains", "taxonomies", "standards")
+
+
 class RuleStore:
     """A folder of rule files; what is read is kept until ``reload``."""
 
@@ -103,10 +107,13 @@ class RuleStore:
                 return path
         raise PrivacyError(f"no {name!r} among {kind}")
 
+    def _document(self, kind: str, name: str) -> dict:
+        return read_document(self._path(kind, name))
+
     def _get(self, kind: str, name: str, make):
         with self._lock:
             if (kind, name) not in self._read:
-                self._read[kind, name] = make(read_document(self._path(kind, name)))
+                self._read[kind, name] = make(self._document(kind, name))
             return self._read[kind, name]
 
     def profile(self, name: str) -> Profile:
@@ -126,6 +133,10 @@ class RuleStore:
         with self._lock:
             self._read.clear()
 
+    def frozen(self) -> FrozenStore:
+        """All rules as the files have them now, apart from what becomes of the files."""
+        return FrozenStore({kind: {n: read_document(self._path(kind, n)) for n in self.names(kind)} for kind in KINDS}, self.semantics, self.policy)
+
     def classifier(self, domain: str | None = None, standard: str | None = None) -> Classifier:
         """As ``classify.build``, from the folder's files."""
         standards = {standard: self.standard(standard)} if standard else {}
@@ -146,6 +157,31 @@ class RuleStore:
         self.reload()
 
 
+class FrozenStore(RuleStore):
+    """Rules by their documents, {kind: {name: document}}, named by a digest of what they say."""
+
+    def __init__(self, documents: dict[str, dict[str, dict]], semantics: str = "reference", policy: Policy | None = None):
+        super().__init__("", semantics, policy)
+        self.documents = documents
+        said = json.dumps([documents, semantics, repr(policy)], sort_keys=True, ensure_ascii=False)
+        self.version = hashlib.sha256(said.encode()).hexdigest()[:16]
+
+    def _document(self, kind: str, name: str) -> dict:
+        try:
+            return self.documents[kind][name]
+        except KeyError:
+            raise PrivacyError(f"no {name!r} among {kind}") from None
+
+    def names(self, kind: str) -> list[str]:
+        return sorted(self.documents.get(kind, {}))
+
+    def frozen(self) -> FrozenStore:
+        return self
+
+    def write(self, *documents: Profile | Taxonomy | Standard) -> None:
+        raise PrivacyError("frozen rules can't be changed")
+
+
 def write_bundled(folder: str) -> RuleStore:
     """A folder with the bundled packs, to start one's own from."""
     store = RuleStore(folder)
