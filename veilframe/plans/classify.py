@@ -282,6 +282,15 @@ def audited(result: DataFrame) -> DataFrame:
     return result.withColumn("audit_timestamp", F.current_timestamp())
 
 
+def coverage(rows: DataFrame, domains: list[str] | None = None, semantics: str = "reference") -> DataFrame:
+    """(domain, rules, fields, tagged) for each rule pack: its rules, and how many of the (field, value) rows there are and
+    get a tag from it. All packs are judged in one pass over ``rows``."""
+    packs_ = {d: build(d, semantics=semantics) for d in domains or list_domains()}
+    tagged = [F.count_if(F.size(c.kept_tags(F.col("field"), F.col("value"))) > 0).alias(f"t{i}") for i, c in enumerate(packs_.values())]
+    told = [F.struct(F.lit(d).alias("domain"), F.lit(len([r for r in c.rules if r.enabled])).cast("long").alias("rules"), F.col("fields"), F.col(f"t{i}").alias("tagged")) for i, (d, c) in enumerate(packs_.items())]
+    return rows.agg(F.count(F.lit(1)).alias("fields"), *tagged).select(F.inline(F.array(*told)))
+
+
 def list_standards() -> list[str]:
     return sorted(packs.STANDARDS)
 

@@ -227,10 +227,18 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", F.element_at(_PII.ner_tags(e, {"en": "L4:PERSONAL_BASIC"}), 1).alias("x")).select("doc_id", "x.level", "x.category")
 
 
-@query("catalogue", "SELECT 'domain' AS kind, 5::BIGINT AS n UNION ALL SELECT 'operator', 14::BIGINT UNION ALL SELECT 'standard', 3")
+def _coverage_sql() -> str:
+    """A row for each rule pack that is listed."""
+    arms = []
+    for name in classify.list_domains():
+        c = classify.build(name)
+        arms.append(f"SELECT '{name}' AS domain, {len([r for r in c.rules if r.enabled])}::BIGINT AS rules, count(*) AS fields, count(*) FILTER (n_tags > 0) AS tagged FROM ({field_sql(c, _LONG_SQL, 'c_custkey')}) f")
+    return " UNION ALL ".join(arms)
+
+
+@query("catalogue", _coverage_sql())
 def _(s, d):
-    rows = [("domain", len(classify.list_domains())), ("operator", len(classify.list_operators())), ("standard", len(classify.list_standards()))]
-    return s.createDataFrame(rows, "kind string, n long")
+    return classify.coverage(long_people(s, d).select("field", "value"))
 
 
 # -- pipelines ---------------------------------------------------------------------------------------
