@@ -176,6 +176,20 @@ def test_mondrian_is_the_same_at_every_size(spark, qi, order):
         kanon.mondrian_partitions(df.withColumn("a", F.array("id")), ["number"], 4, order="a")
 
 
+def test_leaves_are_the_same_at_every_size(spark, monkeypatch):
+    """Ranges and value sets made in the task and by aggregation: nulls, NaN, constants, every kind of value."""
+    rng = random.Random(6)
+    some = lambda v: None if rng.random() < 0.3 else v
+    rows = [(i, some(rng.randrange(90)), some(rng.choice(["a", "b", "é", "日", ""])), some(rng.choice([0.5, float("nan"), -1.0, 7.0, 1e12])), some(datetime.date(2024, 1, rng.randrange(1, 5))), None, "clash") for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, number int, text string, real double, day date, nothing int, _text0 string").repartition(3).drop("_text0")
+    found = []
+    for local in (10**6, 10):
+        monkeypatch.setattr(kanon, "LOCAL_ROWS", local)
+        for qi in (["number", "text", "real"], ["day", "nothing"], ["text"]):
+            found.append(sorted(map(str, kanon.k_anonymize_table(df, qi, 4, 3, order="id", keep_partition=True).collect())))
+    assert found[:3] == found[3:]
+
+
 def test_mondrian_order_of_every_type(spark):
     """The order column itself may be null, NaN, a date or a boolean."""
     rng = random.Random(4)

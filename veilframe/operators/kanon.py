@@ -164,8 +164,9 @@ def closeness(df: DataFrame, classes: list[str], sensitive: str, buckets: int =
     return found.select(*(F.col(f"_o{i}").alias(c) for i, c in enumerate(classes)), F.col("_n").alias("size"), F.col("_l").alias("distinct_values"), F.col("_t").alias("distance"))
 
 
-def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None, local_rows: int = LOCAL_ROWS, rows: int | None = None, sensitive: str | None = None, rule: Sensitive | None = None) -> DataFrame:
-    """``df`` with ``_pid``, the partition each row falls in, written once.
+def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max_depth: int = 10, order: str | None = None, local_rows: int = LOCAL_ROWS, rows: int | None = None, sensitive: str | None = None, rule: Sensitive | None = None, leaves: bool = False) -> DataFrame:
+    """``df`` with ``_pid``, the partition each row falls in, written once. ``leaves``, for tables of ``local_rows`` at most,
+    adds the range or the value set of the partition for each quasi-identifier, and nothing is written.
 
     Every level splits all partitions of 2k rows or more at their middle row, along the quasi-identifier of
     the widest span (first if several). Nulls sort before all values and take no part in spans; ``order``
@@ -194,8 +195,10 @@ def mondrian_partitions(df: DataFrame, quasi_identifiers: list[str], k: int, max
     if (df.count() if rows is None else rows) <= local_rows:
         # ``_own`` stands for the columns of ``df``, whatever their names.
         own = known(df.select(F.struct(*df.columns).alias("_own"), F.lit(1).cast("long").alias("_pid"), *keys))
-        out = T.StructType([*own.select("_own", "_pid").schema])
-        return persisted(own.groupBy("_pid").applyInArrow(_local_levels("_own", numeric, k, max_depth, limits), out).select("_own.*", "_pid"), "mondrian")
+        more = [T.StructField(c, T.DoubleType() if n else T.StringType()) for i, n in enumerate(numeric) for c in ((f"_lo{i}", f"_hi{i}") if n else (f"_text{i}",))]
+        kind = T.StructType([*own.select("_own", "_pid").schema, *(more if leaves else [])])
+        placed = own.groupBy("_pid").applyInArrow(_local_levels("_own", numeric, k, max_depth, limits, leaves), kind)
+        return placed.select("_own.*", *(c for c in placed.columns if c != "_own")) if leaves else persisted(placed.select("_own.*", "_pid"), "mondrian")
     source = persisted(df.select(F.struct(*df.columns).alias("_own"), F.monotonically_increasing_id().alias("_id"), *keys), "rows")
     columns = ["_id", "_pos", "_hash", *(f"_q{i}" for i in range(len(numeric))), *told]
     current = persisted(known(source).select(*columns, F.lit(1).cast("long").alias("_pid"), F.lit(False).alias("_whole")), "mondrian")
@@ -307,9 +310,9 @@ def _ranks(c: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.rank(c, "ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)
 
 
-def _local_levels(keep: str, numeric: list[bool], k: int, depth: int, limits: tuple[int, float, np.ndarray | None] | None = None):
+def _local_levels(keep: str, numeric: list[bool], k: int, depth: int, limits: tuple[int, float, np.ndarray | None] | None = None, leaves: bool = False):
     """The levels from here on for one partition: the same splits, on arrays. Gives (keep, _pid). ``limits``: l,
-    t and the shares up to each place of the whole table."""
+    t and the shares up to each place of the whole table. ``leaves``: also what the rows of a partition have in common."""
 
     def keeps(s: np.ndarray, g: np.ndarray, code: np.ndarray) -> bool:
         """Whether rows with these sensitive values, their shares and places keep to the limits."""
@@ -353,11 +356,35 @@ def _local_levels(keep: str, numeric: list[bool], k: int, depth: int, limits: tu
                     break
             else:
                 pid[rows] = own
-        return pa.table({keep: part.column(keep), "_pid": pa.array(pid)})
+        out = {keep: part.column(keep), "_pid": pa.array(pid)}
+        if leaves:
+            own = np.unique(pid, return_inverse=True)[1]
+            groups = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])
+            for i, (n, v, there) in enumerate(zip(numeric, values, present, strict=True)):
+                if n:
+                    ends = [_ends(v[g][there[g]]) for g in groups]
+                    out |= {name: pa.array([ends[x][side] for x in own], pa.float64()) for side, name in enumerate((f"_lo{i}", f"_hi{i}"))}
+                else:
+                    texts = np.asarray(part.column(f"_q{i}").to_pylist(), object)
+                    said = [_set_text({x for x in texts[g] if x is not None}) for g in groups]
+                    out[f"_text{i}"] = pa.array([said[x] for x in own], pa.string())
+        return pa.table(out)
 
     return run
 
 
+def _ends(v: np.ndarray) -> tuple[float | None, float | None]:
+    """Smallest and largest value, NaN above all; None of none."""
+    if not len(v):
+        return None, None
+    odd = np.isnan(v)
+    return float(v.min()) if not odd.any() else float("nan") if odd.all() else float(v[~odd].min()), float("nan") if odd.any() else float(v.max())
+
+
+def _set_text(found: set[str]) -> str | None:
+    return None if not found else found.pop() if len(found) == 1 else "{" + ",".join(sorted(found)) + "}"
+
+
 def k_anonymize_table(df: DataFrame, quasi_identifiers: list[str], k: int = 5, max_depth: int = 10, order: str | None = None, keep_partition: bool = False, sensitive: str | None = None, l: int = 1, t: float = 1.0, buckets: int = BUCKETS) -> DataFrame:  # noqa: E741
     """The table with its quasi-identifiers generalised, as strings, over Mondrian partitions of at
     least k rows. Other columns and the number of rows stay. With a ``sensitive`` column every class has ``l`` different
@@ -372,16 +399,21 @@ def k_anonymize_table(df: DataFrame, quasi_identifiers: list[str], k: int = 5, m
     rule = sensitive_values(df, sensitive, l, t, buckets) if sensitive else None
     if rule and n and rule.distinct < l:
         raise PrivacyError(f"{rule.distinct} sensitive values are fewer than l = {l}")
-    parts = mondrian_partitions(df, quasi_identifiers, k, max_depth, order, rows=n, sensitive=sensitive, rule=rule)
-    # Ranges and value sets of a leaf are one aggregation, joined back by partition.
     numeric = {q: isinstance(df.schema[q].dataType, _NUMBERS) for q in quasi_identifiers}
-    aggs = []
-    for i, q in enumerate(quasi_identifiers):
-        if numeric[q]:
-            aggs += [F.min(F.col(q).cast("double")).alias(f"_lo{i}"), F.max(F.col(q).cast("double")).alias(f"_hi{i}")]
-        else:
-            aggs.append(F.array_sort(F.collect_set(F.col(q).cast("string"))).alias(f"_set{i}"))
-    joined = parts.join(parts.groupBy("_pid").agg(*aggs), "_pid")
+    if n <= LOCAL_ROWS:
+        joined = mondrian_partitions(df, quasi_identifiers, k, max_depth, order, rows=n, sensitive=sensitive, rule=rule, leaves=True)
+    else:
+        # Ranges and value sets of a leaf are one aggregation, joined back by partition.
+        parts = mondrian_partitions(df, quasi_identifiers, k, max_depth, order, rows=n, sensitive=sensitive, rule=rule)
+        aggs = []
+        for i, q in enumerate(quasi_identifiers):
+            if numeric[q]:
+                aggs += [F.min(F.col(q).cast("double")).alias(f"_lo{i}"), F.max(F.col(q).cast("double")).alias(f"_hi{i}")]
+            else:
+                found = F.array_sort(F.collect_set(F.col(q).cast("string")))
+                text = F.when(F.size(found) == 1, F.element_at(found, 1)).when(F.size(found) > 1, F.concat(F.lit("{"), F.array_join(found, ","), F.lit("}")))
+                aggs.append(text.alias(f"_text{i}"))
+        joined = parts.join(parts.groupBy("_pid").agg(*aggs), "_pid")
     out = {}
     for i, q in enumerate(quasi_identifiers):
         c = F.col(q).cast("string")
@@ -391,8 +423,7 @@ def k_anonymize_table(df: DataFrame, quasi_identifiers: list[str], k: int = 5, m
             lo_text, hi_text = (F.when(whole, v.cast("long").cast("string")).otherwise(v.cast("string")) for v in (lo, hi))
             out[q] = F.when(lo.isNull(), c).when(lo == hi, lo.cast("string")).otherwise(F.concat(F.lit("["), lo_text, F.lit("-"), hi_text, F.lit("]")))
         else:
-            s = F.col(f"_set{i}")
-            out[q] = F.when(F.size(s) == 0, c).when(F.size(s) == 1, F.element_at(s, 1)).otherwise(F.concat(F.lit("{"), F.array_join(s, ","), F.lit("}")))
+            out[q] = F.coalesce(f"_text{i}", c)
     cols = [out[c].alias(c) if c in out else F.col(c) for c in df.columns]
     return joined.select(*cols, *(["_pid"] if keep_partition else []))
 
