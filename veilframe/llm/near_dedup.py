@@ -160,12 +160,17 @@ def _sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame, k: int) -> DataF
 
         return each
 
-    marked = ids.join(repeated.select(F.col("doc_id").alias("node"), F.lit(True).alias("again")), "node", "left")
+    once_each = repeated.isEmpty()
+    if once_each:
+        marked = ids.withColumn("again", F.lit(None).cast("boolean"))
+    else:  # a table of its own, whose size is known when the join is planned
+        marked = materialise(ids.join(repeated.select(F.col("doc_id").alias("node"), F.lit(True).alias("again")), "node", "left"), "marked")
     wanted = docs.select("doc_id", "text").join(marked.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = map_arrow(wanted, make, "node long, set array<long>, print binary, again boolean")
-    if repeated.isEmpty():
+    if once_each:
         return sets.select("node", "set")
     sets = materialise(sets, "every_set")
+    discard(marked)
     once = sets.filter("again").groupBy("node", "print").agg(F.first("set").alias("set"))
     return sets.filter("again IS NULL").select("node", "set").unionByName(once.select("node", "set"))
 
