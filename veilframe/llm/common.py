@@ -131,12 +131,12 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for b in batches:
             if b.num_rows:
                 yield from each(b)
-        _return_memory()
+        return_memory()
 
     return df.mapInArrow(run, schema)
 
 
-def _return_memory() -> None:
+def return_memory() -> None:
     """Give what a task has freed back to the system, where the C library and Arrow can: worker processes
     are reused and would hold their largest task's memory."""
     pa.default_memory_pool().release_unused()

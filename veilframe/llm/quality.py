@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import shingles as sh
-from veilframe.llm.common import fold, map_arrow, text_chunks
+from veilframe.llm.common import fold, map_arrow, return_memory, text_chunks
 from veilframe.llm.labelled import first_by_hash, texts_of
 
 SAMPLE, PAIRS, CUT = 6000, 40_000, 0.3
@@ -91,20 +91,22 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, cut: float = CUT, s
     rng = np.random.default_rng(seed)
     i, j = rng.choice(yes, pairs), rng.choice(no, pairs)
     mean = x.mean(axis=0)
-    spread = x.std(axis=0)
+    z = x - mean  # the only copy of the features
+    spread = np.sqrt(sum((z[lo : lo + 512] ** 2).sum(axis=0) for lo in range(0, len(z), 512)) / len(z))
     gain = np.where(spread > 1e-6, 1 / np.maximum(spread, 0.02), 0).astype(np.float32)
-    z = (x - mean) * gain
+    z *= gain
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for step in range(1, steps + 1):
         s = slice((step * 2048) % pairs, (step * 2048) % pairs + 2048)
         d = z[i[s]] - z[j[s]]
-        grad = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(axis=0) + decay * w
+        push = (1 / (1 + np.exp(np.clip(d @ w.astype(np.float32), -30, 30)))).astype(np.float32)
+        grad = decay * w - push @ d / len(d)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    scores = np.sort(z @ w)
-    k = len(no)
+    ranked = z @ w.astype(np.float32)
+    scores, k = np.sort(ranked), len(no)
     threshold = float(scores[k - 1] + scores[k]) / 2
-    scale = max(1e-6, float(np.median((z @ w)[yes]) - np.median((z @ w)[no])) / 8)
+    scale = max(1e-6, float(np.median(ranked[yes]) - np.median(ranked[no])) / 8)
     return Ranker(mean, w * gain, threshold, scale, cut)
 
 
@@ -123,8 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
         return each
 
     got = map_arrow(rows.select("label", "text"), make, "label int, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
-    return fit(x, got.column("label").to_numpy())
+    labels, held = got.column("label").to_numpy(), got.column("x").combine_chunks()
+    del got
+    # The features as Arrow holds them, one row after the other.
+    x = np.frombuffer(held.buffers()[2] or b"", np.float32, len(held) * WIDTH, 4 * WIDTH * held.offset).reshape(-1, WIDTH) if len(held) else np.zeros((0, WIDTH), np.float32)
+    ranker = fit(x, labels)
+    del x, held
+    return_memory()
+    return ranker
 
 
 def _each(ranker: Ranker, then):
