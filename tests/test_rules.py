@@ -182,3 +182,35 @@ def test_rule_store(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "rules" / "domains" / "y.yaml").write_text("domain: y\nunknown: 1\nrules:\n  - id: R\n    level: L2\n    matchers:\n      - operator: regex\n        params: {pattern: '^a'}\n")
     assert store.profile("y") == Profile("y", (Rule("R", "L2", None, 50, (Matcher("regex", {"pattern": "^a"}),)),))
+
+
+# -- coverage of all packs: same judgement as the tags, rows of one row group over many tasks ------------------------------
+
+
+@pytest.mark.parametrize("semantics", ["reference", "intended"])
+def test_coverage_judges_as_the_tags_do(spark, semantics):
+    values = ["HIV positive", "库存 hiv", "inventory: hiv", "110101199001011237", "13800138000", "12345674", "4111 1111 1111 1111", "a@mail.example", "患者姓名", "xx身份证", "é身份证", "face-id", "plain", "", None]
+    rows = spark.createDataFrame([(n, v) for n in ("note", "inventory", "id_card", "门诊量") for v in values], "field string, value string")
+    got = {r["domain"]: (r["fields"], r["tagged"]) for r in classify.coverage(rows, semantics=semantics).collect()}
+    assert set(got) == set(classify.list_domains())
+    for name, found in got.items():
+        c = classify.build(name, semantics=semantics)
+        kept = rows.select(F.size(c.kept_tags(F.col("field"), F.col("value"))).alias("n"))
+        assert found == (rows.count(), kept.filter("n > 0").count())
+
+
+def test_coverage_with_packs_changed_to_suppress(spark, monkeypatch):
+    down = Downgrade("d", ("stock",), "L1", "x", True, "L3", ("KEEP*",))
+    rules = tuple(Rule(i, level, "c", p, (Matcher("keyword_contains", {"keywords": (w,)}),)) for i, level, p, w in (("HIGH", "L5", 3, "hiv"), ("KEEP_1", "L5", 2, "gene"), ("LOW", "L2", 1, "名"), ("OFF", "L2", 1, "hiv")))
+    pack = Profile("own", (*rules[:3], Rule("OFF", "L2", "c", 9, rules[3].matchers, enabled=False)), (down,))
+    monkeypatch.setitem(packs.PROFILES, "own", pack)
+    rows = spark.createDataFrame([("n", "hiv"), ("n", "hiv stock"), ("stock", "hiv"), ("stock", "gene"), ("stock", "名"), ("stock", "x")], "field string, value string")
+    assert [tuple(r) for r in classify.coverage(rows, ["own"]).collect()] == [("own", 3, 6, 3)]
+    monkeypatch.setitem(packs.PROFILES, "own", Profile("own", (), ()))
+    assert [tuple(r) for r in classify.coverage(rows, ["own"]).collect()] == [("own", 0, 6, 0)]
+
+
+def test_customers_of_one_row_group_are_judged_by_many_tasks(spark):
+    read = queries.long_people(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p"), "field")
+    held = [r["n"] for r in read.groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert len(held) >= 4 and max(held) <= 2 * min(held)

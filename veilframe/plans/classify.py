@@ -8,6 +8,7 @@ see only the rows the rule layer leaves open.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,6 +25,13 @@ from veilframe.plans.model import Composite, Downgrade, Policy, Profile, Rule, S
 
 TAG = "struct<level:string,category:string,source:string,confidence:double,rule_id:string>"
 LAYER_RULE, LAYER_NER, LAYER_LLM = "rule", "ner", "llm"
+Bound = Column | dict[str, Column]
+
+
+def normal_forms(name: Column, value: Column) -> list[Column]:
+    """(name, value, plain_name, plain_value): a field and its normal forms."""
+    text = value.cast("string")
+    return [name.alias("name"), text.alias("value"), normalised(name).alias("plain_name"), normalised(text).alias("plain_value")]
 
 
 def _tag(level: str, category: str, source: str, confidence: float, rule: str) -> Column:
@@ -43,13 +51,12 @@ class Classifier:
 
     def bind(self, name: Column, value: Column) -> Column:
         """A field with its normal forms, to be evaluated once however many rules read it."""
-        text = value.cast("string")
-        return F.struct(name.alias("name"), text.alias("value"), normalised(name).alias("plain_name"), normalised(text).alias("plain_value"))
+        return F.struct(*normal_forms(name, value))
 
     def rule_hits(self, rule: Rule, name: Column, value: Column) -> Column:
         return self._hits(rule, self.bind(name, value))
 
-    def _hits(self, rule: Rule, bound: Column) -> Column:
+    def _hits(self, rule: Rule, bound: Bound) -> Column:
         hits = []
         for m in rule.matchers:
             f = Field.bound(bound, self.semantics, m.target)
@@ -88,16 +95,21 @@ class Classifier:
         for d in self.downgrades:
             if not d.force_suppress:
                 continue
-            hit = F.lit(True)
-            if d.keywords:
-                words = [normalised_text(k) for k in d.keywords]
-                hit = matchers.contains_any(bound["plain_value"], words) | matchers.contains_any(bound["plain_name"], words)
-            cap = 2**31 - 1 if d.max_force_suppress_level is None else self.taxonomy.rank(d.max_force_suppress_level)
             # Without a tag that it could take, a downgrade's keywords are not even looked for.
-            takes = self._taken(cap, self.suppressible(d))
-            gone = F.when(F.exists(tags, takes) & hit, F.array_union(gone, F.filter(tags, takes))).otherwise(gone)
+            takes = self._taken(self._cap(d), self.suppressible(d))
+            gone = F.when(F.exists(tags, takes) & self._active(d, bound), F.array_union(gone, F.filter(tags, takes))).otherwise(gone)
         return gone
 
+    def _active(self, d: Downgrade, bound: Bound) -> Column:
+        """Whether a downgrade's keywords occur in a field's value or name."""
+        if not d.keywords:
+            return F.lit(True)
+        words = [normalised_text(k) for k in d.keywords]
+        return matchers.contains_any(bound["plain_value"], words) | matchers.contains_any(bound["plain_name"], words)
+
+    def _cap(self, d: Downgrade) -> int:
+        return 2**31 - 1 if d.max_force_suppress_level is None else self.taxonomy.rank(d.max_force_suppress_level)
+
     def _taken(self, cap: int, free: list[str]) -> Callable[[Column], Column]:
         def taken(t: Column) -> Column:
             over = self.rank(t["level"]) <= cap if self.semantics == "intended" else self.rank(t["level"]) > cap
@@ -109,6 +121,20 @@ class Classifier:
         """The tags that hit and are not suppressed."""
         return let(self.bind(name, value), lambda b: let(self._tags(b), lambda t: F.array_except(t, self._suppressed(t, b))))
 
+    def keeps_any(self, bound: Bound) -> Column:
+        """Whether ``kept_tags`` of a bound field has any: the first rule that hits and is not suppressed settles it,
+        and no tag is made."""
+
+        def kept(r: Rule) -> Column:
+            out, rank = self._hits(r, bound), self.taxonomy.rank(r.level or self.taxonomy.default_level)
+            for d in self.downgrades:
+                taken = rank <= self._cap(d) if self.semantics == "intended" else rank > self._cap(d)
+                if d.force_suppress and taken and r.id in self.suppressible(d):
+                    out = out & ~self._active(d, bound)
+            return out
+
+        return F.coalesce(functools.reduce(Column.__or__, (kept(r) for r in self.rules if r.enabled), F.lit(False)), F.lit(False))
+
     # -- funnel ------------------------------------------------------------------------------------
 
     def max_level(self, tags: Column) -> Column:
@@ -284,11 +310,17 @@ def audited(result: DataFrame) -> DataFrame:
 
 def coverage(rows: DataFrame, domains: list[str] | None = None, semantics: str = "reference") -> DataFrame:
     """(domain, rules, fields, tagged) for each rule pack: its rules, and how many of the (field, value) rows there are and
-    get a tag from it. All packs are judged in one pass over ``rows``."""
+    get a tag from it. All packs are judged in one pass over ``rows``, from one pair of normal forms.
+
+    The judgement is a projection of its own over plain columns. As the packs' checksums are higher-order functions, it is
+    compiled apart from its stage, in small methods; one method of all keywords would be too large for the JVM to compile.
+    """
     packs_ = {d: build(d, semantics=semantics) for d in domains or list_domains()}
-    tagged = [F.count_if(F.size(c.kept_tags(F.col("field"), F.col("value"))) > 0).alias(f"t{i}") for i, c in enumerate(packs_.values())]
+    bound = rows.select(*normal_forms(F.col("field"), F.col("value")))
+    judged = bound.select(F.array(*(c.keeps_any({n: F.col(n) for n in bound.columns}) for c in packs_.values())).alias("_kept"))
+    tagged = [F.count_if(F.get("_kept", F.lit(i))).alias(f"t{i}") for i in range(len(packs_))]
     told = [F.struct(F.lit(d).alias("domain"), F.lit(len([r for r in c.rules if r.enabled])).cast("long").alias("rules"), F.col("fields"), F.col(f"t{i}").alias("tagged")) for i, (d, c) in enumerate(packs_.items())]
-    return rows.agg(F.count(F.lit(1)).alias("fields"), *tagged).select(F.inline(F.array(*told)))
+    return judged.agg(F.count(F.lit(1)).alias("fields"), *tagged).select(F.inline(F.array(*told)))
 
 
 def list_standards() -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.text import digits, id_card_valid, luhn, normalised, normalised_text
+from veilframe.functions.text import digits, id_card_valid, let, luhn, normalised, normalised_text
 
 MAX_PATTERN = 512
 MIN_DOUBLE = 5e-324  # the least positive double: without ``min`` zero and negative values miss
@@ -30,8 +30,8 @@ class Field:
         self.plain_name, self.plain_value = normalised(name), normalised(self.value)
 
     @classmethod
-    def bound(cls, b: Column, semantics: str = "reference", target: str = "field_value") -> Field:
-        """From a struct<name, value, plain_name, plain_value> evaluated elsewhere."""
+    def bound(cls, b: Column | dict[str, Column], semantics: str = "reference", target: str = "field_value") -> Field:
+        """From a struct<name, value, plain_name, plain_value>, or columns by these names, evaluated elsewhere."""
         f = cls.__new__(cls)
         f.name, f.value, f.plain_name, f.plain_value, f.semantics, f.target = b["name"], b["value"], b["plain_name"], b["plain_value"], semantics, target
         return f
@@ -88,9 +88,12 @@ def _any(hits: list[Column]) -> Column:
 
 
 def contains_any(subject: Column, words: list[str]) -> Column:
-    """Whether any word occurs; words that hold another of the list add nothing and are left out."""
-    least = [w for w in words if not any(o != w and o in w for o in words)]
-    return _any([F.contains(subject, F.lit(w)) for w in dict.fromkeys(least)])
+    """Whether any word occurs; words that hold another of the list add nothing and are left out. In a subject of
+    single-byte characters only the words of such characters are looked for."""
+    least = list(dict.fromkeys(w for w in words if not any(o != w and o in w for o in words)))
+    wide = [w for w in least if not w.isascii()]
+    hits = [F.contains(subject, F.lit(w)) for w in least if w.isascii()]
+    return _any([*hits, (F.octet_length(subject) > F.length(subject)) & _any([F.contains(subject, F.lit(w)) for w in wide])] if wide else hits)
 
 
 @functools.cache
@@ -165,18 +168,16 @@ def id_card_checksum(f: Field, params: dict) -> Column:
 
 @register("medical_card_checksum")
 def medical_card_checksum(f: Field, params: dict) -> Column:
-    d = digits(f.value)
-    return F.coalesce(F.length(d).between(8, 12) & luhn(d), F.lit(False))
+    return F.coalesce(let(digits(f.value), lambda d: F.length(d).between(8, 12) & luhn(d)), F.lit(False))
 
 
 @register("luhn_checksum")
 def luhn_checksum(f: Field, params: dict) -> Column:
     """At least 13 digits; intended semantics apply ``min_length`` and ``max_length`` too."""
-    d = digits(f.value)
     lo, hi = 13, 2**31 - 1
     if f.semantics == "intended":
         lo, hi = as_number(params.get("min_length"), lo, int), as_number(params.get("max_length"), hi, int)
-    return F.coalesce(F.length(d).between(lo, hi) & luhn(d), F.lit(False))
+    return F.coalesce(let(digits(f.value), lambda d: F.length(d).between(lo, hi) & luhn(d)), F.lit(False))
 
 
 @register("icd10_range")
