@@ -380,3 +380,39 @@ def test_limits_that_cannot_be_kept(spark):
     assert kanon.k_anonymize_table(df, ["a"], 2, sensitive="n", l=1, t=0.0).count() == 20
     classes = kanon.closeness(spark.createDataFrame([(None, "x"), (None, "y"), (1, "x")], "k int, s string"), ["k"], "s")
     assert {(r["k"], r["size"], round(r["distance"], 6)) for r in classes.collect()} == {(None, 2, 0.166667), (1, 1, 0.333333)}
+
+
+# -- batches of obfuscated queries: made once a row, by many tasks -----------------------------------------------------------
+
+
+@pytest.mark.parametrize(("domain", "dummies"), [("medical", 3), ("medical", 0), ("general", 15), (None, 25)])
+def test_batch_sends_what_obfuscate_gives(spark, domain, dummies):
+    asked = [(1, "流感和失眠怎么办"), (2, "今天吃什么"), (3, obfuscate.MEDICAL_QUERIES[0]), (4, ""), (5, None), (6, "q" * 60), (7, "医保 or 社保卡"), (7, "医保 or 社保卡")]
+    df = spark.createDataFrame(asked, "id int, asked string")
+    one = df.select("id", obfuscate.obfuscate("asked", dummies, domain, seed="s").alias("o")).collect()
+    want = [(r["id"], i, x, i == r["o"]["real_index"]) for r in one for i, x in enumerate(r["o"]["queries"] or ())]
+    got = obfuscate.obfuscate_batch(df, "asked", dummies=dummies, domain=domain, seed="s").select("id", "position", "query", "is_real").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_batch_without_seed_marks_the_real_query(spark):
+    df = spark.range(2000).selectExpr("id", "concat('我想了解高血压的治疗', id) AS asked")
+    sent = obfuscate.obfuscate_batch(df, "asked", dummies=3)
+    assert sent.columns == ["id", "asked", "position", "query", "is_real"]
+    got = sent.collect()
+    assert len(got) == 8000 and all(r["is_real"] == (r["query"] == r["asked"]) for r in got)
+    assert {r["position"] for r in got if r["is_real"]} == {0, 1, 2, 3}
+
+
+def test_batch_obfuscates_once_a_row(spark):
+    df = spark.range(5).selectExpr("concat('流感', id) AS asked")
+    digests = lambda q: q._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+    once = digests(df.select(obfuscate.obfuscate("asked", 3, seed="s").alias("o")))
+    assert 0 < digests(obfuscate.obfuscate_batch(df, "asked", dummies=3, seed="s")) <= once
+
+
+def test_customers_of_one_row_group_ask_from_many_tasks(spark):
+    from veilframe import queries
+
+    held = queries.asked(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 4 and max(r["count"] for r in held) <= 2 * min(r["count"] for r in held)

@@ -30,7 +30,7 @@ def _shuffled(items: Column, query: Column, seed: str | None) -> Column:
     if seed is None:
         return F.shuffle(items)
     keyed = F.transform(items, lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(seed), query, x).cast("binary")).alias("h"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+    return F.sort_array(keyed)["x"]  # by the fields' own order; array_sort would run a comparator of expressions
 
 
 def obfuscate(query: Column | str, dummies: int = 3, domain: str | None = "medical", medical_pool: list[str] | None = None, generic_pool: list[str] | None = None, seed: str | None = None) -> Column:
@@ -55,8 +55,8 @@ def obfuscate(query: Column | str, dummies: int = 3, domain: str | None = "medic
         return F.when(first.isNotNull(), F.transform(others, lambda o: F.replace(query, first, o)))
 
     def similar(others: Column) -> Column:
-        near = lambda d: F.filter(others, lambda x: F.abs(F.length(x) - F.length(query)) <= d)
-        close = let(near(12), lambda wide: let(F.filter(wide, lambda x: F.abs(F.length(x) - F.length(query)) <= 6), lambda tight: F.when(F.size(tight) > 0, tight).when(F.size(wide) > 0, wide).otherwise(others)))
+        near = lambda among, d: let(F.length(query), lambda n: F.filter(among, lambda x: F.abs(F.length(x) - n) <= d))
+        close = let(near(others, 12), lambda wide: let(near(wide, 6), lambda tight: F.when(F.size(tight) > 0, tight).when(F.size(wide) > 0, wide).otherwise(others)))
         # Beyond the pool's size, items repeat.
         return let(_shuffled(close, query, seed), lambda order: F.slice(F.flatten(F.array_repeat(order, F.ceil(F.lit(dummies) / F.size(order)).cast("int"))), 1, dummies))
 
@@ -76,6 +76,7 @@ def obfuscate(query: Column | str, dummies: int = 3, domain: str | None = "medic
 
 
 def obfuscate_batch(df: DataFrame, column: str, **options) -> DataFrame:
-    """One row a query sent: the rows of ``df`` times (position, query, is_real)."""
-    got = df.withColumn("_o", obfuscate(column, **options))
-    return got.select(*df.columns, F.posexplode("_o.queries").alias("position", "query"), F.col("_o.real_index").alias("_at")).withColumn("is_real", F.col("position") == F.col("_at")).drop("_at")
+    """One row a query sent: the rows of ``df`` times (position, query, is_real). The array of these is made as a
+    whole, as fields of the struct taken one by one would each obfuscate the query anew."""
+    sent = let(obfuscate(column, **options), lambda o: F.transform(o["queries"], lambda q, i: F.struct(i.alias("position"), q.alias("query"), (i == o["real_index"]).alias("is_real"))))
+    return df.select(*df.columns, F.inline(sent))

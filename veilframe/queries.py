@@ -577,7 +577,7 @@ _ASKED = ["我想了解高血压的治疗", "流感和失眠怎么办", "今天
 
 
 def asked(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "customer").select("c_custkey", F.concat(F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("c_custkey") % 3 + 1).cast("int")), F.col("c_custkey").cast("string")).alias("q"))
+    return dealt(t(s, d, "customer").select("c_custkey")).select("c_custkey", F.concat(F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("c_custkey") % 3 + 1).cast("int")), F.col("c_custkey").cast("string")).alias("q"))
 
 
 ASKED = f"(SELECT c_custkey, {_list_sql(_ASKED)}[c_custkey % 3 + 1] || c_custkey AS q FROM customer)"
